@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm import bpe
-from sievelake.workspace import table
+from sievelake.llm import bpe, media
+from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,5 +15,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch(spark, "media")
+    media.store(table(spark, sf_dir, "documents"), archives)
+    return media.describe(media.load(spark, archives))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media}
 ORACLES: dict[str, str] = {}
