@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, media
+from sievelake.llm import bpe, media, sharding
 from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,5 +22,19 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.load(spark, archives))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shuffle(table(spark, sf_dir, "documents"), 24, seed=9)
+    text = F.coalesce("text", F.lit(""))
+    return shards.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
