@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, media, sharding
+from sievelake.llm import bpe, media, sharding, warc
 from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.load(spark, archives))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch(spark, "warc")
+    index = warc.write(warc.plan(table(spark, sf_dir, "pages")), archives)
+    return warc.read(index, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shuffle(table(spark, sf_dir, "documents"), 24, seed=9)
     text = F.coalesce("text", F.lit(""))
@@ -36,5 +42,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media, "op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM k""",
+}

@@ -125,7 +125,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if archive is None or sink.tell() >= self.archive_bytes:
                     close()
                     name = f"part-{uuid.uuid4().hex}.zip"
-                    sink = store.open_output_stream(f"{root}/{name}")
+                    sink = store.open_output_stream(f"{root}/{name}", compression=None)
                     archive = zipfile.ZipFile(_Counted(sink), "w", zipfile.ZIP_STORED)
                     done.append({"name": name, "members": 0})
                 info = zipfile.ZipInfo(f"{done[-1]['members']}_{'' if doc_id is None else doc_id}.png")
