@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, media, sharding, warc
+from sievelake.llm import bpe, langid, media, sharding, warc
 from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,7 +42,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold == 1).alias("held_out"))
+    labelled = docs.where("NOT held_out AND lang IS NOT NULL").select("text", "lang")
+    model = langid.calibrate(langid.fit(labelled), labelled)
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_media": op5_media, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
