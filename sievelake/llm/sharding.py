@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 20_000
 
 
 def bucket_starts(total: int, shards: int, buckets: int) -> np.ndarray:
