@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, langid, licenses, media, sharding, warc
+from sievelake.llm import bpe, langid, licenses, media, sharding, simhash, warc
 from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op4_bpe": op4_bpe, "op5_media": op5_media, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op4_bpe": op4_bpe, "op5_media": op5_media, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.sql(),
     "op8_warc": """
