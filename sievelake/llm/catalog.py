@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, decontaminate, langid, licenses, media, pii, sharding, simhash, warc
+from sievelake.llm import bpe, decontaminate, langid, licenses, media, pii, sharding, simhash, suffixes, warc
 from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -66,7 +70,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_suffixes": op3_suffixes, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.sql(),
     "op8_warc": """
