@@ -47,6 +47,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_lists(texts: pa.Array) -> pa.Array:
+    """The words of each text; a text without any has one empty word, which no index knows."""
     plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), r"[^\p{L}\p{N}]+", " ")
     return pc.ascii_split_whitespace(pc.ascii_trim(plain, " "))
 
@@ -81,7 +82,7 @@ def build(rows: list[tuple]) -> Index | None:
     """An index of (item_id, text) rows."""
     texts = pa.array([t for _, t in rows], pa.string())
     # the last sentence is the answer, what comes before it the question
-    lists = word_lists(texts).to_pylist()
+    lists = [[w for w in words if w] for words in word_lists(texts).to_pylist()]
     tails = [len(word_lists(pa.array([re.split(r"(?<=[.!?])\s+", (t or "").strip())[-1]])).to_pylist()[0]) for _, t in rows]
     kept = sorted((i for i, w in enumerate(lists) if w), key=lambda i: lists[i])
     if not kept:
