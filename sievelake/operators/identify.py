@@ -75,12 +75,12 @@ def cover(ranks: DataFrame, max_strains: int = 20) -> DataFrame:
     need = shapes.where("NOT marginal").select("mask").distinct().agg(F.collect_list("mask").alias("need"))
     sets = spark.range(1, 1 << len(strains)).withColumnRenamed("id", "chosen").join(F.broadcast(need))
     sets = sets.where(F.forall("need", lambda m: m.bitwiseAND(F.col("chosen")) != 0)).select("chosen")
-    judged = sets.join(F.broadcast(shapes)).where("(mask & chosen) <> 0").select("chosen", "mask", "n", F.explode("w").alias("s")).where("(shiftleft(1L, s.bit) & chosen) <> 0")
+    judged = sets.join(F.broadcast(shapes)).where("(mask & chosen) <> 0").select("chosen", "mask", "w", "marginal", "n", F.explode("w").alias("s")).where("(shiftleft(1L, s.bit) & chosen) <> 0")
     each = judged.select("chosen", "n", F.col("s.bit").alias("bit"), F.col("s.weight").alias("weight"), F.expr("bit_count(mask & chosen)").alias("covers"), F.expr("(mask & chosen) - shiftleft(1L, s.bit)").alias("other"), "mask")
     per = each.groupBy("chosen", "bit").agg(F.sum(F.when(F.col("covers") == 1, F.col("n")).otherwise(0)).alias("own"), F.sum(F.col("n") * F.col("weight")).alias("support"), F.sum(F.when((F.col("covers") == 1) & (F.col("weight") > 0), F.col("n") * F.col("weight")).otherwise(0)).alias("alone"))
     lone = per.where("alone > 0").select("chosen", F.expr("shiftleft(1L, bit)").alias("other"), F.lit(True).alias("lone"))
     # the other strain's weight on the same reads
-    two = judged.where("bit_count(mask & chosen) = 2").groupBy("chosen", "mask", "n").agg(F.collect_list("s").alias("both"))
+    two = judged.where("bit_count(mask & chosen) = 2").groupBy("chosen", "w", "marginal", "n").agg(F.collect_list("s").alias("both"))
     pairs = two.select("chosen", "n", F.explode(F.array(F.struct(F.col("both")[0].alias("x"), F.col("both")[1].alias("y")), F.struct(F.col("both")[1].alias("x"), F.col("both")[0].alias("y")))).alias("p"))
     pairs = pairs.where("p.x.weight > 1 AND p.x.weight > p.y.weight").select("chosen", "n", F.col("p.x.bit").alias("bit"), F.col("p.x.weight").alias("weight"), F.expr("shiftleft(1L, p.y.bit)").alias("other"))
     won = pairs.join(lone, ["chosen", "other"], "left_anti").groupBy("chosen", "bit").agg(F.sum(F.col("n") * F.col("weight")).alias("won"))

@@ -33,7 +33,7 @@ ADJUSTED = f"""{_SETS}, sizes AS (SELECT l_suppkey AS filter, count(*) AS set_si
     b AS (SELECT read, filter, hits, total, CAST(round(greatest(0.0, (hits / total - fp) / (1 - fp)) * total) AS BIGINT) AS adjusted FROM a)
     SELECT *, row_number() OVER (PARTITION BY read ORDER BY adjusted DESC, filter, hits) AS place FROM b"""
 RESULT_TEXT = f"""{_SETS}, m AS (SELECT read, count(*) AS n, string_agg(filter || ' ' || hits || '/' || total || ' ' || printf('%.6f', frac), chr(10) ORDER BY hits DESC, CAST(filter AS VARCHAR)) AS t FROM matches GROUP BY read)
-    SELECT read, '*' || read || ' ' || coalesce(n, 0) || chr(10) || coalesce(t, '') AS text FROM totals LEFT JOIN m USING (read)"""
+    SELECT read, '*' || read || ' ' || coalesce(n, 0) || coalesce(chr(10) || t, '') AS text FROM totals LEFT JOIN m USING (read)"""
 
 # ---- bit vectors --------------------------------------------------------
 
