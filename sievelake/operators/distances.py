@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,7 +45,8 @@ def theta(pairs: DataFrame) -> DataFrame:
     return all_of.select("i", "j", F.when(F.col("n_i") > 0, F.round(F.col("n_both") / F.col("n_i"), 4)).alias("theta"))
 
 
-def edges(dist: DataFrame, threshold: float) -> DataFrame:
+def edges(dist: DataFrame, threshold: float | Column) -> DataFrame:
+    """i, j within the threshold, itself included."""
     return dist.where(F.col("dist") <= threshold).select("i", "j")
 
 

@@ -8,9 +8,31 @@ from pyspark.sql import functions as F
 from sievelake.functions import hashing, sequences
 
 
+SEGMENT = 256
+
+
+def window_rows(rows: DataFrame, seq: Column, k: int, *keep: Column) -> DataFrame:
+    """``keep``, w, r: every window of length k and its reverse complement.
+
+    A sequence is cut into overlapping segments first: finding a place in a string
+    costs time in proportion to it, and a segment's complement is made once."""
+    n = F.char_length("seq")
+    names = [f"k{i}" for i in range(len(keep))]
+    flat = rows.select(*[c.alias(a) for c, a in zip(keep, names, strict=True)], seq.alias("seq")).where(n >= k)
+    cut = F.transform(F.sequence(F.lit(1), n - k + 1, F.lit(SEGMENT)), lambda i: F.substring("seq", i, F.lit(SEGMENT + k - 1)))
+    parts = flat.select(*names, F.explode(cut).alias("s")).select(*names, "s", sequences.reverse_complement(F.col("s")).alias("c"), F.char_length("s").alias("m"))
+    each = parts.select(*names, "s", "c", "m", F.explode(F.sequence(F.lit(1), F.col("m") - k + 1)).alias("i"))
+    return each.select(*names, F.substring("s", F.col("i"), F.lit(k)).alias("w"), F.substring("c", F.col("m") - F.col("i") - k + 2, F.lit(k)).alias("r"))
+
+
 def qgram_rows(rows: DataFrame, key: Column, seq: Column, seeds: list[str]) -> DataFrame:
-    """key, qgram: every q-gram of every window, repeats included."""
-    return rows.select(key.alias("key"), F.explode(sequences.qgrams(seq, seeds)).alias("qgram"))
+    """key, qgram: every q-gram of every window under each seed, repeats included."""
+    spans = {len(sequences.check_seed(s)) for s in seeds}
+    if len(spans) != 1:
+        raise ValueError("seeds differ in length")
+    words = window_rows(rows, seq, spans.pop(), key).select(F.col("k0").alias("key"), F.least("w", "r").alias("word"))
+    grams = [sequences.apply_seed(F.col("word"), s) for s in seeds]
+    return words.select("key", (grams[0] if len(grams) == 1 else F.explode(F.array(*grams))).alias("qgram"))
 
 
 def qgram_bags(rows: DataFrame, key: Column, seq: Column, seeds: list[str], modulus: int, hash_seed: int = 0) -> DataFrame:
@@ -40,8 +62,8 @@ def intersection_filter(bits: DataFrame, num_bits: int) -> DataFrame:
 
 def kmer_counts(rows: DataFrame, seq: Column, k: int, at_least: int = 1) -> DataFrame:
     """kmer, n over all rows: canonical words of ACGT that occur often enough."""
-    mers = rows.select(F.explode(sequences.valid_windows(seq, k)).alias("m")).select(sequences.canonical(F.upper("m")).alias("kmer"))
-    return mers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    found = window_rows(rows, F.upper(seq), k).where(F.translate("w", "ACGT", "") == "")
+    return found.groupBy(F.least("w", "r").alias("kmer")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
 
 
 def kmer_filter(counts: DataFrame, k: int, modulus: int, num_bits: int, num_hashes: int = 1, seeds: tuple[int, int] = (0, 1)) -> DataFrame:

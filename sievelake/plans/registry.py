@@ -159,9 +159,9 @@ def reverse_complements(spark, d):
 @query()
 def strand_symmetric_hashes(spark, d):
     """Words whose two-strand hash differs from that of their reverse complement: none."""
-    mers = texts(spark, d, "documents", "doc_id").select(F.explode(sequences.valid_windows(F.col("seq"), 21)).alias("kmer"))
+    mers = sketches.window_rows(texts(spark, d, "documents", "doc_id"), F.col("seq"), 21)
     at = lambda c: hashing.position(c, 21, 1 << 60, both_strands=True)
-    return mers.select("kmer", at(F.col("kmer")).alias("h"), at(sequences.reverse_complement(F.col("kmer"))).alias("r")).groupBy((F.col("h") == F.col("r")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+    return mers.groupBy((at(F.col("w")) == at(F.col("r"))).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_quality(spark, d) -> DataFrame:
@@ -444,8 +444,10 @@ def hamming_interval(spark, d):
 
 
 def close_suppliers(spark, d):
+    """Pairs that are little farther apart than the closest one."""
     dist = distances.hamming(pair_sizes(spark, d)[0], BITS)
-    return distances.edges(dist, sql.CLOSE)
+    low = dist.agg(F.min("dist").alias("low"))
+    return distances.edges(dist.join(F.broadcast(low)), sql.CLOSE * F.col("low"))
 
 
 @query(sql.EDGES)
@@ -505,8 +507,7 @@ def clean_merge(spark, d):
 
 @query()
 def maximal_cliques(spark, d):
-    dist = distances.hamming(pair_sizes(spark, d)[0], BITS)
-    near = distances.edges(dist, sql.CLOSE).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    near = close_suppliers(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return graphs.maximal_cliques(near).select(F.array_join(F.transform("clique", lambda c: c.cast("string")), "_").alias("clique"), F.size("clique").alias("members"))
 
 

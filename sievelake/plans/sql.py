@@ -6,7 +6,7 @@ from sievelake.functions.hashing import KERNELS
 
 BITS = 16384
 MODULUS = 1 << 24
-CLOSE = 0.037
+CLOSE = 1.03
 
 # ---- integer sets -------------------------------------------------------
 
@@ -86,7 +86,7 @@ INTERVAL = f"""WITH {_BITS}, k AS (SELECT * FROM bits WHERE pos >= 64 AND pos <
     n AS (SELECT f.filter, count(k.pos) AS n FROM f LEFT JOIN k USING (filter) GROUP BY 1),
     x AS (SELECT a.filter AS i, b.filter AS j, count(*) AS n_both FROM k a JOIN k b ON a.pos = b.pos AND a.filter < b.filter GROUP BY ALL)
     SELECT a.filter AS i, b.filter AS j, round((a.n + b.n - 2 * coalesce(n_both, 0)) / 960, 6) AS dist FROM n a JOIN n b ON a.filter < b.filter LEFT JOIN x ON x.i = a.filter AND x.j = b.filter"""
-_EDGES = f"{_PAIRS}, e AS (SELECT i, j FROM d WHERE dist <= {CLOSE}), s AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e)"
+_EDGES = f"{_PAIRS}, e AS (SELECT i, j FROM d WHERE dist <= {CLOSE}::DOUBLE * (SELECT min(dist) FROM d)), s AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e)"
 EDGES = f"{_EDGES} SELECT * FROM e"
 ADJACENCY = f"{_EDGES} SELECT i AS node, string_agg(j, ' ' ORDER BY j) AS neighbours FROM s GROUP BY i"
 DOT = f"{_EDGES} SELECT '  ' || i || ' -- ' || j || ';' AS line FROM e"
