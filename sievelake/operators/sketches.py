@@ -37,10 +37,11 @@ def qgram_rows(rows: DataFrame, key: Column, seq: Column, seeds: list[str]) -> D
 
 def qgram_bags(rows: DataFrame, key: Column, seq: Column, seeds: list[str], modulus: int, hash_seed: int = 0) -> DataFrame:
     """key, pos, n: positions with how often each is hit. Q-grams with other
-    characters than ACGT hit position 0. Equal q-grams are added up before they are hashed."""
+    characters than ACGT hit position 0. Words are hashed in Arrow batches before the
+    one exchange, which then moves numbers, added up per task, instead of words."""
     weight = sequences.check_seed(seeds[0]).count("1")
-    grams = qgram_rows(rows, key, seq, seeds).groupBy("key", "qgram").agg(F.count(F.lit(1)).alias("n"))
-    return grams.select("key", hashing.position(F.col("qgram"), weight, modulus, hash_seed).alias("pos"), "n").groupBy("key", "pos").agg(F.sum("n").alias("n"))
+    grams = qgram_rows(rows, key, seq, seeds)
+    return grams.select("key", hashing.position(F.col("qgram"), weight, modulus, hash_seed).alias("pos")).groupBy("key", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
 def filters_of(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
