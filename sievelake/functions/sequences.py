@@ -131,3 +131,14 @@ def parse_probability(text: str) -> float:
 
 def optimal_bits(max_length: Column, fpr: float = 0.01) -> Column:
     return F.bround(-max_length / math.log(1 - fpr)).cast("long")
+
+
+def parse_query_file(text: str, default: float = 0.7) -> tuple[str, float]:
+    """File name and threshold of ``file``, ``file=F`` or ``file:F``."""
+    m = re.fullmatch(r"(.+)[=:]([0-9./%]+)", text)
+    return (m[1], parse_probability(m[2])) if m else (text, default)
+
+
+def read_seeds(text: str) -> list[str]:
+    """The seeds of a seed file: one per line."""
+    return [check_seed(line.strip()) for line in text.splitlines() if line.strip()]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelake.functions import hashing, names, sequences
-from sievelake.sources import sequence_files, topology
+from sievelake.sources import filter_tables, sequence_files, topology
 
 MASK = (1 << 64) - 1
 
@@ -133,3 +133,28 @@ def test_topology(spark):
     with pytest.raises(Exception, match="depth jump"):
         topology.parse(tree(spark, "a.bf **b.bf")).collect()
     assert [r["line"] for r in topology.render(forest).orderBy("preorder").collect()] == ["a", "*b", "c", "*d"]
+
+
+def test_parameters():
+    assert sequences.parse_query_file("a.fa=0.5") == ("a.fa", 0.5) and sequences.parse_query_file("a.fa:1/4") == ("a.fa", 0.25)
+    assert sequences.parse_query_file("a.fa") == ("a.fa", 0.7)
+    assert sequences.read_seeds("111\n\n101\n") == ["111", "101"]
+    with pytest.raises(ValueError):
+        sequences.read_seeds("1*1")
+
+
+def test_filter_tables(spark, tmp_path):
+    row = lambda name, k: (name, "simple", k, 1, 0, 1, 16, 16, 3)
+    filters = spark.createDataFrame([row("a", 15), row("b", 15)], filter_tables.SCHEMA)
+    bits = spark.createDataFrame([("a", 1), ("a", 3), ("b", 5)], "filter string, pos long")
+    filter_tables.save(filters, bits, str(tmp_path / "f"))
+    got, back = filter_tables.load(spark, str(tmp_path / "f"))
+    assert got.count() == 2 and sorted((r["filter"], r["pos"]) for r in back.collect()) == [("a", 1), ("a", 3), ("b", 5)]
+    assert back.where("filter = 'b'").count() == 1 and filter_tables.like(got, "a")["k"] == 15
+    filter_tables.save(spark.createDataFrame([row("c", 14)], filter_tables.SCHEMA), bits.limit(0), str(tmp_path / "f"))
+    with pytest.raises(ValueError, match="differ in k"):
+        filter_tables.load(spark, str(tmp_path / "f"))
+    lines = spark.createDataFrame([(0, "0.0000 0.1875"), (1, "0.1875 0.0000")], "line_no int, value string")
+    assert {(r["i"], r["j"]): r["dist"] for r in filter_tables.parse_matrix(lines).collect()}[0, 1] == 0.1875
+    reads = spark.createDataFrame([(i, "A") for i in range(9)], "read_ix long, seq string")
+    assert [r["read_ix"] for r in sequence_files.first_reads(reads, 3).collect()] == [0, 1, 2]
