@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
-from sievelake.llm.components import components
+from sievelake.operators.graphs import components
 from sievelake.workspace import written
 
 BITS, PARTS, RADIUS = 64, 4, 3

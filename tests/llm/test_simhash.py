@@ -53,7 +53,7 @@ def test_dense_cluster_over_many_cells(spark):
     for cell in (8, 4096):
         links = simhash.links(frame, cell=cell)
         assert links.count() <= 40 * len(fps)
-        from sievelake.llm.components import components
+        from sievelake.operators.graphs import components
 
         found = {r["node"] % (1 << 64): r["root"] for r in components(links).collect()}
         groups, want = {}, {}
