@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,9 +12,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def hand_back() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks and share
+    an executor's memory with whatever runs next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches``, cut so that a piece has about ``limit`` bytes in
-    the column at most, or one row."""
+    the column at most, or one row. Memory is handed back after the last one."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -20,3 +32,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20)
             upto = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    hand_back()

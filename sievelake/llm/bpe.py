@@ -26,13 +26,15 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.batches import hand_back, slices
+
 NO_MERGE = 1 << 60
 
 
@@ -122,9 +124,9 @@ class TokenAutomaton:
     def read(self, word: bytes) -> list[int]:
         """The token ids of one pre-split word."""
         moves, arcs, ending = self.moves, self.arcs, self.ending
-        if len(arcs) > 1_000_000:
+        if len(arcs) > 500_000:
             arcs.clear()
-        if len(moves) > 500_000:
+        if len(moves) > 200_000:
             moves.clear()
         node, ended = 0, [-1]
         for symbol in (*word[:-1], word[-1] + 256):
@@ -158,7 +160,7 @@ class TokenAutomaton:
 class WordTable(dict):
     """word -> (ids as text, labels as text, number of ids), emptied when full."""
 
-    def __init__(self, automaton: TokenAutomaton, limit: int = 400_000):
+    def __init__(self, automaton: TokenAutomaton, limit: int = 150_000):
         super().__init__()
         self.automaton, self.limit = automaton, limit
 
@@ -210,35 +212,27 @@ class WordBpe:
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
-def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``;
-    ``with_ids`` adds the ids (array) and the decoded text themselves.
+    ``with_ids`` adds the ids (array), ``with_text`` the decoded text.
 
     ``path``: a tokenizer file that every executor can open."""
-    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        fields += ", ids array<int>, decoded string"
+    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
-        bpe = _tokenizer(path)
-        sha = hashlib.sha256
-        for batch in batches:
-            out = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            columns = [
-                batch.column(0),
-                pa.array([n for _, _, n in out], pa.int64()),
-                pa.array([sha(i.encode()).hexdigest() for i, _, _ in out], pa.string()),
-                pa.array([sha(d.encode()).hexdigest() for _, d, _ in out], pa.string()),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        bpe = WordBpe(path)  # its tables live as long as the task
+        for batch in slices(batches, 1, 1 << 20):
+            counts, texts, decoded = zip(*[(n, i, d) for i, d, n in (bpe.encode(t or "") for t in batch.column(1).to_pylist())], strict=True)
+            digests = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string()) for xs in (texts, decoded)]
+            columns = [batch.column(0), pa.array(counts, pa.int64()), *digests]
             if with_ids:
-                columns += [pa.array([[int(x) for x in i.split()] for i, _, _ in out], pa.list_(pa.int32())), pa.array([d for _, d, _ in out], pa.string())]
-                names += ["ids", "decoded"]
+                flat = np.array(" ".join(t for t in texts if t).split(), np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts], dtype=np.int32)), pa.array(flat)))
+            if with_text:
+                columns.append(pa.array(decoded, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
+        del bpe
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)

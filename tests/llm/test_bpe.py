@@ -20,7 +20,7 @@ def expected(texts):
 
 def test_whole_table_and_edges(make, real):
     texts = [t for _, t, _ in real] + [None, "", " \n", "a" * 20000, "x<|endoftext|>Y<|startoftext|>", "ΣΑΣ İ é ﬁ", "😀❤️ don't WE'LL 1234", "same", "same"]
-    rows = {r["doc_id"]: r for r in bpe.encode(make(texts, extra=True), PATH, with_ids=True).collect()}
+    rows = {r["doc_id"]: r for r in bpe.encode(make(texts, extra=True), PATH, with_ids=True, with_text=True).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for i, (ids, decoded) in enumerate(expected(texts)):
         r = rows[i]
