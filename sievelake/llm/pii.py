@@ -1,20 +1,23 @@
 r"""Personal data: patterns, and an information-theoretic sanitisation of the terms around them.
 
 Base spans are the leftmost non-overlapping matches of four patterns (email, ip,
-card, phone) that pass their checks. Beyond those, a term (a run of letters)
-near a protected entity is a disclosure risk if the corpus shows that it reveals
-the entity: with n_t, n_e and n_te the numbers of rows that hold the term, the
-entity, and the term near the entity, and N that of all rows,
+card, phone) that pass their checks. A term is a run of letters outside all base
+spans. In a text with a protected entity, every term is a disclosure risk if the
+corpus shows that it reveals the entity: with n_t, n_e and n_te the numbers of
+rows that hold the term, the entity, and both, N that of all rows, p = n_e / N,
 
-    PMI(e; t) = log2(N n_te / (n_t n_e))   and   IC(e) = log2(N / n_e),
+    PMI(e; t) = log2(q / p), q = (n_te + k p) / (n_t + k),   and   IC(e) = log2(1 / p),
 
-a term with PMI >= IC (it never occurs elsewhere) is removed, one with
-PMI >= alpha IC is generalised to "[TERM]". Terms that meet an entity in fewer
-than ``support`` different texts say nothing about it and stay.
+a term with PMI >= alpha IC is generalised to "[TERM]" wherever it stands in the
+texts that hold the entity. q is the share of the term's rows with the entity,
+drawn towards p by ``prior`` = k = 1/2 rows, so a pair seen once is judged like
+any other, with the doubt that one row leaves. A term that occurs nowhere else
+and meets the entity in at least ``support`` different texts is removed instead.
 
 All of it is DataFrame operations. Counts are partial aggregates, so a frequent
 entity, term or text is no hot spot; what depends on a
-text alone is worked out once for equal texts. The patterns below are rewritten with possessive quantifiers
+text alone is worked out once for equal texts, and entities of the same texts
+(most stand in one text only) are judged once together. The patterns below are rewritten with possessive quantifiers
 and look-behinds that change no match but keep the matcher's time linear and its
 stack flat on long runs.
 
@@ -45,9 +48,9 @@ TERM = r"\p{L}{3,}"
 OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """The matches of a pattern with their places: what lies between them is what
-    splitting at the pattern leaves."""
+def matches(text: Column, pattern: str, wanted=None) -> Column:
+    """The matches of a pattern (those whose value is ``wanted``) with their places:
+    what lies between them is what splitting at the pattern leaves."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     steps = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
@@ -56,7 +59,9 @@ def matches(text: Column, pattern: str) -> Column:
     def add(held, step):
         start = held["at"] + step["gap"]
         end = start + F.char_length(step["hit"])
-        return F.struct(end.alias("at"), F.array_append(held["spans"], F.struct(start.alias("start"), end.alias("end"), step["hit"].alias("value"))).alias("spans"))
+        spans = F.array_append(held["spans"], F.struct(start.alias("start"), end.alias("end"), step["hit"].alias("value")))
+        # an append copies the array, so what isn't wanted is never appended
+        return F.struct(end.alias("at"), (spans if wanted is None else F.when(wanted(step["hit"]), spans).otherwise(held["spans"])).alias("spans"))
 
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda held: held["spans"])
 
@@ -99,58 +104,87 @@ def _sizes() -> Column:
     return sum((F.size(kind) for kind in PATTERNS), F.lit(0))
 
 
-def contexts(found: DataFrame, reach: int = 80) -> DataFrame:
-    """digest, copies, entity, term, start, end: every term within ``reach`` characters of
-    a base span of each distinct text, outside all base spans; terms cut off by
-    that window are left out."""
-    held = found.where(_sizes() > 0).select(F.md5(F.encode("text", "UTF-8")).alias("digest"), "text", F.concat(*PATTERNS).alias("spans"))
-    held = held.groupBy("digest").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies"))
-    each = held.select("digest", "copies", "text", "spans", F.explode("spans").alias("span"))
-    low = F.greatest(F.col("span.start") - reach, F.lit(0))
-    around = each.select(
-        "digest", "copies", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), F.col("span.value").alias("entity"), low.alias("low"),
-        F.substring("text", low + 1, F.col("span.end") + reach - low).alias("part"), (F.char_length("text") > F.col("span.end") + reach).alias("cut"),
-    )
-    terms = around.select("digest", "copies", "spans", "entity", "low", "cut", F.char_length("part").alias("size"), F.explode(matches(F.col("part"), TERM)).alias("t"))
-    whole = ((F.col("low") == 0) | (F.col("t.start") > 0)) & (~F.col("cut") | (F.col("t.end") < F.col("size")))
-    placed = terms.where(whole).select("digest", "copies", "entity", F.lower("t.value").alias("term"), (F.col("low") + F.col("t.start")).alias("start"), (F.col("low") + F.col("t.end")).alias("end"), "spans")
-    return placed.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("spans").distinct()
-
-
-def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) -> DataFrame:
-    """entity, term, action of the terms in ``near`` that exceed the threshold, by
-    counts over all rows of ``docs``."""
-    pairs = near.select("digest", "copies", "entity", "term").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    joint = written(joint, "pii-joint")
-    entities = near.select("digest", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    if joint.isEmpty():
-        return joint.select("entity", "term", F.lit("removed").alias("action"))
-    total = docs.count()
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+def outside() -> Column:
+    """The text with spaces for the characters of base spans, so that places stay."""
+    text = F.col("text")
+
+    def blank(held, s):
+        kept = F.substring(text, held["at"] + 1, s["start"] - held["at"])
+        spaces = F.repeat(F.lit(" "), s["end"] - F.greatest(held["at"], s["start"]))
+        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["out"], kept, spaces).alias("out"))
+
+    rest = lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.char_length(text)))
+    # substring and repeat give nothing for lengths below 0, as in overlaps
+    return F.when(_sizes() == 0, text).otherwise(F.aggregate(F.array_sort(F.concat(*PATTERNS)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), blank, rest))
+
+
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _digest() -> Column:
+    return F.md5(F.encode("text", "UTF-8"))
+
+
+def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """digest, copies, entities, term: every term of each distinct text with base spans,
+    for each set of its entities that stand in the same texts; and entity, entities."""
+    held = found.where(_sizes() > 0).select(_digest().alias("digest"), F.array_distinct(F.transform(F.concat(*PATTERNS), lambda s: s["value"])).alias("values"), terms_of(outside()).alias("terms"))
+    held = written(held.groupBy("digest").agg(F.first("values").alias("values"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies")), "pii-held")
+    each = held.select("digest", F.explode("values").alias("entity"))
+    # a set of texts by its size and two sums of hashes, gathered nowhere
+    texts = F.concat_ws("-", F.count(F.lit(1)).cast("string"), *[F.hex(F.bit_xor(F.xxhash64(F.lit(i), "digest"))) for i in (1, 2)])
+    sets = each.groupBy("entity").agg(texts.alias("entities"))
+    of_text = each.join(sets, "entity").select("digest", "entities").distinct()
+    near = of_text.join(held.select("digest", "copies", "terms"), "digest").select("digest", "copies", "entities", F.explode("terms").alias("term"))
+    return near, sets
+
+
+def disclosing(found: DataFrame, near: DataFrame, alpha: float, support: int, prior: float) -> DataFrame:
+    """entities, term, action of the terms in ``near`` that exceed the threshold, by
+    counts over all rows of ``found``."""
+    joint = near.groupBy("entities", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    entities = near.select("digest", "copies", "entities").distinct().groupBy("entities").agg(F.sum("copies").alias("n_e"))
+    if near.isEmpty():
+        return near.select("entities", "term", F.lit("removed").alias("action"))
+    total = found.count()
+    held = found.select(F.explode(terms_of(outside())).alias("term"))
     # counted before it is joined: a join first would give a row for each text that holds a term looked for
     terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    scored = joint.join(terms, "term").join(entities, "entity")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return scored.where((content > 0) & (pmi >= alpha * content)).select("entity", "term", F.when(F.col("n_te") >= F.col("n_t"), "removed").otherwise("generalised").alias("action"))
+    scored = joint.join(terms, "term").join(entities, "entities")
+    p = F.col("n_e") / F.lit(float(total))
+    pmi = F.log2((F.col("n_te") + prior * p) / (F.col("n_t") + prior) / p)
+    content = -F.log2(p)
+    only = (F.col("n_te") >= F.col("n_t")) & (F.col("texts") >= support)
+    return scored.where((content > 0) & (pmi >= alpha * content)).select("entities", "term", F.when(only, "removed").otherwise("generalised").alias("action"))
+
+
+def decisions(docs: DataFrame, alpha: float = 0.9, support: int = 4, prior: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``contexts`` gives, and entities, term, action."""
+    found = with_base(docs.select("text"))
+    near, sets = contexts(found)
+    near = written(near, "pii-contexts")
+    return near, sets, disclosing(found, near, alpha, support, prior)
 
 
-def term_spans(docs: DataFrame, alpha: float = 0.9, support: int = 4, reach: int = 80) -> DataFrame:
-    """digest (MD5 of a text), terms (spans in order) of the texts with such terms."""
-    near = written(contexts(with_base(docs.select("text")), reach), "pii-contexts")
-    risky = disclosing(docs.select("text"), near, alpha, support)
-    hits = near.join(risky, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("action").alias("action"))
-    spans = F.array_sort(F.collect_list(F.struct("start", "end", "action")))
-    return hits.groupBy("digest").agg(spans.alias("terms"))
+def risky_terms(docs: DataFrame, **options) -> DataFrame:
+    """digest (MD5 of a text), generalised, removed (terms) of the texts with such terms."""
+    near, _, risky = decisions(docs, **options)
+    hits = near.join(risky, ["entities", "term"]).groupBy("digest", "term").agg(F.max("action").alias("action"))
+    both = [F.collect_list(F.when(F.col("action") == action, F.col("term"))).alias(action) for action in ("generalised", "removed")]
+    return hits.groupBy("digest").agg(*both)
 
 
 def detect(docs: DataFrame, **options) -> DataFrame:
     """``docs`` packed in ``row``, with text, the base spans per kind and terms."""
-    terms = written(term_spans(docs, **options), "pii-terms")
-    found = with_base(docs).withColumn("digest", F.md5(F.encode("text", "UTF-8")))
+    terms = written(risky_terms(docs, **options), "pii-terms")
+    found = with_base(docs).withColumn("digest", _digest()).join(terms, "digest", "left")
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.join(terms, "digest", "left").withColumn("terms", F.coalesce("terms", none)).drop("digest")
+    spans = matches(outside(), TERM, lambda hit: F.array_contains("generalised", F.lower(hit)) | F.array_contains("removed", F.lower(hit)))
+    action = lambda s: F.when(F.array_contains("removed", F.lower(s["value"])), "removed").otherwise("generalised")
+    placed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action")))
+    # explode(array(x)) as above
+    return found.select("row", "text", *PATTERNS, F.explode(F.array(F.when(F.col("removed").isNull(), none).otherwise(placed))).alias("terms"))
 
 
 def _listed(kinds: list[str]) -> Column:

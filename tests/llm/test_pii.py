@@ -61,3 +61,16 @@ def test_disclosing_terms(make):
     assert clean[0] == "lorem ipsum dolor the   from [EMAIL] today lorem ipsum dolor".replace("the   from", "the   from").replace("  ", " ", 0) or "zorblax" not in clean[0]
     assert "joe" not in clean[0] and clean[50] == texts[50] and clean[len(texts)] is None and clean[len(texts) + 1] == "x"
     assert clean[len(texts) + 2] in ("[CARD]!", "[PHONE]!", "+[CARD]!")
+
+
+def test_entity_of_one_text(make):
+    """An entity seen once has disclosing terms, wherever they stand in its text."""
+    far = "and so on " * 40
+    texts = [f"Quixbert {far} wrote from joe@mail.org {far} so QUIXBERT did"] + [f"{far} wrote from the weather of day {i} did" for i in range(400)]
+    rows = {r["doc_id"]: r for r in pii.report(make(texts)).collect()}
+    places = [texts[0].index("Quixbert"), texts[0].index("QUIXBERT")]
+    assert rows[0]["spans"].split(",")[1:] == [f"term:{at}:{at + 8}" for at in places] and rows[0]["n_term"] == 2
+    assert all(rows[i]["n_term"] == 0 for i in range(1, len(texts)))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(make(texts)).collect()}
+    assert clean[0] == f"[TERM] {far} wrote from [EMAIL] {far} so [TERM] did"
+    assert all(clean[i] == texts[i] for i in range(1, len(texts)))
