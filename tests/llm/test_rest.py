@@ -30,6 +30,12 @@ def test_licenses_equal_sql(make, spark, real):
     assert licenses.scan(make([])).count() == 0
 
 
+def test_license_lines_of_the_tables(make):
+    lines = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(make([f"some words\n{t}\nmore words" for t in lines])).where("dice = 1").collect()}
+    assert found == {0: "CC-BY-NC-4.0-notice", 1: "MIT-notice", 2: "Apache-2.0-notice", 3: "GPL-3.0-notice"}
+
+
 def test_media_round_trip(make, spark, real):
     texts = [t for _, t, _ in real[:60]] + [None, "", "a", "é" * 32, "b" * 64, "c" * 500_000, "same", "same"]
     path = scratch(spark, "media-test")
