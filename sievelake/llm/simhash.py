@@ -298,14 +298,19 @@ def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) of each row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id of the group), root (a fingerprint that names the group) of each row."""
     fps = written(fingerprints(docs), "simhash")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     roots = components(links(distinct.select("fp")))
     lows = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("low").alias("component"))
-    grouped = written(roots.join(lows, "root").select(F.col("node").alias("fp"), "component"), "simhash-groups")
+    groups = written(roots.join(lows, "root").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
     # the id of a fingerprint without links is its own smallest one
-    of = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
+    of = distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) of each row."""
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(of, "fp").select("doc_id", digits, "component_id")
+    return grouped(docs).select("doc_id", digits, "component_id")
