@@ -123,7 +123,7 @@ def terms_of(text: Column) -> Column:
 
 
 def _digest() -> Column:
-    return F.md5(F.encode("text", "UTF-8"))
+    return F.unhex(F.md5(F.encode("text", "UTF-8")))  # half the bytes of the digits
 
 
 def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,8 +132,8 @@ def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = found.where(_sizes() > 0).select(_digest().alias("digest"), F.array_distinct(F.transform(F.concat(*PATTERNS), lambda s: s["value"])).alias("values"), terms_of(outside()).alias("terms"))
     held = written(held.groupBy("digest").agg(F.first("values").alias("values"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies")), "pii-held")
     each = held.select("digest", F.explode("values").alias("entity"))
-    # a set of texts by its size and two sums of hashes, gathered nowhere
-    texts = F.concat_ws("-", F.count(F.lit(1)).cast("string"), *[F.hex(F.bit_xor(F.xxhash64(F.lit(i), "digest"))) for i in (1, 2)])
+    # a set of texts by two sums of hashes, gathered nowhere
+    texts = F.unhex(F.concat(*[F.lpad(F.hex(F.bit_xor(F.xxhash64(F.lit(i), "digest"))), 16, "0") for i in (1, 2)]))
     sets = each.groupBy("entity").agg(texts.alias("entities"))
     of_text = each.join(sets, "entity").select("digest", "entities").distinct()
     near = of_text.join(held.select("digest", "copies", "terms"), "digest").select("digest", "copies", "entities", F.explode("terms").alias("term"))
