@@ -13,7 +13,8 @@ shard has.
 1. Count the rows of each partition.
 2. In each partition, draw its row of the matrix and deal its rows out in a
    random order (a permutation seeded by the partition).
-3. Exchange by bucket.
+3. Exchange by bucket, into as many partitions as the number of rows asks for:
+   neighbouring buckets go to one partition, dealt out evenly by their numbers.
 4. In each bucket, order the rows by random keys; a row's slot is the bucket's
    first slot plus its rank.
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET, MAX_PARTITIONS = 4_000, 100_000
 
 
 def bucket_starts(total: int, shards: int, buckets: int) -> np.ndarray:
@@ -129,6 +130,8 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, rows_per_bucket: int = RO
     total = int(counts.sum())
     buckets = max(1, -(-total // (shards * rows_per_bucket)))
     starts = bucket_starts(total, shards, buckets)
+    # a bucket each, until a partition per bucket would be too many of them
+    partitions = min(shards * buckets, MAX_PARTITIONS)
     known = spark.sparkContext.broadcast((counts, starts))
 
     def deal(batches):
@@ -145,15 +148,17 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, rows_per_bucket: int = RO
             if upto > rows:
                 raise RuntimeError(f"partition {part} has more rows than were counted: write the table before sharding it")
             places = pa.array(np.arange(at, upto, dtype=np.int64) | part << 40)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(targets[at:upto]), pa.array(keys[at:upto]), places], ["row", "bucket", "key", "place"])
+            own = targets[at:upto]
+            part_of = (own.astype(np.int64) * partitions // (shards * buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(part_of), pa.array(keys[at:upto]), places], ["row", "bucket", "part_of", "key", "place"])
             at = upto
         if at != rows:
             raise RuntimeError(f"partition {part} has fewer rows than were counted: write the table before sharding it")
 
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    dealt = packed.mapInArrow(deal, f"row {kind}, bucket int, key long, place long")
-    slots = F.row_number().over(W.partitionBy("bucket").orderBy("key", "place"))
+    dealt = packed.mapInArrow(deal, f"row {kind}, bucket int, part_of int, key long, place long").repartitionById(partitions, F.col("part_of"))
+    slots = F.row_number().over(W.partitionBy("part_of", "bucket").orderBy("key", "place"))
     # first slot of a bucket within its shard, in closed form
     shard = F.expr(f"bucket div {buckets}").cast("int")
     size = F.lit(total // shards) + (shard < total % shards).cast("long")
