@@ -10,8 +10,9 @@ Records with equal payloads of at least ``revisit_bytes`` bytes are stored once:
 the one with the largest page_id is the response, the others are revisit records
 that carry the payload's length and digest and refer to it. Of repeated rows
 with that page_id one is the response; rows whose page_id is null come last. A
-null html is an empty payload; null URLs are written as an empty target and come
-back as null. The writer's table must give the same rows in the same order each
+null html is an empty payload; null and empty URLs are written as an empty target
+and come back as null; records of repeated rows have the same record id, and are
+told apart by their places; very long payloads are one record each. The writer's table must give the same rows in the same order each
 time it is computed (files do).
 """
 
@@ -85,17 +86,19 @@ def plan(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     pages = pages.select(
         F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")
     ).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    long_ones = pages.where(F.octet_length("html") >= revisit_bytes)
+    small, long_ones = (pages.where(F.octet_length("html") < revisit_bytes), pages.where(F.octet_length("html") >= revisit_bytes))
     # nulls are the smallest in a struct's order; copies of a row differ in their number
     kept = long_ones.groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("copies"))
     kept = kept.where("copies > 1").select("sha1", F.col("kept.page_id").alias("to"), F.col("kept.row").alias("kept_row"))
-    joined = pages.join(kept, "sha1", "left")
-    revisits = F.col("kept_row").isNotNull() & (F.col("kept_row") != F.col("row")) & (F.octet_length("html") >= revisit_bytes)
-    return joined.select(
+    joined = long_ones.join(kept, "sha1", "left")
+    revisits = F.col("kept_row").isNotNull() & (F.col("kept_row") != F.col("row"))
+    own = joined.select(
         "page_id", "url", "html", "sha1",
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
         F.when(revisits, F.col("to")).alias("refers_to"),
     )
+    # small payloads, of which many are equal, meet nothing
+    return own.union(small.select("page_id", "url", "html", "sha1", F.lit("response"), F.lit(None).cast("long")))
 
 
 def write(planned: DataFrame, path: str, file_bytes: int = 256 << 20) -> DataFrame:
@@ -130,7 +133,7 @@ def _table(rows: list[tuple], fields: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def read(index: DataFrame, path: str, payloads: bool = True, gap: int = 64 << 10, request: int = 8 << 20) -> DataFrame:
+def read(index: DataFrame, path: str, payloads: bool = True, gap: int = 64 << 10, request: int = 8 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the index rows: page_id, url, payload (null for revisits;
     absent unless ``payloads``), payload_bytes, payload_digest, record_type, refers_to."""
     fields = "page_id long, url string, " + "payload binary, " * payloads + "payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -165,5 +168,9 @@ def read(index: DataFrame, path: str, payloads: bool = True, gap: int = 64 << 10
         if source is not None:
             source.close()
 
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    # by the bytes that a task reads; a few megabytes still go over all cores
+    least = min(index.sparkSession.sparkContext.defaultParallelism, -(-size[0] // (1 << 20)))
+    tasks = max(1, least, -(-size[0] // task_bytes))
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(run, fields)
