@@ -9,33 +9,51 @@ gadget of a merge ``(u, v) -> w``
 * gives ``w`` the arcs that lead into ``u``, and
 * gives ``w`` the arcs that leave ``v``.
 
+Spelled out, the arcs of a vocabulary of 49,408 tokens are some 2.4 thousand
+million, so what is compiled is the gadgets themselves, as a table with default
+transitions: for each token the merge that made it and the token whose arcs it
+took over on either side (``born``, ``left``, ``right``), and the arcs that were
+taken away (``pairs`` with ``ranks``). An arc is found by following the defaults
+until an exception or two symbols are met. The symbols are read through a table
+of the vocabulary's trie with failure links. All of this is compiled once, on the
+driver, into arrays whose size the tokenizer file bounds, and broadcast; tasks
+fill in the transitions they need, in tables of bounded size.
+
 As every word has one correct tokenization, reading it symbol by symbol through
 that automaton is deterministic: of the vocabulary entries that end at a symbol,
-one alone can be reached by an arc from the token that ended before it. The
-transitions over the vocabulary's symbols and the arcs are tabulated as words
-need them, like a lazy regular-expression DFA, in tables of bounded size.
+one alone can be reached by an arc from the token that ended before it.
 Decoding emits the labels of the arcs taken.
 
-Null texts count as empty (no tokens, empty decoded text). Long words cost time
-in proportion to their length. Repeated rows give repeated results; columns
-other than the id and the text are not looked at.
+Texts are cut at white space, which no word crosses, and the distinct pieces of a
+batch are read once; what makes up a text is gathered from them by Arrow.
+Character classes, composition and lower case are those of the tokenizers library,
+as Unicode versions differ: classes and lower case are asked for once, on the driver.
+
+Null texts count as empty (no tokens, empty decoded text). Long words and long
+texts cost time in proportion to their length. Repeated rows give repeated
+results; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from sievelake.llm.batches import hand_back, slices
 
-NO_MERGE = 1 << 60
+NO_MERGE, SPACE = 1 << 60, pa.scalar(" ", pa.large_string())
+#: Unicode's white space beyond ASCII's six characters.
+WIDE_SPACE = "\x85\xa0                　"
 
 
 def byte_symbols() -> list[str]:
@@ -49,77 +67,148 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
+@functools.cache
+def characters() -> tuple[dict[str, str], dict[int, str]]:
+    """The library's letters and numbers, as the inside of a class of a pattern, and
+    the characters whose lower case it sees otherwise than Python."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    classes = {}
+    for kind in "LN":  # what one of the two takes for such a character, the other took or will take for one
+        asked = "".join(regex.findall(rf"\p{{{kind}}}", every))
+        runs = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(asked)
+        codes = np.array([ord(c) for run, _ in runs for c in run])
+        first = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
+        last = np.append(first[1:], len(codes)) - 1
+        classes[kind] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[first].tolist(), codes[last].tolist(), strict=True))
+    upper = regex.findall(r"[\p{Lu}\p{Lt}\p{Other_Uppercase}]", every)
+    lower = normalizers.Lowercase().normalize_str("\n".join(upper)).split("\n")
+    # each character by itself: a final sigma is not special
+    return classes, {ord(c): own for c, own in zip(upper, lower, strict=True) if own != c.lower() or c == "Σ"}
+
+
+@dataclass
+class Compiled:
+    """The automaton as arrays, and what is needed to cut texts into words."""
+
+    labels: list[str]  # by token
+    widths: np.ndarray  # symbols of each token
+    born: np.ndarray  # merge that made a token, -1 for symbols
+    left: np.ndarray
+    right: np.ndarray
+    pairs: np.ndarray  # sorted x << 20 | y: arcs taken away
+    ranks: np.ndarray  # by which merge
+    edges: np.ndarray  # sorted node << 9 | symbol of the trie
+    targets: np.ndarray
+    fail: np.ndarray
+    token_at: np.ndarray  # token that a node spells, or -1
+    depth: np.ndarray
+    pattern: str
+    lower: dict[int, str]
+    specials: dict[str, int]
+
+
+def compile_file(path: str) -> Compiled:
+    """Compiles a word-level BPE file (NFC, white space, lower case; split by pattern;
+    byte level; word-end suffix)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    size = max(*vocab.values(), *(t["id"] for t in spec["added_tokens"])) + 1
+    labels = [""] * size
+    for s, i in (vocab | {t["content"]: t["id"] for t in spec["added_tokens"]}).items():
+        labels[i] = s
+    widths = np.array([len(s) - len(end) * (s.endswith(end) and len(s) > len(end)) for s in labels])
+    born, left, right = np.full(size, -1), np.full(size, -1), np.full(size, -1)
+    gone: dict[int, int] = {}
+    for at, merge in enumerate(model["merges"]):
+        a, b = merge if isinstance(merge, list) else merge.split(" ")
+        u, v, w = vocab[a], vocab[b], vocab[a + b]
+        gone.setdefault(u << 20 | v, at)
+        if born[w] < 0:
+            born[w], left[w], right[w] = at, u, v
+    # the vocabulary as a trie; a symbol is a byte, or a byte that ends its word (256 + byte)
+    code = {s: b for b, s in enumerate(byte_symbols())}
+    edges: dict[int, int] = {}
+    token_at, depth = [-1], [0]
+    symbols = {vocab[s] for s in code if s in vocab} | {vocab[s + end] for s in code if s + end in vocab}
+    for text, token in vocab.items():
+        if born[token] < 0 and token not in symbols:
+            continue
+        last = text.endswith(end) and len(text) > len(end)
+        word = [code[c] for c in (text[: -len(end)] if last else text)]
+        word[-1] += 256 * last
+        node = 0
+        for symbol in word:
+            to = edges.get(node << 9 | symbol)
+            if to is None:
+                to = edges[node << 9 | symbol] = len(depth)
+                depth.append(depth[node] + 1)
+                token_at.append(-1)
+            node = to
+        token_at[node] = token
+    fail = [0] * len(depth)
+    for edge, to in sorted(edges.items(), key=lambda e: depth[e[1]]):
+        node, symbol = edge >> 9, edge & 511
+        while node:
+            node = fail[node]
+            if (down := edges.get(node << 9 | symbol)) is not None:
+                fail[to] = down
+                break
+    classes, lower = characters()
+    pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    for kind, inside in classes.items():
+        pattern = pattern.replace(rf"\p{{{kind}}}", inside)
+
+    def table(pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        by = np.argsort(keys)
+        return keys[by], np.fromiter(pairs.values(), np.int64, len(pairs))[by]
+
+    return Compiled(
+        labels, widths, born, left, right, *table(gone), *table(edges), np.array(fail), np.array(token_at), np.array(depth),
+        pattern.replace(r"\s", r"\p{White_Space}"), lower, {t["content"]: t["id"] for t in spec["added_tokens"]},
+    )
+
+
 class TokenAutomaton:
-    """Arcs between tokens after all merge gadgets, looked up pair by pair."""
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
-        self.end = end
-        self.labels = {i: s for s, i in vocab.items()}
-        self.born: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[tuple[int, int], int] = {}
-        for at, (left, right) in enumerate(merges):
-            u, v, w = vocab[left], vocab[right], vocab[left + right]
-            self.rank.setdefault((u, v), at)
-            if w not in self.parts:
-                self.born[w], self.parts[w] = at, (u, v)
+    """A compiled automaton with the transitions that were needed so far."""
+
+    def __init__(self, compiled: Compiled):
+        self.labels, self.widths = compiled.labels, compiled.widths.tolist()
+        self.born, self.left, self.right = compiled.born.tolist(), compiled.left.tolist(), compiled.right.tolist()
+        self.gone = dict(zip(compiled.pairs.tolist(), compiled.ranks.tolist(), strict=True))
+        self.edges = dict(zip(compiled.edges.tolist(), compiled.targets.tolist(), strict=True))
+        self.fail = compiled.fail.tolist()
+        # tokens that end at a node, the longest first: its own, then those of the node it falls back to
+        self.ending: list[tuple] = [()] * len(self.fail)
+        token_at, depth = compiled.token_at.tolist(), compiled.depth.tolist()
+        for node in np.argsort(compiled.depth, kind="stable").tolist():
+            own = ((depth[node], token_at[node]),) if token_at[node] >= 0 else ()
+            self.ending[node] = own + (self.ending[self.fail[node]] if node else ())
         self.arcs: dict[int, bool] = {}
-        # The vocabulary as a trie with failure links. A symbol is a byte, or a
-        # byte that ends its word (256 + byte).
-        code = {s: b for b, s in enumerate(byte_symbols())}
-        self.next: list[dict[int, int]] = [{}]
-        self.depth = [0]
-        token_at: dict[int, int] = {}
-        reachable = set(self.parts) | {vocab[s] for s in code if s in vocab} | {vocab[s + end] for s in code if s + end in vocab}
-        for text, token in vocab.items():
-            if token not in reachable:
-                continue
-            last = text.endswith(end) and len(text) > len(end)
-            path = [code[c] for c in (text[: -len(end)] if last else text)]
-            if last:
-                path[-1] += 256
-            node = 0
-            for symbol in path:
-                to = self.next[node].get(symbol)
-                if to is None:
-                    to = self.next[node][symbol] = len(self.next)
-                    self.next.append({})
-                    self.depth.append(self.depth[node] + 1)
-                node = to
-            token_at[node] = token
-        self.fail = [0] * len(self.next)
-        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
-        queue = [0]
-        for node in queue:
-            for symbol, to in self.next[node].items():
-                queue.append(to)
-                if node:
-                    self.fail[to] = self.goto(self.fail[node], symbol)
-                own = ((self.depth[to], token_at[to]),) if to in token_at else ()
-                self.ending[to] = own + self.ending[self.fail[to]]
         self.moves: dict[int, int] = {}
-        self.widths = {i: self.width(i) for i in self.labels}
 
     def goto(self, node: int, symbol: int) -> int:
-        while symbol not in self.next[node]:
+        while (to := self.edges.get(node << 9 | symbol)) is None:
             if node == 0:
                 return 0
             node = self.fail[node]
-        return self.next[node][symbol]
+        return to
 
     def arc(self, x: int, y: int) -> bool:
         """Whether the arc x -> y is left after all gadgets."""
         until = NO_MERGE - 1
         while True:
-            if self.rank.get((x, y), NO_MERGE) <= until:
+            if self.gone.get(x << 20 | y, NO_MERGE) <= until:
                 return False
-            bx, by = self.born.get(x, -1), self.born.get(y, -1)
+            bx, by = self.born[x], self.born[y]
             if bx < 0 and by < 0:
                 return True
             if by >= bx:  # y's gadget copied the arcs into its left part, after taking one away
-                y, until = self.parts[y][0], by
+                y, until = self.left[y], by
             else:  # x's gadget copied the arcs out of its right part, before that
-                x, until = self.parts[x][1], bx - 1
+                x, until = self.right[x], bx - 1
 
     def read(self, word: bytes) -> list[int]:
         """The token ids of one pre-split word."""
@@ -138,7 +227,7 @@ class TokenAutomaton:
                 before = ended[-length]
                 if before < 0:
                     break
-                pair = before << 17 | token
+                pair = before << 20 | token
                 if (allowed := arcs.get(pair)) is None:
                     allowed = arcs[pair] = self.arc(before, token)
                 if allowed:
@@ -152,85 +241,92 @@ class TokenAutomaton:
             at -= self.widths[ended[at]]
         return ids[::-1]
 
-    def width(self, token: int) -> int:
-        label = self.labels[token]
-        return len(label) - len(self.end) * (label.endswith(self.end) and len(label) > len(self.end))
-
 
-class WordTable(dict):
-    """word -> (ids as text, labels as text, number of ids), emptied when full."""
+class Memo(dict):
+    """Results of a function by its argument, emptied when full; long arguments are not kept."""
 
-    def __init__(self, automaton: TokenAutomaton, limit: int = 150_000):
+    def __init__(self, of, limit: int = 100_000):
         super().__init__()
-        self.automaton, self.limit = automaton, limit
-
-    def __missing__(self, word: str) -> tuple[str, str, int]:
-        ids = self.automaton.read(word.encode())
-        labels = self.automaton.labels
-        found = (" ".join(map(str, ids)), " ".join([labels[i] for i in ids]), len(ids))
-        if len(word) > 200:
-            return found
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found
+        self.of, self.limit = of, limit
+
+    def __missing__(self, key: str):
+        found = self.of(key)
+        if len(key) <= 200:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = found
         return found
 
 
 class WordBpe:
-    """Encodes and decodes as the tokenizer file says, for word-level BPE files
-    (NFC, white space, lower case; split by pattern; byte level; word-end suffix)."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
-        self.words = WordTable(self.automaton)
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    """Encodes and decodes texts with a compiled automaton."""
+
+    def __init__(self, compiled: Compiled):
+        self.automaton = TokenAutomaton(compiled)
+        self.lower, self.specials = compiled.lower, compiled.specials
+        self.words_of = regex.compile(compiled.pattern)
+        self.composed = normalizers.NFC()
         self.special = regex.compile("|".join(map(regex.escape, self.specials)))
+        self.words = Memo(lambda word: self.automaton.read(word.encode()))
+        self.pieces = Memo(self.piece)
 
     def split(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        # each character by itself: a final sigma is not special
-        return self.pieces.findall(text.replace("Σ", "σ").lower())
-
-    def encode(self, text: str) -> tuple[str, str, int]:
-        """Decimal ids joined by a space, the decoded text, the number of ids."""
-        words = self.words
-        if "<|" not in text:
-            found = [words[w] for w in self.split(text)]
-        else:
-            found, at = [], 0
+        if not text.isascii():
+            text = self.composed.normalize_str(text).translate(self.lower)
+        return self.words_of.findall(text.lower())
+
+    def piece(self, text: str) -> tuple[str, str, list[int]]:
+        """Decimal ids joined by a space, the decoded text and the ids of a text."""
+        parts, at = [], 0
+        if "<|" in text:
             for m in self.special.finditer(text):
-                found += [words[w] for w in self.split(text[at : m.start()])]
-                found.append((str(self.specials[m[0]]), m[0], 1))
+                parts += [self.words[w] for w in self.split(text[at : m.start()])]
+                parts.append([self.specials[m[0]]])
                 at = m.end()
-            found += [words[w] for w in self.split(text[at:])]
-        return " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
+        parts += [self.words[w] for w in self.split(text[at:] if at else text)]
+        ids = [i for p in parts for i in p]
+        return " ".join(map(str, ids)), " ".join([self.automaton.labels[i] for i in ids]), ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        """Number of ids, ids as text, decoded text of each text, and all ids one after the other."""
+        plain = pc.fill_null(texts, "").cast(pa.large_string())
+        wide = f"[{WIDE_SPACE}]"
+        if pc.any(pc.match_substring_regex(plain, wide)).as_py():
+            plain = pc.replace_substring_regex(plain, wide, " ")
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = pc.dictionary_encode(lists.values)
+        ids, labels, numbers = zip(*map(self.pieces.__getitem__, coded.dictionary.to_pylist()), strict=True) if len(coded.dictionary) else ((), (), ())
+        joined = [pc.binary_join(pa.LargeListArray.from_arrays(lists.offsets, pa.array(x, pa.large_string()).take(coded.indices)), SPACE) for x in (ids, labels)]
+        own = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        firsts = np.cumsum(own) - own
+        flat = np.fromiter((i for n in numbers for i in n), np.int32, int(own.sum()))
+        index = np.asarray(coded.indices)
+        sizes = own[index] if len(index) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(firsts[index] - ends[:-1], sizes) + np.arange(ends[-1]) if len(index) else np.zeros(0, np.int64)
+        return ends[offsets[1:]] - ends[offsets[:-1]], *joined, flat[at]
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``;
     ``with_ids`` adds the ids (array), ``with_text`` the decoded text.
 
-    ``path``: a tokenizer file that every executor can open."""
+    ``path``: a tokenizer file that the driver can open."""
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     names = [f.split()[0] for f in fields.split(", ")]
+    known = docs.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def run(batches):
-        bpe = WordBpe(path)  # its tables live as long as the task
-        for batch in slices(batches, 1, 1 << 20):
-            counts, texts, decoded = zip(*[(n, i, d) for i, d, n in (bpe.encode(t or "") for t in batch.column(1).to_pylist())], strict=True)
-            digests = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string()) for xs in (texts, decoded)]
-            columns = [batch.column(0), pa.array(counts, pa.int64()), *digests]
+        bpe = WordBpe(known.value)  # its tables live as long as the task
+        for batch in slices(batches, 1, 2 << 20):
+            counts, texts, decoded, flat = bpe.encode(batch.column(1))
+            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in xs.cast(pa.large_binary()).to_pylist()], pa.string()) for xs in (texts, decoded)]
+            columns = [batch.column(0), pa.array(counts), *digests]
             if with_ids:
-                flat = np.array(" ".join(t for t in texts if t).split(), np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts], dtype=np.int32)), pa.array(flat)))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat)))
             if with_text:
-                columns.append(pa.array(decoded, pa.string()))
+                columns.append(decoded.cast(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
         del bpe
         hand_back()
