@@ -24,10 +24,11 @@ that automaton is deterministic: of the vocabulary entries that end at a symbol,
 one alone can be reached by an arc from the token that ended before it.
 Decoding emits the labels of the arcs taken.
 
-Texts are cut at white space, which no word crosses, and the distinct pieces of a
-batch are read once; what makes up a text is gathered from them by Arrow.
+The distinct words of a batch are read once, all of them together, symbol by
+symbol; what makes up a text is gathered from their tokens by Arrow.
 Character classes, composition and lower case are those of the tokenizers library,
-as Unicode versions differ: classes and lower case are asked for once, on the driver.
+as Unicode versions differ: classes and lower case are asked for once, on the
+driver, and texts with combining marks are composed by it.
 
 Null texts count as empty (no tokens, empty decoded text). Long words and long
 texts cost time in proportion to their length. Repeated rows give repeated
@@ -39,6 +40,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,7 +81,7 @@ def characters() -> tuple[dict[str, str], dict[int, str]]:
         codes = np.array([ord(c) for run, _ in runs for c in run])
         first = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
         last = np.append(first[1:], len(codes)) - 1
-        classes[kind] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[first].tolist(), codes[last].tolist(), strict=True))
+        classes[kind] = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(codes[first].tolist(), codes[last].tolist(), strict=True))
     upper = regex.findall(r"[\p{Lu}\p{Lt}\p{Other_Uppercase}]", every)
     lower = normalizers.Lowercase().normalize_str("\n".join(upper)).split("\n")
     # each character by itself: a final sigma is not special
@@ -157,6 +159,8 @@ def compile_file(path: str) -> Compiled:
                 break
     classes, lower = characters()
     pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    # runs of letters stay as they are when all that isn't one is set apart: no other alternative starts with a letter
+    pattern = "|".join(a for a in pattern.split("|") if a != r"[\p{L}]+")
     for kind, inside in classes.items():
         pattern = pattern.replace(rf"\p{{{kind}}}", inside)
 
@@ -167,7 +171,7 @@ def compile_file(path: str) -> Compiled:
 
     return Compiled(
         labels, widths, born, left, right, *table(gone), *table(edges), np.array(fail), np.array(token_at), np.array(depth),
-        pattern.replace(r"\s", r"\p{White_Space}"), lower, {t["content"]: t["id"] for t in spec["added_tokens"]},
+        pattern.replace(r"\s", r"\t-\r " + WIDE_SPACE), lower, {t["content"]: t["id"] for t in spec["added_tokens"]},
     )
 
 
@@ -175,19 +179,20 @@ class TokenAutomaton:
     """A compiled automaton with the transitions that were needed so far."""
 
     def __init__(self, compiled: Compiled):
-        self.labels, self.widths = compiled.labels, compiled.widths.tolist()
+        self.labels, self.widths = compiled.labels, compiled.widths
         self.born, self.left, self.right = compiled.born.tolist(), compiled.left.tolist(), compiled.right.tolist()
         self.gone = dict(zip(compiled.pairs.tolist(), compiled.ranks.tolist(), strict=True))
         self.edges = dict(zip(compiled.edges.tolist(), compiled.targets.tolist(), strict=True))
         self.fail = compiled.fail.tolist()
         # tokens that end at a node, the longest first: its own, then those of the node it falls back to
-        self.ending: list[tuple] = [()] * len(self.fail)
+        ending: list[tuple] = [()] * len(self.fail)
         token_at, depth = compiled.token_at.tolist(), compiled.depth.tolist()
         for node in np.argsort(compiled.depth, kind="stable").tolist():
             own = ((depth[node], token_at[node]),) if token_at[node] >= 0 else ()
-            self.ending[node] = own + (self.ending[self.fail[node]] if node else ())
-        self.arcs: dict[int, bool] = {}
-        self.moves: dict[int, int] = {}
+            ending[node] = own + (ending[self.fail[node]] if node else ())
+        self.first = np.cumsum([0, *map(len, ending)])
+        self.lengths, self.tokens = (np.array([e[i] for es in ending for e in es] + [0]) for i in (0, 1))
+        self.moves, self.arcs = Table(9, 18), Table(20, 19)
 
     def goto(self, node: int, symbol: int) -> int:
         while (to := self.edges.get(node << 9 | symbol)) is None:
@@ -210,52 +215,82 @@ class TokenAutomaton:
             else:  # x's gadget copied the arcs out of its right part, before that
                 x, until = self.right[x], bx - 1
 
-    def read(self, word: bytes) -> list[int]:
-        """The token ids of one pre-split word."""
-        moves, arcs, ending = self.moves, self.arcs, self.ending
-        if len(arcs) > 500_000:
-            arcs.clear()
-        if len(moves) > 200_000:
-            moves.clear()
-        node, ended = 0, [-1]
-        for symbol in (*word[:-1], word[-1] + 256):
-            move = node << 9 | symbol
-            node = moves.get(move, -1)
-            if node < 0:
-                node = moves[move] = self.goto(move >> 9, symbol)
-            for length, token in ending[node]:
-                before = ended[-length]
-                if before < 0:
-                    break
-                pair = before << 20 | token
-                if (allowed := arcs.get(pair)) is None:
-                    allowed = arcs[pair] = self.arc(before, token)
-                if allowed:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            ended.append(token)
-        ids, at = [], len(word)
-        while at:
-            ids.append(ended[at])
-            at -= self.widths[ended[at]]
-        return ids[::-1]
-
-
-class Memo(dict):
-    """Results of a function by its argument, emptied when full; long arguments are not kept."""
-
-    def __init__(self, of, limit: int = 100_000):
-        super().__init__()
-        self.of, self.limit = of, limit
-
-    def __missing__(self, key: str):
-        found = self.of(key)
-        if len(key) <= 200:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = found
-        return found
+    def tabulated(self, table: Table, keys: np.ndarray, of) -> np.ndarray:
+        """Values of transitions, worked out where they aren't known yet."""
+        values, missing = table.get(keys)
+        if len(missing):
+            new = np.unique(keys[missing])
+            found = np.fromiter((of(k >> table.shift, k & table.low) for k in new.tolist()), np.int64, len(new))
+            table.put(new, found)
+            values[missing] = found[np.searchsorted(new, keys[missing])]
+        return values
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All token ids of pre-split words, one word after the other, and the number
+        of each word's: the words take their transitions together, symbol by symbol."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        data[starts + sizes - 1] += 256
+        # longer words first: those that go on are the first ones
+        by = np.argsort(-sizes, kind="stable")
+        offset, length = starts[by], sizes[by]
+        ended = np.full((len(data) + len(words)), -1, np.int32)  # of each word: before it, then after each symbol
+        base = (starts + np.arange(len(words)))[by]
+        node = np.zeros(len(words), np.int64)
+        going = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right") if len(words) else []
+        for j, n in enumerate(going):
+            node = self.tabulated(self.moves, node[:n] << 9 | data[offset[:n] + j], self.goto)
+            left, at = np.arange(n), self.first[node]
+            while len(left):
+                if (at >= self.first[node[left] + 1]).any():
+                    raise ValueError("the vocabulary lacks a byte")
+                token = self.tokens[at]
+                before = ended[base[left] + j + 1 - self.lengths[at]]
+                good = before < 0
+                inner = np.flatnonzero(~good)
+                if len(inner):
+                    good[inner] = self.tabulated(self.arcs, before[inner].astype(np.int64) << 20 | token[inner], self.arc) > 0
+                ended[base[left[good]] + j + 1] = token[good]
+                left, at = left[~good], at[~good] + 1
+        # back from the ends
+        found, owner, alive, at = [], [], np.arange(len(words)), length.copy()
+        while len(alive):
+            token = ended[base[alive] + at]
+            found.append(token)
+            owner.append(alive)
+            at = at - self.widths[token]
+            alive, at = alive[at > 0], at[at > 0]
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        word = by[np.concatenate(owner)]
+        step = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        order = np.lexsort((-step, word))
+        return np.concatenate(found)[order], np.bincount(word, minlength=len(words))
+
+
+class Table:
+    """Values by key, in a bounded number of places: a newer key may take an older one's."""
+
+    def __init__(self, shift: int, places: int):
+        self.shift, self.low = shift, (1 << shift) - 1
+        self.keys, self.values = np.full(1 << places, -1, np.int64), np.zeros(1 << places, np.int64)
+        self.drop = np.uint64(64 - places)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.drop).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.place(keys)
+        return self.values[at], np.flatnonzero(self.keys[at] != keys)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = self.place(keys)
+        self.keys[at] = keys
+        self.values[at] = values
+        # of keys that fell on one place the last one's value counts
+        same = self.keys[at] == keys
+        self.values[at[same]] = values[same]
 
 
 class WordBpe:
@@ -263,49 +298,74 @@ class WordBpe:
 
     def __init__(self, compiled: Compiled):
         self.automaton = TokenAutomaton(compiled)
-        self.lower, self.specials = compiled.lower, compiled.specials
-        self.words_of = regex.compile(compiled.pattern)
-        self.composed = normalizers.NFC()
+        self.lower, self.specials, self.pattern = compiled.lower, compiled.specials, compiled.pattern
         self.special = regex.compile("|".join(map(regex.escape, self.specials)))
-        self.words = Memo(lambda word: self.automaton.read(word.encode()))
-        self.pieces = Memo(self.piece)
+        self.odd = regex.compile("[" + "".join(map(chr, self.lower)) + "]")
+        self.marks = regex.compile(r"\p{M}")
+        self.composed = normalizers.NFC()
+        self.labels = pa.array(compiled.labels, pa.large_string())
+        self.digits = pa.array(list(map(str, range(len(compiled.labels)))), pa.large_string())
 
-    def split(self, text: str) -> list[str]:
+    def plain(self, text: str) -> str:
+        """Composed and in lower case."""
         if not text.isascii():
-            text = self.composed.normalize_str(text).translate(self.lower)
-        return self.words_of.findall(text.lower())
-
-    def piece(self, text: str) -> tuple[str, str, list[int]]:
-        """Decimal ids joined by a space, the decoded text and the ids of a text."""
-        parts, at = [], 0
-        if "<|" in text:
+            # only where marks stand do Unicode versions compose otherwise
+            text = self.composed.normalize_str(text) if self.marks.search(text) else unicodedata.normalize("NFC", text)
+            if self.odd.search(text):
+                text = text.translate(self.lower)
+        return text.lower()
+
+    def words(self, texts: pa.Array) -> pa.Array:
+        """The words of each text."""
+        plain = pc.fill_null(texts, "").cast(pa.large_string())
+        special = np.flatnonzero(pc.match_substring(plain, "<|").to_numpy(zero_copy_only=False))
+        lists = self._split(pa.array([self.plain(t) for t in plain.to_pylist()], pa.large_string()))
+        if not any(self.special.search(plain[i].as_py()) for i in special.tolist()):
+            return lists
+        # texts with special tokens: these are words of their own, between words of what is around them
+        out = lists.to_pylist()
+        for i in special.tolist():
+            text, at, out[i] = plain[i].as_py(), 0, []
             for m in self.special.finditer(text):
-                parts += [self.words[w] for w in self.split(text[at : m.start()])]
-                parts.append([self.specials[m[0]]])
+                out[i] += self._split(pa.array([self.plain(text[at : m.start()])], pa.large_string()))[0].as_py() + [m[0]]
                 at = m.end()
-        parts += [self.words[w] for w in self.split(text[at:] if at else text)]
-        ids = [i for p in parts for i in p]
-        return " ".join(map(str, ids)), " ".join([self.automaton.labels[i] for i in ids]), ids
+            out[i] += self._split(pa.array([self.plain(text[at:])], pa.large_string()))[0].as_py()
+        return pa.array(out, pa.large_list(pa.large_string()))
+
+    def _split(self, plain: pa.Array) -> pa.Array:
+        apart = pc.replace_substring_regex(plain, self.pattern, r" \0 ")
+        wide = f"[{WIDE_SPACE}]"
+        if pc.any(pc.match_substring_regex(apart, wide)).as_py():
+            apart = pc.replace_substring_regex(apart, wide, " ")
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(apart))
+        # a text without words is split into one empty word
+        empty = pc.equal(lists.values, "")
+        if pc.any(empty).as_py():
+            kept = np.concatenate([[0], np.cumsum(~empty.to_numpy(zero_copy_only=False))])
+            lists = pa.LargeListArray.from_arrays(pa.array(kept[np.asarray(lists.offsets)]), lists.values.filter(pc.invert(empty)))
+        return lists
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
         """Number of ids, ids as text, decoded text of each text, and all ids one after the other."""
-        plain = pc.fill_null(texts, "").cast(pa.large_string())
-        wide = f"[{WIDE_SPACE}]"
-        if pc.any(pc.match_substring_regex(plain, wide)).as_py():
-            plain = pc.replace_substring_regex(plain, wide, " ")
-        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
+        lists = self.words(texts)
         offsets = np.asarray(lists.offsets).astype(np.int64)
         coded = pc.dictionary_encode(lists.values)
-        ids, labels, numbers = zip(*map(self.pieces.__getitem__, coded.dictionary.to_pylist()), strict=True) if len(coded.dictionary) else ((), (), ())
-        joined = [pc.binary_join(pa.LargeListArray.from_arrays(lists.offsets, pa.array(x, pa.large_string()).take(coded.indices)), SPACE) for x in (ids, labels)]
-        own = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        distinct = coded.dictionary.to_pylist()
+        ids, own = self.automaton.read([w.encode() for w in distinct])
         firsts = np.cumsum(own) - own
-        flat = np.fromiter((i for n in numbers for i in n), np.int32, int(own.sum()))
-        index = np.asarray(coded.indices)
-        sizes = own[index] if len(index) else np.zeros(0, np.int64)
+        if self.specials.keys() & set(distinct):
+            ids = np.append(ids, np.zeros(len(self.specials), np.int32))
+            for n, (name, token) in enumerate(self.specials.items()):
+                if name in distinct:  # no text gives such a word otherwise
+                    at, place = distinct.index(name), len(ids) - len(self.specials) + n
+                    ids[place], firsts[at], own[at] = token, place, 1
+        index = np.asarray(coded.indices).astype(np.int64)
+        sizes = own[index]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(firsts[index] - ends[:-1], sizes) + np.arange(ends[-1]) if len(index) else np.zeros(0, np.int64)
-        return ends[offsets[1:]] - ends[offsets[:-1]], *joined, flat[at]
+        flat = ids[np.repeat(firsts[index] - ends[:-1], sizes) + np.arange(ends[-1])] if len(index) else ids[:0]
+        places = pa.array(ends[offsets])
+        joined = [pc.binary_join(pa.LargeListArray.from_arrays(places, names.take(pa.array(flat))), SPACE) for names in (self.digits, self.labels)]
+        return np.diff(ends[offsets]), *joined, flat
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
