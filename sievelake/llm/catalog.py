@@ -66,8 +66,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold == 1).alias("held_out"))
     labelled = docs.where("NOT held_out AND lang IS NOT NULL").select("text", "lang")
-    model = langid.calibrate(langid.fit(labelled), labelled)
-    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.identify(docs.select("doc_id", "text", "held_out"), langid.learn(labelled)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_suffixes": op3_suffixes, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}

@@ -1,21 +1,29 @@
 """Language identification with character language models.
 
 One interpolated Kneser-Ney model of character ``order``-grams per language is
-estimated from all labelled rows given. Tasks count the n-grams of their rows'
+estimated from the labelled rows given. Tasks count the n-grams of their rows'
 distinct words; Spark adds them up and derives continuation counts, discounts
-and context totals with joins and aggregates. What is kept for scoring is
-bounded: at most ``per_level`` n-grams and contexts per language and order, the
-most frequent ones (``max_languages`` languages at most, else an error), as
-arrays of sorted 64-bit hashes that are looked up by binary search.
+and context totals with joins and aggregates. All n-grams are kept: a model is a
+table in the shared folder, by language and order, of 64-bit hashes in order with
+their counts, and tasks read it as arrays that are looked up by binary search.
+Nothing of it passes the driver but five rows of totals per language.
+
+A language needs 12 bytes a distinct n-gram and 16 a context in a task's memory,
+some 20 bytes per n-gram together. Languages are independent of each other, so
+they are scored in groups of ``memory`` bytes at most, each in a pass over the
+documents (one language above that is a group of its own); results don't depend
+on the grouping.
 
 A text gets the language of the lowest cross-entropy per character. It is
-rejected if that cross-entropy lies far outside what the language's own labelled
-texts show, both as such and in proportion to the length (see ``calibrate``), or
-if it has no letter. Characters other than letters and marks only separate words.
+rejected if that cross-entropy lies far outside what held-out labelled texts of
+the language show, both as such and in proportion to the length (see
+``calibrate``), or if it has no letter. Characters other than letters and marks
+only separate words.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; ties go to the alphabetically first language; without any labelled
-row everything is ``und``. Equal texts get equal results; other columns are kept.
+row everything is ``und``. Very long texts take time in proportion to their length.
+Equal texts get equal results; other columns are kept.
 """
 
 from __future__ import annotations
@@ -25,11 +33,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
-from sievelake.workspace import written
+from sievelake.workspace import scratch, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
@@ -150,25 +160,56 @@ class Level:
     totals: np.ndarray
     kinds: np.ndarray
 
-    def counts_of(self, wanted: np.ndarray) -> np.ndarray:
-        return lookup(self.grams, wanted, self.counts)[0]
-
-    def context_of(self, wanted: np.ndarray) -> list[np.ndarray]:
-        """Total and number of different next characters of each context."""
-        return lookup(self.contexts, wanted, self.totals, self.kinds)
-
 
 @dataclass
 class Model:
+    """Where the arrays are and what is needed besides them; slot = language * 16 + order."""
+
     order: int
     languages: list[str]
-    alphabet: dict[str, int]
-    levels: dict[str, list[Level]]
-    limits: dict[str, tuple[float, float, float, float, float]] = field(default_factory=dict)
-
-    def entropies(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    path: str | None
+    discounts: dict[int, float]
+    sizes: dict[int, int]  # n-grams by slot
+    limits: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
+
+    def groups(self, memory: int) -> list[list[int]]:
+        """Languages that a task holds at once."""
+        out, held = [], 0
+        for j in range(len(self.languages)):
+            own = 28 * sum(self.sizes[j * 16 + k] for k in range(1, self.order + 1))
+            if not out or held + own > memory:
+                out.append([])
+                held = 0
+            out[-1].append(j)
+            held += own
+        return out
+
+    def levels(self, j: int) -> list[Level]:
+        return [Level(self.discounts[j * 16 + k], *_arrays(f"{self.path}/grams", j * 16 + k, "a"), *_arrays(f"{self.path}/contexts", j * 16 + k, "total", "kinds")) for k in range(1, self.order + 1)]
+
+
+def _arrays(path: str, slot: int, *values: str) -> list[np.ndarray]:
+    """The sorted hashes of a slot and what belongs to them."""
+    store, root = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(f"{root}/slot={slot}")) if f.path.endswith(".parquet"))
+    tables = [pq.ParquetFile(store.open_input_file(f)).read(["hash", *values]) for f in files]
+    # signed hashes are in order within a file and from file to file; as unsigned ones they are in two runs
+    columns = [np.concatenate([np.asarray(t.column(c)) for t in tables]) for c in ("hash", *values)]
+    keys = columns[0].view(np.uint64)
+    by = np.argsort(keys, kind="stable")
+    return [keys[by], *[c[by] for c in columns[1:]]]
+
+
+class Scorer:
+    """The languages of one group, in a task."""
+
+    def __init__(self, model: Model, group: list[int]):
+        self.order = model.order
+        self.levels = [model.levels(j) for j in group]
+
+    def bits(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """Bits of each word under each language, and the number of predicted characters."""
-        bits, sizes = np.zeros((len(words), len(self.languages))), np.zeros(len(words))
+        bits, sizes = [np.zeros(len(words)) for _ in self.levels], np.zeros(len(words))
         step = 15_000
         for at in range(0, len(words), step):
             part = words[at : at + step]
@@ -180,14 +221,15 @@ class Model:
             grams = [None, *[np.unique(h, return_inverse=True) for h in own[1:]]]
             around = [None, *[np.unique(h, return_inverse=True) for h in contexts[1:]]]
             sizes[at : at + step] = np.bincount(word, minlength=len(part))
-            for j, lang in enumerate(self.languages):
-                p = np.full(len(first), 1 / (self.alphabet[lang] + 1))
-                for k, level in enumerate(self.levels[lang], 1):
-                    seen = level.counts_of(grams[k][0])[grams[k][1]]
-                    total, kinds = (x[around[k][1]] for x in level.context_of(around[k][0]))
+            for j, levels in enumerate(self.levels):
+                p = np.full(len(first), 1 / (len(levels[0].grams) + 1))
+                for k, level in enumerate(levels, 1):
+                    (seen,) = lookup(level.grams, grams[k][0], level.counts)
+                    total, kinds = lookup(level.contexts, around[k][0], level.totals, level.kinds)
+                    seen, total, kinds = seen[grams[k][1]], total[around[k][1]], kinds[around[k][1]]
                     known = total > 0
                     p = np.where(known, (np.maximum(seen - level.discount, 0) + level.discount * kinds * p) / np.where(known, total, 1), p)
-                bits[at : at + step, j] = np.bincount(word, -np.log2(p)[inverse], len(part))
+                bits[j][at : at + step] = np.bincount(word, -np.log2(p)[inverse], len(part))
         return bits, sizes
 
 
@@ -200,113 +242,114 @@ def lookup(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np
     return [np.where(found, v[at], 0).astype(float) for v in values]
 
 
-def bounded(rows: DataFrame, weight: str, key: str, limit: int) -> DataFrame:
-    """At most about ``limit`` rows of each (lang, k): those of the largest weights.
-    The cut is at a power of two; of the rows at the cut a share by hash is kept."""
-    power = F.floor(F.log2(F.col(weight).cast("double"))).cast("int")
-    rows = rows.withColumn("power", power)
-    share, left = [], {}
-    for r in rows.groupBy("lang", "k", "power").count().orderBy("lang", "k", F.desc("power")).collect():
-        rest = left.setdefault((r["lang"], r["k"]), limit)
-        share.append((r["lang"], r["k"], r["power"], 1024 if r["count"] <= rest else 1024 * rest // r["count"]))
-        left[r["lang"], r["k"]] = max(0, rest - r["count"])
-    shares = rows.sparkSession.createDataFrame(share, "lang string, k int, power int, share int")
-    return rows.join(F.broadcast(shares), ["lang", "k", "power"]).where(F.pmod(F.xxhash64(key), F.lit(1024)) < F.col("share")).drop("power", "share")
-
-
-def fit(labelled: DataFrame, order: int = 5, per_level: int = 60_000, max_languages: int = 200) -> Model:
-    """A model of the rows (text, lang), lang not null; see the module's text for the bounds."""
+def fit(labelled: DataFrame, order: int = 5) -> Model:
+    """A model of the rows (text, lang), lang not null."""
+    spark = labelled.sparkSession
     counted = written(count_grams(labelled, order), "langid-grams")
-    # the weight of a shorter n-gram: how many different characters come before it
-    before = counted.where("k > 1").groupBy("lang", (F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("before"))
-    grams = counted.join(before, ["lang", "k", "gram"], "left").withColumn("a", F.when(F.col("k") == order, F.col("n")).otherwise(F.coalesce("before", F.lit(1))))
-    grams = written(grams.select("lang", "k", "gram", "context", "a"), "langid-weights")
-    totals = grams.groupBy("lang", "k").agg(F.count_if(F.col("a") == 1).alias("n1"), F.count_if(F.col("a") == 2).alias("n2"), F.count(F.lit(1)).alias("kinds")).collect()
+    totals = counted.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("grams")).collect()
     languages = sorted({r["lang"] for r in totals})
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; raise max_languages only if the model still fits in memory")
-    contexts = grams.groupBy("lang", "k", "context").agg(F.sum("a").alias("total"), F.count(F.lit(1)).alias("kinds"))
-
-    def arrays(rows: DataFrame) -> dict[tuple[str, int], list[np.ndarray]]:
-        found = {}
-        frame = rows.toArrow()
-        langs, ks = np.asarray(frame.column(0).to_pylist(), object), np.asarray(frame.column(1))
-        for lang, k in {*zip(langs.tolist(), ks.tolist(), strict=True)}:
-            here = np.flatnonzero((langs == lang) & (ks == k))
-            key = np.asarray(frame.column(2))[here].view(np.uint64)
-            by = np.argsort(key)
-            found[lang, k] = [key[by], *[np.asarray(c)[here][by].astype(np.float32) for c in frame.columns[3:]]]
-        return found
-
-    own = arrays(bounded(grams, "a", "gram", per_level).select("lang", "k", "gram", "a"))
-    around = arrays(bounded(contexts, "total", "context", per_level).select("lang", "k", "context", "total", "kinds"))
-    seen = {(r["lang"], r["k"]): r for r in totals}
-    none = [np.zeros(0, np.uint64), *[np.zeros(0, np.float32)] * 2]
-    levels = {}
-    for lang in languages:
-        levels[lang] = []
-        for k in range(1, order + 1):
-            r = seen[lang, k]
-            discount = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5
-            levels[lang].append(Level(discount, *own.get((lang, k), none)[:2], *around.get((lang, k), none)))
-    return Model(order, languages, {lang: seen[lang, 1]["kinds"] for lang in languages}, levels)
-
-
-def _score(rows: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``rows``, packed in ``row``, with lang_pred, score, bits (per character) and size."""
-    known = rows.sparkSession.sparkContext.broadcast(model)
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("text"))
+    if not languages:
+        return Model(order, [], None, {}, {})
+    numbers = spark.createDataFrame(list(enumerate(languages)), "j int, lang string")
+    counted = counted.join(numbers, "lang").withColumn("slot", F.col("j") * 16 + F.col("k"))
+    # the weight of a shorter n-gram: how many different characters come before it
+    before = counted.where("k > 1").groupBy((F.col("slot") - 1).alias("slot"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("before"))
+    grams = counted.join(before, ["slot", "gram"], "left").withColumn("a", F.when(F.col("k") == order, F.col("n")).otherwise(F.coalesce("before", F.lit(1))))
+    grams = written(grams.select("slot", "gram", "context", "a"), "langid-weights")
+    sizes = {r["slot"]: r for r in grams.groupBy("slot").agg(F.count_if(F.col("a") == 1).alias("n1"), F.count_if(F.col("a") == 2).alias("n2"), F.count(F.lit(1)).alias("grams")).collect()}
+    path = scratch(spark, "langid-model")
+    files = max(1, sum(r["grams"] for r in sizes.values()) // 2_000_000)
+
+    def save(rows: DataFrame, name: str) -> None:
+        rows.repartitionByRange(files, "slot", "hash").sortWithinPartitions("slot", "hash").write.partitionBy("slot").parquet(f"{path}/{name}")
+
+    save(grams.select("slot", F.col("gram").alias("hash"), F.col("a").cast("float").alias("a")), "grams")
+    contexts = grams.groupBy("slot", F.col("context").alias("hash")).agg(F.sum("a").cast("float").alias("total"), F.count(F.lit(1)).cast("float").alias("kinds"))
+    save(contexts, "contexts")
+    discounts = {slot: r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5 for slot, r in sizes.items()}
+    return Model(order, languages, path, discounts, {slot: r["grams"] for slot, r in sizes.items()})
+
+
+def _score(rows: DataFrame, model: Model, memory: int) -> DataFrame:
+    """The columns of ``rows``, packed in ``row``, with each (bits per character under
+    each language), size (predicted characters) and lettered."""
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("text"), F.array().cast("array<double>").alias("each"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("lettered"))
     kind = packed.schema["row"].dataType.simpleString()
-
-    def run(batches):
-        model = known.value
-        names = np.array([*model.languages, UNKNOWN], object)
-        for batch in slices(batches, 1, 2 << 20):
-            words = words_of(batch.column(1))
-            texts = batch.num_rows
-            bits, sizes = np.zeros((len(words.cleaned), len(model.languages))), np.zeros(len(words.cleaned))
-            kept = [i for i, w in enumerate(words.cleaned) if w]
-            if kept and model.languages:
-                bits[kept], sizes[kept] = model.entropies([words.cleaned[i] for i in kept])
-            text = np.repeat(np.arange(texts), np.diff(words.offsets))
-            index = words.index
-            n = np.bincount(text, sizes[index], texts)
-            letters = np.bincount(text, words.lettered[index], texts) > 0
-            each = np.stack([np.bincount(text, bits[index, j], texts) for j in range(len(model.languages))], axis=1) if model.languages else np.zeros((texts, 0))
-            each = each / np.maximum(n, 1)[:, None]
-            if model.languages:
-                best = np.argmin(each, axis=1)
-                low = each[np.arange(texts), best]
-                score = 1 / np.exp2(10 * (low[:, None] - each)).sum(axis=1)
-            else:
-                best, low, score, letters = np.zeros(texts, int), np.zeros(texts), np.zeros(texts), np.zeros(texts, bool)
-            best, score = np.where(letters, best, len(model.languages)), np.where(letters, np.round(np.minimum(score, 1), 6), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64()), pa.array(n.astype(np.int64))],
-                ["row", "lang_pred", "score", "bits", "size"],
-            )
-
-    return packed.mapInArrow(run, f"row {kind}, lang_pred string, score double, bits double, size long")
-
-
-def calibrate(model: Model, labelled: DataFrame) -> Model:
-    """Learns from all labelled rows, for each language, mean and deviation of the
-    bits per character, and of the excess over that mean times the square root of
-    the length (short texts scatter more)."""
-    scored = written(_score(labelled.select("text", "lang"), model).where("lang_pred = row.lang").select("lang_pred", "bits", "size"), "langid-bits")
-    own = scored.groupBy("lang_pred").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("sd"))
+    groups = model.groups(memory)
+
+    def scoring(group: list[int]):
+        def run(batches):
+            scorer = Scorer(model, group)
+            for batch in slices(batches, 1, 2 << 20):
+                words = words_of(batch.column(1))
+                texts = batch.num_rows
+                kept = np.array([i for i, w in enumerate(words.cleaned) if w], np.int64)
+                bits, sizes = scorer.bits([words.cleaned[i] for i in kept.tolist()]) if len(kept) else ([np.zeros(0)] * len(group), np.zeros(0))
+                place = np.zeros(len(words.cleaned) + 1, np.int64)
+                place[kept] = np.arange(1, len(kept) + 1)
+                index = place[words.index]
+                text = np.repeat(np.arange(texts), np.diff(words.offsets))
+                sums = [np.bincount(text, np.append(0, x)[index], texts) for x in (sizes, *bits)]
+                letters = np.bincount(text, words.lettered[words.index], texts) > 0
+                new = np.stack(sums[1:], axis=1) / np.maximum(sums[0], 1)[:, None]
+                before = batch.column(2)
+                if len(before.flatten()):
+                    new = np.concatenate([np.asarray(before.flatten()).reshape(texts, -1), new], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, new.size + 1, max(1, new.shape[1]), dtype=np.int32)), pa.array(new.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(sums[0].astype(np.int64)), pa.array(letters)], ["row", "text", "each", "size", "lettered"])
+
+        return run
+
+    for n, group in enumerate(groups):
+        if n:
+            packed = written(packed, "langid-group")
+        packed = packed.mapInArrow(scoring(group), f"row {kind}, text string, each array<double>, size long, lettered boolean")
+    return packed
+
+
+def _predicted(scored: DataFrame, model: Model) -> DataFrame:
+    """row with lang_pred, score, bits and size."""
+    if not model.languages:
+        return scored.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), "size")
+    low = F.array_min("each")
+    name = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("each", low).cast("int"))
+    score = 1 / F.aggregate("each", F.lit(0.0), lambda held, e: held + F.pow(F.lit(2.0), 10 * (low - e)))
+    return scored.select("row", F.when(F.col("lettered"), name).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered"), F.round(score, 6)).otherwise(0.0).alias("score"), low.alias("bits"), "size")
+
+
+MEMORY = 256 << 20
+
+
+def calibrate(model: Model, held_out: DataFrame, least: int = 30, memory: int = MEMORY) -> Model:
+    """Learns from labelled rows that the model was not fitted on, for each language,
+    mean and deviation of the bits per character, and of the excess over that mean
+    times the square root of the length (short texts scatter more). A language with
+    fewer than ``least`` such rows takes the widest limits of the others."""
+    scored = written(_predicted(_score(held_out.select("text", "lang"), model, memory), model).where("lang_pred = row.lang").select("lang_pred", "bits", "size"), "langid-bits")
+    own = scored.groupBy("lang_pred").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("sd"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     excess = scored.join(F.broadcast(own), "lang_pred").withColumn("z", (F.col("bits") - F.col("mean")) * F.sqrt("size"))
-    for r in excess.groupBy("lang_pred").agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.avg("z").alias("zm"), F.stddev_pop("z").alias("zs"), F.count(F.lit(1)).alias("n")).collect():
-        model.limits[r["lang_pred"]] = (r["mean"], r["sd"], r["zm"], r["zs"], r["n"])
+    for r in excess.groupBy("lang_pred").agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.avg("z").alias("zm"), F.stddev_pop("z").alias("zs")).collect():
+        model.limits[r["lang_pred"]] = (r["mean"], r["sd"], r["zm"], r["zs"])
+    if model.limits:
+        widest = tuple(max(x) for x in zip(*model.limits.values(), strict=True))
+        for lang in model.languages:
+            model.limits.setdefault(lang, widest)
     return model
 
 
-def identify(docs: DataFrame, model: Model, deviations: float = 8.0) -> DataFrame:
+def learn(labelled: DataFrame, order: int = 5, fold: int = 10, memory: int = MEMORY) -> Model:
+    """A model fitted on the rows (text, lang) of all but one of ``fold`` folds, by the
+    texts' hashes, and calibrated on the one left."""
+    own = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(fold))
+    known = labelled.where("lang IS NOT NULL").select("text", "lang")
+    return calibrate(fit(known.where(own != 0), order), known.where(own == 0), memory=memory)
+
+
+def identify(docs: DataFrame, model: Model, deviations: float = 6.0, memory: int = MEMORY) -> DataFrame:
     """``docs`` with lang_pred, score and rejected (columns of these names are replaced)."""
-    scored = _score(docs.drop("lang_pred", "score", "rejected"), model)
+    scored = _predicted(_score(docs.drop("lang_pred", "score", "rejected"), model, memory), model)
     far = F.lit(False)
-    for lang, (mean, sd, zm, zs, n) in model.limits.items():
-        if n >= 30:
-            z = (F.col("bits") - mean) * F.sqrt("size")
-            far = far | ((F.col("lang_pred") == lang) & (F.col("bits") > mean + deviations * sd + 0.5) & (z > zm + deviations * zs))
+    for lang, (mean, sd, zm, zs) in model.limits.items():
+        z = (F.col("bits") - mean) * F.sqrt("size")
+        far = far | ((F.col("lang_pred") == lang) & (F.col("bits") > mean + deviations * sd) & (z > zm + deviations * zs))
     return scored.select("row.*", "lang_pred", "score", (far | (F.col("lang_pred") == UNKNOWN)).alias("rejected"))
