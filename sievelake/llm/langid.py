@@ -337,12 +337,14 @@ def calibrate(model: Model, held_out: DataFrame, least: int = 30, memory: int =
     return model
 
 
-def learn(labelled: DataFrame, order: int = 5, fold: int = 10, memory: int = MEMORY) -> Model:
+def learn(labelled: DataFrame, order: int = 5, fold: int = 10, least: int = 30, memory: int = MEMORY) -> Model:
     """A model fitted on the rows (text, lang) of all but one of ``fold`` folds, by the
-    texts' hashes, and calibrated on the one left."""
-    own = F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(fold))
+    texts' hashes, and calibrated on the one left. Languages with fewer than ``fold`` x
+    ``least`` rows hold none out: all of them go into the model."""
     known = labelled.where("lang IS NOT NULL").select("text", "lang")
-    return calibrate(fit(known.where(own != 0), order), known.where(own == 0), memory=memory)
+    large = [r["lang"] for r in known.groupBy("lang").count().where(F.col("count") >= fold * least).collect()]
+    held_out = F.coalesce((F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(fold)) == 0) & F.col("lang").isin(large), F.lit(False))
+    return calibrate(fit(known.where(~held_out), order), known.where(held_out), least, memory)
 
 
 def identify(docs: DataFrame, model: Model, deviations: float = 6.0, memory: int = MEMORY) -> DataFrame:
