@@ -1,13 +1,11 @@
 """Near-duplicate groups by SimHash and a generalised pigeonhole search.
 
-A text's fingerprint has a bit for each bit of the 64-bit hash of its 3-word
-shingles that is set in over half of them. Two fingerprints that differ in at
-most ``radius`` = 3 bits are linked, and groups are the links' components.
-
-The search for links follows the generalised pigeonhole principle. The 64 bits
-are grouped into 4 partitions of 16, correlated bits together. If a and b differ
-in at most 3 bits, and thresholds t1..t4 (from -1, "don't look", to 1) add up to
-3 - 4 + 1 = 0, then some partition has them differ in at most its threshold. Each
+A text's fingerprint has a bit for each bit of the hash of its word shingles that
+is set in over half of them. The search for fingerprints that differ in few bits
+follows the generalised pigeonhole principle. The bits are grouped into m
+partitions, correlated bits together. If two fingerprints differ in at most
+``reach`` bits, and thresholds t1..tm (from -1, "don't look") add up to
+reach - m + 1, then some partition has them differ in at most its threshold. Each
 fingerprint gets thresholds of its own, by dynamic programming over the
 partitions, to minimise the estimated number of candidates: the histogram of the
 partition's values in all fingerprints, summed over the values within the
@@ -15,26 +13,42 @@ threshold. So it looks past values that many fingerprints share if it can. The
 fingerprint then probes an index of all fingerprints by partition value, and
 each candidate is verified.
 
-Everything the driver sees is bounded: a 64 x 64 correlation matrix and 4
-histograms of 65,536 values. The index and the probes of a value that many
-fingerprints share are dealt over a grid of cells by hash, each of some
-``cell`` x ``cell`` fingerprints, every index part meeting every probe part. A
-task verifies the candidates of its cells and gives back links that connect what
-it found connected, never all pairs: at most one per fingerprint of a batch of
-cells. Equal texts share one fingerprint, and only distinct ones are searched.
+Number and width of the partitions follow from the number of fingerprints: few
+wide ones, with thresholds up to 2, need more probes and have fewer candidates
+each (``whole_plan``, ``likely_plan``).
+
+Everything the driver sees is bounded: a correlation matrix of the bits and a
+histogram of at most 65,536 cells per partition (wider values fall into cells by
+hash, and what a cell holds above the average counts for each of its values). The
+index and the probes of a value that many fingerprints share are dealt over a
+grid of cells by hash, each of some ``cell`` x ``cell`` fingerprints, every index
+part meeting every probe part. A task verifies the candidates of its cells and
+gives back links that connect what it found connected, the closest ones first,
+never all pairs: at most one per fingerprint of a batch of cells. Equal texts
+share one fingerprint, and only distinct ones are searched.
+
+``near_duplicates`` links fingerprints of 64 bits over 3-word shingles at 3 or
+fewer differing bits; no such link is missed. ``first_of_each_group`` finds texts
+whose sets of 5-word shingles are similar (Jaccard) to 0.8 or more: at that
+similarity some 15 in 100 bits differ, so its fingerprints have 192 bits and its
+partitions are chosen for the chance that such a pair is found, 0.9 at 0.8 and
+more above; links are then verified on the shingles themselves.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
-any others; texts of one or two words hash their whole word sequence; a null
-doc_id gives a null component_id only to a group without any other id; repeated
-rows stay. Other columns are not looked at.
+any others; texts with fewer words than a shingle hash their whole word sequence;
+a null doc_id gives a null component_id only to a group without any other id;
+repeated rows stay (``first_of_each_group`` keeps one). Very long texts are hashed
+in pieces. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +57,54 @@ from sievelake.llm.batches import slices
 from sievelake.operators.graphs import components
 from sievelake.workspace import written
 
-BITS, PARTS, RADIUS = 64, 4, 3
-WIDTH = BITS // PARTS
-VALUES = 1 << WIDTH
+BITS, RADIUS = 64, 3
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How to search: partitions of ``bits``, what their thresholds add up to, and
+    how many differing bits make a link."""
+
+    bits: int
+    parts: int
+    sum: int
+    radius: int
+
+    @property
+    def words(self) -> int:
+        return self.bits // 64
+
+    def widths(self) -> list[int]:
+        return [self.bits // self.parts + (p < self.bits % self.parts) for p in range(self.parts)]
+
+
+def _probes(width: int, threshold: int) -> int:
+    return sum(math.comb(width, i) for i in range(threshold + 1))
+
+
+def whole_plan(n: int, bits: int = BITS, radius: int = RADIUS) -> Plan:
+    """The cheapest partitions that miss no pair within ``radius``; moving an entry
+    costs as much as some 50 comparisons."""
+
+    def cost(parts: int) -> float:
+        width, total = bits / parts, radius - parts + 1
+        each = [total // parts + (p < total % parts) for p in range(parts)]
+        return sum(_probes(round(width), t) * (50 + n / 2**width) for t in each if t >= 0)
+
+    return min((Plan(bits, m, radius - m + 1, radius) for m in range(2, radius + 2)), key=lambda plan: cost(plan.parts))
+
+
+def likely_plan(n: int, bits: int, differing: float, radius: int, chance: float) -> Plan:
+    """The cheapest partitions that find a pair whose bits each differ with
+    probability ``differing`` with the given chance."""
+    found = []
+    for width in (12, 14, 16, 20, 24):
+        for t in (0, 1, 2):
+            p = sum(math.comb(width, i) * differing**i * (1 - differing) ** (width - i) for i in range(t + 1))
+            parts = bits // width
+            found.append((1 - (1 - p) ** parts, parts * _probes(width, t) * (50 + n / 2**width), Plan(bits, parts, parts * t, radius)))
+    return min((c for c in found if c[0] >= chance), key=lambda c: c[1])[2]
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -68,158 +127,210 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
+    """doc_id, fp0 (the 64 bits as a signed long) of each row."""
 
     def run(batches):
         for batch in slices(batches, 1):
             fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp0"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp0 long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+def _columns(words: int) -> list[str]:
+    return [f"fp{i}" for i in range(words)]
 
 
-def correlations(fps: DataFrame) -> tuple[np.ndarray, int]:
-    """Correlation matrix of the bits over all rows of ``fps``, and their number."""
+def _matrix(batch: pa.RecordBatch, words: int) -> np.ndarray:
+    """The first columns of a batch as fingerprints, a row each."""
+    return np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(words)], axis=1)
+
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+
+
+def correlations(fps: DataFrame, bits: int) -> np.ndarray:
+    """Correlation matrix of the bits over all rows of ``fps``."""
+    words = bits // 64
 
     def run(batches):
-        sums, n = np.zeros((BITS, BITS), np.int64), 0
+        sums, n = np.zeros((bits, bits), np.int64), 0
         for batch in batches:
-            bits = np.unpackbits(batch.column(0).to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            sums += (bits.T @ bits).astype(np.int64)
-            n += len(bits)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), "n": pa.array(np.append(sums.ravel(), n))})
+            own = _bits(_matrix(batch, words)).astype(np.float32)
+            sums += (own.T @ own).astype(np.int64)
+            n += len(own)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(bits * bits + 1, dtype=np.int32)), "n": pa.array(np.append(sums.ravel(), n))})
 
-    rows = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(BITS * BITS + 1)
+    rows = fps.select(*_columns(words)).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(bits * bits + 1)
     flat[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
-    n = int(flat[-1])
-    both = flat[:-1].reshape(BITS, BITS) / max(n, 1)
+    both = flat[:-1].reshape(bits, bits) / max(flat[-1], 1)
     ones = np.diag(both)
     sd = np.sqrt(np.maximum(ones * (1 - ones), 1e-12))
-    return (both - np.outer(ones, ones)) / np.outer(sd, sd), n
+    return (both - np.outer(ones, ones)) / np.outer(sd, sd)
 
 
-def group_bits(correlation: np.ndarray) -> np.ndarray:
-    """PARTS rows of WIDTH bit numbers: each partition starts with the free bit that
-    correlates most with the other free ones and takes in, one by one, the bit that
-    correlates most with those it has."""
-    strength, free, groups = np.abs(correlation), list(range(BITS)), []
-    for _ in range(PARTS):
+def group_bits(correlation: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+    """Bit numbers of each partition: it starts with the free bit that correlates most
+    with the other free ones and takes in, one by one, the bit that correlates most
+    with those it has."""
+    strength, free, groups = np.abs(correlation), list(range(len(correlation))), []
+    for width in widths:
         first = max(free, key=lambda b: (strength[b, free].sum(), -b))
         group = [first]
         free.remove(first)
-        while len(group) < WIDTH:
+        while len(group) < width:
             best = max(free, key=lambda b: (strength[b, group].sum(), -b))
             group.append(best)
             free.remove(best)
-        groups.append(sorted(group))
-    return np.array(groups)
+        groups.append(np.array(sorted(group)))
+    return groups
 
 
-def part_values(fps: np.ndarray, groups: np.ndarray) -> np.ndarray:
+def part_values(fps: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
     """The value of each partition of each fingerprint."""
-    out = np.zeros((len(fps), PARTS), np.int64)
-    for p in range(PARTS):
-        for i, bit in enumerate(groups[p]):
-            out[:, p] |= ((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << i
+    out = np.zeros((len(fps), len(groups)), np.int64)
+    for p, group in enumerate(groups):
+        for i, bit in enumerate(group.tolist()):
+            out[:, p] |= ((fps[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(np.int64) << i
     return out
 
 
-FLIPS = 1 << np.arange(WIDTH)
+def flips(width: int, threshold: int) -> np.ndarray:
+    """What to xor a value with to get those that differ in just ``threshold`` bits."""
+    one = 1 << np.arange(width)
+    if threshold < 2:
+        return one if threshold else np.zeros(1, np.int64)
+    return np.array([a | b for i, a in enumerate(one.tolist()) for b in one[i + 1 :].tolist()])
 
 
 @dataclass
 class Index:
-    """What a task needs to know: the partitions and, for each of their values, how
-    many fingerprints have it (near 0) or have it or one that differs in a bit (near 1)."""
+    """What a task needs to know: the partitions and, by value, how many fingerprints
+    have it, as far as the histogram's cells tell."""
 
-    groups: np.ndarray
-    exact: np.ndarray
-    near: np.ndarray
+    plan: Plan
+    groups: list[np.ndarray]
+    counts: np.ndarray  # by partition and cell
+    n: int
     cell: int
 
+    def known(self, p: int, values: np.ndarray) -> np.ndarray:
+        """How many fingerprints have each value: counted, or the average and what
+        the value's cell has above it."""
+        width = len(self.groups[p])
+        if 1 << width <= self.counts.shape[1]:
+            return self.counts[p, values]
+        cells = self.counts.shape[1]
+        extra = self.counts[p, hashed(values, cells)] - self.n / cells
+        return np.maximum(1, np.ceil(self.n / 2.0**width + np.maximum(0, extra - 4 * math.sqrt(self.n / cells)))).astype(np.int64)
+
+    def near(self, p: int, values: np.ndarray, threshold: int) -> np.ndarray:
+        """How many have a value that differs in at most so many bits."""
+        return sum(self.known(p, values ^ f) for t in range(threshold + 1) for f in flips(len(self.groups[p]), t).tolist())
+
+    @property
+    def top(self) -> int:
+        """The largest threshold: one above the average, 2 at most."""
+        return min(2, max(1, -(-self.plan.sum // self.plan.parts)))
+
     def thresholds(self, values: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1 for each partition of each fingerprint, adding up to
-        RADIUS - PARTS + 1, with the fewest estimated candidates: a dynamic programme
-        over the partitions and the sum so far."""
-        n, low = len(values), -PARTS
-        sums = 2 * PARTS + 1
+        """-1 to ``top`` for each partition of each fingerprint, adding up to the plan's
+        sum, with the fewest estimated candidates: a dynamic programme over the
+        partitions and the sum so far."""
+        n, parts, top = len(values), self.plan.parts, self.top
+        sums = parts * (top + 1) + 1  # of the thresholds, each counted from -1
         best = np.full((n, sums), np.inf)
-        best[:, -low] = 0
-        choice = np.zeros((PARTS, n, sums), np.int8)
-        for p in range(PARTS):
-            at = values[:, p]
-            costs = np.stack([np.zeros(n), 1.0 + self.exact[p, at], 1.0 + WIDTH + self.near[p, at]], axis=1)
+        best[:, 0] = 0
+        choice = np.zeros((parts, n, sums), np.int8)
+        for p in range(parts):
+            width = len(self.groups[p])
+            costs = [np.zeros(n)] + [50.0 * _probes(width, t) + self.near(p, values[:, p], t) for t in range(top + 1)]
             new = np.full((n, sums), np.inf)
-            for t in (-1, 0, 1):
+            for t, cost in enumerate(costs):
                 shifted = np.full((n, sums), np.inf)
-                source = best[:, max(0, -t) : sums - max(0, t)]
-                shifted[:, max(0, t) : sums - max(0, -t)] = source + costs[:, t + 1, None]
+                shifted[:, t:] = best[:, : sums - t] + cost[:, None]
                 better = shifted < new
                 new = np.where(better, shifted, new)
                 choice[p][better] = t
             best = new
-        out = np.zeros((n, PARTS), np.int8)
-        at = np.full(n, RADIUS - PARTS + 1 - low)
-        for p in reversed(range(PARTS)):
-            out[:, p] = choice[p, np.arange(n), at]
-            at = at - out[:, p]
+        out = np.zeros((n, parts), np.int8)
+        at = np.full(n, self.plan.sum + parts)
+        for p in reversed(range(parts)):
+            taken = choice[p, np.arange(n), at]
+            out[:, p], at = taken - 1, at - taken
         return out
 
-    def grid(self, p: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Into how many parts a value's index entries and its probes are dealt."""
-        return -(-self.exact[p, values] // self.cell), -(-self.near[p, values] // self.cell)
+
+def hashed(values: np.ndarray, cells: int) -> np.ndarray:
+    return ((values.astype(np.uint64) * MIX) >> np.uint64(64 - int(math.log2(cells)))).astype(np.int64)
 
 
 def _entries(fps: np.ndarray, index: Index):
-    """part * VALUES + value, cell, side (0 index, 1 probe), fp of all entries."""
+    """partition << 32 | value, cell, side (0 index, 1 probe), number of the fingerprint, for all entries."""
     values = part_values(fps, index.groups)
     thresholds = index.thresholds(values)
-    mixed = fps * np.uint64(0x9E3779B97F4A7C15)
+    mixed = fps[:, 0] * MIX
+    for i in range(1, fps.shape[1]):
+        mixed = (mixed ^ fps[:, i]) * MIX
     spread = (mixed >> np.uint64(33)).astype(np.int64)
 
-    def dealt(side, p, value, fp, spread):
-        rows, columns = index.grid(p, value)  # index parts, probe parts
+    def dealt(side, p, value, who):
+        # index parts of a value, and parts of its probes: as many as could look at it
+        rows = np.maximum(1, -(-index.known(p, value) // index.cell))
+        columns = np.maximum(1, -(-index.near(p, value, index.top) // index.cell))
         own, other = (rows, columns) if side == 0 else (columns, rows)
-        here = other > 0
-        value, fp, own, other, columns, spread = value[here], fp[here], np.maximum(own[here], 1), other[here], np.maximum(columns[here], 1), spread[here]
         each = np.repeat(np.arange(len(value)), other)
         copy = np.arange(len(each)) - np.repeat(np.cumsum(other) - other, other)
-        mine = (spread % own)[each]
+        mine = (spread[who] % own)[each]
         cell = mine * columns[each] + copy if side == 0 else copy * columns[each] + mine
-        return p * VALUES + value[each], cell, np.full(len(each), side, np.int8), fp[each]
-
-    for p in range(PARTS):
-        yield dealt(0, p, values[:, p], fps, spread)
-        exact = thresholds[:, p] >= 0
-        yield dealt(1, p, values[exact, p], fps[exact], spread[exact])
-        wide = thresholds[:, p] == 1
-        if wide.any():
-            near = (values[wide, p, None] ^ FLIPS).ravel()
-            yield dealt(1, p, near, np.repeat(fps[wide], WIDTH), np.repeat(spread[wide], WIDTH))
-
-
-def connect(pairs: np.ndarray) -> np.ndarray:
-    """As many links as are needed to connect what ``pairs`` (n x 2) connect."""
-    nodes, ends = np.unique(pairs, return_inverse=True)
-    ends, label = ends.reshape(-1, 2), np.arange(len(nodes))
+        return value[each] | p << 32, cell, np.full(len(each), side, np.int8), who[each]
+
+    everyone = np.arange(len(fps))
+    for p, group in enumerate(index.groups):
+        yield dealt(0, p, values[:, p], everyone)
+        for t in range(index.top + 1):
+            who = np.flatnonzero(thresholds[:, p] >= t)
+            if len(who):
+                around = flips(len(group), t)
+                yield dealt(1, p, (values[who, p, None] ^ around).ravel(), np.repeat(who, len(around)))
+
+
+def connect(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Which pairs (n x 2 numbers) make a forest of the lightest ones that connects what
+    all of them connect: each component takes its lightest pair, round by round."""
+    ends = np.unique(pairs, return_inverse=True)[1].reshape(-1, 2)
+    label, kept = np.arange(int(ends.max()) + 1 if len(ends) else 0), []
+    order = np.lexsort((np.arange(len(ends)), weights))
+    ends = ends[order]
     while True:
         a, b = label[ends[:, 0]], label[ends[:, 1]]
-        new = label.copy()
-        low = np.minimum(a, b)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    hung = np.flatnonzero(label != np.arange(len(nodes)))
-    return np.stack([nodes[hung], nodes[label[hung]]], axis=1)
-
-
-def verified(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, step: int = 1 << 20):
-    """Pairs within RADIUS of rows that share a key, index (side 0) against probe (side 1); keys are sorted, index first."""
-    change = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return order[np.unique(np.concatenate(kept))] if kept else np.zeros(0, np.int64)
+        first = np.full(len(label), len(ends))
+        np.minimum.at(first, a[open_], open_)
+        np.minimum.at(first, b[open_], open_)
+        taken = np.unique(first[first < len(ends)])
+        kept.append(taken)
+        a, b = label[ends[taken, 0]], label[ends[taken, 1]]
+        while len(a):  # what is taken now is one component
+            low = np.minimum(a, b)
+            to = np.arange(len(label))
+            np.minimum.at(to, a, low)
+            np.minimum.at(to, b, low)
+            to = to[to]
+            label = to[label]
+            a, b = to[a], to[b]
+            still = a != b
+            a, b = a[still], b[still]
+
+
+def verified(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 << 20):
+    """Numbers of rows that share a key and differ in at most ``radius`` bits, index (side
+    0) against probe (side 1), and in how many; keys are sorted, index first."""
+    change = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     ends = np.append(change[1:], len(keys))
     group = np.repeat(np.arange(len(change)), ends - change)
     inside = np.bincount(group, sides == 0, len(change)).astype(np.int64)
@@ -232,85 +343,214 @@ def verified(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, step: int = 1
         base = int(sums[at - 1]) if at else 0
         upto = max(at + 1, int(np.searchsorted(sums, base + step, side="right")))
         n = counts[at:upto]
-        left = np.repeat(fps[probes[at:upto]], n)
-        right = fps[np.repeat(first[at:upto] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        near = (np.bitwise_count(left ^ right) <= RADIUS) & (left != right)
+        left = np.repeat(probes[at:upto], n)
+        right = np.repeat(first[at:upto] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        apart = np.bitwise_count(fps[left] ^ fps[right]).sum(axis=1, dtype=np.int64)
+        near = (apart <= radius) & (fps[left] != fps[right]).any(axis=1)
         if near.any():
-            yield np.stack([left[near], right[near]], axis=1)
+            yield left[near], right[near], apart[near]
         at = upto
 
 
-def links(fps: DataFrame, cell: int = 4096) -> DataFrame:
-    """a, b: links of distinct fingerprints ``fps`` (fp) that connect exactly
-    those that chains of fingerprints at most RADIUS bits apart connect."""
-    correlation, _ = correlations(fps)
-    groups = group_bits(correlation)
-    spark = fps.sparkSession
+def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
+    """a, b, apart: links of distinct fingerprints ``fps`` (node and fp0, fp1, ...) that
+    connect what chains of the pairs found within the plan's radius connect."""
+    columns, words = _columns(plan.words), plan.words
+    groups = group_bits(correlations(fps, plan.bits), plan.widths())
+    cells = 1 << min(16, max(plan.widths()))
 
     def histogram(batches):
-        counts = np.zeros(PARTS * VALUES, np.int64)
+        counts = np.zeros((plan.parts, cells), np.int64)
         for batch in batches:
-            values = part_values(batch.column(0).to_numpy().view(np.uint64), groups)
-            counts += np.bincount((values + np.arange(PARTS) * VALUES).ravel(), minlength=PARTS * VALUES)
+            values = part_values(_matrix(batch, words), groups)
+            for p, group in enumerate(groups):
+                counts[p] += np.bincount(values[:, p] if 1 << len(group) <= cells else hashed(values[:, p], cells), minlength=cells)
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(seen.astype(np.int32)), "n": pa.array(counts[seen])})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(seen.astype(np.int32)), "n": pa.array(counts.ravel()[seen])})
 
-    rows = fps.select("fp").mapInArrow(histogram, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    exact = np.zeros(PARTS * VALUES, np.int64)
-    exact[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
-    exact = exact.reshape(PARTS, VALUES)
-    near = exact + sum(exact[:, np.arange(VALUES) ^ flip] for flip in FLIPS)
-    known = spark.sparkContext.broadcast(Index(groups, exact, near, cell))
+    rows = fps.select(*columns).mapInArrow(histogram, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(plan.parts * cells, np.int64)
+    counts[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
+    known = fps.sparkSession.sparkContext.broadcast(Index(plan, groups, counts.reshape(plan.parts, cells), n, cell))
+    fields = "key long, cell int, side byte, node long, " + ", ".join(f"{c} long" for c in columns)
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def entries(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                fps = batch.column(0).slice(at, 1000).to_numpy().view(np.uint64)
-                for key, cells, side, fp in _entries(fps, known.value):
+                part = batch.slice(at, 1000)
+                own, nodes = _matrix(part, words), part.column(words).to_numpy()
+                for key, cells, side, who in _entries(own, known.value):
                     if len(key):
-                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64) << 32 | cells), pa.array(side), pa.array(fp.view(np.int64))], ["key", "side", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cells.astype(np.int32)), pa.array(side), pa.array(nodes[who]), *[pa.array(own[who, i].view(np.int64)) for i in range(words)]], names)
 
     def verify(batches):
-        held, found, size = None, [], 0
+        held, found = None, []
+
+        def reduced(parts):
+            pairs = np.concatenate([np.stack(p[:2], axis=1) for p in parts])
+            apart = np.concatenate([p[2] for p in parts])
+            kept = connect(pairs, apart)
+            return pairs[kept, 0], pairs[kept, 1], apart[kept]
+
+        def look(columns):
+            key = columns[0] * np.int64(0x5851F42D4C957F2D) + columns[1]  # of neighbours in the order: equal just if both parts are
+            fps = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
+            for left, right, apart in verified(key, columns[2], fps, plan.radius):
+                found.append((columns[3][left], columns[3][right], apart))
+
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            last = np.searchsorted(held[0], held[0][-1], side="left")  # the last cell may go on in the next batch
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])  # the last cell may go on in the next batch
+            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if last:
-                found += verified(held[0][:last], held[1][:last], held[2][:last].view(np.uint64))
+                look([c[:last] for c in held])
                 held = [c[last:] for c in held]
-            size = sum(map(len, found))
-            if size > 1 << 20:
-                found = [connect(np.concatenate(found))]
-                if len(found[0]) > 1 << 18:
-                    yield _pairs(found[0])
+            if sum(len(f[0]) for f in found) > 1 << 20:
+                found = [reduced(found)]
+                if len(found[0][0]) > 1 << 18:
+                    yield _pairs(*found[0])
                     found = []
         if held is not None:
-            found += verified(held[0], held[1], held[2].view(np.uint64))
+            look(held)
         if found:
-            yield _pairs(connect(np.concatenate(found)))
+            yield _pairs(*reduced(found))
 
-    keyed = fps.select("fp").mapInArrow(entries, "key long, side byte, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(verify, "a long, b long")
+    keyed = fps.select(*columns, "node").mapInArrow(entries, fields)
+    return keyed.repartition("key", "cell").sortWithinPartitions("key", "cell", "side").mapInArrow(verify, "a long, b long, apart int")
 
 
-def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
+def _pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32))], ["a", "b", "apart"])
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the group), root (a fingerprint that names the group) of each row."""
+    """doc_id, fp0, component_id (smallest doc_id of the group) of each row."""
     fps = written(fingerprints(docs), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")))
-    lows = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("low").alias("component"))
-    groups = written(roots.join(lows, "root").select(F.col("node").alias("fp"), "root", "component"), "simhash-groups")
+    distinct = written(fps.groupBy("fp0").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    n = distinct.count()
+    roots = components(links(distinct.select("fp0", F.col("fp0").alias("node")), whole_plan(n), n))
+    lows = roots.join(distinct, roots["node"] == distinct["fp0"]).groupBy("root").agg(F.min("low").alias("component"))
+    groups = written(roots.join(lows, "root").select(F.col("node").alias("fp0"), "component"), "simhash-groups")
     # the id of a fingerprint without links is its own smallest one
-    of = distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "root")
+    of = distinct.join(groups, "fp0", "left").select("fp0", F.coalesce("component", "low").alias("component_id"))
+    return fps.join(of, "fp0").select("doc_id", "fp0", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) of each row."""
-    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    digits = F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint")
     return grouped(docs).select("doc_id", digits, "component_id")
+
+
+# ---- texts of similar shingle sets --------------------------------------
+
+WIDE = 192
+CODES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(texts: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the word shingles of all texts, repeats included, and where each
+    text's begin (and the end): words as in ``fingerprint``, in Arrow and numpy alone."""
+    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(lower)
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    values = lists.values.cast(pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    with np.errstate(over="ignore"):
+        place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
+        letters = mixed(CODES[data] + place.astype(np.uint64) * MIX)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters)])
+        word = mixed(sums[ends[1:]] - sums[ends[:-1]])
+        counts = np.diff(offsets)
+        if len(counts):
+            first = np.minimum(offsets[:-1], max(0, len(sizes) - 1))
+            counts = np.where((counts == 1) & (sizes[first] == 0), 0, counts)  # a text without words is one empty word
+        starts = offsets[:-1]
+        n = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(np.int64))
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(starts - bounds[:-1], n) + np.arange(bounds[-1])
+        short = np.repeat(np.where(counts < shingle, counts, shingle), n)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(shingle):
+            inside = k < short
+            h = np.where(inside, mixed(h * MIX + word[np.minimum(at + k, max(0, len(word) - 1))] + np.uint64(k + 1)), h) if len(word) else h
+    return h, bounds
+
+
+def wide_fingerprints(h: np.ndarray, bounds: np.ndarray, bits: int = WIDE, step: int = 1 << 16) -> np.ndarray:
+    """Fingerprints of so many bits, a row per text; a text's hash gives further bits by mixing."""
+    n, words = np.diff(bounds), bits // 64
+    totals = np.zeros((len(n), bits), np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    for at in range(0, len(h), step):
+        part, who = h[at : at + step], owner[at : at + step]
+        change = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        for w in range(words):
+            own = _bits((part if not w else mixed(part + np.uint64(w) * MIX)).reshape(-1, 1))
+            totals[who[change], 64 * w : 64 * (w + 1)] += np.add.reduceat(own, change, axis=0, dtype=np.int32)
+    return np.packbits(2 * totals > n[:, None], axis=1, bitorder="little").view(np.uint64)
+
+
+def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float = 0.9) -> DataFrame:
+    """One row of each group of rows with similar texts: that with the smallest doc_id
+    (rows without an id come last; of equal ids the first as read)."""
+    columns = _columns(WIDE // 64)
+    packed = docs.select(F.col("text"), F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = packed.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for batch in slices(batches, 0, 2 << 20):
+            fps = wide_fingerprints(*shingle_hashes(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array(fps[:, i].view(np.int64)) for i in range(len(columns))]], ["uid", "row", *columns])
+
+    rows = written(packed.mapInArrow(run, f"uid long, row {kind}, " + ", ".join(f"{c} long" for c in columns)), "simhash-wide")
+    rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("uid"))
+    distinct = written(rows.groupBy(*columns).agg(F.min("uid").alias("node"), F.min(rank).alias("first")), "simhash-wide-distinct")
+    n = distinct.count()
+    # sets of this similarity have vectors at this cosine, and bits that differ in proportion to its angle
+    apart = lambda j: math.acos(2 * j / (1 + j)) / math.pi
+    differing = apart(similarity)
+    radius = round(WIDE * differing + 2.6 * math.sqrt(WIDE * differing * (1 - differing)))
+    near = written(links(distinct.select(*columns, "node"), likely_plan(n, WIDE, differing, radius, chance), n), "simhash-wide-links")
+    roots = components(similar(near, rows, similarity))
+    group = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+    return rows.join(kept, "uid", "left_semi").select("row.*")
+
+
+def similar(near: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the links whose texts' sets of 5-word shingles are similar enough."""
+
+    def sets(batches):
+        for batch in slices(batches, 1, 2 << 20):
+            h, bounds = shingle_hashes(batch.column(1))
+            distinct = [np.unique(h[lo:hi]).view(np.int64) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            ends = np.cumsum([0, *map(len, distinct)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(distinct)))], ["node", "set"])
+
+    ends = near.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    texts = rows.join(ends, "uid", "left_semi").select("uid", F.col("row.text").alias("text"))
+    known = written(texts.mapInArrow(sets, "node long, set array<long>"), "simhash-wide-sets")
+    left, right = (known.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+
+    def judge(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(judge, "a long, b long")

@@ -49,9 +49,9 @@ def test_dense_cluster_over_many_cells(spark):
         fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 4, 6]))))
     fps |= {rng.getrandbits(64) for _ in range(100)}
     signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
-    frame = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
-    for cell in (8, 4096):
-        links = simhash.links(frame, cell=cell)
+    frame = spark.createDataFrame([(f, f) for f in signed], "fp0 long, node long").repartition(3)
+    for parts, cell in ((4, 8), (4, 4096), (3, 50), (2, 4096)):
+        links = simhash.links(frame, simhash.Plan(64, parts, 3 - parts + 1, 3), len(fps), cell=cell)
         assert links.count() <= 40 * len(fps)
         from sievelake.operators.graphs import components
 
@@ -64,14 +64,88 @@ def test_dense_cluster_over_many_cells(spark):
 
 
 def test_thresholds_add_up_and_avoid_crowds():
-    exact = np.ones((4, simhash.VALUES), np.int64)
-    exact[0, 7] = 10**6
-    near = exact + sum(exact[:, np.arange(simhash.VALUES) ^ f] for f in simhash.FLIPS)
-    index = simhash.Index(np.arange(64).reshape(4, 16), exact, near, 4096)
+    counts = np.ones((4, 1 << 16), np.int64)
+    counts[0, 7] = 10**6
+    index = simhash.Index(simhash.Plan(64, 4, 0, 3), list(np.arange(64).reshape(4, 16)), counts, 10**6, 4096)
     t = index.thresholds(np.array([[7, 1, 2, 3], [50000, 1, 2, 3]]))
     assert t.sum(axis=1).tolist() == [0, 0] and t[0, 0] == -1 and t[1].tolist() == [0, 0, 0, 0]
 
 
+def test_plans_follow_the_number():
+    parts = [simhash.whole_plan(n).parts for n in (10, 10**6, 10**8, 10**10)]
+    assert parts[0] == 4 and parts == sorted(parts, reverse=True) and parts[-1] == 2
+    for n in (10, 10**6, 10**9):
+        plan = simhash.whole_plan(n)
+        assert plan.sum == 3 - plan.parts + 1 and sum(plan.widths()) == 64
+        assert simhash.likely_plan(n, 192, 0.1515, 42, 0.9).parts * 12 <= 192
+
+
+def test_forest_of_the_lightest():
+    rng = np.random.default_rng(2)
+    pairs, weights = rng.integers(0, 60, (300, 2)), rng.integers(0, 9, 300)
+    pairs, weights = pairs[pairs[:, 0] != pairs[:, 1]], weights[pairs[:, 0] != pairs[:, 1]]
+    parent, want = list(range(60)), []
+    for i in np.lexsort((np.arange(len(pairs)), weights)).tolist():
+        x, y = pairs[i].tolist()
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        if x != y:
+            parent[x] = y
+            want.append(i)
+    assert sorted(simhash.connect(pairs, weights).tolist()) == sorted(want)
+
+
+def sets_of(text):
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_similar_texts(make, real):
+    """Copies with a few other words are found, texts below the similarity stay."""
+    rng = random.Random(8)
+    base = [t for _, t, _ in real if t and 60 <= len(t.split()) <= 400][:60]
+    texts, origin = [], []
+    for i, t in enumerate(base):
+        for edits in (0, 1, 2, 4):
+            words = t.split()
+            for at in rng.sample(range(len(words)), edits * len(words) // 200 + (edits > 0)):
+                words[at] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+            origin.append(i)
+    texts += [None, "", "", "one two", "one two", "ONE  two", "x " * 30000]
+    kept = {r["doc_id"] for r in simhash.first_of_each_group(make(texts, extra=True)).collect()}
+    own = list(map(sets_of, texts))
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    similar = lambda i, j: jaccard(own[i], own[j]) >= 0.8
+    # whoever goes has a chain of similar texts to one that stays
+    n, parent = len(texts), list(range(len(texts)))
+    for i in range(n):
+        for j in range(i):
+            if similar(i, j):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    assert {parent[i] for i in range(n)} == {parent[i] for i in kept}  # no group is lost
+    extra = [i for i in kept if parent[i] != i]
+    assert len(extra) <= 0.1 * sum(parent[i] != i for i in range(n))
+    assert n - 1 in kept and sorted(kept)[-3:] == [n - 7, n - 4, n - 1]
+
+
+def test_word_hashes(make):
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "A b\tc  d\ne f ", None, "", " ", "a b", "b a", "é b c d e", "a b c d e"]
+    h, bounds = simhash.shingle_hashes(pa.array(texts))
+    lists = [h[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert list(map(len, lists)) == [2, 2, 0, 0, 0, 1, 1, 1, 1] and lists[0] == lists[1] and lists[5] != lists[6] and lists[0][0] == lists[8][0] != lists[7][0]
+    wide = simhash.wide_fingerprints(h, bounds)
+    assert (wide[0] == wide[1]).all() and not wide[2:5].any() and (wide[5] != wide[6]).any()
+    for w in range(3):
+        own = simhash.mixed(h[:2] + np.uint64(w) * simhash.MIX) if w else h[:2]
+        assert int(wide[0, w]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > 2)
+
+
 def test_nulls_and_empty(make, spark):
     assert simhash.near_duplicates(make([])).count() == 0
     rows = simhash.near_duplicates(make(["a b c d", "a b c d", "x y z w"], ids=[5, None, None])).collect()
