@@ -1,14 +1,16 @@
 """Benchmark decontamination: every passage of every document as a query against
 a BM25 index of the test items.
 
-An index holds the items of one shard (at most ``ITEMS``, so what is broadcast is
-bounded; more items mean more passes over the documents). It has, for each word,
-the items with their BM25 weights, and the largest weight in each block of
-``BLOCK`` items. Weights are divided by what the item must reach, so that every
-threshold is 1:
+An index holds the items of one shard (about 768, at most ``ITEMS``). It has, for
+each word, the items with their BM25 weights, and the largest weight in each block
+of ``BLOCK`` items. The indexes are files in the shared folder; a task looks its
+documents up in one after the other and holds at most ``HELD`` of them, so its
+memory does not grow with the number of items. Weights are divided by what the
+item must reach, so that every threshold is 1:
 
 * an item counts as leaked if a passage holds at least ``OVERLAP`` = 0.8 of its
-  distinct 5-word shingles (question and answer together; both are reported);
+  distinct 5-word shingles, and of its question and of its answer at least
+  ``PART`` = 0.5 of the distinct words each (both shares of shingles are reported);
 * then at most the share of words that 0.2 of the shingles span is missing, so
   the passage's BM25 score is at least the item's own score less its largest
   weights of that number. That is the item's threshold: retrieval loses nothing.
@@ -17,30 +19,34 @@ Passages are the windows of two adjoining segments; a segment has half as many
 words again as the longest item of the shard. The sum of the block maxima of a
 passage's words bounds the score of every item in a block (block-max WAND's
 bound, for all passages of a batch at once): only (passage, block) pairs that
-reach 1 are scored, and what reaches 1 is verified on shingles.
+reach 1 are scored, and what reaches 1 is verified on shingles, question and answer.
 
-Words are runs of letters and digits in lower case. Defined results: null and
-empty texts and items without words match nothing; items of fewer than five words
-are one shingle; repeated rows and repeated items each give their own hits; other
-columns are kept.
+Words are runs of letters and digits in lower case. An item's last sentence is its
+answer; if that is all of it, the last third of its words is. Defined results: null
+and empty texts and items without words match nothing; items of fewer than five
+words are one shingle; repeated rows and repeated items each give their own hits;
+very long texts are many passages; other columns are kept, but one named ``hits``.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
+from sievelake.workspace import scratch
 
-SHINGLE, OVERLAP = 5, 0.8
-ITEMS, BLOCK = 1024, 16
+SHINGLE, OVERLAP, PART = 5, 0.8, 0.5
+ITEMS, BLOCK, HELD = 1024, 16, 8
 K1, B = 1.2, 0.75
 HIT = "item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +75,7 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
     whole: list[np.ndarray]
+    parts: list[tuple[np.ndarray, np.ndarray]]  # distinct words of question and answer
     own: np.ndarray
     need: np.ndarray
     first: np.ndarray  # postings of a word: first[w] to first[w + 1]
@@ -105,7 +112,8 @@ def build(rows: list[tuple]) -> Index | None:
         own.append(w.sum())
         need.append(threshold)
         tail = tails[kept[n]] if 0 < tails[kept[n]] < len(c) else max(1, len(c) // 3)
-        parts.append((np.unique(shingles(c[: len(c) - tail])) if len(c) > tail else whole, np.unique(shingles(c[len(c) - tail :])), whole))
+        question, answer = (c[: len(c) - tail], c[len(c) - tail :]) if len(c) > tail else (c, c)
+        parts.append((np.unique(shingles(question)), np.unique(shingles(answer)), whole, (np.unique(question), np.unique(answer))))
     posted, weights = np.concatenate(posted, axis=1), np.concatenate(weights)
     by = np.argsort(posted[0], kind="stable")
     posted, weights = posted[:, by], weights[by]
@@ -166,7 +174,7 @@ def search(index: Index, texts: pa.Array) -> dict[int, dict[int, tuple]]:
         here = _inside(passage)
         for i in retrieved.tolist():
             overlap = _share(index.whole[i], here, passage, low)
-            if overlap[0] + 1e-9 < OVERLAP:
+            if overlap[0] + 1e-9 < OVERLAP or any(np.isin(part, distinct).mean() < PART for part in index.parts[i]):
                 continue
             score = float(scores[i] * index.need[i] / index.own[i])
             hit = (round(overlap[0], 6), round(score, 6), -(overlap[1] - int(offsets[t])), round(_share(index.question[i], here, passage, low)[0], 6), round(_share(index.answer[i], here, passage, low)[0], 6))
@@ -197,45 +205,64 @@ def _share(wanted: np.ndarray, here: np.ndarray, passage: np.ndarray, low: int)
     return len(np.unique(here[hits])) / len(wanted), low + start
 
 
-def shards(items: DataFrame) -> list[list[tuple]]:
-    """The items (item_id, text), at most about ITEMS at a time."""
-    items = items.select(F.col("item_id").cast("long"), "text")
+def shards(items: DataFrame):
+    """The items (item_id, text), at most about ITEMS at a time, repeated ones spread like others."""
+    items = items.select(F.col("item_id").cast("long"), "text", F.monotonically_increasing_id().alias("place"))
     n = -(-items.count() // (ITEMS * 3 // 4))
     for shard in range(n):
-        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == shard)
-        yield sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("place"), F.lit(n)) == shard)
+        yield sorted(map(tuple, rows.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def indexes(items: DataFrame) -> list[str]:
+    """Writes the index of each shard to the shared folder; their places."""
+    folder, places = scratch(items.sparkSession, "decontaminate"), []
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    for n, rows in enumerate(shards(items)):
+        index = build(rows)
+        if index is not None:
+            places.append(f"{folder}/{n}")
+            with store.open_output_stream(f"{root}/{n}") as out:
+                out.write(pickle.dumps(index))
+    return places
+
+
+def _index(place: str) -> Index:
+    store, path = fs.FileSystem.from_uri(place)
+    with store.open_input_stream(path) as source:
+        return pickle.loads(source.read())
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` with ``hits``: the items found in the text, with their scores."""
     columns = [c for c in docs.columns if c != "hits"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text", F.array().cast(f"array<struct<{HIT.replace(' ', ':')}>>".replace(",:", ",")).alias("hits"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
     kind = packed.schema["row"].dataType.simpleString()
-    hits = packed.schema["hits"].dataType.simpleString()
-    spark = docs.sparkSession
     hit_type = pa.list_(pa.struct([(n, pa.int64() if k == "long" else pa.float64()) for n, k in (f.split() for f in HIT.split(", "))]))
-    for rows in shards(items):
-        index = build(rows)
-        if index is None:
-            continue
-        known = spark.sparkContext.broadcast(index)
-
-        def run(batches, known=known):
-            index = known.value
-            for batch in slices(batches, 1):
-                found = search(index, batch.column(1))
-                before = batch.column(2).to_pylist()
-                after = []
-                for t, held in enumerate(before):
-                    new = [
-                        {"item_id": index.item_ids[i], "score": h[1], "overlap": h[0], "question_overlap": h[3], "answer_overlap": h[4], "first_word": -h[2]}
-                        for i, h in sorted(found.get(t, {}).items())
-                    ]
-                    after.append(held + new)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(after, hit_type)], ["row", "text", "hits"])
-
-        packed = packed.mapInArrow(run, f"row {kind}, text string, hits {hits}")
-    return packed.select("row.*", "hits")
+    places = indexes(items)
+
+    def run(batches):
+        held: dict[str, Index] = {}
+        # with more indexes than are held, more text is looked up in one before the next is read
+        for batch in slices(batches, 1, 4 << 20 if len(places) <= HELD else 32 << 20):
+            found = [[] for _ in range(batch.num_rows)]
+            for place in places:
+                index = held.get(place) or _index(place)
+                if len(held) < HELD:
+                    held[place] = index
+                first = 0
+                for part in slices([batch], 1):
+                    for t, hits in search(index, part.column(1)).items():
+                        found[first + t] += [
+                            {"item_id": index.item_ids[i], "score": h[1], "overlap": h[0], "question_overlap": h[3], "answer_overlap": h[4], "first_word": -h[2]}
+                            for i, h in sorted(hits.items())
+                        ]
+                    first += part.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, hit_type)], ["row", "hits"])
+
+    hits = f"array<struct<{HIT.replace(', ', ',').replace(' ', ':')}>>"
+    return packed.mapInArrow(run, f"row {kind}, hits {hits}").select("row.*", "hits")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
