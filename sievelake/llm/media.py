@@ -9,11 +9,13 @@ manifest. ``read`` plans partitions as byte ranges of the archives. A task reads
 the archive's member directory, reads the members that start in its range one
 after the other, and streams them on in Arrow batches of bounded size. A member
 that can't be read or fails its checksum is retried by its own offset, alone;
-if that keeps failing, its row has a null payload and says why in ``error``.
+if that keeps failing, its row has a null payload and says why in ``error``. Of an
+archive whose directory is damaged the members are found by their own headers.
 
 Defined results: a null text is an empty payload; the empty payload is 64 zero
 bytes; equal texts give equal values in every column; repeated rows are stored
-and returned as often as they occur; an empty table gives an empty table.
+and returned as often as they occur; a very long text is one image, and batches are
+cut by their bytes; an empty table gives an empty table.
 Columns other than the id and the text are not looked at.
 """
 
@@ -35,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from sievelake.llm.batches import slices
+
 WIDTH = 64
 READ_SCHEMA = "doc_id long, media binary, error string"
 PNG_START = b"\x89PNG\r\n\x1a\n"
@@ -189,8 +193,7 @@ class ArchiveReader(DataSourceReader):
             return
         store, root = _open(self.path)
         with store.open_input_file(f"{root}/{partition.name}") as source:
-            with zipfile.ZipFile(source) as directory:
-                members = [m for m in directory.infolist() if partition.start <= m.header_offset < partition.end]
+            members = [m for m in self.directory(source) if partition.start <= m.header_offset < partition.end]
             members.sort(key=lambda m: m.header_offset)
             rows, size = [], 0
             for m in members:
@@ -202,6 +205,39 @@ class ArchiveReader(DataSourceReader):
             if rows:
                 yield self.batch(rows, schema)
 
+    def directory(self, source) -> list[zipfile.ZipInfo]:
+        """The archive's members; if its directory can't be read, those whose headers
+        follow each other from the start, as far as they do."""
+        for _ in range(self.attempts):
+            try:
+                with zipfile.ZipFile(source) as directory:
+                    return directory.infolist()
+            except (OSError, zipfile.BadZipFile):
+                source.seek(0)
+        members, at, end = [], 0, source.size()
+        while at + 30 <= end:
+            source.seek(at)
+            head = source.read(30)
+            if head[:4] != b"PK\x03\x04":
+                break
+            name, extra = struct.unpack_from("<HH", head, 26)
+            m = zipfile.ZipInfo(source.read(name).decode())
+            # archives are streams, so sizes stand behind the members: an image's own chunks say where it ends
+            start, kind = at + 30 + name + extra, b""
+            to = start + len(PNG_START)
+            while kind != b"IEND" and to + 8 <= end:
+                source.seek(to)
+                size, kind = struct.unpack(">I4s", source.read(8))
+                to += size + 12
+            source.seek(to)
+            tail = source.read(16)
+            if len(tail) < 16 or tail[:4] != b"PK\x07\x08":
+                break
+            m.header_offset, m.file_size, m.CRC = at, to - start, struct.unpack_from("<I", tail, 4)[0]
+            members.append(m)
+            at = to + 16
+        return members
+
     def member(self, source, m: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """The stored bytes of one member, read by its offset as often as need be."""
         why = ""
@@ -249,7 +285,7 @@ def store(docs: DataFrame, path: str) -> None:
     """Stores each text of ``docs`` (doc_id, text) as an image below ``path``."""
 
     def images(batches):
-        for batch in batches:
+        for batch in slices(batches, 1, 8 << 20):
             media = []
             for text in batch.column(1).to_pylist():
                 data = (text or "").encode()
