@@ -388,8 +388,11 @@ def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
         held, found = None, []
 
         def reduced(parts):
-            pairs = np.concatenate([np.stack(p[:2], axis=1) for p in parts])
+            pairs = np.sort(np.concatenate([np.stack(p[:2], axis=1) for p in parts]), axis=1)
             apart = np.concatenate([p[2] for p in parts])
+            # ties by the nodes: tasks that see the same pairs keep the same ones
+            by = np.lexsort((pairs[:, 1], pairs[:, 0], apart))
+            pairs, apart = pairs[by], apart[by]
             kept = connect(pairs, apart)
             return pairs[kept, 0], pairs[kept, 1], apart[kept]
 
@@ -459,12 +462,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def shingle_hashes(texts: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the word shingles of all texts, repeats included, and where each
     text's begin (and the end): words as in ``fingerprint``, in Arrow and numpy alone."""
-    lower = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    lists = pc.ascii_split_whitespace(lower)
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "").cast(pa.large_string())))
     offsets = np.asarray(lists.offsets).astype(np.int64)
     values = lists.values.cast(pa.large_binary())
     ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)  # A-Z alone change
     ends = ends - ends[0]
     sizes = np.diff(ends)
     with np.errstate(over="ignore"):
@@ -522,7 +525,7 @@ def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float
     apart = lambda j: math.acos(2 * j / (1 + j)) / math.pi
     differing = apart(similarity)
     radius = round(WIDE * differing + 2.6 * math.sqrt(WIDE * differing * (1 - differing)))
-    near = written(links(distinct.select(*columns, "node"), likely_plan(n, WIDE, differing, radius, chance), n), "simhash-wide-links")
+    near = written(links(distinct.select(*columns, "node"), likely_plan(n, WIDE, differing, radius, chance), n).distinct(), "simhash-wide-links")
     roots = components(similar(near, rows, similarity))
     group = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))

@@ -139,6 +139,8 @@ def test_word_hashes(make):
     h, bounds = simhash.shingle_hashes(pa.array(texts))
     lists = [h[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
     assert list(map(len, lists)) == [2, 2, 0, 0, 0, 1, 1, 1, 1] and lists[0] == lists[1] and lists[5] != lists[6] and lists[0][0] == lists[8][0] != lists[7][0]
+    for i in range(len(texts)):  # whatever the array is a part of
+        assert simhash.shingle_hashes(pa.array(texts).slice(i, 1))[0].tolist() == lists[i]
     wide = simhash.wide_fingerprints(h, bounds)
     assert (wide[0] == wide[1]).all() and not wide[2:5].any() and (wide[5] != wide[6]).any()
     for w in range(3):
