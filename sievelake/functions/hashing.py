@@ -6,8 +6,6 @@ with other characters hash to 0, and no valid word does.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -109,18 +107,3 @@ def positions(word: Column, k: int, modulus: int, num_hashes: int, seeds: tuple[
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, num_hashes, dtype=np.int32)), pa.array(flat.ravel()))
 
     return of(word)
-
-
-def native_position(word: Column, modulus: int) -> Column:
-    """JVM-side alternative: other positions, same use."""
-    return F.pmod(F.xxhash64(word), F.lit(modulus))
-
-
-def bit_checksum(packed: Column) -> Column:
-    """CRC of packed bits without the final inversion."""
-
-    @F.arrow_udf("long")
-    def of(blocks: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else zlib.crc32(b, 0xFFFFFFFF) ^ 0xFFFFFFFF for b in blocks.to_pylist()], pa.int64())
-
-    return of(packed)

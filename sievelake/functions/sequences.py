@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,22 +17,6 @@ COMPLEMENT = ("ACGT", "TGCA")
 IUPAC_COMPLEMENT = ("ACGTRYKMBVDHacgtrykmbvdh", "TGCAYRMKVBHDtgcayrmkvbhd")
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def windows(seq: Column, k: int) -> Column:
-    """All substrings of length k, as an array; none if the sequence is shorter."""
-    n = F.char_length(seq) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
-def valid_windows(seq: Column, k: int) -> Column:
-    """The windows of A, C, G, T (either case) alone: a bad base starts the run anew."""
-    return F.filter(windows(seq, k), lambda w: F.regexp_like(w, F.lit("^[ACGTacgt]+$")))
-
-
 def reverse_complement(seq: Column, iupac: bool = False) -> Column:
     """Upper-case ACGT alone are swapped, or all nucleotide codes in both cases."""
     return F.translate(F.reverse(seq), *(IUPAC_COMPLEMENT if iupac else COMPLEMENT))
@@ -53,28 +40,36 @@ def apply_seed(mer: Column, seed: str) -> Column:
     return F.concat(*[F.substring(mer, at, size) for at, size in runs])
 
 
-def qgrams(seq: Column, seeds: list[str]) -> Column:
-    """An array of the q-grams of a sequence: each window's canonical word under each seed."""
-    spans = {len(check_seed(s)) for s in seeds}
-    if len(spans) != 1:
-        raise ValueError("seeds differ in length")
-    words = F.transform(windows(seq, spans.pop()), lambda w: canonical(w))
-    return F.flatten(F.transform(words, lambda w: F.array(*[apply_seed(w, s) for s in seeds])))
-
-
 def as_nucleotides(text: Column) -> Column:
     """Letters of a text as nucleotides: a, b, c, d, e, ... are A, C, G, T, A, ..."""
     letters = "".join(map(chr, range(97, 123)))
     return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), letters, ("ACGT" * 7)[:26])
 
 
+def as_reads(text: Column) -> Column:
+    """Letters of a text as bases of reads: as ``as_nucleotides``, but capitals give
+    small letters, and q, x and z (either case) an N."""
+    letters = "".join(map(chr, range(97, 123)))
+    bases = ("ACGT" * 7)[:26]
+    own = "".join("N" if c in "qxz" else b for c, b in zip(letters, bases, strict=True))
+    return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), letters + letters.upper(), own + own.lower().replace("n", "N"))
+
+
 def read_quality(qual: Column, newline: bool = False) -> Column:
     """-10 log10 of the mean error probability of a quality string (codes from 33);
-    ``newline`` counts a line end as one more base, of code 10."""
-    extra = math.pow(10, 2.3) if newline else 0.0
-    errors = F.aggregate(F.split(qual, ""), F.lit(extra), lambda held, c: held + F.when(c != "", F.pow(F.lit(10.0), -(F.ascii(c) - 33) / 10.0)).otherwise(0.0))
-    size = F.char_length(qual) + int(newline)
-    return F.when(size > 0, -10 * F.log10(errors / size))
+    ``newline`` counts a line end as one more base, of code 10. Whole batches are
+    added up at once."""
+    errors = 10.0 ** -((np.arange(256) - 33) / 10.0)
+
+    @F.arrow_udf("double")
+    def of(quals: pa.Array) -> pa.Array:
+        texts = [q.encode("latin-1", "replace") for q in pc.fill_null(quals, "").to_pylist()]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        own = np.fromiter((errors[np.frombuffer(t, np.uint8)].sum() for t in texts), float, len(texts))
+        sizes, own = sizes + int(newline), own + newline * errors[10]
+        return pa.array(-10 * np.log10(np.where(sizes > 0, own, 1) / np.maximum(sizes, 1)), mask=(sizes == 0) | quals.is_null().to_numpy(zero_copy_only=False))
+
+    return of(qual)
 
 
 def keeps_read(seq: Column, qual: Column, min_quality: float = 9, min_length: int = 2000, newline: bool = False) -> Column:

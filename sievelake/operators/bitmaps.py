@@ -6,20 +6,21 @@ each, matched by it. Bitmaps of 32,768 bits per row are the compact form.
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BLOCK = 32_768
+
 
 def of(rows: DataFrame, filter_col: Column, pos: Column) -> DataFrame:
     return rows.select(filter_col.alias("filter"), pos.alias("pos")).distinct()
 
 
-def universe(filters: DataFrame, num_bits: int) -> DataFrame:
-    """All positions of each filter (filter)."""
-    return filters.select("filter").distinct().select("filter", F.explode(F.sequence(F.lit(0), F.lit(num_bits - 1))).alias("pos")).select("filter", F.col("pos").cast("long"))
-
-
 def and_(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["filter", "pos"], "left_semi")
 
@@ -38,15 +39,15 @@ def xor(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def not_(a: DataFrame, filters: DataFrame, num_bits: int) -> DataFrame:
-    return mask(universe(filters, num_bits), a)
+    return unpacked(packed_pair(packed(a), None, filters, num_bits, lambda x, y: ~x))
 
 
 def eq(a: DataFrame, b: DataFrame, filters: DataFrame, num_bits: int) -> DataFrame:
-    return not_(xor(a, b), filters, num_bits)
+    return unpacked(packed_pair(packed(a), packed(b), filters, num_bits, lambda x, y: ~(x ^ y)))
 
 
 def or_not(a: DataFrame, b: DataFrame, filters: DataFrame, num_bits: int) -> DataFrame:
-    return or_(a, not_(b, filters, num_bits))
+    return unpacked(packed_pair(packed(a), packed(b), filters, num_bits, lambda x, y: x | ~y))
 
 
 def ranks(bits: DataFrame) -> DataFrame:
@@ -66,8 +67,11 @@ def unsqueeze(bits: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def select0(bits: DataFrame, filters: DataFrame, num_bits: int) -> DataFrame:
-    """filter, i, pos: the i-th clear position, from 0."""
-    return ranks(not_(bits, filters, num_bits)).select("filter", F.col("rank").alias("i"), "pos")
+    """filter, i, pos: the i-th clear position, from 0. Buckets are ranked, not positions."""
+    clear = packed_pair(packed(bits), None, filters, num_bits, lambda x, y: ~x)
+    before = F.coalesce(F.sum(F.bitmap_count("bitmap")).over(W.partitionBy("filter").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    each = clear.withColumn("before", before).select("filter", "before", "bucket", F.posexplode(set_bits(F.col("bitmap"))).alias("at", "bit"))
+    return each.select("filter", (F.col("before") + F.col("at")).alias("i"), ((F.col("bucket") - 1) * BLOCK + F.col("bit")).alias("pos"))
 
 
 def density(bits: DataFrame, num_bits: int) -> DataFrame:
@@ -115,13 +119,119 @@ def packed_sizes(maps: DataFrame) -> DataFrame:
     return maps.groupBy("filter").agg(F.sum(F.bitmap_count("bitmap")).alias("ones"))
 
 
+def set_bits(bitmap: Column) -> Column:
+    """The set bits of a bitmap, in order."""
+
+    @F.arrow_udf("array<int>")
+    def of(maps: pa.Array) -> pa.Array:
+        found = [np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")).astype(np.int32) for m in maps.to_pylist()]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+    return of(bitmap)
+
+
+def unpacked(maps: DataFrame) -> DataFrame:
+    """filter, pos of bitmaps."""
+    return maps.select("filter", "bucket", F.explode(set_bits(F.col("bitmap"))).alias("bit")).select("filter", ((F.col("bucket") - 1) * BLOCK + F.col("bit")).alias("pos"))
+
+
+def buckets(filters: DataFrame, num_bits: int) -> DataFrame:
+    """filter, bucket of each block of each filter."""
+    last = -(-num_bits // BLOCK)
+    return filters.select("filter").distinct().select("filter", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(last).cast("long"))).alias("bucket"))
+
+
+def packed_pair(a: DataFrame, b: DataFrame | None, filters: DataFrame, num_bits: int, op) -> DataFrame:
+    """Bitmaps of all buckets of the filters, from those of a (and b): ``op`` on arrays
+    of bytes. Bits beyond num_bits stay clear."""
+    empty = F.lit(bytes(BLOCK // 8))
+    both = buckets(filters, num_bits).join(a.withColumnRenamed("bitmap", "x"), ["filter", "bucket"], "left").withColumn("x", F.coalesce("x", empty))
+    if b is not None:
+        both = both.join(b.withColumnRenamed("bitmap", "y"), ["filter", "bucket"], "left")
+    both = both.withColumn("y", F.coalesce("y", empty) if b is not None else empty)
+
+    @F.arrow_udf("binary")
+    def of(xs: pa.Array, ys: pa.Array, bucket: pa.Array) -> pa.Array:
+        out = []
+        for x, y, k in zip(xs.to_pylist(), ys.to_pylist(), bucket.to_pylist(), strict=True):
+            made = op(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+            left = num_bits - (k - 1) * BLOCK
+            if left < BLOCK:
+                made = np.packbits(np.unpackbits(made, bitorder="little") * (np.arange(BLOCK) < left), bitorder="little")
+            out.append(made.tobytes())
+        return pa.array(out, pa.binary())
+
+    return both.select("filter", "bucket", of("x", "y", "bucket").alias("bitmap"))
+
+
 def random_bits(filters: DataFrame, num_bits: int, density: float, seed: int = 0) -> DataFrame:
     """Bits set independently with a probability; the same for the same seed."""
+    start = ((F.col("bucket") - 1) * BLOCK).cast("long")
+    each = buckets(filters, num_bits).select("filter", F.explode(F.sequence(start, F.least(start + BLOCK, F.lit(num_bits).cast("long")) - 1)).alias("pos"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "filter", "pos"), F.lit(1 << 52)) / float(1 << 52)
-    return universe(filters, num_bits).where(draw < density)
+    return each.where(draw < density)
 
 
 def random_exactly(filters: DataFrame, num_bits: int, ones: int, seed: int = 0) -> DataFrame:
-    """Exactly so many random bits per filter."""
-    by = W.partitionBy("filter").orderBy(F.xxhash64(F.lit(seed), "filter", "pos"), "pos")
-    return universe(filters, num_bits).withColumn("r", F.row_number().over(by)).where(F.col("r") <= ones).drop("r")
+    """Exactly so many random bits per filter, all sets alike: how many fall in each
+    block is drawn first, then which ones, block by block."""
+    sizes = [min(BLOCK, num_bits - at) for at in range(0, num_bits, BLOCK)]
+    own = F.xxhash64(F.lit(seed), F.col("filter"))
+
+    @F.arrow_udf("array<int>")
+    def shares(seeds: pa.Array) -> pa.Array:
+        drawn = [np.random.default_rng(s % (1 << 64)).multivariate_hypergeometric(sizes, ones, method="marginals") for s in seeds.to_pylist()]
+        return pa.array([d.tolist() for d in drawn], pa.list_(pa.int32()))
+
+    @F.arrow_udf("array<int>")
+    def chosen(seeds: pa.Array, block: pa.Array, take: pa.Array) -> pa.Array:
+        rows = zip(seeds.to_pylist(), block.to_pylist(), take.to_pylist(), strict=True)
+        return pa.array([np.sort(np.random.default_rng([s % (1 << 64), b]).choice(sizes[b], t, replace=False)).tolist() for s, b, t in rows], pa.list_(pa.int32()))
+
+    split = filters.select("filter").distinct().withColumn("own", own).select("filter", "own", F.posexplode(shares("own")).alias("block", "take"))
+    each = split.select("filter", "block", F.explode(chosen("own", "block", "take")).alias("bit"))
+    return each.select("filter", (F.col("block").cast("long") * BLOCK + F.col("bit")).alias("pos"))
+
+
+# Fixed value: the reflected polynomial of CRC-32.
+POLYNOMIAL, ONES = 0xEDB88320, 0xFFFFFFFF
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials, reflected, modulo the checksum's."""
+    out = 0
+    for i in range(31, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def zeros_after(n: int) -> int:
+    """What a checksum is multiplied with for n bytes of zeros behind it."""
+    power, out = 1 << 23, 1 << 31  # x to the 8th, and 1
+    while n:
+        if n & 1:
+            out = _times(out, power)
+        power = _times(power, power)
+        n >>= 1
+    return out
+
+
+def checksums(maps: DataFrame, num_bits: int) -> DataFrame:
+    """filter, crc: the checksum of each filter's bytes, a byte's first position in its
+    highest bit. Checksums are linear: each bucket's is moved by the bytes behind it,
+    and the buckets' add up; no filter is gathered."""
+    total = -(-num_bits // 8)
+
+    @F.arrow_udf("long")
+    def moved(bitmap: pa.Array, bucket: pa.Array) -> pa.Array:
+        out = []
+        for m, k in zip(bitmap.to_pylist(), bucket.to_pylist(), strict=True):
+            turned = np.packbits(np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little")).tobytes()[: total - (k - 1) * (BLOCK // 8)]
+            # started with zero and not inverted: zlib inverts before and after
+            raw = zlib.crc32(turned, ONES) ^ ONES
+            out.append(_times(raw, zeros_after(max(0, total - k * (BLOCK // 8)))))
+        return pa.array(out, pa.int64())
+
+    return maps.groupBy("filter").agg(F.bit_xor(moved("bitmap", "bucket")).alias("crc"))

@@ -1,47 +1,102 @@
-"""From elements to filters: single filters, unions, intersections, minimum abundance."""
+"""From elements to filters: single filters, unions, intersections, minimum abundance.
+
+Windows are made, chosen and hashed for whole sequences at once, in Arrow batches,
+and added up there, so that what is exchanged is distinct numbers with counts.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.functions import hashing, sequences
-
-
-SEGMENT = 256
-
+from sievelake.functions import hashing, sequences, windows
 
-def window_rows(rows: DataFrame, seq: Column, k: int, *keep: Column) -> DataFrame:
-    """``keep``, w, r: every window of length k and its reverse complement.
 
-    A sequence is cut into overlapping segments first: finding a place in a string
-    costs time in proportion to it, and a segment's complement is made once."""
-    n = F.char_length("seq")
-    names = [f"k{i}" for i in range(len(keep))]
-    flat = rows.select(*[c.alias(a) for c, a in zip(keep, names, strict=True)], seq.alias("seq")).where(n >= k)
-    cut = F.transform(F.sequence(F.lit(1), n - k + 1, F.lit(SEGMENT)), lambda i: F.substring("seq", i, F.lit(SEGMENT + k - 1)))
-    parts = flat.select(*names, F.explode(cut).alias("s")).select(*names, "s", sequences.reverse_complement(F.col("s")).alias("c"), F.char_length("s").alias("m"))
-    each = parts.select(*names, "s", "c", "m", F.explode(F.sequence(F.lit(1), F.col("m") - k + 1)).alias("i"))
-    return each.select(*names, F.substring("s", F.col("i"), F.lit(k)).alias("w"), F.substring("c", F.col("m") - F.col("i") - k + 2, F.lit(k)).alias("r"))
+DIGITS = str.maketrans("ACGT", "0123")
 
 
-def qgram_rows(rows: DataFrame, key: Column, seq: Column, seeds: list[str]) -> DataFrame:
-    """key, qgram: every q-gram of every window under each seed, repeats included."""
+def _span(seeds: list[str]) -> int:
     spans = {len(sequences.check_seed(s)) for s in seeds}
     if len(spans) != 1:
         raise ValueError("seeds differ in length")
-    words = window_rows(rows, seq, spans.pop(), key).select(F.col("k0").alias("key"), F.least("w", "r").alias("word"))
-    grams = [sequences.apply_seed(F.col("word"), s) for s in seeds]
-    return words.select("key", (grams[0] if len(grams) == 1 else F.explode(F.array(*grams))).alias("qgram"))
+    if (span := spans.pop()) > windows.MAX_K:
+        raise ValueError(f"seeds of more than {windows.MAX_K} characters")
+    return span
+
+
+def _keyed(rows: DataFrame, key: Column, seq: Column) -> tuple[DataFrame, str]:
+    flat = rows.select(key.alias("key"), seq.alias("seq"))
+    return flat, flat.schema["key"].dataType.simpleString()
+
+
+def _qgrams(batches, span: int, seeds: list[str]):
+    """(batch, number of the row's key, keys, seed, packed q-grams, odd q-grams with
+    their keys) of each piece."""
+    for batch, rows, data, ends in windows.pieces(batches, span):
+        at, part = windows.places(ends, span)
+        codes = windows.codes_of(data)
+        good = windows.plain(codes, at, span)
+        own, keys = windows.keys_of(batch, rows)
+        word = np.minimum(*windows.both_strands(codes, at[good], span))
+        odd = windows.odd_words(data, at[~good], span) if not good.all() else []
+        for seed in seeds:
+            yield keys, seed, own[part[good]], windows.seeded(word, seed), own[part[~good]], [windows.at_seed(w, seed) for w in odd]
+
+
+def qgram_counts(rows: DataFrame, key: Column, seq: Column, seeds: list[str]) -> DataFrame:
+    """key, qgram, n: the q-grams of all windows under each seed."""
+    span, (flat, kind) = _span(seeds), _keyed(rows, key, seq)
+
+    def run(batches):
+        for keys, seed, groups, values, odd_groups, odd in _qgrams(batches, span, seeds):
+            g, v, n = windows.counted(groups, values)
+            weight = seed.count("1")
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array(v), pa.nulls(len(v), pa.string()), pa.array(np.full(len(v), weight, np.int32)), pa.array(n)], ["key", "code", "odd", "weight", "n"])
+            if odd:
+                # where the seed skips the other characters, what is left is a word like any
+                code = [-1 if set(w) - set("ACGT") else int(w.translate(DIGITS), 4) for w in odd]
+                spelled_out = [w if c < 0 else None for w, c in zip(odd, code, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(code, pa.int64()), pa.array(spelled_out, pa.string()), pa.array(np.full(len(odd), weight, np.int32)), pa.array(np.ones(len(odd), np.int64))], ["key", "code", "odd", "weight", "n"])
+
+    added = flat.mapInArrow(run, f"key {kind}, code long, odd string, weight int, n long").groupBy("key", "code", "odd", "weight").agg(F.sum("n").alias("n"))
+    # words under seeds of different weight differ, those of one weight meet
+    return added.select("key", F.coalesce("odd", spelled(F.col("code"), F.col("weight"))).alias("qgram"), "n")
+
+
+def spelled(code: Column, k: Column | int) -> Column:
+    """A packed word as characters: its base-four digits."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, F.lit("0") if isinstance(k, Column) else "0"), "0123", "ACGT")
+
+
+def qgram_hashes(rows: DataFrame, key: Column, seq: Column, seeds: list[str], hash_seed: int = 0) -> DataFrame:
+    """key, hash (the 64 bits as a signed long), n: per batch of rows; 0 for q-grams with
+    other characters than ACGT."""
+    span, (flat, kind) = _span(seeds), _keyed(rows, key, seq)
+
+    def run(batches):
+        for keys, seed, groups, values, odd_groups, odd in _qgrams(batches, span, seeds):
+            g, v, n = windows.counted(groups, values)
+            h = windows.hashes(v, seed.count("1"), hash_seed)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array(h.view(np.int64)), pa.array(n)], ["key", "hash", "n"])
+            if odd:
+                h = hashing.hash_words(pa.array(odd, pa.string()), seed.count("1"), hash_seed)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(h.view(np.int64)), pa.array(np.ones(len(odd), np.int64))], ["key", "hash", "n"])
+
+    return flat.mapInArrow(run, f"key {kind}, hash long, n long")
+
+
+def modulo(h: Column, modulus: int) -> Column:
+    """An unsigned 64-bit number modulo a number below 2 to the 62nd."""
+    return F.pmod(F.pmod(F.shiftrightunsigned(h, 1), F.lit(modulus)) * 2 + h.bitwiseAND(F.lit(1)), F.lit(modulus))
 
 
 def qgram_bags(rows: DataFrame, key: Column, seq: Column, seeds: list[str], modulus: int, hash_seed: int = 0) -> DataFrame:
-    """key, pos, n: positions with how often each is hit. Q-grams with other
-    characters than ACGT hit position 0. Words are hashed in Arrow batches before the
-    one exchange, which then moves numbers, added up per task, instead of words."""
-    weight = sequences.check_seed(seeds[0]).count("1")
-    grams = qgram_rows(rows, key, seq, seeds)
-    return grams.select("key", hashing.position(F.col("qgram"), weight, modulus, hash_seed).alias("pos")).groupBy("key", "pos").agg(F.count(F.lit(1)).alias("n"))
+    """key, pos, n: positions with how often each is hit. Q-grams with other characters
+    than ACGT hit position 0."""
+    pos = modulo(F.col("hash"), modulus)
+    return qgram_hashes(rows, key, seq, seeds, hash_seed).groupBy("key", pos.alias("pos")).agg(F.sum("n").alias("n"))
 
 
 def filters_of(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,22 +104,54 @@ def filters_of(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bags.select(F.col("key").alias("filter"), "pos"), bags.groupBy(F.col("key").alias("filter")).agg(F.sum("n").alias("set_size"))
 
 
-def union_filter(bits: DataFrame, num_bits: int) -> DataFrame:
-    """pos of the union of all filters, their unreduced positions taken modulo its own size."""
-    return bits.select(F.pmod("pos", F.lit(num_bits)).alias("pos")).distinct()
+def union_filter(hashed: DataFrame, num_bits: int) -> DataFrame:
+    """pos of the union of the filters of all q-grams (key, hash): their hashes taken
+    modulo the union's own size, whatever that of the single filters is."""
+    return hashed.select(modulo(F.col("hash"), num_bits).alias("pos")).distinct()
+
+
+def intersection_filter(hashed: DataFrame, num_bits: int) -> DataFrame:
+    """pos set in the filter of every key, hashes taken modulo the result's own size."""
+    held = hashed.select("key", modulo(F.col("hash"), num_bits).alias("pos")).distinct()
+    members = hashed.agg(F.count_distinct("key").alias("members"))
+    return held.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(members)).where("n = members").select("pos")  # one row
+
+
+def word_counts(rows: DataFrame, seq: Column, k: int, canonical: bool = True) -> DataFrame:
+    """code (packed), n of the windows of ACGT of either case; others start the run anew."""
+    if k > windows.MAX_K:
+        raise ValueError(f"words of more than {windows.MAX_K} bases")
+
+    def run(batches):
+        for _, _, data, ends in windows.pieces(batches, k):
+            at, _ = windows.places(ends, k)
+            codes = windows.codes_of(data, lower=True)
+            word, other = windows.both_strands(codes, at[windows.plain(codes, at, k)], k)
+            v, n = np.unique(np.minimum(word, other) if canonical else word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["code", "n"])
+
+    flat = rows.select(F.lit(0).alias("key"), seq.alias("seq"))
+    return flat.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def kmer_counts(rows: DataFrame, seq: Column, k: int, at_least: int = 1, canonical: bool = True) -> DataFrame:
+    """kmer, n over all rows: (canonical) words of ACGT that occur often enough."""
+    found = word_counts(rows, seq, k, canonical).where(F.col("n") >= at_least)
+    return found.select(spelled(F.col("code"), k).alias("kmer"), "n")
 
 
-def intersection_filter(bits: DataFrame, num_bits: int) -> DataFrame:
-    """pos set in every filter, each filter's positions taken modulo the result's size."""
-    members = bits.select("filter").distinct().agg(F.count(F.lit(1)).alias("members"))
-    held = bits.select("filter", F.pmod("pos", F.lit(num_bits)).alias("pos")).distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
-    return held.join(F.broadcast(members)).where("n = members").select("pos")
+def strand_agreement(rows: DataFrame, seq: Column, k: int, seed: int = 0) -> DataFrame:
+    """same, n: windows whose two-strand hash is, or isn't, that of their reverse complement."""
 
+    def run(batches):
+        for _, _, data, ends in windows.pieces(batches, k):
+            at, _ = windows.places(ends, k)
+            codes = windows.codes_of(data)
+            word, other = windows.both_strands(codes, at[windows.plain(codes, at, k)], k)
+            same, n = np.unique(windows.hashes(word, k, seed, other) == windows.hashes(other, k, seed, word), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(n)], ["same", "n"])
 
-def kmer_counts(rows: DataFrame, seq: Column, k: int, at_least: int = 1) -> DataFrame:
-    """kmer, n over all rows: canonical words of ACGT that occur often enough."""
-    found = window_rows(rows, F.upper(seq), k).where(F.translate("w", "ACGT", "") == "")
-    return found.groupBy(F.least("w", "r").alias("kmer")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    return rows.select(F.lit(0).alias("key"), seq.alias("seq")).mapInArrow(run, "same boolean, n long").groupBy("same").agg(F.sum("n").alias("n"))
 
 
 def kmer_filter(counts: DataFrame, k: int, modulus: int, num_bits: int, num_hashes: int = 1, seeds: tuple[int, int] = (0, 1)) -> DataFrame:

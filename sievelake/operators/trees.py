@@ -79,16 +79,6 @@ def squeezed(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return active.withColumn("slot", slot).join(determined, ["node", "pos"], "left").select("node", "slot", F.col("how").isNotNull().alias("det"), "how")
 
 
-def lookup(kind: str, has_all: Column, has_some: Column, is_leaf: Column) -> Column:
-    """1 present, 0 absent, -1 unresolved; what a leaf leaves open is present."""
-    state = {
-        "simple": F.when(~has_some, 0).otherwise(-1),
-        "allsome": F.when(has_all, 1).when(~has_some, 0).otherwise(-1),
-        "determined": F.when(has_all & has_some, 1).when(has_all, 0).otherwise(-1),
-    }[kind]
-    return F.when(is_leaf & (state == -1), 1).otherwise(state)
-
-
 def query(nodes: DataFrame, sets: DataFrame, probes: DataFrame, theta: float) -> DataFrame:
     """read, node, present, absent, total, outcome of every node visited, level by level.
 
@@ -156,14 +146,14 @@ def determined_ratio(nodes: DataFrame, sets: DataFrame, num_bits: int) -> DataFr
     up = sizes.select(F.col("node").alias("parent"), F.col("open").alias("open_above"))
     joined = sizes.join(up, "parent", "left").withColumn("open_above", F.coalesce("open_above", F.lit(num_bits)))
     det = F.col("open_above") - F.when(F.col("is_leaf"), 0).otherwise(F.col("open"))
-    return joined.select("node", "is_leaf", det.alias("det"), "open_above", F.when(F.col("open_above") > 0, F.round(det / F.col("open_above"), 6)).alias("ratio"))
+    return joined.select("node", "is_leaf", det.alias("det"), "open_above", F.when(F.col("open_above") > 0, det / F.col("open_above")).alias("ratio"))
 
 
 def culling_threshold(ratios: DataFrame, z: float = 2.0) -> DataFrame:
     """mean, sd, threshold (mean less z deviations, within 0 and 1) over internal nodes."""
     inner = ratios.where("NOT is_leaf AND open_above > 0").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("sd"))
     threshold = F.least(F.greatest(F.col("mean") - z * F.col("sd"), F.lit(0.0)), F.lit(1.0))
-    return inner.select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(threshold, 6).alias("threshold"))
+    return inner.select("mean", "sd", threshold.alias("threshold"))
 
 
 def cull(nodes: DataFrame, ratios: DataFrame, threshold: DataFrame) -> DataFrame:
@@ -177,10 +167,14 @@ def cull(nodes: DataFrame, ratios: DataFrame, threshold: DataFrame) -> DataFrame
     return at.join(keep, at["node"] == keep["out"], "left_anti")
 
 
-def numbered(nodes: DataFrame, template: str = "node{number}") -> DataFrame:
-    """Internal nodes with names by a template, numbered level by level from 1."""
-    order = W.partitionBy(F.lit(0)).orderBy("depth", "node")
-    return nodes.where("NOT is_leaf").select("node", F.replace(F.lit(template), F.lit("{number}"), F.row_number().over(order).cast("string")).alias("name"))
+def numbered(nodes: DataFrame, template: str = "node{number}", start: int = 1) -> DataFrame:
+    """Internal nodes with names by a template, numbered level by level from ``start``:
+    within each level, after the nodes of the levels above."""
+    inner = nodes.where("NOT is_leaf").select("depth", "node")
+    levels = inner.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    above = levels.join(levels.select(F.col("depth").alias("up"), F.col("n").alias("before")), F.col("up") < F.col("depth"), "left").groupBy("depth").agg(F.coalesce(F.sum("before"), F.lit(0)).alias("before"))
+    number = F.row_number().over(W.partitionBy("depth").orderBy("node")) + F.col("before") + (start - 1)
+    return inner.join(above, "depth").select("node", F.replace(F.lit(template), F.lit("{number}"), number.cast("string")).alias("name"))
 
 
 def violations(nodes: DataFrame, sets: DataFrame, stored: DataFrame) -> DataFrame:

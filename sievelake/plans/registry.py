@@ -14,7 +14,7 @@ from sievelake.functions import hashing, names, sequences
 from sievelake.operators import bitmaps, containment, distances, graphs, identify, reports, sketches, trees
 from sievelake.plans import sql
 from sievelake.sources import sequence_files, topology
-from sievelake.workspace import table, written
+from sievelake.workspace import scratch, table, written
 
 BITS, SEEDS, MODULUS = sql.BITS, ["111111001111111"], sql.MODULUS
 QUERIES: dict = {}
@@ -113,14 +113,49 @@ def classify_reads(spark, d):
 
 @query(sql.QGRAMS)
 def spaced_qgrams(spark, d):
-    rows = sketches.qgram_rows(texts(spark, d, "documents", "lang"), F.col("key"), F.col("seq"), SEEDS)
-    return rows.groupBy(F.col("key").alias("lang"), "qgram").agg(F.count(F.lit(1)).alias("n"))
+    return sketches.qgram_counts(texts(spark, d, "documents", "lang"), F.col("key"), F.col("seq"), SEEDS).withColumnRenamed("key", "lang")
 
 
 @query(sql.MULTI_SEED)
 def multi_seed_qgrams(spark, d):
-    rows = sketches.qgram_rows(texts(spark, d, "benchmark", "item_id"), F.col("key"), F.col("seq"), ["1101011", "1110111"])
-    return rows.groupBy(F.col("key").alias("item_id"), "qgram").agg(F.count(F.lit(1)).alias("n"))
+    return sketches.qgram_counts(texts(spark, d, "documents", "lang"), F.col("key"), F.col("seq"), ["1101011", "1110111"]).withColumnRenamed("key", "lang")
+
+
+@query(sql.READ_QGRAMS)
+def read_qgram_filter(spark, d):
+    """Positions of reads with small letters and Ns: q-grams with other characters than ACGT of either case hit position 0."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("lang").alias("key"), sequences.as_reads(F.col("text")).alias("seq"))
+    return bags(rows).select(F.col("key").alias("lang"), "pos", "n")
+
+
+@query(sql.READ_KMERS)
+def read_kmer_counts(spark, d):
+    """Canonical words of reads with small letters and Ns, which start the run anew."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(sequences.as_reads(F.col("text")).alias("seq"))
+    return sketches.kmer_counts(rows, F.col("seq"), 9)
+
+
+@query(sql.IUPAC)
+def iupac_complements(spark, d):
+    """Reverse complements of letters as nucleotide codes, both cases."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    return rows.select("doc_id", F.md5(sequences.reverse_complement(F.col("seq"))).alias("plain"), F.md5(sequences.reverse_complement(F.col("seq"), iupac=True)).alias("iupac"))
+
+
+def hashed_qgrams(spark, d):
+    return sketches.qgram_hashes(texts(spark, d, "documents", "source"), F.col("key"), F.col("seq"), SEEDS)
+
+
+@query(sql.QGRAM_UNION)
+def qgram_union_filter(spark, d):
+    """The union of the sources' filters, in twice as many bits as they have."""
+    return sketches.union_filter(hashed_qgrams(spark, d), 2 * MODULUS)
+
+
+@query(sql.QGRAM_INTERSECTION)
+def qgram_intersection_filter(spark, d):
+    """What the filters of all sources share, in a modulus of its own."""
+    return sketches.intersection_filter(hashed_qgrams(spark, d), 3_000_017)
 
 
 @query(sql.FILTER_STATS)
@@ -145,9 +180,11 @@ def kmer_filter_membership(spark, d):
 
 @query(sql.KMER_LIST)
 def kmer_list_filter(spark, d):
-    """Reads of a k-mer list: the first 12 nucleotides of each document, the rest of the line ignored."""
-    rows = texts(spark, d, "documents", "doc_id").where("char_length(seq) >= 12").select(F.concat(F.substring("seq", 1, 12), F.lit(" "), F.col("key").cast("string")).alias("line"))
-    return sequence_files.kmer_list(rows, "line", 12).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    """A filter from a k-mer list: all words of 12 of the documents, what follows on the line ignored."""
+    words = sketches.kmer_counts(texts(spark, d, "documents", "doc_id"), F.col("seq"), 12, canonical=False)
+    lines_of = words.select(F.concat("kmer", F.lit(" "), F.col("n").cast("string")).alias("line"))
+    listed = sequence_files.kmer_list(lines_of, "line", 12)
+    return listed.groupBy(hashing.position(F.col("kmer"), 12, MODULUS).alias("pos")).agg(F.count(F.lit(1)).alias("kmers"))
 
 
 @query(sql.REVCOMP)
@@ -156,12 +193,10 @@ def reverse_complements(spark, d):
     return rows.select(F.col("key").alias("doc_id"), F.md5(sequences.reverse_complement(F.col("seq"))).alias("plain"), F.md5(sequences.reverse_complement(F.lower("seq"), iupac=True)).alias("iupac"))
 
 
-@query()
+@query(sql.STRANDS)
 def strand_symmetric_hashes(spark, d):
     """Words whose two-strand hash differs from that of their reverse complement: none."""
-    mers = sketches.window_rows(texts(spark, d, "documents", "doc_id"), F.col("seq"), 21)
-    at = lambda c: hashing.position(c, 21, 1 << 60, both_strands=True)
-    return mers.groupBy((at(F.col("w")) == at(F.col("r"))).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+    return sketches.strand_agreement(texts(spark, d, "documents", "doc_id"), F.col("seq"), 21)
 
 
 def with_quality(spark, d) -> DataFrame:
@@ -177,6 +212,36 @@ def read_quality_filter(spark, d):
     return kept.select("read", F.char_length("seq").cast("long").alias("length"), F.round(sequences.read_quality(F.col("qual")), 4).alias("quality"))
 
 
+@query(sql.READ_FILTER_LINES)
+def read_quality_filter_lines(spark, d):
+    """The published form: a line end counts as one more base, in length and quality."""
+    reads = with_quality(spark, d)
+    kept = reads.where(sequences.keeps_read(F.col("seq"), F.col("qual"), 14.5, 500, newline=True))
+    return kept.select("read", F.char_length("seq").cast("long").alias("length"), F.round(sequences.read_quality(F.col("qual"), newline=True), 4).alias("quality"))
+
+
+@query(sql.FASTA)
+def fasta_records(spark, d):
+    """Documents written as FASTA, two lines a sequence and a mark within the header, and read again."""
+    path = scratch(spark, "fasta")
+    half = F.floor(F.length("seq") / 2).cast("int")
+    rows = texts(spark, d, "documents", "doc_id").where("length(seq) > 1")
+    text = F.concat(F.lit(">doc"), F.col("key").cast("string"), F.lit(" a->b >c\n"), F.col("seq").substr(F.lit(1), half), F.lit("\r\n"), F.expr("substring(seq, int(floor(length(seq) / 2)) + 1)"))
+    rows.select(text.alias("value")).write.text(path)
+    return sequence_files.query_sequences(spark, path).select("name", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
+
+
+@query(sql.FASTQ)
+def fastq_records(spark, d):
+    """Documents written as FASTQ, with quality lines that start with any code, '@' and '+' among them, and read again."""
+    path = scratch(spark, "fastq")
+    rows = texts(spark, d, "documents", "doc_id").where("length(seq) > 1")
+    qual = F.concat(F.element_at(F.array(*map(F.lit, "@+>5")), (F.col("key") % 4 + 1).cast("int")), F.translate(F.expr("substring(seq, 2)"), "ACGT", "@+>5"))
+    text = F.concat(F.lit("@r"), F.col("key").cast("string"), F.lit(" x\n"), F.col("seq"), F.lit("\n+\n"), qual)
+    rows.select(text.alias("value")).write.text(path)
+    return sequence_files.fastq(spark, path).select("name", F.md5("seq").alias("digest"), F.md5("qual").alias("quality"))
+
+
 @query(sql.READ_SUMMARY)
 def read_filter_summary(spark, d):
     reads = with_quality(spark, d)
@@ -209,13 +274,13 @@ def name_rules(spark, d):
 
 @query(sql.FILTER_UNION)
 def filter_union(spark, d):
-    return sketches.union_filter(supplier_bits(spark, d), 4096)
+    return sketches.union_filter(supplier_bits(spark, d).select(F.col("filter").alias("key"), F.col("pos").alias("hash")), 4096)
 
 
 @query(sql.FILTER_INTERSECT)
 def filter_intersect(spark, d):
     rows = lines(spark, d)
-    return sketches.intersection_filter(bitmaps.of(rows, F.col("l_linenumber"), F.col("pos")), 4096)
+    return sketches.intersection_filter(rows.select(F.col("l_linenumber").alias("key"), F.col("pos").alias("hash")), 4096)
 
 
 @query(sql.BINARY["and"])
@@ -308,10 +373,16 @@ def packed_union_sizes(spark, d):
     return bitmaps.packed_sizes(bitmaps.packed_or(maps, F.col("filter.s_nationkey")))
 
 
-@query()
+@query(sql.CHECKSUMS)
 def bit_checksums(spark, d):
-    maps = bitmaps.packed(supplier_bits(spark, d))
-    return maps.select("filter", "bucket", hashing.bit_checksum(F.col("bitmap")).alias("crc"))
+    return bitmaps.checksums(bitmaps.packed(supplier_bits(spark, d)), BITS)
+
+
+@query(sql.EXACTLY)
+def exact_random_vectors(spark, d):
+    """1,000 random bits for each supplier's filter, and whether all lie within it."""
+    drawn = bitmaps.random_exactly(supplier_bits(spark, d), BITS, 1000, seed=5)
+    return drawn.groupBy("filter").agg(F.count_distinct("pos").alias("ones"), (F.max("pos") < BITS).alias("inside"))
 
 
 @query()
@@ -400,7 +471,9 @@ def result_text(spark, d):
 @query(sql.CLASSIFY_SETS)
 def result_text_parsed(spark, d):
     """The text form read back gives the matches again."""
-    text = result_text(spark, d).select(F.col("read").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    path = scratch(spark, "results")
+    result_text(spark, d).select(F.col("text").alias("value")).write.text(path)
+    text = spark.read.option("lineSep", "\n*").text(path).select(F.lit("results").alias("source"), F.concat(F.lit("*"), F.ltrim(F.col("value"), F.lit("*"))).alias("value"))
     back = sequence_files.query_results(text)
     return back.select(F.col("read").cast("long").alias("read"), F.col("leaf").cast("long").alias("filter"), "hits", "total", "frac")
 
@@ -505,7 +578,7 @@ def clean_merge(spark, d):
     return graphs.superseded(filters, graphs.merged_names(merged(spark, d)))
 
 
-@query()
+@query(sql.CLIQUES)
 def maximal_cliques(spark, d):
     near = close_suppliers(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"))
     return graphs.maximal_cliques(near).select(F.array_join(F.transform("clique", lambda c: c.cast("string")), "_").alias("clique"), F.size("clique").alias("members"))
@@ -572,15 +645,15 @@ def bit_stats(spark, d):
 @query(sql.RATIOS)
 def determined_ratios(spark, d):
     nodes, _, sets = tree(spark, d)
-    return trees.determined_ratio(nodes, sets, BITS)
+    return trees.determined_ratio(nodes, sets, BITS).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(sql.CULL)
 def cull_nodes(spark, d):
-    """Parents after the nodes are culled whose determined ratio is below the mean."""
+    """Parents after the nodes are culled whose determined ratio is two deviations below the mean, or more."""
     nodes, _, sets = tree(spark, d)
     ratios = trees.determined_ratio(nodes, sets, BITS)
-    return trees.cull(nodes, ratios, trees.culling_threshold(ratios, 0.0))
+    return trees.cull(nodes, ratios, trees.culling_threshold(ratios, sql.DEVIATIONS))
 
 
 @query(sql.NUMBERED)
@@ -662,7 +735,7 @@ def abundance_em(spark, d):
     return proportions(spark, d)[0].select("strain", "abundance")
 
 
-@query()
+@query(sql.LIKELIHOOD)
 def abundance_likelihood(spark, d):
     found, sets = proportions(spark, d)
     return identify.log_likelihood(sets, found)
@@ -670,6 +743,8 @@ def abundance_likelihood(spark, d):
 
 @query(sql.CLEAN)
 def clean_results(spark, d):
-    """Shares of regions and of the merged pair of the first two, spelled out."""
-    shares = table(spark, d, "nation").groupBy("n_regionkey").agg((F.count(F.lit(1)) / 25).alias("abundance")).select(F.when(F.col("n_regionkey") < 2, F.concat(F.col("n_regionkey"), F.lit("_"), F.col("n_regionkey") + 1, F.lit("_"))).otherwise(F.concat(F.lit("region"), F.col("n_regionkey"))).alias("strain"), "abundance")
+    """Shares of regions in the order lines and of the merged pair of the first two, spelled out."""
+    hits = region_matches(spark, d).groupBy("strain").agg(F.sum("hits").alias("hits"))
+    merged = F.when(F.col("strain") < 2, F.concat(F.col("strain"), F.lit("_"), F.col("strain") + 1, F.lit("_"))).otherwise(F.concat(F.lit("region"), F.col("strain")))
+    shares = hits.join(F.broadcast(hits.agg(F.sum("hits").alias("all")))).select(merged.alias("strain"), (F.col("hits") / F.col("all")).alias("abundance"))
     return reports.clean_results(shares, table(spark, d, "region").select(F.col("r_regionkey").alias("number"), F.col("r_name").alias("name")))

@@ -7,6 +7,7 @@ from sievelake.functions.hashing import KERNELS
 BITS = 16384
 MODULUS = 1 << 24
 CLOSE = 1.03
+DEVIATIONS = 1.0
 
 # ---- integer sets -------------------------------------------------------
 
@@ -70,6 +71,10 @@ FILTER_INTERSECT = f"SELECT l_partkey % {BITS} % 4096 AS pos FROM lineitem GROUP
 CONSISTENT = """WITH f AS (SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS kinds, count(*) AS set_size FROM orders GROUP BY 1),
     c AS (SELECT 'kinds' AS parameter, count(DISTINCT kinds) AS "values" FROM f UNION ALL SELECT 'set_size', count(DISTINCT set_size) FROM f) SELECT * FROM c WHERE "values" > 1"""
 
+CHECKSUMS = f"""WITH RECURSIVE s(n, c) AS (SELECT 0, 128::UBIGINT UNION ALL SELECT n + 1, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) FROM s WHERE n < {BITS + 8}), {_BITS}
+    SELECT filter, CAST(bit_xor(c) AS BIGINT) AS crc FROM bits JOIN s ON n = {BITS} - 8 * (pos // 8) + pos % 8 GROUP BY filter"""
+EXACTLY = "SELECT DISTINCT l_suppkey AS filter, 1000 AS ones, true AS inside FROM lineitem"
+
 # ---- distances ----------------------------------------------------------
 
 _PAIRS = f"""WITH {_BITS}, n AS (SELECT filter, count(*) AS n FROM bits GROUP BY filter),
@@ -96,6 +101,10 @@ HISTOGRAM = f"""{_PAIRS}, c AS (SELECT CAST(round_even(dist * 10000, 0) AS BIGIN
     b AS (SELECT CAST(CASE WHEN top = 0 THEN 0 ELSE least(d * 4 * (top + 1) // top, 4 * (top + 1) - 1) END AS BIGINT) AS bin, top, cells FROM v CROSS JOIN t)
     SELECT bin, count(*) AS n, round(count(*) / (cells * (CASE WHEN top = 0 THEN 1.0::DOUBLE ELSE top END / (4 * (top + 1)))), 6) AS density FROM b GROUP BY bin, top, cells"""
 _GROUPS = f"WITH RECURSIVE {_EDGES[5:]}, r(node, other) AS (SELECT i, j FROM s UNION SELECT r.node, s.j FROM r JOIN s ON r.other = s.i), g AS (SELECT node, least(node, min(other)) AS root FROM r GROUP BY node)"
+CLIQUES = f"""WITH RECURSIVE {_EDGES[5:]}, near AS (SELECT i AS a, list(j ORDER BY j) AS near FROM s GROUP BY i),
+    g(clique, shared) AS (SELECT [a], near FROM near UNION ALL
+        SELECT list_append(clique, x), list_intersect(shared, near.near) FROM (SELECT clique, shared, unnest(list_filter(shared, lambda v: v > clique[-1])) AS x FROM g) JOIN near ON near.a = x)
+    SELECT array_to_string(clique, '_') AS clique, CAST(len(clique) AS INT) AS members FROM g WHERE len(shared) = 0 AND len(clique) > 1"""
 COMPONENTS = f"{_GROUPS} SELECT * FROM g"
 _NAMES = f"{_GROUPS}, m AS (SELECT root, string_agg(CAST(node AS VARCHAR), '_' ORDER BY CAST(node AS VARCHAR)) || '_' AS name, count(*) AS members FROM g GROUP BY root)"
 MERGED = f"{_NAMES}, o AS (SELECT root, count(DISTINCT pos) AS ones FROM g JOIN bits ON filter = node GROUP BY root) SELECT root, name, members, ones FROM m JOIN o USING (root)"
@@ -116,9 +125,9 @@ NUMBERED = f"WITH {_NODES} SELECT node, 'node' || row_number() OVER (ORDER BY de
 _TREE = f"""WITH {_NODES}, {_BITS},
     below AS (SELECT 'S' || s AS leaf, unnest(['S' || s, 'N' || n, 'R' || r, 'root']) AS node FROM t),
     leaves AS (SELECT node, count(*) AS leaves FROM below GROUP BY node),
-    c AS (SELECT node, pos, count(*) AS k FROM below JOIN bits ON leaf = 'S' || filter GROUP BY ALL),
-    sets AS (SELECT node, pos, k = leaves AS in_cap FROM c JOIN leaves USING (node)),
-    up AS (SELECT nodes.node, parent, s.pos, s.in_cap, coalesce(p.in_cap, false) AS up_cap FROM sets s JOIN nodes USING (node) LEFT JOIN sets p ON p.node = parent AND p.pos = s.pos),
+    c AS MATERIALIZED (SELECT node, pos, count(*) AS k FROM below JOIN bits ON leaf = 'S' || filter GROUP BY ALL),
+    sets AS MATERIALIZED (SELECT node, pos, k = leaves AS in_cap FROM c JOIN leaves USING (node)),
+    up AS MATERIALIZED (SELECT nodes.node, parent, s.pos, s.in_cap, coalesce(p.in_cap, false) AS up_cap FROM sets s JOIN nodes USING (node) LEFT JOIN (SELECT node, pos, in_cap FROM sets WHERE in_cap) p ON p.node = parent AND p.pos = s.pos),
     open_above AS (SELECT n.node, s.pos FROM nodes n JOIN sets s ON s.node = n.parent WHERE NOT s.in_cap UNION ALL SELECT node, pos FROM sets WHERE node = 'root'),
     det AS (SELECT node, pos, true AS how FROM up WHERE in_cap AND NOT up_cap
             UNION ALL SELECT o.node, o.pos, false FROM open_above o LEFT JOIN sets s ON s.node = o.node AND s.pos = o.pos WHERE s.pos IS NULL)"""
@@ -137,9 +146,9 @@ NODE_STATS = f"""{_TREE}, o AS (SELECT node, count(*) AS ones FROM sets GROUP BY
     SELECT node, parent, depth, children, siblings, subtree, CAST(height AS BIGINT) AS height, coalesce(ones, 0) AS ones, round(coalesce(ones, 0) / {BITS}, 6) AS density FROM w JOIN z USING (node) LEFT JOIN o USING (node)"""
 _RATIOS = f"""{_TREE}, q AS (SELECT n.node, n.parent, n.is_leaf, count(s.pos) FILTER (NOT in_cap) AS open FROM nodes n LEFT JOIN sets s USING (node) GROUP BY ALL),
     ratios AS (SELECT q.node, q.is_leaf, coalesce(p.open, {BITS}) - CASE WHEN q.is_leaf THEN 0 ELSE q.open END AS det, coalesce(p.open, {BITS}) AS open_above FROM q LEFT JOIN q p ON p.node = q.parent),
-    ratio AS (SELECT *, CASE WHEN open_above > 0 THEN round(det / open_above, 6) END AS ratio FROM ratios)"""
-RATIOS = f"{_RATIOS} SELECT * FROM ratio"
-CULL = f"""{_RATIOS}, thr AS (SELECT round(least(greatest(avg(ratio), 0.0), 1.0), 6) AS threshold FROM ratio WHERE NOT is_leaf AND open_above > 0),
+    ratio AS (SELECT *, CASE WHEN open_above > 0 THEN det / open_above END AS ratio FROM ratios)"""
+RATIOS = f"{_RATIOS} SELECT * REPLACE (round(ratio, 6) AS ratio) FROM ratio"
+CULL = f"""{_RATIOS}, thr AS (SELECT least(greatest(avg(ratio) - {DEVIATIONS}::DOUBLE * stddev_pop(ratio), 0.0::DOUBLE), 1.0::DOUBLE) AS threshold FROM ratio WHERE NOT is_leaf AND open_above > 0),
     gone AS (SELECT n.node, n.parent FROM ratio CROSS JOIN thr JOIN nodes n USING (node) WHERE NOT ratio.is_leaf AND det < open_above * threshold AND n.parent IS NOT NULL),
     a AS (SELECT n.node, coalesce(g.parent, n.parent) AS parent FROM nodes n LEFT JOIN gone g ON g.node = n.parent),
     b AS (SELECT n.node, coalesce(g.parent, n.parent) AS parent FROM a n LEFT JOIN gone g ON g.node = n.parent),
@@ -202,7 +211,9 @@ ABUNDANCE = f"""{_REGIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, len AS (SELEC
             SELECT any_value(step) + 1 AS step, strain, sum(n * a / whole) / any_value(length) AS raw
             FROM (SELECT e.strain, e.n, em.step, em.a, sum(em.a) OVER (PARTITION BY e.members) AS whole FROM em JOIN each e ON e.strain = em.strain WHERE em.step < 100) JOIN len USING (strain) GROUP BY strain))
     SELECT strain, round(a, 2) AS abundance FROM em WHERE step = 100"""
-CLEAN = """WITH s AS (SELECT n_regionkey AS r, count(*) / 25 AS a FROM nation GROUP BY 1)
+LIKELIHOOD = f"""{ABUNDANCE[:ABUNDANCE.rindex('SELECT strain, round')]}, last AS (SELECT strain, round(a, 6) AS a FROM em WHERE step = 100),
+    p AS (SELECT members, any_value(n) AS n, sum(a) AS p FROM each JOIN last USING (strain) GROUP BY members) SELECT round(sum(n * ln(p)), 4) AS log_likelihood FROM p"""
+CLEAN = """WITH s AS (SELECT n_regionkey AS r, count(*) / sum(count(*)) OVER () AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
     SELECT CASE WHEN r < 2 THEN r || '_' || (r + 1) || '_' ELSE 'region' || r END AS strain, CAST(trunc(a * 100) AS INT) AS pct,
            CASE WHEN r < 2 THEN (SELECT string_agg(r_name, ' , ' ORDER BY r_regionkey) FROM region WHERE r_regionkey IN (r, r + 1)) ELSE 'region' || r END AS names FROM s"""
 
@@ -227,7 +238,7 @@ def _canonical(source: str) -> str:
 _KERNEL = "(CASE {0} " + " ".join(f"WHEN '{b}' THEN {v}::UBIGINT" for b, v in KERNELS.items()) + " END)"
 
 
-def _hash(source: str, k: int) -> str:
+def _hash(source: str, k: int, modulus: int = MODULUS, valid: str = '') -> str:
     """(key, q, n) -> (key, pos, n) by one nested query per character, so that each step is computed once."""
     q = f"SELECT key, q, n, 0::UBIGINT AS h FROM {source}"
     for i in range(1, k + 1):
@@ -236,7 +247,7 @@ def _hash(source: str, k: int) -> str:
     for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         q = f"SELECT key, q, n, xor(h, h >> 33) AS h FROM ({q})"
         q = f"SELECT key, q, n, ((h::UHUGEINT * {m}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM ({q})"
-    return f"(SELECT key, CAST(greatest(xor(h, h >> 33), 1) % {MODULUS} AS BIGINT) AS pos, CAST(sum(n) AS BIGINT) AS n FROM ({q}) GROUP BY ALL)"
+    return f"(SELECT key, CAST(greatest(xor(h, h >> 33), 1) % {modulus} AS BIGINT) AS pos, CAST(sum(n) AS BIGINT) AS n FROM ({q}) GROUP BY ALL)"
 
 
 def _grams(table: str, key: str) -> str:
@@ -246,16 +257,32 @@ def _grams(table: str, key: str) -> str:
 CLASSIFY_READS = f"""WITH bits AS (SELECT key AS filter, pos FROM {_hash(_grams('documents', 'source'), 13)}), probes AS (SELECT key AS read, pos, n FROM {_hash(_grams('benchmark', 'item_id'), 13)}),
     {_TOTALS}, {_HITS}, {_MATCHES} SELECT *, row_number() OVER (PARTITION BY read ORDER BY hits DESC, filter) AS place FROM matches"""
 QGRAMS = f"SELECT key AS lang, q AS qgram, n FROM {_grams('documents', 'lang')}"
-MULTI_SEED = f"""WITH c AS {_canonical(_windows('benchmark', 'item_id', 7))}, q AS (SELECT key, substr(c, 1, 2) || substr(c, 4, 1) || substr(c, 6, 2) AS q FROM c UNION ALL SELECT key, substr(c, 1, 3) || substr(c, 5, 3) FROM c)
-    SELECT key AS item_id, q AS qgram, count(*) AS n FROM q GROUP BY ALL"""
+MULTI_SEED = f"""WITH c AS {_canonical(_windows('documents', 'lang', 7))}, q AS (SELECT key, substr(c, 1, 2) || substr(c, 4, 1) || substr(c, 6, 2) AS q FROM c UNION ALL SELECT key, substr(c, 1, 3) || substr(c, 5, 3) FROM c)
+    SELECT key AS lang, q AS qgram, count(*) AS n FROM q GROUP BY ALL"""
+QGRAM_UNION = f"SELECT DISTINCT pos FROM {_hash(_grams('documents', 'source'), 13, 2 * MODULUS)}"
+QGRAM_INTERSECTION = f"SELECT pos FROM {_hash(_grams('documents', 'source'), 13, 3_000_017)} GROUP BY pos HAVING count(*) = (SELECT count(DISTINCT source) FROM documents WHERE text IS NOT NULL)"
 FILTER_STATS = f"""SELECT key AS filter, CAST(sum(n) AS BIGINT) AS set_size, count(*) AS ones, round(1 - exp(-1 * CAST(sum(n) AS DOUBLE) / {MODULUS}), 6) AS fp_rate FROM {_hash(_grams('documents', 'source'), 13)} GROUP BY key"""
 CANONICAL_KMERS = f"SELECT c AS kmer, count(*) AS n FROM {_canonical(_windows('documents', 'doc_id', 11))} GROUP BY c HAVING count(*) >= 3"
-KMER_LIST = f"SELECT substr(seq, 1, 12) AS kmer, count(*) AS n FROM {_seq('documents', 'doc_id')} WHERE length(seq) >= 12 GROUP BY 1"
+_MERS = f"(SELECT 0 AS key, w AS q, 1 AS n FROM {_windows('documents', 'doc_id', 12)} GROUP BY w)"
+KMER_LIST = f"SELECT pos, n AS kmers FROM {_hash(_MERS, 12)}"
+STRANDS = f"SELECT true AS same, CAST(sum(greatest(length(seq) - 20, 0)) AS BIGINT) AS n FROM {_seq('documents', 'doc_id')}"
+_SMALL = "translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTNCGTACGNANacgtacgtacgtacgtNcgtacgNaN')"
+_READ_WINDOWS = f"(SELECT key, substr(seq, CAST(i AS INT), {{0}}) AS w FROM (SELECT key, seq, unnest(range(1, length(seq) - {{0}} + 2)) AS i FROM (SELECT lang AS key, {_SMALL} AS seq FROM documents WHERE text IS NOT NULL)))"
+_ODD = f"(SELECT key, substr(c, 1, 6) || substr(c, 9, 7) AS q, count(*) AS n FROM {_canonical(_READ_WINDOWS.format(15))} GROUP BY ALL)"
+_GOOD = f"(SELECT key, upper(q) AS q, CAST(sum(n) AS BIGINT) AS n FROM {_ODD} WHERE NOT contains(q, 'N') GROUP BY ALL)"
+READ_QGRAMS = f"""SELECT key AS lang, pos, CAST(sum(n) AS BIGINT) AS n FROM (SELECT key, pos, n FROM {_hash(_GOOD, 13)} UNION ALL SELECT key, 0, n FROM {_ODD} WHERE contains(q, 'N')) GROUP BY ALL"""
+READ_KMERS = f"SELECT least(w, {_RC.format('w')}) AS kmer, count(*) AS n FROM (SELECT upper(w) AS w FROM {_READ_WINDOWS.format(9)} WHERE NOT contains(w, 'N')) GROUP BY 1"
+IUPAC = """SELECT doc_id, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS plain, md5(reverse(translate(s, 'ACGTRYKMBVDHacgtrykmbvdh', 'TGCAYRMKVBHDtgcayrmkvbhd'))) AS iupac
+    FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)"""
+FASTA = f"SELECT 'doc' || key AS name, length(seq) AS length, md5(seq) AS digest FROM {_seq('documents', 'doc_id')} WHERE length(seq) > 1"
+FASTQ = f"SELECT 'queryr' || key AS name, md5(seq) AS digest, md5(['@', '+', '>', '5'][key % 4 + 1] || translate(substr(seq, 2), 'ACGT', '@+>5')) AS quality FROM {_seq('documents', 'doc_id')} WHERE length(seq) > 1"
 REVCOMP = f"SELECT key AS doc_id, md5({_RC.format('seq')}) AS plain, md5(lower({_RC.format('seq')})) AS iupac FROM {_seq('documents', 'doc_id')}"
 _READS = f"""r AS (SELECT key AS read, seq, length(seq) AS n, length(seq) - length(replace(seq, 'A', '')) AS a, length(seq) - length(replace(seq, 'C', '')) AS c,
     length(seq) - length(replace(seq, 'G', '')) AS g, length(seq) - length(replace(seq, 'T', '')) AS t FROM {_seq('documents', 'doc_id')}),
     k AS (SELECT read, n AS length, CASE WHEN n > 0 THEN -10 * log10((a * 0.1::DOUBLE + c * 0.01::DOUBLE + g * 0.001::DOUBLE + t * 0.0001::DOUBLE) / n) END AS quality FROM r)"""
 READ_FILTER = f"WITH {_READS} SELECT read, length, round(quality, 4) AS quality FROM k WHERE length > 500 AND quality >= 14.5"
+READ_FILTER_LINES = f"""WITH {_READS}, e AS (SELECT read, n AS length, -10 * log10((a * 0.1::DOUBLE + c * 0.01::DOUBLE + g * 0.001::DOUBLE + t * 0.0001::DOUBLE + pow(10.0::DOUBLE, 2.3::DOUBLE)) / (n + 1)) AS quality FROM r)
+    SELECT read, length, round(quality, 4) AS quality FROM e WHERE length + 1 > 500 AND quality >= 14.5"""
 READ_SUMMARY = f"""WITH {_READS} SELECT count(*) AS reads, CAST(floor(avg(length)) AS BIGINT) AS mean_length, count(*) FILTER (length > 500 AND quality >= 14.5) AS kept,
     CAST(floor(avg(length) FILTER (length > 500 AND quality >= 14.5)) AS BIGINT) AS kept_mean_length FROM k"""
 LENGTHS = f"SELECT key AS strain, CAST(sum(length(seq)) AS BIGINT) AS length, count(*) AS n_seq FROM {_seq('documents', 'source')} GROUP BY key"

@@ -21,10 +21,11 @@ def parse(rows: DataFrame) -> DataFrame:
     before, after = F.lag("depth").over(order), F.lead("depth").over(order)
     checked = F.when(F.col("depth") > F.coalesce(before, F.lit(-1)) + 1, F.raise_error(F.concat(F.lit("depth jump at "), F.col("node")))).otherwise(F.col("depth"))
     flat = flat.select("source", "line_no", checked.alias("depth"), "node", "file", F.coalesce(after <= F.col("depth"), F.lit(True)).alias("is_leaf"))
-    # the parent is the last line before that is one star less deep
-    up = flat.select("source", (F.col("depth") + 1).alias("depth"), F.col("line_no").alias("up_no"), F.col("node").alias("up"))
-    parents = flat.join(up, ["source", "depth"]).where("up_no < line_no").groupBy("source", "line_no").agg(F.max_by("up", "up_no").alias("parent"))
-    return flat.join(parents, ["source", "line_no"], "left").select("source", "node", "file", "depth", F.col("line_no").alias("preorder"), "parent", "is_leaf")
+    # the parent is the last line before that is one star less deep: the last line of each depth goes along
+    deepest = flat.agg(F.max("depth")).first()[0] or 0
+    last = F.array(*[F.last(F.when(F.col("depth") == d, F.col("node")), ignorenulls=True).over(order) for d in range(deepest + 1)])
+    placed = flat.withColumn("last", last)
+    return placed.select("source", "node", "file", "depth", F.col("line_no").alias("preorder"), F.when(F.col("depth") > 0, F.get("last", F.col("depth") - 1)).alias("parent"), "is_leaf")
 
 
 def render(nodes: DataFrame, form: str = "names") -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,13 +229,42 @@ def test_reports(spark):
 
 
 def test_filter_sets(spark):
-    all_of = bits(spark, {"a": {1, 17, 5}, "b": {1, 5}})
+    all_of = bits(spark, {"a": {1, 17, 5}, "b": {1, 5}}).select(F.col("filter").alias("key"), F.col("pos").alias("hash"))
     assert {r["pos"] for r in sketches.union_filter(all_of, 16).collect()} == {1, 5}
     assert {r["pos"] for r in sketches.intersection_filter(all_of, 32).collect()} == {1, 5}
     same = spark.createDataFrame([("a", 15, 1), ("b", 15, 2)], "filter string, k int, seed int")
     assert [r["parameter"] for r in sketches.consistent(same, ["k", "seed"]).collect()] == ["seed"]
 
 
+def test_packed_bits(spark):
+    """Complements over several buckets, the last one cut, and the checksum as the bytes give it."""
+    rng, num_bits = np.random.default_rng(4), 70_003
+    a = {"x": set(rng.integers(0, num_bits, 900).tolist()), "y": {70_002}, "z": set()}
+    b = {"x": set(rng.integers(0, num_bits, 900).tolist()), "y": set(), "z": {0, 5}}
+    filters = spark.createDataFrame([(f,) for f in a], "filter string")
+    rows = lambda df: {f: {r["pos"] for r in df.where(F.col("filter") == f).collect()} for f in a}
+    every = set(range(num_bits))
+    assert rows(bitmaps.not_(bits(spark, a), filters, num_bits)) == {f: every - a[f] for f in a}
+    assert rows(bitmaps.eq(bits(spark, a), bits(spark, b), filters, num_bits)) == {f: every - (a[f] ^ b[f]) for f in a}
+    assert rows(bitmaps.or_not(bits(spark, a), bits(spark, b), filters, num_bits)) == {f: a[f] | (every - b[f]) for f in a}
+    clear = bitmaps.select0(bits(spark, a), filters, num_bits).where("filter = 'x'").orderBy("i").collect()
+    assert [r["pos"] for r in clear] == sorted(every - a["x"]) and [r["i"] for r in clear] == list(range(len(clear)))
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    for r in bitmaps.checksums(bitmaps.packed(bits(spark, a)), num_bits).collect():
+        flags = np.zeros(-(-num_bits // 8) * 8, np.uint8)
+        flags[list(a[r["filter"]])] = 1
+        crc = 0
+        for byte in np.packbits(flags).tolist():
+            crc = crc >> 8 ^ table[(crc ^ byte) & 255]
+        assert r["crc"] == crc
+    drawn = bitmaps.random_exactly(filters, num_bits, 500, seed=1)
+    assert all(len(v) == 500 and max(v) < num_bits for v in rows(drawn).values()) and rows(drawn) == rows(bitmaps.random_exactly(filters, num_bits, 500, seed=1))
+
+
 def test_streaming(spark, tmp_path):
     index = bits(spark, {"p": range(0, 9), "q": range(0, 5)})
     source = tmp_path / "in"

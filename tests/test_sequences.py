@@ -1,3 +1,4 @@
+import collections
 import gzip
 import random
 from decimal import ROUND_HALF_EVEN, Context, Decimal
@@ -7,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.functions import hashing, names, sequences
+from sievelake.functions import hashing, names, sequences, windows
+from sievelake.operators import sketches
 from sievelake.sources import filter_tables, sequence_files, topology
 
 MASK = (1 << 64) - 1
@@ -58,19 +60,78 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first()["x"]
 
 
-def test_windows_and_seeds(spark):
-    assert one(spark, sequences.windows(F.col("s"), 3), s="ACGTA") == ["ACG", "CGT", "GTA"]
-    assert one(spark, sequences.windows(F.col("s"), 5), s="ACGTA") == ["ACGTA"]
-    assert one(spark, sequences.windows(F.col("s"), 6), s="ACGTA") == []
-    assert one(spark, sequences.valid_windows(F.col("s"), 2), s="ACNgt") == ["AC", "gt"]
+def brute_qgrams(seq, seed):
+    swap = str.maketrans("ACGT", "TGCA")
+    found = []
+    for i in range(len(seq) - len(seed) + 1):
+        w = seq[i : i + len(seed)]
+        c = min(w, w[::-1].translate(swap))
+        found.append("".join(x for x, s in zip(c, seed) if s == "1"))
+    return found
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_windows_and_seeds(spark, monkeypatch, piece):
+    """Whole sequences, cut into pieces or not, with small letters, Ns, and other characters."""
+    monkeypatch.setattr(windows, "PIECE", piece)
+    rng = random.Random(piece)
+    seqs = ["", "ACGTA", "AACG", "ACNgt", "acgtACGTNNacé😀GT", None, "N" * 9, *["".join(rng.choice("ACGTACGTacgtN") for _ in range(60)) for _ in range(8)], "ACGT" * 30]
+    rows = spark.createDataFrame([(i % 3, s) for i, s in enumerate(seqs)], "key int, seq string").coalesce(1)
+    for seeds in (["1011"], ["11011", "01110"], ["111111001111111"]):
+        want = collections.Counter((i % 3, q) for i, s in enumerate(seqs) for seed in seeds for q in brute_qgrams(s or "", seed))
+        got = {(r["key"], r["qgram"]): r["n"] for r in sketches.qgram_counts(rows, F.col("key"), F.col("seq"), seeds).collect()}
+        assert got == dict(want)
+        bags = {(r["key"], r["pos"]): r["n"] for r in sketches.qgram_bags(rows, F.col("key"), F.col("seq"), seeds[:1], 1009).collect()}
+        hashed = collections.Counter()
+        for i, s in enumerate(seqs):
+            for q in brute_qgrams(s or "", seeds[0]):
+                hashed[i % 3, int(hashing.hash_words(pa.array([q]), len(q))[0]) % 1009] += 1
+        assert bags == dict(hashed)
+    for k in (1, 4, 9):
+        want = collections.Counter()
+        for s in seqs:
+            for i in range(len(s or "") - k + 1):
+                w = s[i : i + k].upper()
+                if set(w) <= set("ACGT") and set(s[i : i + k]) <= set("ACGTacgt"):
+                    want[min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))] += 1
+        assert {r["kmer"]: r["n"] for r in sketches.kmer_counts(rows, F.col("seq"), k).collect()} == dict(want)
     assert one(spark, sequences.reverse_complement(F.col("s")), s="AaCNR") == "RNGaT"
     assert one(spark, sequences.reverse_complement(F.col("s"), True), s="ACRyk") == "mrYGT"
     assert one(spark, sequences.apply_seed(F.col("s"), "111111001111111"), s="abcdefghijklmno") == "abcdefijklmno"
-    assert one(spark, sequences.qgrams(F.col("s"), ["101", "110"]), s="AACG") == ["AC", "AA", "AG", "AC"]
     with pytest.raises(ValueError):
         sequences.check_seed("11*1")
     with pytest.raises(ValueError):
-        sequences.qgrams(F.col("s"), ["11", "111"])
+        sketches.qgram_counts(rows, F.col("key"), F.col("seq"), ["11", "111"])
+
+
+def test_unsigned_modulo(spark):
+    values = [0, 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 1, 0xDEADBEEFCAFEF00D]
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "h long")
+    for m in (7, 1 << 24, 3_000_017, (1 << 61) - 1):
+        assert [r[0] for r in rows.select(sketches.modulo(F.col("h"), m)).collect()] == [v % m for v in values]
+
+
+def test_records_with_marks(spark, tmp_path):
+    """Quality lines that start with any code, marks in headers, line ends of both kinds, gz, many small blocks."""
+    rng = random.Random(9)
+    for name, end in (("a.fastq", "\n"), ("b.fastq", "\r\n"), ("c.fastq.gz", "\n")):
+        sizes = [rng.randint(1, 40) for _ in range(200)]
+        reads = [(f"r{i}", "".join(rng.choices("ACGT", k=n)), "".join(rng.choices("@+I>", k=n))) for i, n in enumerate(sizes)]
+        text = "".join(f"@{h} d{end}{s}{end}+{end}{q}{end}" for h, s, q in reads)
+        path = tmp_path / name
+        path.write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = sorted((r["name"], r["seq"], r["qual"]) for r in sequence_files.fastq(spark, str(path)).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == sorted((f"query{h}", s, q) for h, s, q in reads), name
+    (tmp_path / "m.fasta").write_text("\n>one a->b >c\r\nAC>GT\r\nAC\r\n>two\r\nGG\r\n")
+    (tmp_path / "lines.txt").write_text("\nACGT\nGG\n")
+    assert {(r["name"], r["seq"]) for r in sequence_files.query_sequences(spark, str(tmp_path / "m.fasta")).collect()} == {("one", "AC>GTAC"), ("two", "GG")}
+    assert {(r["name"], r["seq"]) for r in sequence_files.query_sequences(spark, str(tmp_path / "lines.txt")).collect()} == {("lines.txt:2", "ACGT"), ("lines.txt:3", "GG")}
 
 
 def test_numbers(spark):
