@@ -216,7 +216,7 @@ def read_quality_filter(spark, d):
 def read_quality_filter_lines(spark, d):
     """The published form: a line end counts as one more base, in length and quality."""
     reads = with_quality(spark, d)
-    kept = reads.where(sequences.keeps_read(F.col("seq"), F.col("qual"), 14.5, 500, newline=True))
+    kept = reads.where(sequences.keeps_read(F.col("seq"), F.col("qual"), 6, 500, newline=True))
     return kept.select("read", F.char_length("seq").cast("long").alias("length"), F.round(sequences.read_quality(F.col("qual"), newline=True), 4).alias("quality"))
 
 

@@ -282,7 +282,7 @@ _READS = f"""r AS (SELECT key AS read, seq, length(seq) AS n, length(seq) - leng
     k AS (SELECT read, n AS length, CASE WHEN n > 0 THEN -10 * log10((a * 0.1::DOUBLE + c * 0.01::DOUBLE + g * 0.001::DOUBLE + t * 0.0001::DOUBLE) / n) END AS quality FROM r)"""
 READ_FILTER = f"WITH {_READS} SELECT read, length, round(quality, 4) AS quality FROM k WHERE length > 500 AND quality >= 14.5"
 READ_FILTER_LINES = f"""WITH {_READS}, e AS (SELECT read, n AS length, -10 * log10((a * 0.1::DOUBLE + c * 0.01::DOUBLE + g * 0.001::DOUBLE + t * 0.0001::DOUBLE + pow(10.0::DOUBLE, 2.3::DOUBLE)) / (n + 1)) AS quality FROM r)
-    SELECT read, length, round(quality, 4) AS quality FROM e WHERE length + 1 > 500 AND quality >= 14.5"""
+    SELECT read, length, round(quality, 4) AS quality FROM e WHERE length + 1 > 500 AND quality >= 6"""
 READ_SUMMARY = f"""WITH {_READS} SELECT count(*) AS reads, CAST(floor(avg(length)) AS BIGINT) AS mean_length, count(*) FILTER (length > 500 AND quality >= 14.5) AS kept,
     CAST(floor(avg(length) FILTER (length > 500 AND quality >= 14.5)) AS BIGINT) AS kept_mean_length FROM k"""
 LENGTHS = f"SELECT key AS strain, CAST(sum(length(seq)) AS BIGINT) AS length, count(*) AS n_seq FROM {_seq('documents', 'source')} GROUP BY key"
