@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,87 @@ def maximal_cliques(links: DataFrame) -> DataFrame:
         grown = more.join(near, "a").select(F.concat("clique", F.array("a")).alias("clique"), F.array_intersect("shared", "near").alias("shared"))
 
 
+def _cliques(near: dict) -> list[tuple]:
+    """The members, in order, of every maximal clique; larger cliques first, then by members."""
+    found, waiting = [], [((), set(near), set())]
+    while waiting:
+        clique, may, done = waiting.pop()
+        if not may and not done:
+            found.append(tuple(sorted(clique)))
+        if may:
+            pivot = max(sorted(may | done), key=lambda v: len(near[v] & may))
+            for v in sorted(may - near[pivot]):
+                waiting.append(((*clique, v), may & near[v], done & near[v]))
+                may, done = may - {v}, done | {v}
+    return sorted(found, key=lambda c: (-len(c), c))
+
+
+def smallest_cut(one: set, other: set) -> list[tuple]:
+    """The edges of a smallest cut of two overlapping cliques.
+
+    None is smaller than cutting a node that only the smaller clique has off from
+    the rest of it (the smallest such node). If they share one node, all such nodes
+    together cost the same and stay together. Of equal cliques the second is cut."""
+    small, large = (one, other) if len(one) < len(other) else (other, one)
+    own, both = sorted(small - large), small & large
+    if len(both) == 1:
+        return [(v, s) for v in own for s in both]
+    return [(own[0], v) for v in sorted(small - {own[0]})]
+
+
+def _settled(near: dict, cutoff: float) -> list[tuple]:
+    """Cliques without common nodes, of one component; ``near`` is changed."""
+    before, merging = set(), False
+    while True:
+        cliques = _cliques(near)
+        overlaps = [(c, d) for c, d in itertools.combinations(cliques, 2) if set(c) & set(d)]
+        if not overlaps:
+            return [c for c in cliques if len(c) > 1]
+        state = frozenset((v, u) for v in near for u in near[v] if v < u)
+        merging = merging or state in before
+        before.add(state)
+        one, other = map(set, min(overlaps))
+        around = near[min(one - other)] | near[min(other - one)]
+        n_links = sum(len(near[v] & around) for v in around) / 2
+        if merging or len(around) < 2 or 2 * n_links / (len(around) * (len(around) - 1)) >= cutoff:
+            for v in one | other:
+                near[v] |= (one | other) - {v}
+        else:
+            for v, u in smallest_cut(one, other):
+                near[v].discard(u)
+                near[u].discard(v)
+
+
+def disjoint_cliques(links: DataFrame, cutoff: float = 0.01, max_nodes: int = 2_000) -> DataFrame:
+    """root, clique (ordered array): maximal cliques of two nodes or more, overlaps resolved.
+
+    While two cliques overlap, the first such pair (larger clique first, then by
+    members) is taken, and of each the smallest node that the other lacks. If the
+    links among those two nodes' neighbours are at least ``cutoff`` of all possible
+    ones, the two cliques become one, else a smallest cut parts them. Once a graph
+    comes back that was there before, all further overlaps are merged.
+
+    Each decision depends on those before it, but only within a component: components
+    are spread over the tasks, and their size is checked."""
+    links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    groups = written(components(links), "clique-components")
+    largest = groups.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    if largest > max_nodes:
+        raise ValueError(f"{largest} nodes in a component are more than max_nodes")
+    kind = links.schema["a"].dataType.simpleString()
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        found = _settled(near, cutoff)
+        return pd.DataFrame({"root": [rows["root"].iloc[0]] * len(found), "clique": [list(c) for c in found]})
+
+    placed = links.join(groups.withColumnRenamed("node", "a"), "a").select("root", "a", "b")
+    return placed.groupBy("root").applyInPandas(settle, f"root {kind}, clique array<{kind}>")
+
+
 def merged_names(groups: DataFrame) -> DataFrame:
     """node, root with the merged filter's name: members as text, in text order, each followed by _."""
     names = groups.groupBy("root").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("m"))

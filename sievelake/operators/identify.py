@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import sequences
+from sievelake.workspace import written
 
 
 def dense_matrix(found: DataFrame, reads: DataFrame, strains: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def marginal(ranks: DataFrame) -> DataFrame:
     return per.join(F.broadcast(limits)).select("strain", "reads", "weight", ((F.col("reads") <= F.col("n1")) | (F.col("weight") <= F.col("n2"))).alias("is_marginal"))
 
 
-def cover(ranks: DataFrame, max_strains: int = 20) -> DataFrame:
+def cover(ranks: DataFrame, max_shapes: int = 200_000) -> DataFrame:
     """strain, support, signed of the best cover of the reads.
 
     Marginal strains can't be chosen, and reads that one of them matches need no
@@ -54,42 +55,58 @@ def cover(ranks: DataFrame, max_strains: int = 20) -> DataFrame:
     no other chosen one matches. Fewest strains first, then the largest weight,
     then the largest signed support (weight of reads with one chosen cover, and of
     the larger of two, if it is over 1 and the other has no read of its own), then
-    the smallest set of names. Reads with the same weighted strains are one row;
-    candidate sets are rows too, each judged by itself, so the search is as wide as
-    the cluster. ``max_strains`` bounds it: two to that power sets."""
+    the smallest set of names.
+
+    Reads with the same weighted strains are one row. Sets of strains are rows too
+    and grow by a strain a round: each is branched on the smallest group of strains
+    of which it has none yet, so the first round with a whole cover has all the
+    smallest ones, whatever the number of strains. Those alone are judged. The
+    groups go along as one row; ``max_shapes`` bounds their number."""
     spark = ranks.sparkSession
     strains = [r["strain"] for r in marginal(ranks).where("NOT is_marginal").orderBy("strain").collect()]
-    if len(strains) > max_strains:
-        raise ValueError(f"{len(strains)} strains are more than max_strains")
     kind = ranks.schema["strain"].dataType.simpleString()
-    empty = spark.createDataFrame([], f"strain {kind}, support long, signed long")
     if not strains:
-        return empty
+        return spark.createDataFrame([], f"strain {kind}, support long, signed long")
     number = spark.createDataFrame(list(enumerate(strains)), f"bit int, strain {kind}")
     coded = ranks.join(F.broadcast(number), "strain", "left")
-    reads = coded.groupBy("read").agg(
-        F.sort_array(F.collect_list(F.when(F.col("bit").isNotNull(), F.struct("bit", "weight")))).alias("w"),
-        F.bit_or(F.when(F.col("bit").isNotNull(), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0))).alias("mask"), F.bool_or(F.col("bit").isNull()).alias("marginal"),
-    )
-    shapes = reads.where("mask <> 0").groupBy("mask", "w", "marginal").agg(F.count(F.lit(1)).alias("n"))
-    need = shapes.where("NOT marginal").select("mask").distinct().agg(F.collect_list("mask").alias("need"))
-    sets = spark.range(1, 1 << len(strains)).withColumnRenamed("id", "chosen").join(F.broadcast(need))
-    sets = sets.where(F.forall("need", lambda m: m.bitwiseAND(F.col("chosen")) != 0)).select("chosen")
-    judged = sets.join(F.broadcast(shapes)).where("(mask & chosen) <> 0").select("chosen", "mask", "w", "marginal", "n", F.explode("w").alias("s")).where("(shiftleft(1L, s.bit) & chosen) <> 0")
-    each = judged.select("chosen", "n", F.col("s.bit").alias("bit"), F.col("s.weight").alias("weight"), F.expr("bit_count(mask & chosen)").alias("covers"), F.expr("(mask & chosen) - shiftleft(1L, s.bit)").alias("other"), "mask")
-    per = each.groupBy("chosen", "bit").agg(F.sum(F.when(F.col("covers") == 1, F.col("n")).otherwise(0)).alias("own"), F.sum(F.col("n") * F.col("weight")).alias("support"), F.sum(F.when((F.col("covers") == 1) & (F.col("weight") > 0), F.col("n") * F.col("weight")).otherwise(0)).alias("alone"))
-    lone = per.where("alone > 0").select("chosen", F.expr("shiftleft(1L, bit)").alias("other"), F.lit(True).alias("lone"))
+    reads = coded.groupBy("read").agg(F.sort_array(F.collect_list(F.when(F.col("bit").isNotNull(), F.struct("bit", "weight")))).alias("w"), F.bool_or(F.col("bit").isNull()).alias("marginal"))
+    shapes = written(reads.where(F.size("w") > 0).groupBy("w", "marginal").agg(F.count(F.lit(1)).alias("n")), "shapes")
+    need = shapes.where("NOT marginal").select(F.transform("w", lambda s: s["bit"]).alias("mask")).distinct()
+    n_need = need.count()
+    if n_need > max_shapes:
+        raise ValueError(f"{n_need} groups of strains are more than max_shapes")
+    sets = _smallest_covers(need, n_need, number)
+    chosen = sets.select("chosen", F.explode("chosen").alias("bit"))
+    met = chosen.join(shapes.select("w", "marginal", "n", F.explode("w").alias("s")).withColumn("bit", F.col("s.bit")), "bit").groupBy("chosen", "w", "marginal", "n").agg(F.collect_list("s").alias("hit"))
+    each = met.select("chosen", "n", F.size("hit").alias("covers"), F.explode("hit").alias("s")).select("chosen", "n", "covers", "s.bit", "s.weight")
+    per = each.groupBy("chosen", "bit").agg(F.sum(F.when(F.col("covers") == 1, F.col("n")).otherwise(0)).alias("own"), F.sum(F.col("n") * F.col("weight")).alias("support"), F.sum(F.when(F.col("covers") == 1, F.col("n") * F.col("weight")).otherwise(0)).alias("alone"))
+    lone = per.where("alone > 0").select("chosen", F.col("bit").alias("other"))
     # the other strain's weight on the same reads
-    two = judged.where("bit_count(mask & chosen) = 2").groupBy("chosen", "w", "marginal", "n").agg(F.collect_list("s").alias("both"))
-    pairs = two.select("chosen", "n", F.explode(F.array(F.struct(F.col("both")[0].alias("x"), F.col("both")[1].alias("y")), F.struct(F.col("both")[1].alias("x"), F.col("both")[0].alias("y")))).alias("p"))
-    pairs = pairs.where("p.x.weight > 1 AND p.x.weight > p.y.weight").select("chosen", "n", F.col("p.x.bit").alias("bit"), F.col("p.x.weight").alias("weight"), F.expr("shiftleft(1L, p.y.bit)").alias("other"))
+    first, second = F.col("hit")[0], F.col("hit")[1]
+    pairs = met.where(F.size("hit") == 2).select("chosen", "n", F.explode(F.array(F.struct(first.alias("x"), second.alias("y")), F.struct(second.alias("x"), first.alias("y")))).alias("p"))
+    pairs = pairs.where("p.x.weight > 1 AND p.x.weight > p.y.weight").select("chosen", "n", F.col("p.x.bit").alias("bit"), F.col("p.x.weight").alias("weight"), F.col("p.y.bit").alias("other"))
     won = pairs.join(lone, ["chosen", "other"], "left_anti").groupBy("chosen", "bit").agg(F.sum(F.col("n") * F.col("weight")).alias("won"))
     scored = per.join(won, ["chosen", "bit"], "left").withColumn("signed", F.col("alone") + F.coalesce("won", F.lit(0)))
-    whole = scored.groupBy("chosen").agg(F.count(F.lit(1)).alias("k"), F.min("own").alias("own"), F.sum("support").alias("w"), F.sum("signed").alias("s"), F.array_sort(F.collect_list("bit")).alias("bits"))
-    best = whole.where("own > 0 AND k = bit_count(chosen)").orderBy("k", F.desc("w"), F.desc("s"), "bits").limit(1)
+    whole = scored.groupBy("chosen").agg(F.count(F.lit(1)).alias("k"), F.min("own").alias("own"), F.sum("support").alias("w"), F.sum("signed").alias("s"))
+    best = whole.where((F.col("own") > 0) & (F.col("k") == F.size("chosen"))).orderBy("k", F.desc("w"), F.desc("s"), "chosen").limit(1)
     return scored.join(F.broadcast(best.select("chosen")), "chosen").join(F.broadcast(number), "bit").select("strain", F.col("support").cast("long").alias("support"), F.col("signed").cast("long").alias("signed"))
 
 
+def _smallest_covers(need: DataFrame, n_need: int, number: DataFrame) -> DataFrame:
+    """chosen (ordered bits): all sets of the fewest bits that have one of every mask; without masks, every single bit."""
+    if not n_need:
+        return number.select(F.array("bit").alias("chosen"))
+    listed = written(need.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.size("mask").alias("size"), "mask"))), lambda m: m["mask"]).alias("need")), "need")
+    sets = need.sparkSession.range(1).select(F.array().cast("array<int>").alias("chosen"))
+    while True:
+        without = F.get(F.filter("need", lambda m: ~F.arrays_overlap(m, F.col("chosen"))), F.lit(0))
+        sets = written(sets.join(F.broadcast(listed)).select("chosen", without.alias("without")), "covers")
+        whole = sets.where("without IS NULL").select("chosen")
+        if not whole.isEmpty():
+            return whole
+        sets = sets.select("chosen", F.explode("without").alias("bit")).select(F.array_sort(F.concat("chosen", F.array("bit"))).alias("chosen")).distinct()
+
+
 def read_sets(found: DataFrame, kept: DataFrame) -> DataFrame:
     """members (ordered strains), n: how many reads match just these of the kept strains."""
     sets = found.join(F.broadcast(kept.select("strain").distinct()), "strain", "left_semi").groupBy("read").agg(F.array_sort(F.collect_set("strain")).alias("members"))
@@ -109,11 +126,11 @@ def lengths_of(strains: DataFrame, lengths: DataFrame) -> DataFrame:
 def abundance(sets: DataFrame, lengths: DataFrame, steps: int = 100, max_sets: int = 200_000) -> DataFrame:
     """strain, abundance after a fixed number of expectation-maximisation steps.
 
-    Reads are already collapsed to sets of strains; their number is checked, and the
-    steps run over that one bounded row inside the JVM."""
-    n_sets = sets.count()
-    if n_sets > max_sets:
-        raise ValueError(f"{n_sets} sets of strains are more than max_sets")
+    Reads are already collapsed to sets of strains. Up to ``max_sets`` of them, the
+    steps run over one row inside the JVM; more stay rows, and each step is a job
+    that adds up the sets' shares by strain."""
+    if sets.limit(max_sets + 1).count() > max_sets:
+        return _abundance_by_rows(sets, lengths, steps)
     order = lengths.agg(F.array_sort(F.collect_list(F.struct("strain", "length"))).alias("l"))
     packed = sets.agg(F.collect_list(F.struct("members", "n")).alias("sets")).join(F.broadcast(order))
     at = F.transform("sets", lambda s: F.struct(F.transform(s["members"], lambda m: F.array_position(F.transform("l", lambda x: x["strain"]), m).cast("int")).alias("m"), s["n"].alias("n")))
@@ -130,6 +147,27 @@ def abundance(sets: DataFrame, lengths: DataFrame, steps: int = 100, max_sets: i
     return ended.select(F.explode(F.arrays_zip("l", "a")).alias("z")).select(F.col("z.l.strain").alias("strain"), F.round("z.a", 2).alias("abundance"), F.round("z.a", 6).alias("exact"))
 
 
+def _abundance_by_rows(sets: DataFrame, lengths: DataFrame, steps: int) -> DataFrame:
+    """The same from any number of sets: what comes to the driver is a number for each strain."""
+    spark = sets.sparkSession
+    known = lengths.select("strain", "length").orderBy("strain").collect()
+    kind = lengths.schema["strain"].dataType.simpleString()
+    number = spark.createDataFrame([(i, r["strain"]) for i, r in enumerate(known)], f"at int, strain {kind}")
+    one = sets.select(F.monotonically_increasing_id().alias("id"), "members", "n")
+    coded = one.select("id", "n", F.explode("members").alias("strain")).join(F.broadcast(number), "strain").groupBy("id", "n").agg(F.collect_list("at").alias("at"))
+    coded = written(coded.select("at", "n"), "abundance-sets")
+    a = [1.0 / len(known)] * len(known)
+    for _ in range(steps):
+        state = spark.createDataFrame([(a,)], "a array<double>")
+        whole = F.aggregate("at", F.lit(0.0), lambda x, i: x + F.get("a", i))
+        shares = coded.join(F.broadcast(state)).select((F.col("n") / whole).alias("q"), F.explode("at").alias("i")).groupBy("i").agg(F.sum("q").alias("q"))
+        q = dict(shares.collect())
+        raw = [x * q.get(i, 0.0) / r["length"] for i, (x, r) in enumerate(zip(a, known, strict=True))]
+        a = [x / sum(raw) for x in raw]
+    ended = spark.createDataFrame([(r["strain"], x) for r, x in zip(known, a, strict=True)], f"strain {kind}, a double")
+    return ended.select("strain", F.round("a", 2).alias("abundance"), F.round("a", 6).alias("exact"))
+
+
 def log_likelihood(sets: DataFrame, abundances: DataFrame) -> DataFrame:
     """log_likelihood of the reads under given proportions (exact)."""
     each = sets.withColumn("set", F.col("members")).select("set", "n", F.explode("members").alias("strain")).join(F.broadcast(abundances), "strain")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievelake.functions import sequences
 from sievelake.operators import containment
 
 
@@ -112,8 +113,9 @@ def query_stats(visited: DataFrame) -> DataFrame:
     return visited.groupBy("node").agg(F.count(F.lit(1)).alias("examined"), n("pass").alias("passed"), n("fail").alias("failed"), n("open").alias("open"))
 
 
-def node_stats(nodes: DataFrame, bits: DataFrame, num_bits: int) -> DataFrame:
-    """node, parent, depth, children, siblings, subtree, height, ones, density."""
+def node_stats(nodes: DataFrame, bits: DataFrame, num_bits: int, sizes: DataFrame) -> DataFrame:
+    """node, parent, depth, children, siblings, niblings (children of siblings), subtree,
+    height, ones, density, items and fp_rate (null where ``sizes`` (node, items) doesn't know the node)."""
     pairs = nodes.select("node", F.col("node").alias("above"), F.col("parent").alias("next"))
     up, at = pairs.select("node", "above", F.lit(0).alias("steps")), pairs.select("node", "next", F.lit(0).alias("steps"))
     for step in range(1, (nodes.agg(F.max("depth")).first()[0] or 0) + 1):
@@ -126,17 +128,23 @@ def node_stats(nodes: DataFrame, bits: DataFrame, num_bits: int) -> DataFrame:
     ones = bits.groupBy("node").agg(F.count(F.lit(1)).alias("ones"))
     joined = nodes.select("node", "parent", "depth").join(below, "node").join(children, "node", "left").join(ones, "node", "left")
     joined = joined.join(siblings.withColumnRenamed("parent", "of"), F.col("parent").eqNullSafe(F.col("of")), "left")
+    grand = nodes.join(children, "node").groupBy(F.col("parent").alias("by")).agg(F.sum("children").alias("grand"))
+    joined = joined.join(grand, F.col("parent").eqNullSafe(F.col("by")), "left").join(sizes.select("node", "items"), "node", "left")
+    niblings = F.coalesce("grand", F.lit(0)) - F.coalesce("children", F.lit(0))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return joined.select("node", "parent", "depth", zero("children"), zero("siblings"), "subtree", "height", zero("ones"), F.round(F.coalesce("ones", F.lit(0)) / num_bits, 6).alias("density"))
+    return joined.select("node", "parent", "depth", zero("children"), zero("siblings"), niblings.alias("niblings"), "subtree", "height", zero("ones"), F.round(F.coalesce("ones", F.lit(0)) / num_bits, 6).alias("density"), F.col("items").cast("long").alias("items"), sequences.false_positive_rate(F.lit(num_bits), F.col("items")).alias("fp_rate"))
 
 
 def bit_stats(determined: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pos, det_active, how_one: at how many nodes a position is open, and at how many it is determined present."""
+    """pos, det_active, how_active, how_one, s_x: at how many nodes a position is open, at how many it is
+    determined, at how many of these present, and the last over the first's half (rounded up)."""
     root = nodes.where("parent IS NULL").select("node").join(sets, "node").select("node", "pos")
     open_above = nodes.select("node", "parent").join(sets.where("NOT in_cap").select(F.col("node").alias("parent"), "pos"), "parent").select("node", "pos")
     active = root.union(open_above).groupBy("pos").agg(F.count(F.lit(1)).alias("det_active"))
-    ones = determined.where("how").groupBy("pos").agg(F.count(F.lit(1)).alias("how_one"))
-    return active.join(ones, "pos", "left").select("pos", "det_active", F.coalesce("how_one", F.lit(0)).alias("how_one"))
+    decided = determined.groupBy("pos").agg(F.count(F.lit(1)).alias("how_active"), F.count_if("how").alias("how_one"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    counts = active.join(decided, "pos", "left").select("pos", "det_active", zero("how_active"), zero("how_one"))
+    return counts.withColumn("s_x", F.col("how_one") / F.expr("(det_active + 1) div 2"))
 
 
 def determined_ratio(nodes: DataFrame, sets: DataFrame, num_bits: int) -> DataFrame:

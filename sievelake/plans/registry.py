@@ -584,6 +584,13 @@ def maximal_cliques(spark, d):
     return graphs.maximal_cliques(near).select(F.array_join(F.transform("clique", lambda c: c.cast("string")), "_").alias("clique"), F.size("clique").alias("members"))
 
 
+@query()
+def disjoint_cliques(spark, d):
+    """Groups of close suppliers that no supplier shares, by density of links and smallest cuts."""
+    near = close_suppliers(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return graphs.disjoint_cliques(near).select(F.array_join(F.transform("clique", lambda c: c.cast("string")), "_").alias("clique"), F.size("clique").alias("members"))
+
+
 # ---- trees --------------------------------------------------------------
 
 
@@ -633,13 +640,15 @@ def build_determined_brief(spark, d):
 @query(sql.NODE_STATS)
 def node_stats(spark, d):
     nodes, _, sets = tree(spark, d)
-    return trees.node_stats(nodes, sets.select("node", "pos"), BITS).select("node", "parent", F.col("depth").cast("long").alias("depth"), "children", "siblings", "subtree", F.col("height").cast("long").alias("height"), "ones", "density")
+    sizes = supplier_sizes(spark, d).select(F.concat(F.lit("S"), F.col("filter")).alias("node"), F.col("set_size").alias("items"))
+    stats = trees.node_stats(nodes, sets.select("node", "pos"), BITS, sizes)
+    return stats.withColumns({"depth": F.col("depth").cast("long"), "height": F.col("height").cast("long"), "fp_rate": F.round("fp_rate", 6)})
 
 
 @query(sql.BIT_STATS)
 def bit_stats(spark, d):
     nodes, _, sets = tree(spark, d)
-    return trees.bit_stats(trees.build_determined(nodes, sets), sets, nodes)
+    return trees.bit_stats(trees.build_determined(nodes, sets), sets, nodes).withColumn("s_x", F.round("s_x", 6))
 
 
 @query(sql.RATIOS)

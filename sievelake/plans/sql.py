@@ -138,12 +138,17 @@ TREE = {
     "determined": f"{_TREE} SELECT * FROM det",
     "brief": f"{_TREE} SELECT o.node, row_number() OVER (PARTITION BY o.node ORDER BY o.pos) - 1 AS slot, d.how IS NOT NULL AS det, d.how FROM open_above o LEFT JOIN det d ON d.node = o.node AND d.pos = o.pos",
 }
-BIT_STATS = f"{_TREE}, h AS (SELECT pos, count(*) AS how_one FROM det WHERE how GROUP BY pos) SELECT pos, count(*) AS det_active, coalesce(any_value(how_one), 0) AS how_one FROM open_above LEFT JOIN h USING (pos) GROUP BY pos"
+BIT_STATS = f"""{_TREE}, h AS (SELECT pos, count(*) AS how_active, count(*) FILTER (how) AS how_one FROM det GROUP BY pos),
+    a AS (SELECT pos, count(*) AS det_active FROM open_above GROUP BY pos)
+    SELECT pos, det_active, coalesce(how_active, 0) AS how_active, coalesce(how_one, 0) AS how_one, round(coalesce(how_one, 0) / ((det_active + 1) // 2), 6) AS s_x FROM a LEFT JOIN h USING (pos)"""
 NODE_STATS = f"""{_TREE}, o AS (SELECT node, count(*) AS ones FROM sets GROUP BY node),
-    w AS (SELECT node, parent, depth, (SELECT count(*) FROM nodes c WHERE c.parent = x.node) AS children, (SELECT count(*) - 1 FROM nodes c WHERE c.parent IS NOT DISTINCT FROM x.parent) AS siblings FROM nodes x),
+    w AS (SELECT node, parent, depth, (SELECT count(*) FROM nodes c WHERE c.parent = x.node) AS children, (SELECT count(*) - 1 FROM nodes c WHERE c.parent IS NOT DISTINCT FROM x.parent) AS siblings,
+          (SELECT count(*) FROM nodes c JOIN nodes p ON p.node = c.parent WHERE p.parent = x.parent AND p.node <> x.node) AS niblings FROM nodes x),
+    i AS (SELECT 'S' || l_suppkey AS node, count(*) AS items FROM lineitem GROUP BY l_suppkey),
     a AS (SELECT unnest([v.node, CASE WHEN depth > 2 THEN 'N' || n END, CASE WHEN depth > 1 THEN 'R' || r END, CASE WHEN depth > 0 THEN 'root' END]) AS node, depth AS low FROM v),
     z AS (SELECT a.node, count(*) AS subtree, max(low) - any_value(nodes.depth) AS height FROM a JOIN nodes USING (node) GROUP BY a.node)
-    SELECT node, parent, depth, children, siblings, subtree, CAST(height AS BIGINT) AS height, coalesce(ones, 0) AS ones, round(coalesce(ones, 0) / {BITS}, 6) AS density FROM w JOIN z USING (node) LEFT JOIN o USING (node)"""
+    SELECT node, parent, depth, children, siblings, niblings, subtree, CAST(height AS BIGINT) AS height, coalesce(ones, 0) AS ones, round(coalesce(ones, 0) / {BITS}, 6) AS density,
+           items, round(1 - exp(-1 * CAST(items AS DOUBLE) / {BITS}), 6) AS fp_rate FROM w JOIN z USING (node) LEFT JOIN o USING (node) LEFT JOIN i USING (node)"""
 _RATIOS = f"""{_TREE}, q AS (SELECT n.node, n.parent, n.is_leaf, count(s.pos) FILTER (NOT in_cap) AS open FROM nodes n LEFT JOIN sets s USING (node) GROUP BY ALL),
     ratios AS (SELECT q.node, q.is_leaf, coalesce(p.open, {BITS}) - CASE WHEN q.is_leaf THEN 0 ELSE q.open END AS det, coalesce(p.open, {BITS}) AS open_above FROM q LEFT JOIN q p ON p.node = q.parent),
     ratio AS (SELECT *, CASE WHEN open_above > 0 THEN det / open_above END AS ratio FROM ratios)"""

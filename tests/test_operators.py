@@ -153,6 +153,43 @@ def test_graphs(spark):
     assert {r["filter"] for r in graphs.superseded(filters, names).collect()} == {4, 5, 6}
 
 
+def test_disjoint_cliques(spark):
+    def of(*pairs):
+        return sorted(r["clique"] for r in graphs.disjoint_cliques(spark.createDataFrame(pairs, "a long, b long")).collect())
+
+    assert of((0, 1), (1, 2), (2, 0), (2, 3), (7, 8), (8, 7), (9, 9)) == [[0, 1, 2, 3], [7, 8]]
+    assert of((1, 0), (0, 2)) == [[0, 1, 2]]  # one common neighbour: as dense as can be
+    assert of((0, 1), (1, 2), (2, 3)) == [[0, 1], [2, 3]]  # a chain of four falls apart where it is thin
+    assert of((5, 5)) == []
+    with pytest.raises(ValueError, match="max_nodes"):
+        graphs.disjoint_cliques(spark.createDataFrame([(0, 1), (1, 2)], "a long, b long"), max_nodes=2)
+
+
+@pytest.mark.parametrize(("n", "m", "both"), [(3, 3, 1), (4, 3, 2), (3, 5, 1), (5, 5, 3), (2, 4, 1), (5, 4, 3)])
+def test_smallest_cut(n, m, both):
+    """No parting of two overlapping cliques' nodes cuts fewer edges."""
+    one, other = set(range(n)), set(range(n - both, n - both + m))
+    edges = {frozenset(p) for c in (one, other) for p in itertools.combinations(sorted(c), 2)}
+    nodes = sorted(one | other)
+    sides = [set(s) for k in range(1, len(nodes)) for s in itertools.combinations(nodes, k)]
+    cut = {frozenset(p) for p in graphs.smallest_cut(one, other)}
+    assert cut <= edges
+    assert len(cut) == min(sum(len(e & s) == 1 for e in edges) for s in sides)
+    assert any({e for e in edges if len(e & s) == 1} == cut for s in sides)
+
+
+def test_random_cliques_end_disjoint(spark):
+    rng = random.Random(5)
+    links = [(base + a, base + b) for base in range(0, 120, 12) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.25]
+    df = spark.createDataFrame(links, "a long, b long")
+    for cutoff in (0.01, 0.4, 2.0):
+        found = [r["clique"] for r in graphs.disjoint_cliques(df, cutoff).collect()]
+        members = [v for c in found for v in c]
+        assert len(members) == len(set(members)) and all(len(c) > 1 and c[0] // 12 == c[-1] // 12 for c in found)
+        if cutoff > 1:  # nothing is merged but after a graph that came back
+            assert len(found) > 10
+
+
 def test_ranks(spark):
     found = spark.createDataFrame([("r", s, f) for s, f in (("s1", 0.9), ("s2", 0.8), ("s3", 0.8), ("s4", 0.6))], "read string, strain string, frac double")
     assert identify.rank_weights(found, 50, 3).count() == 0
@@ -200,6 +237,23 @@ def test_cover_is_the_best(spark, seed):
     assert {r["strain"]: (r["support"], r["signed"]) for r in got.collect()} == brute_cover(rows)
 
 
+def test_cover_of_many_strains(spark):
+    """Thirty strains, of which every other one has reads of its own: those cover all."""
+    rows = [(r * 20 + i, f"s{s:02d}", 2) for r in range(15) for i in range(20) for s in ((2 * r, 2 * r + 1) if i % 2 else (2 * r,))]
+    ranks = spark.createDataFrame(rows, "read long, strain string, weight int")
+    assert {(r["strain"], r["support"], r["signed"]) for r in identify.cover(ranks).collect()} == {(f"s{2 * r:02d}", 40, 40) for r in range(15)}
+    with pytest.raises(ValueError, match="max_shapes"):
+        identify.cover(ranks, max_shapes=3)
+
+
+def test_abundance_by_rows(spark):
+    rng = random.Random(3)
+    sets = [(sorted(rng.sample("ABCDE", k)), rng.randrange(1, 50)) for k in (1, 2, 2, 3, 4, 5)]
+    sets, lengths = spark.createDataFrame(sets, "members array<string>, n long"), spark.createDataFrame([(s, 5 + i) for i, s in enumerate("ABCDE")], "strain string, length long")
+    by_row, by_rows = ({r["strain"]: r["exact"] for r in identify.abundance(sets, lengths, 10, most).collect()} for most in (100, 2))
+    assert by_row == pytest.approx(by_rows, abs=2e-6)
+
+
 def test_abundance(spark):
     sets = spark.createDataFrame([(["A"], 3), (["B"], 1)], "members array<string>, n long")
     lengths = spark.createDataFrame([("A", 5), ("B", 5)], "strain string, length long")

@@ -19,6 +19,9 @@ def con(sf):
 
 def plain(frame):
     columns = sorted(frame.columns)
+    for c in columns:  # whole numbers with nulls come as floats or as integers
+        if frame[c].isna().any() and frame[c].dtype == float and (frame[c].dropna() % 1 == 0).all():
+            frame[c] = frame[c].astype("Int64")
     return frame[columns].astype(str).replace({"None": "nan", "<NA>": "nan"}).sort_values(columns).reset_index(drop=True)
 
 
