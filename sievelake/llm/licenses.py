@@ -3,20 +3,28 @@
 Texts and templates are normalised alike (A-Z to lower case, every run of other
 characters than a-z and 0-9 to one space) and turned into their sets of word
 bigrams. The segments of a document are its lines, its paragraphs of several
-lines, and, with several paragraphs, the whole text. A segment matches a
-template if 2 |A and B| / (|A| + |B|) reaches the threshold.
+lines, with several paragraphs the whole text, and windows of words, whatever
+line they stand in. A segment matches a template if 2 |A and B| / (|A| + |B|)
+reaches the threshold.
+
+Windows find licenses inside longer lines, over several lines, or with text right
+before and after. A template has two anchors, the three words at its start and
+three at its middle. Where one stands in the text, a window as long as the template
+is laid such that the anchor is at its place. A copy in which both anchors are
+changed has no window (its line, paragraph or text may still match).
 
 Pruning, all of it exact: Dice's coefficient can't reach t unless
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so segments outside the bounds of all
 templates go before they are compared, and a segment is compared with those
-templates alone whose bounds hold its size. The templates are a parameter of
-fixed size and go into the plan as a literal; nothing else is broadcast, and
-there is no shuffle.
+templates alone whose bounds hold its size. Texts without any anchor aren't split for
+windows. The templates are a parameter of fixed size and go into the plan as a
+literal; nothing else is broadcast, and there is no shuffle.
 
 Defined results: null and empty texts have no segments; segments of fewer than
 two words have no bigrams and match nothing; a line that matches several
-templates gives a row for each (ties included); repeated rows give repeated
-results. Only the id and the text are looked at.
+templates gives a row for each (ties included), and a license may be found as a
+line and as a window; repeated rows give repeated results; a very long text is one
+array of words in its task, and windows take work in proportion to it. Only the id and the text are looked at.
 """
 
 from __future__ import annotations
@@ -65,6 +73,79 @@ TEMPLATES = {
         "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
         "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. "
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+    ),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. "
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software "
+        "Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+        "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest "
+        "in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs "
+        "and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        'software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and '
+        "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+        "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+        'processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR "
+        "ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
@@ -92,15 +173,22 @@ def bounds(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+def anchors(text: str) -> list[tuple[list[str], int]]:
+    """(words, words before them in the template): three words from its start and three from its middle."""
+    w = words(text)
+    return [(w[at : at + 3], at) for at in sorted({0, max(0, min(len(w) // 2, len(w) - 3))})]
+
+
 def _normal(text: Column) -> Column:
     upper = "".join(map(chr, range(65, 91)))
     return F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), "[^a-z0-9]+", " "))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, segment (line, paragraph or text), number (from 0 within its kind),
-    license, shared, n_segment, n_template, dice of every match."""
-    sets = {name: grams for name, text in (templates or TEMPLATES).items() if (grams := bigrams(text))}
+    """doc_id, segment (line, paragraph, text or window), number (from 0 within its
+    kind; a window's is its first word's), license, shared, n_segment, n_template, dice of every match."""
+    templates = templates or TEMPLATES
+    sets = {name: grams for name, text in templates.items() if (grams := bigrams(text))}
     lowest = min(bounds(len(g), threshold)[0] for g in sets.values())
     highest = max(bounds(len(g), threshold)[1] for g in sets.values())
     known = F.array(*[
@@ -120,6 +208,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     parts = parts.where(F.char_length("s.part") > 2 * lowest)
     tokens = parts.select("doc_id", "s.segment", "s.number", F.explode(F.array(F.split(_normal(F.col("s.part")), " "))).alias("w")).where(F.size("w") > lowest)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    tokens = tokens.union(_windows(docs, {name: templates[name] for name in sets}))
     sets_of = tokens.where(F.size("w") > 1).select("doc_id", "segment", "number", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
     sets_of = sets_of.where(F.size("grams").between(lowest, highest))
     fitting = F.filter(known, lambda t: (F.size("grams") >= t["low"]) & (F.size("grams") <= t["high"]))
@@ -133,8 +222,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     )
 
 
+def _windows(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """doc_id, segment, number, w of the windows that the templates' anchors lay; equal ones once."""
+    known = F.array(*[
+        F.struct(F.lit(len(words(text))).alias("size"), F.array(*[F.struct(F.lit(" ".join(a)).alias("text"), F.array(*map(F.lit, a)).alias("words"), F.lit(before).alias("before")) for a, before in anchors(text)]).alias("anchors"))
+        for text in templates.values()
+    ])
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.explode(F.array(_normal(F.col("text")))).alias("t"))
+    fitting = F.filter(known, lambda k: F.exists(k["anchors"], lambda a: F.contains(F.col("t"), a["text"])))
+    held = texts.select("doc_id", "t", F.explode(F.array(fitting)).alias("known")).where(F.size("known") > 0)
+    held = held.select("doc_id", F.explode(F.array(F.split("t", " "))).alias("w"), "known")
+
+    def starts(k):
+        found = lambda a: F.filter(F.sequence(F.lit(1), F.size("w")), lambda j: F.slice("w", j, F.size(a["words"])) == a["words"])
+        moved = F.transform(k["anchors"], lambda a: F.transform(F.filter(found(a), lambda j: j > a["before"]), lambda j: j - a["before"]))
+        return F.transform(F.flatten(moved), lambda j: F.struct(j.alias("start"), k["size"].alias("size")))
+
+    laid = held.select("doc_id", "w", F.explode(F.array_distinct(F.flatten(F.transform("known", starts)))).alias("at"))
+    return laid.select("doc_id", F.lit("window").alias("segment"), (F.col("at.start") - 1).alias("number"), F.slice("w", F.col("at.start"), F.col("at.size")).alias("w"))
+
+
 def sql(threshold: float = THRESHOLD) -> str:
     """The same rows by a plain join on bigrams, for DuckDB."""
+    laid = ", ".join(f"('{' '.join(a)}', {before}, {len(words(text))})" for text in TEMPLATES.values() for a, before in anchors(text))
     rows = ", ".join(f"('{name}', '{g}', {len(grams)})" for name, text in TEMPLATES.items() for grams in [bigrams(text)] for g in grams)
     return rf"""
     WITH t(license, g, n) AS (VALUES {rows}),
@@ -143,7 +253,12 @@ def sql(threshold: float = THRESHOLD) -> str:
     a AS (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(part, chr(10))
           UNION ALL SELECT doc_id, 'text', text, 0 FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')),
     w AS (SELECT doc_id, segment, number, string_split(trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM a),
-    b AS (SELECT doc_id, segment, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
+    k(g, before, size) AS (VALUES {laid}),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+    j AS (SELECT id, unnest(range(1, len(w) - 1)) AS j, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d),
+    y AS (SELECT DISTINCT id, j - before AS start, size FROM j JOIN k USING (g) WHERE j > before),
+    v AS (SELECT * FROM w UNION ALL SELECT doc_id, 'window', start - 1, list_slice(w, start, start + size - 1) FROM y JOIN d USING (id)),
+    b AS (SELECT doc_id, segment, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM v WHERE len(w) > 1),
     u AS (SELECT row_number() OVER () AS id, doc_id, segment, number, len(grams) AS n, grams FROM b),
     x AS (SELECT id, doc_id, segment, number, n, unnest(grams) AS g FROM u),
     m AS (SELECT x.id, x.doc_id, x.segment, x.number, t.license, count(*) AS shared, x.n AS n_segment, t.n AS n_template

@@ -30,6 +30,36 @@ def test_licenses_equal_sql(make, spark, real):
     assert licenses.scan(make([])).count() == 0
 
 
+def test_planted_licenses(make, real):
+    """Every license in the middle of a document: wrapped over lines, within a line, with a word in fifteen changed."""
+    import random
+
+    rng = random.Random(2)
+    texts, planted = [], []
+    for name, text in licenses.TEMPLATES.items():
+        w = text.split()
+        changed = [rng.choice(["foo", "bar", "baz"]) if i % 15 == 9 else x for i, x in enumerate(w)]
+        for form in (" ".join(w), "\n# ".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)), " ".join(changed)):
+            before, after = rng.choice(real)[1] or "", rng.choice(real)[1] or ""
+            texts.append(f"{before} {form} {after}")
+            planted.append(name)
+    found = {}
+    for r in licenses.scan(make(texts)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    caught = [name in found.get(i, ()) for i, name in enumerate(planted)]
+    assert sum(caught) >= 0.9 * len(caught), [n for n, c in zip(planted, caught, strict=True) if not c]
+    assert all(c for i, c in enumerate(caught) if i % 3 < 2)
+
+
+def test_license_windows(make):
+    notice = "released under the mit license"
+    many = licenses.scan(make([f"a {notice} " * 3, f"one {notice}", notice.replace("released", "given")]))
+    got = sorted((r["doc_id"], r["number"]) for r in many.where("segment = 'window' AND license = 'MIT-notice'").collect())
+    assert got == [(0, 1), (0, 7), (0, 13), (1, 1)]
+    own = licenses.scan(make(["x own terms y"]), {"own": "Own terms"})
+    assert [(r["segment"], r["number"], r["dice"]) for r in own.collect()] == [("window", 1, 1.0)]
+
+
 def test_license_lines_of_the_tables(make):
     lines = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."]
     found = {r["doc_id"]: r["license"] for r in licenses.scan(make([f"some words\n{t}\nmore words" for t in lines])).where("dice = 1").collect()}
