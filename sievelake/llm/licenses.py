@@ -10,7 +10,7 @@ reaches the threshold.
 Windows find licenses inside longer lines, over several lines, or with text right
 before and after. A template has two anchors, the three words at its start and
 three at its middle. Where one stands in the text, a window as long as the template
-is laid such that the anchor is at its place. A copy in which both anchors are
+is laid such that the anchor is at its place, and compared with that template. A copy in which both anchors are
 changed has no window (its line, paragraph or text may still match).
 
 Pruning, all of it exact: Dice's coefficient can't reach t unless
@@ -208,10 +208,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     parts = parts.where(F.char_length("s.part") > 2 * lowest)
     tokens = parts.select("doc_id", "s.segment", "s.number", F.explode(F.array(F.split(_normal(F.col("s.part")), " "))).alias("w")).where(F.size("w") > lowest)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    tokens = tokens.union(_windows(docs, {name: templates[name] for name in sets}))
-    sets_of = tokens.where(F.size("w") > 1).select("doc_id", "segment", "number", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
+    tokens = tokens.withColumn("laid", F.lit(None).cast("string")).union(_windows(docs, {name: templates[name] for name in sets}))
+    sets_of = tokens.where(F.size("w") > 1).select("doc_id", "segment", "number", "laid", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
     sets_of = sets_of.where(F.size("grams").between(lowest, highest))
-    fitting = F.filter(known, lambda t: (F.size("grams") >= t["low"]) & (F.size("grams") <= t["high"]))
+    fitting = F.filter(known, lambda t: (F.size("grams") >= t["low"]) & (F.size("grams") <= t["high"]) & (F.col("laid").isNull() | (F.col("laid") == t["license"])))
     shared = F.transform(fitting, lambda t: F.struct(t["license"].alias("license"), t["n"].alias("n"), F.size(F.array_intersect(F.col("grams"), t["grams"])).alias("shared")))
     hits = F.filter(shared, lambda t: 2000 * t["shared"] >= round(1000 * threshold) * (t["n"] + F.size("grams")))
     found = sets_of.select("doc_id", "segment", "number", F.size("grams").alias("n"), F.explode(hits).alias("t"))
@@ -223,10 +223,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 
 def _windows(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """doc_id, segment, number, w of the windows that the templates' anchors lay; equal ones once."""
+    """doc_id, segment, number, w, laid of the windows that the anchors of a template (laid) lay."""
     known = F.array(*[
-        F.struct(F.lit(len(words(text))).alias("size"), F.array(*[F.struct(F.lit(" ".join(a)).alias("text"), F.array(*map(F.lit, a)).alias("words"), F.lit(before).alias("before")) for a, before in anchors(text)]).alias("anchors"))
-        for text in templates.values()
+        F.struct(F.lit(name).alias("laid"), F.lit(len(words(text))).alias("size"), F.array(*[F.struct(F.lit(" ".join(a)).alias("text"), F.array(*map(F.lit, a)).alias("words"), F.lit(before).alias("before")) for a, before in anchors(text)]).alias("anchors"))
+        for name, text in templates.items()
     ])
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.explode(F.array(_normal(F.col("text")))).alias("t"))
     fitting = F.filter(known, lambda k: F.exists(k["anchors"], lambda a: F.contains(F.col("t"), a["text"])))
@@ -236,15 +236,15 @@ def _windows(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     def starts(k):
         found = lambda a: F.filter(F.sequence(F.lit(1), F.size("w")), lambda j: F.slice("w", j, F.size(a["words"])) == a["words"])
         moved = F.transform(k["anchors"], lambda a: F.transform(F.filter(found(a), lambda j: j > a["before"]), lambda j: j - a["before"]))
-        return F.transform(F.flatten(moved), lambda j: F.struct(j.alias("start"), k["size"].alias("size")))
+        return F.transform(F.array_distinct(F.flatten(moved)), lambda j: F.struct(j.alias("start"), k["size"].alias("size"), k["laid"].alias("laid")))
 
-    laid = held.select("doc_id", "w", F.explode(F.array_distinct(F.flatten(F.transform("known", starts)))).alias("at"))
-    return laid.select("doc_id", F.lit("window").alias("segment"), (F.col("at.start") - 1).alias("number"), F.slice("w", F.col("at.start"), F.col("at.size")).alias("w"))
+    laid = held.select("doc_id", "w", F.explode(F.flatten(F.transform("known", starts))).alias("at"))
+    return laid.select("doc_id", F.lit("window").alias("segment"), (F.col("at.start") - 1).alias("number"), F.slice("w", F.col("at.start"), F.col("at.size")).alias("w"), "at.laid")
 
 
 def sql(threshold: float = THRESHOLD) -> str:
     """The same rows by a plain join on bigrams, for DuckDB."""
-    laid = ", ".join(f"('{' '.join(a)}', {before}, {len(words(text))})" for text in TEMPLATES.values() for a, before in anchors(text))
+    laid = ", ".join(f"('{' '.join(a)}', {before}, {len(words(text))}, '{name}')" for name, text in TEMPLATES.items() for a, before in anchors(text))
     rows = ", ".join(f"('{name}', '{g}', {len(grams)})" for name, text in TEMPLATES.items() for grams in [bigrams(text)] for g in grams)
     return rf"""
     WITH t(license, g, n) AS (VALUES {rows}),
@@ -253,16 +253,16 @@ def sql(threshold: float = THRESHOLD) -> str:
     a AS (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(part, chr(10))
           UNION ALL SELECT doc_id, 'text', text, 0 FROM documents WHERE regexp_matches(text, '\n[ \t\r]*\n')),
     w AS (SELECT doc_id, segment, number, string_split(trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM a),
-    k(g, before, size) AS (VALUES {laid}),
+    k(g, before, size, laid) AS (VALUES {laid}),
     d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
     j AS (SELECT id, unnest(range(1, len(w) - 1)) AS j, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d),
-    y AS (SELECT DISTINCT id, j - before AS start, size FROM j JOIN k USING (g) WHERE j > before),
-    v AS (SELECT * FROM w UNION ALL SELECT doc_id, 'window', start - 1, list_slice(w, start, start + size - 1) FROM y JOIN d USING (id)),
-    b AS (SELECT doc_id, segment, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM v WHERE len(w) > 1),
-    u AS (SELECT row_number() OVER () AS id, doc_id, segment, number, len(grams) AS n, grams FROM b),
-    x AS (SELECT id, doc_id, segment, number, n, unnest(grams) AS g FROM u),
+    y AS (SELECT DISTINCT id, j - before AS start, size, laid FROM j JOIN k USING (g) WHERE j > before),
+    v AS (SELECT *, NULL AS laid FROM w UNION ALL SELECT doc_id, 'window', start - 1, list_slice(w, start, start + size - 1), laid FROM y JOIN d USING (id)),
+    b AS (SELECT doc_id, segment, number, laid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM v WHERE len(w) > 1),
+    u AS (SELECT row_number() OVER () AS id, doc_id, segment, number, laid, len(grams) AS n, grams FROM b),
+    x AS (SELECT id, doc_id, segment, number, laid, n, unnest(grams) AS g FROM u),
     m AS (SELECT x.id, x.doc_id, x.segment, x.number, t.license, count(*) AS shared, x.n AS n_segment, t.n AS n_template
-          FROM x JOIN t USING (g) GROUP BY ALL)
+          FROM x JOIN t USING (g) WHERE laid IS NULL OR laid = license GROUP BY ALL)
     SELECT doc_id, segment, CAST(number AS INT) AS number, license, CAST(shared AS BIGINT) AS shared, CAST(n_segment AS BIGINT) AS n_segment,
            CAST(n_template AS BIGINT) AS n_template, round(2 * shared / (n_template + n_segment), 6) AS dice
     FROM m WHERE 2000 * shared >= {round(1000 * threshold)} * (n_template + n_segment)"""
