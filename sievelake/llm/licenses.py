@@ -15,8 +15,9 @@ changed has no window (its line, paragraph or text may still match).
 
 Pruning, all of it exact: Dice's coefficient can't reach t unless
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so segments outside the bounds of all
-templates go before they are compared, and a segment is compared with those
-templates alone whose bounds hold its size. Texts without any anchor aren't split for
+templates go before they are compared, as do those of whose bigrams less than
+t / (2 - t) occur in any template, and a segment is compared with those templates
+alone whose bounds hold its size. Texts without any anchor aren't split for
 windows. The templates are a parameter of fixed size and go into the plan as a
 literal; nothing else is broadcast, and there is no shuffle.
 
@@ -24,7 +25,8 @@ Defined results: null and empty texts have no segments; segments of fewer than
 two words have no bigrams and match nothing; a line that matches several
 templates gives a row for each (ties included), and a license may be found as a
 line and as a window; repeated rows give repeated results; a very long text is one
-array of words in its task, and windows take work in proportion to it. Only the id and the text are looked at.
+array of words in its task, and windows take work in proportion to it. Only the id
+and the text are looked at.
 """
 
 from __future__ import annotations
@@ -211,9 +213,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     tokens = tokens.withColumn("laid", F.lit(None).cast("string")).union(_windows(docs, {name: templates[name] for name in sets}))
     sets_of = tokens.where(F.size("w") > 1).select("doc_id", "segment", "number", "laid", F.explode(F.array(F.array_distinct(pairs))).alias("grams"))
     sets_of = sets_of.where(F.size("grams").between(lowest, highest))
+    # what a match shares is at least t / (2 - t) of its segment, and is among the bigrams of some template
+    share = round(1000 * threshold)
+    listed = sorted({g for grams in sets.values() for g in grams})
+    sets_of = sets_of.where(F.size(F.filter("grams", lambda g: g.isin(listed))) * (2000 - share) >= share * F.size("grams"))
     fitting = F.filter(known, lambda t: (F.size("grams") >= t["low"]) & (F.size("grams") <= t["high"]) & (F.col("laid").isNull() | (F.col("laid") == t["license"])))
     shared = F.transform(fitting, lambda t: F.struct(t["license"].alias("license"), t["n"].alias("n"), F.size(F.array_intersect(F.col("grams"), t["grams"])).alias("shared")))
-    hits = F.filter(shared, lambda t: 2000 * t["shared"] >= round(1000 * threshold) * (t["n"] + F.size("grams")))
+    hits = F.filter(shared, lambda t: 2000 * t["shared"] >= share * (t["n"] + F.size("grams")))
     found = sets_of.select("doc_id", "segment", "number", F.size("grams").alias("n"), F.explode(hits).alias("t"))
     return found.select(
         "doc_id", "segment", "number", F.col("t.license").alias("license"),
