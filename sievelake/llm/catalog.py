@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, decontaminate, langid, licenses, media, pii, sharding, simhash, suffixes, warc
+from sievelake.llm import bpe, decontaminate, exact, langid, licenses, media, pii, repair, sharding, simhash, suffixes, trie, warc
 from sievelake.workspace import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,7 +69,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), langid.learn(labelled)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_suffixes": op3_suffixes, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.report(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_suffixes": op3_suffixes, "op4_bpe": op4_bpe, "op5_media": op5_media, "op6_decontaminate": op6_decontaminate, "op7_pii": op7_pii, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_langid": op10_langid, "op11_exact_dedup": op11_exact_dedup, "op12_repair": op12_repair, "op13_prefix_trie": op13_prefix_trie}
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.sql(),
     "op8_warc": """
@@ -79,4 +92,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
         FROM k""",
+    "op11_exact_dedup": exact.sql(),
+    "op12_repair": repair.sql(),
+    "op13_prefix_trie": trie.sql(),
 }
