@@ -176,6 +176,8 @@ def merge_round(runs: DataFrame, leaves: int, level: int, above: int | None) ->
         node, held, size = None, [], 0
 
         def out(done):
+            if not len(done):
+                return
             if above is None:
                 for at in range(0, len(done), BLOCK):
                     yield _result(done[at : at + BLOCK])

@@ -50,6 +50,16 @@ def test_hot_text_over_many_partitions(spark, parts):
     assert counted(exact.report(docs).collect()) == counted(brute(rows))
 
 
+def test_nodes_without_runs(spark):
+    """Few texts in many partitions: most nodes of the rounds get nothing."""
+    from sievelake.workspace import written
+
+    rows = [(i, f"t{i % 3}") for i in range(40)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id"), "test-few")
+    found = exact.found(exact.digests(docs), 40, 2)
+    assert sorted(r["group_size"] for r in found.collect()) == [13, 13, 14]
+
+
 def test_tree_has_bounded_fan_in():
     for leaves in (1, 2, 3, 16, 17, 211, 100_000):
         steps = exact.levels(leaves)
