@@ -9,7 +9,8 @@ reach - m + 1, then some partition has them differ in at most its threshold. Eac
 fingerprint gets thresholds of its own, by dynamic programming over the
 partitions, to minimise the estimated number of candidates: the histogram of the
 partition's values in all fingerprints, summed over the values within the
-threshold. So it looks past values that many fingerprints share if it can. The
+threshold. A threshold may be one above the average, so that a partition can stay
+unprobed while another takes its share. So a fingerprint looks past values that many fingerprints share if it can. The
 fingerprint then probes an index of all fingerprints by partition value, and
 each candidate is verified.
 
@@ -32,7 +33,12 @@ fewer differing bits; no such link is missed. ``first_of_each_group`` finds text
 whose sets of 5-word shingles are similar (Jaccard) to 0.8 or more: at that
 similarity some 15 in 100 bits differ, so its fingerprints have 192 bits and its
 partitions are chosen for the chance that such a pair is found, 0.9 at 0.8 and
-more above; links are then verified on the shingles themselves.
+more above. Candidates are verified before they are thinned: the first search only
+tells which fingerprints have candidates at all; those meet again, by the same
+partitions and thresholds, with sketches of their shingle sets (the sets themselves up
+to ``SKETCH`` shingles, else a sample by hash), and only links that the sketches bear
+out connect anything. Links that a sample leaves in doubt don't stand in for others.
+What is kept is verified on the whole sets.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any others; texts with fewer words than a shingle hash their whole word sequence;
@@ -233,7 +239,7 @@ class Index:
     @property
     def top(self) -> int:
         """The largest threshold: one above the average, 2 at most."""
-        return min(2, max(1, -(-self.plan.sum // self.plan.parts)))
+        return min(2, max(1, self.plan.sum // self.plan.parts + 1))
 
     def thresholds(self, values: np.ndarray) -> np.ndarray:
         """-1 to ``top`` for each partition of each fingerprint, adding up to the plan's
@@ -352,9 +358,8 @@ def verified(keys: np.ndarray, sides: np.ndarray, fps: np.ndarray, radius: int,
         at = upto
 
 
-def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
-    """a, b, apart: links of distinct fingerprints ``fps`` (node and fp0, fp1, ...) that
-    connect what chains of the pairs found within the plan's radius connect."""
+def indexed(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> Index:
+    """The partitions and histograms of distinct fingerprints ``fps`` (fp0, fp1, ...)."""
     columns, words = _columns(plan.words), plan.words
     groups = group_bits(correlations(fps, plan.bits), plan.widths())
     cells = 1 << min(16, max(plan.widths()))
@@ -371,8 +376,23 @@ def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
     rows = fps.select(*columns).mapInArrow(histogram, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(plan.parts * cells, np.int64)
     counts[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
-    known = fps.sparkSession.sparkContext.broadcast(Index(plan, groups, counts.reshape(plan.parts, cells), n, cell))
-    fields = "key long, cell int, side byte, node long, " + ", ".join(f"{c} long" for c in columns)
+    return Index(plan, groups, counts.reshape(plan.parts, cells), n, cell)
+
+
+def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
+    """a, b, apart: links of distinct fingerprints ``fps`` (node and fp0, fp1, ...) that
+    connect what chains of the pairs found within the plan's radius connect."""
+    return searched(fps, indexed(fps, plan, n, cell))
+
+
+def searched(fps: DataFrame, index: Index, similarity: float | None = None) -> DataFrame:
+    """a, b, apart: the links found by an index that connect what all of them connect.
+    With ``similarity``, only links that the column ``sketch`` bears out count, and apart
+    is in millionths of dissimilarity."""
+    plan = index.plan
+    columns, words = _columns(plan.words), plan.words
+    known = fps.sparkSession.sparkContext.broadcast(index)
+    fields = "key long, cell int, side byte, node long, " + ", ".join(f"{c} long" for c in columns) + ", sketch binary" * (similarity is not None)
     names = [f.split()[0] for f in fields.split(", ")]
 
     def entries(batches):
@@ -381,8 +401,11 @@ def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
                 part = batch.slice(at, 1000)
                 own, nodes = _matrix(part, words), part.column(words).to_numpy()
                 for key, cells, side, who in _entries(own, known.value):
-                    if len(key):
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cells.astype(np.int32)), pa.array(side), pa.array(nodes[who]), *[pa.array(own[who, i].view(np.int64)) for i in range(words)]], names)
+                    step = len(key) if similarity is None else 4096
+                    for lo in range(0, len(key), max(1, step)):
+                        k, c, s, w = (x[lo : lo + step] for x in (key, cells, side, who))
+                        more = [] if similarity is None else [part.column(words + 1).take(pa.array(w))]
+                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int32)), pa.array(s), pa.array(nodes[w]), *[pa.array(own[w, i].view(np.int64)) for i in range(words)], *more], names)
 
     def verify(batches):
         held, found = None, []
@@ -398,12 +421,15 @@ def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
 
         def look(columns):
             key = columns[0] * np.int64(0x5851F42D4C957F2D) + columns[1]  # of neighbours in the order: equal just if both parts are
-            fps = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
-            for left, right, apart in verified(key, columns[2], fps, plan.radius):
+            fps = np.stack([c.view(np.uint64) for c in columns[4 : 4 + words]], axis=1)
+            near = verified(key, columns[2], fps, plan.radius)
+            if similarity is not None:
+                near = borne_out(near, columns[3], columns[-1], similarity)
+            for left, right, apart in near:
                 found.append((columns[3][left], columns[3][right], apart))
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            columns = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])  # the last cell may go on in the next batch
             last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
@@ -420,7 +446,7 @@ def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
         if found:
             yield _pairs(*reduced(found))
 
-    keyed = fps.select(*columns, "node").mapInArrow(entries, fields)
+    keyed = fps.select(*columns, "node", *(["sketch"] if similarity is not None else [])).mapInArrow(entries, fields)
     return keyed.repartition("key", "cell").sortWithinPartitions("key", "cell", "side").mapInArrow(verify, "a long, b long, apart int")
 
 
@@ -505,6 +531,66 @@ def wide_fingerprints(h: np.ndarray, bounds: np.ndarray, bits: int = WIDE, step:
     return np.packbits(2 * totals > n[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
+SKETCH = 256
+#: Two deviations of what a sampled sketch tells of a similarity near 0.8.
+DOUBT = 0.07
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """A set of shingles as its distinct 32-bit hashes in order: all of them, or of more
+    than SKETCH those that end in so many zero bits, their number in the first byte."""
+    own, level = np.unique((mixed(h) >> np.uint64(32)).astype(np.uint32)), 0
+    while len(own) > SKETCH:
+        level += 1
+        own = own[own & np.uint32((1 << level) - 1) == 0]
+    return bytes([level]) + own.tobytes()
+
+
+def likeness(a: bytes, b: bytes) -> tuple[float, bool]:
+    """Similarity of two sketched sets, and whether that is exact."""
+    level, sets = max(a[0], b[0]), []
+    for x in (a, b):
+        own = np.frombuffer(x, np.uint32, offset=1)
+        sets.append(own if x[0] == level else own[own & np.uint32((1 << level) - 1) == 0])
+    n = len(sets[0]) + len(sets[1])
+    merged = np.sort(np.concatenate(sets))
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return (both / (n - both) if n else 1.0), not level
+
+
+def borne_out(near, nodes: np.ndarray, sketches: np.ndarray, similarity: float, step: int = 4096):
+    """Of pairs of rows (in pieces, as ``verified`` gives them) those that connect what all
+    similar ones connect, the closest fingerprints first. Pairs that sure ones connect
+    needn't be looked at. Pairs in doubt connect nothing but further pairs in doubt."""
+    of = np.unique(nodes, return_inverse=True)[1]
+    sure, likely = (np.arange(int(of.max()) + 1 if len(of) else 0) for _ in range(2))
+
+    def join(label, x, y):
+        label[label == max(label[x], label[y])] = min(label[x], label[y])
+
+    for left, right, apart in near:
+        order = np.argsort(apart, kind="stable")
+        kept, weights = [], []
+        for at in range(0, len(order), step):
+            part = order[at : at + step]
+            for i in part[sure[of[left[part]]] != sure[of[right[part]]]].tolist():
+                x, y = of[left[i]], of[right[i]]
+                if sure[x] == sure[y]:
+                    continue
+                like, exact = likeness(sketches[left[i]], sketches[right[i]])
+                if like >= similarity - 1e-9 + (0 if exact else DOUBT):
+                    join(sure, x, y)
+                    join(likely, x, y)
+                elif not exact and like >= similarity - DOUBT and likely[x] != likely[y]:
+                    join(likely, x, y)
+                else:
+                    continue
+                kept.append(i)
+                weights.append(round((1 - like) * 1e6))
+        if kept:
+            yield left[kept], right[kept], np.array(weights, np.int64)
+
+
 def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float = 0.9) -> DataFrame:
     """One row of each group of rows with similar texts: that with the smallest doc_id
     (rows without an id come last; of equal ids the first as read)."""
@@ -525,33 +611,37 @@ def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float
     apart = lambda j: math.acos(2 * j / (1 + j)) / math.pi
     differing = apart(similarity)
     radius = round(WIDE * differing + 2.6 * math.sqrt(WIDE * differing * (1 - differing)))
-    near = written(links(distinct.select(*columns, "node"), likely_plan(n, WIDE, differing, radius, chance), n).distinct(), "simhash-wide-links")
-    roots = components(similar(near, rows, similarity))
+    nodes = distinct.select(*columns, "node")
+    index = indexed(nodes, likely_plan(n, WIDE, differing, radius, chance), n)
+    ends = searched(nodes, index).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.select(F.col("uid").alias("node"), F.col("row.text").alias("text")).join(ends, "node", "left_semi")
+    close = written(texts.mapInArrow(_shingle_sets, "node long, sketch binary, shingles binary"), "simhash-wide-sets")
+    again = nodes.join(close.select("node", "sketch"), "node")
+    near = written(searched(again, index, similarity).distinct(), "simhash-wide-links")
+    roots = components(similar(near, close, similarity))
     group = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
     return rows.join(kept, "uid", "left_semi").select("row.*")
 
 
-def similar(near: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the links whose texts' sets of 5-word shingles are similar enough."""
+def _shingle_sets(batches):
+    """node, sketch and set of 5-word shingles (distinct 64-bit hashes in order) of (node, text)."""
+    for batch in slices(batches, 1, 2 << 20):
+        h, bounds = shingle_hashes(batch.column(1))
+        each = [np.unique(h[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        with np.errstate(over="ignore"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(e) for e in each], pa.binary()), pa.array([e.tobytes() for e in each], pa.binary())], ["node", "sketch", "shingles"])
 
-    def sets(batches):
-        for batch in slices(batches, 1, 2 << 20):
-            h, bounds = shingle_hashes(batch.column(1))
-            distinct = [np.unique(h[lo:hi]).view(np.int64) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            ends = np.cumsum([0, *map(len, distinct)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(distinct)))], ["node", "set"])
 
-    ends = near.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = rows.join(ends, "uid", "left_semi").select("uid", F.col("row.text").alias("text"))
-    known = written(texts.mapInArrow(sets, "node long, set array<long>"), "simhash-wide-sets")
-    left, right = (known.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+def similar(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the links whose texts' sets of shingles (node, shingles) are similar enough."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
 
     def judge(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -132,6 +132,56 @@ def test_similar_texts(make, real):
     assert n - 1 in kept and sorted(kept)[-3:] == [n - 7, n - 4, n - 1]
 
 
+def test_groups_of_copies_at_the_threshold(make):
+    """Copies at a similarity of 0.80 to 0.85 to a text, and less to each other, go with
+    it: at least 0.9 of them, alone or in groups of 6 and 20."""
+    rng = random.Random(21)
+    for copies, words, groups in ((1, 200, 60), (5, 200, 20), (19, 200, 8), (19, 900, 5)):
+        texts, of = [], []
+        for g in range(groups):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+            own = sets_of(" ".join(base))
+            texts.append(" ".join(base))
+            of.append(g)
+            while of.count(g) <= copies:
+                changed = list(base)
+                for at in rng.sample(range(2, words - 2), round(words * 0.021)):
+                    changed[at] = f"n{rng.random()}"
+                likeness = len(own & (new := sets_of(" ".join(changed)))) / len(own | new)
+                if 0.80 <= likeness <= 0.85:
+                    texts.append(" ".join(changed))
+                    of.append(g)
+        kept = [r["doc_id"] for r in simhash.first_of_each_group(make(texts)).collect()]
+        assert {of[i] for i in kept} == set(range(groups))
+        gone = len(texts) - len(kept)
+        assert gone >= 0.9 * groups * copies, (copies, words, gone / (groups * copies))
+
+
+def test_sketches():
+    rng = np.random.default_rng(4)
+    for n, exact in ((0, True), (40, True), (250, True), (3000, False)):
+        h = rng.integers(1, 1 << 63, n, np.uint64)
+        a, b = simhash.sketch(h), simhash.sketch(np.concatenate([h[: n * 9 // 10], rng.integers(1, 1 << 63, n // 10, np.uint64)]))
+        like, sure = simhash.likeness(a, b)
+        assert sure == exact and len(a) <= 1 + 4 * simhash.SKETCH
+        want = (n * 9 // 10) / (n + n // 10 + (n - n * 9 // 10 - n // 10)) if n else 1.0
+        assert abs(like - want) <= (0.02 if exact else 0.1)
+
+
+def test_thresholds_are_free_in_two_partitions():
+    """At 10^9 fingerprints, two partitions and a sum of 2: a value one bit away from a
+    crowd doesn't look that far, at the cost of a wider look in the other partition."""
+    n = 10**9
+    counts = np.full((2, 1 << 16), n >> 16, np.int64)
+    crowd = 7
+    cell = int(simhash.hashed(np.array([crowd]), 1 << 16)[0])
+    counts[0, cell] += 10**8
+    index = simhash.Index(simhash.whole_plan(n), list(np.arange(64).reshape(2, 32)), counts, n, 4096)
+    assert index.plan.parts == 2 and index.plan.sum == 2 and index.top == 2
+    t = index.thresholds(np.array([[crowd ^ 1, 1], [crowd ^ 3, 1], [12345, 1]]))
+    assert t.tolist() == [[0, 2], [1, 1], [1, 1]]
+
+
 def test_word_hashes(make):
     import pyarrow as pa
 
