@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.operators import containment
+
 
 def within(bits: DataFrame, start: int, end: int) -> DataFrame:
     """The bits of an interval that starts at a multiple of 8."""
@@ -13,11 +15,55 @@ def within(bits: DataFrame, start: int, end: int) -> DataFrame:
     return bits.where((F.col("pos") >= start) & (F.col("pos") < end))
 
 
+def sizes_of(bits: DataFrame, filters: DataFrame) -> DataFrame:
+    """filter, size: set bits, 0 for filters without any."""
+    counted = bits.groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+    return filters.select("filter").distinct().join(counted, "filter", "left").select("filter", F.coalesce("n", F.lit(0)).alias("size"))
+
+
+def within_distance(bits: DataFrame, filters: DataFrame, most: int) -> DataFrame:
+    """i, j (i < j), differing: the pairs at most so many bits apart, without a table of
+    all pairs.
+
+    The smaller filter of such a pair shares all but most / 2 of its bits at least, so it
+    needs to look up just as many of its rarest as leave one of the shared ones among
+    them; sizes differ by ``most`` at most; what is found is counted before it is given
+    out (see ``containment.overlaps``). Pairs of so few bits that they are close even
+    without a common one are told by their sizes."""
+    sizes = sizes_of(bits, filters)
+    probes = bits.select(F.col("filter").alias("read"), "pos", F.lit(1).cast("long").alias("n"))
+    enough = lambda hits, total, need, size: (size >= total) & (2 * hits >= total + size - most)
+    found = containment.overlaps(probes, bits, F.col("total") - most // 2, enough, sizes)
+    differing = F.col("total") + F.col("size") - 2 * F.col("hits")
+    one_way = (F.col("size") > F.col("total")) | (F.col("read") < F.col("filter"))
+    near = found.where((differing <= most) & one_way & (F.col("read") != F.col("filter")))
+    near = near.select(F.least("read", "filter").alias("i"), F.greatest("read", "filter").alias("j"), differing.alias("differing"))
+    left, right = (sizes.where(F.col("size") <= most).select(F.col("filter").alias(c), F.col("size").alias(f"n_{c}")) for c in "ij")
+    few = left.join(right, (F.col("i") < F.col("j")) & (F.col("n_i") + F.col("n_j") <= most))
+    apart = few.join(near, ["i", "j"], "left_anti").select("i", "j", (F.col("n_i") + F.col("n_j")).alias("differing"))
+    return near.union(apart)
+
+
+def closest(bits: DataFrame, filters: DataFrame) -> int | None:
+    """The smallest number of bits between two filters. Those of one filter to all others
+    give a bound; pairs within it give the rest."""
+    sizes = sizes_of(bits, filters)
+    first = sizes.agg(F.min("filter").alias("f"), F.count(F.lit(1)).alias("n")).first()
+    if first["n"] < 2:
+        return None
+    some = sizes.where(F.col("filter") != first["f"]).select(F.col("filter").alias("other"), F.col("size").alias("n_other"))
+    of_first = bits.where(F.col("filter") == first["f"]).select("pos")
+    shared = bits.join(of_first, "pos").groupBy(F.col("filter").alias("other")).agg(F.count(F.lit(1)).alias("both"))
+    own = sizes.where(F.col("filter") == first["f"]).first()["size"]
+    bound = some.join(shared, "other", "left").agg(F.min(F.col("n_other") + own - 2 * F.coalesce("both", F.lit(0)))).first()[0]
+    return within_distance(bits, filters, bound).agg(F.min("differing")).first()[0]
+
+
 def pair_sizes(bits: DataFrame, filters: DataFrame) -> DataFrame:
-    """i, j (i < j), n_i, n_j, n_both of all pairs of filters, disjoint ones too. The
-    filters of a position are listed once and paired within it; pairs are added up
-    before they are exchanged."""
-    sizes = filters.select("filter").distinct().join(bits.groupBy("filter").agg(F.count(F.lit(1)).alias("n")), "filter", "left").select("filter", F.coalesce("n", F.lit(0)).alias("n"))
+    """i, j (i < j), n_i, n_j, n_both of all pairs of filters, disjoint ones too: a
+    self-join by position, added up before it is exchanged, and the pairs of filters.
+    For pairs within a distance alone see ``within_distance``."""
+    sizes = sizes_of(bits, filters).select("filter", F.col("size").alias("n"))
     a, b = bits.select("pos", F.col("filter").alias("i")), bits.select("pos", F.col("filter").alias("j"))
     both = a.join(b, "pos").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_both"))
     left, right = (sizes.select(F.col("filter").alias(c), F.col("n").alias(f"n_{c}")) for c in "ij")

@@ -518,9 +518,10 @@ def hamming_interval(spark, d):
 
 def close_suppliers(spark, d):
     """Pairs that are little farther apart than the closest one."""
-    dist = distances.hamming(pair_sizes(spark, d)[0], BITS)
-    low = dist.agg(F.min("dist").alias("low"))
-    return distances.edges(dist.join(F.broadcast(low)), sql.CLOSE * F.col("low"))
+    bits = written(supplier_bits(spark, d), "supplier-bits")
+    low = distances.closest(bits, bits) or 0
+    pairs = distances.within_distance(bits, bits, int(sql.CLOSE * low) + 1)
+    return distances.edges(pairs.select("i", "j", (F.col("differing") / BITS).alias("dist")), sql.CLOSE * (low / BITS))
 
 
 @query(sql.EDGES)

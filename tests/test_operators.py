@@ -60,6 +60,59 @@ def test_distances(spark):
     assert sum(r["n"] for r in hist) == 16
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_within_a_distance(spark, seed):
+    """Equal to all pairs compared, with frequent positions, empty filters and small ones."""
+    rng = random.Random(seed)
+    sets = {f"f{i}": {0} | {rng.randrange(1, 400) for _ in range(rng.choice([0, 1, 3, 30]))} for i in range(40)}
+    for i in range(40, 60):
+        sets[f"f{i}"] = {p for p in sets[f"f{rng.randrange(40)}"] if rng.random() < 0.9}
+    frame = bits(spark, sets).repartition(3)
+    filters = spark.createDataFrame([(f,) for f in sets], ["filter"])
+    apart = {(i, j): len(sets[i] ^ sets[j]) for i, j in itertools.combinations(sorted(sets), 2)}
+    for most in (0, 1, 2, 7, 30, 200):
+        got = {(r["i"], r["j"]): r["differing"] for r in distances.within_distance(frame, filters, most).collect()}
+        assert got == {p: n for p, n in apart.items() if n <= most}
+    assert distances.closest(frame, filters) == min(apart.values())
+
+
+@pytest.mark.parametrize("theta", [0.3, 0.7, 1.0])
+def test_matches_where_most_reads_share_positions(spark, theta, monkeypatch):
+    """Position 0 is in every filter and read, 1 to 4 in most: reads skip them where they
+    may, and what a task gives out is far less than the shared positions."""
+    rng = random.Random(9)
+    sets = {f: {0} | {p for p in range(1, 5) if rng.random() < 0.9} | set(rng.sample(range(5, 3000), 20)) for f in range(200)}
+    reads = {}
+    for r in range(300):
+        own = rng.sample(sorted(sets[rng.randrange(200)]), rng.randrange(1, 15)) + rng.sample(range(5, 3000), 3)
+        reads[r] = {0: rng.randrange(1, 4), **{p: rng.randrange(1, 3) for p in own}}
+    reads[300] = {0: 9}
+    probes = spark.createDataFrame([(r, p, n) for r, ps in reads.items() for p, n in ps.items()], "read long, pos long, n long").repartition(4)
+    frame = spark.createDataFrame([(f, p) for f, ps in sets.items() for p in ps], "filter long, pos long")
+    want = {}
+    for r, ps in reads.items():
+        total = sum(ps.values())
+        for f, own in sets.items():
+            hits = sum(n for p, n in ps.items() if p in own)
+            if hits and hits >= np.ceil(round(total * theta, 9)):
+                want[r, f] = (hits, total)
+    got = {(x["read"], x["filter"]): (x["hits"], x["total"]) for x in containment.matches(probes, frame, theta).collect()}
+    assert got == want
+    hot = {x["pos"] for x in containment.frequent(frame).collect()}
+    assert 0 in hot and hot <= set(range(5))
+    shared = sum(1 for ps in reads.values() for own in sets.values() for p in ps if p in own)
+    found = containment.overlaps(probes, frame, containment.needed(F.col("total"), theta), lambda hits, total, need, size: hits >= need)
+    if theta > 0.5:
+        assert found.count() * 10 <= shared
+
+
+def test_threshold_of_each_read(spark):
+    probes = spark.createDataFrame([(r, p, 1) for r in (1, 2) for p in range(4)], "read long, pos long, n long")
+    frame = bits(spark, {"a": {0, 1}, "b": {0, 1, 2}}).select("filter", "pos")
+    theta = F.when(F.col("read") == 1, 0.5).otherwise(0.75)
+    assert {(r["read"], r["filter"]) for r in containment.matches(probes, frame, theta).collect()} == {(1, "a"), (1, "b"), (2, "b")}
+
+
 def test_matches(spark):
     index = bits(spark, {"p": range(0, 9), "q": range(0, 5), "r": range(20, 30)})
     rows = spark.createDataFrame([("r1", p) for p in range(10)] + [("r2", 100)], "read string, pos long")
