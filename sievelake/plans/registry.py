@@ -592,6 +592,28 @@ def disjoint_cliques(spark, d):
     return graphs.disjoint_cliques(near).select(F.array_join(F.transform("clique", lambda c: c.cast("string")), "_").alias("clique"), F.size("clique").alias("members"))
 
 
+def merged_by_cliques(spark, d):
+    near = close_suppliers(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return written(graphs.clique_groups(graphs.disjoint_cliques(near)), "merged-cliques")
+
+
+@query()
+def merged_clique_filters(spark, d):
+    """The published merging: a filter per final clique, named by its members, in bits and mean length."""
+    groups = merged_by_cliques(spark, d)
+    names_of = graphs.merged_names(groups)
+    sizes = graphs.merged_bits(supplier_bits(spark, d), groups).groupBy("root").agg(F.count(F.lit(1)).alias("ones"))
+    lengths = lines(spark, d).groupBy(F.col("l_suppkey").alias("strain")).agg(F.count(F.lit(1)).alias("length"))
+    return names_of.join(sizes, "root").join(graphs.merged_lengths(names_of, lengths), "name")
+
+
+@query()
+def clique_superseded(spark, d):
+    """The filters that stay beside those merged by clique."""
+    filters = table(spark, d, "supplier").select(F.col("s_suppkey").alias("filter"))
+    return graphs.superseded(filters, graphs.merged_names(merged_by_cliques(spark, d)))
+
+
 # ---- trees --------------------------------------------------------------
 
 

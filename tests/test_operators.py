@@ -231,6 +231,82 @@ def test_smallest_cut(n, m, both):
     assert any({e for e in edges if len(e & s) == 1} == cut for s in sides)
 
 
+def brute_cliques(links):
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    whole = [set(c) for k in range(2, len(near) + 1) for c in itertools.combinations(sorted(near), k) if all(b in near[a] for a, b in itertools.combinations(c, 2))]
+    return sorted(sorted(c) for c in whole if not any(all(v in near[u] for u in c) for v in set(near) - c))
+
+
+@pytest.mark.parametrize("split", [2, 48])
+def test_cliques_of_random_graphs(spark, split):
+    rng = random.Random(split)
+    for share in (0.2, 0.5, 0.9):
+        links = [(a, b) for a, b in itertools.combinations(range(11), 2) if rng.random() < share]
+        found = graphs.maximal_cliques(spark.createDataFrame(links, "a long, b long"), split).collect()
+        assert sorted(r["clique"] for r in found) == brute_cliques(links)
+
+
+def test_large_cliques_are_quick(spark):
+    """60 close nodes, a hub of 2,000 and the complement of a matching."""
+    import time
+
+    links = list(itertools.combinations(range(60), 2)) + [(500, 1000 + i) for i in range(2000)]
+    links += [(3000 + a, 3000 + b) for a, b in itertools.combinations(range(16), 2) if a // 2 != b // 2]
+    began = time.time()
+    found = [tuple(r["clique"]) for r in graphs.maximal_cliques(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert time.time() - began < 120
+    assert len(found) == len(set(found)) == 1 + 2000 + 2**8 and tuple(range(60)) in found
+
+
+def plain_settled(links, cutoff):
+    """The decisions one by one, all cliques listed anew after each."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    before, merging = set(), False
+    while True:
+        edges = [(a, b) for a in near for b in near[a] if a < b]
+        cliques = sorted(map(tuple, brute_cliques(edges)), key=lambda c: (-len(c), c))
+        overlaps = [(c, d) for c, d in itertools.combinations(cliques, 2) if set(c) & set(d)]
+        if not overlaps:
+            return sorted(cliques)
+        merging = merging or frozenset(edges) in before
+        before.add(frozenset(edges))
+        c, d = map(set, min(overlaps))
+        around = near[min(c - d)] | near[min(d - c)]
+        dense = sum(b in near[a] for a, b in itertools.combinations(around, 2))
+        if merging or len(around) < 2 or 2 * dense / (len(around) * (len(around) - 1)) >= cutoff:
+            for v in c | d:
+                near[v] |= (c | d) - {v}
+        else:
+            for v, u in graphs.smallest_cut(c, d):
+                near[v].discard(u)
+                near[u].discard(v)
+
+
+def test_merging_by_final_cliques(spark):
+    """A chain of four is one component and two cliques: filters merge by clique."""
+    rng = random.Random(2)
+    chains = [(0, 1), (1, 2), (2, 3)] + [(10 * g + a, 10 * g + b) for g in range(1, 7) for a, b in itertools.combinations(range(7), 2) if rng.random() < 0.35]
+    df = spark.createDataFrame(chains, "a long, b long")
+    for cutoff in (0.01, 0.4):
+        want = sorted(c for g in range(7) for c in plain_settled([(a, b) for a, b in chains if a // 10 == g], cutoff))
+        groups = graphs.clique_groups(graphs.disjoint_cliques(df, cutoff))
+        names_of = {r["name"]: r["members"] for r in graphs.merged_names(groups).collect()}
+        assert names_of == {"_".join(sorted(map(str, c))) + "_": len(c) for c in want}
+    groups = graphs.clique_groups(graphs.disjoint_cliques(df.where("a < 10")))
+    sets = {v: {v, 100 + v // 2} for v in range(5)}
+    assert as_sets(graphs.merged_bits(bits(spark, sets), groups), "root") == {0: sets[0] | sets[1], 2: sets[2] | sets[3]}
+    lengths = spark.createDataFrame([(v, 10 + v * v) for v in range(4)], "strain long, length long")
+    assert {(r["name"], r["length"]) for r in graphs.merged_lengths(graphs.merged_names(groups), lengths).collect()} == {("0_1_", 10), ("2_3_", 16)}
+    filters = spark.createDataFrame([(v,) for v in range(6)], "filter long")
+    assert sorted(r["filter"] for r in graphs.superseded(filters, graphs.merged_names(groups)).collect()) == [4, 5]
+
+
 def test_random_cliques_end_disjoint(spark):
     rng = random.Random(5)
     links = [(base + a, base + b) for base in range(0, 120, 12) for a, b in itertools.combinations(range(12), 2) if rng.random() < 0.25]
