@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import sequences
+from sievelake.operators import covers
 from sievelake.workspace import written
 
 
@@ -57,11 +59,10 @@ def cover(ranks: DataFrame, max_shapes: int = 200_000) -> DataFrame:
     the larger of two, if it is over 1 and the other has no read of its own), then
     the smallest set of names.
 
-    Reads with the same weighted strains are one row. Sets of strains are rows too
-    and grow by a strain a round: each is branched on the smallest group of strains
-    of which it has none yet, so the first round with a whole cover has all the
-    smallest ones, whatever the number of strains. Those alone are judged. The
-    groups go along as one row; ``max_shapes`` bounds their number."""
+    Reads with the same weighted strains are one row. The smallest covers of the
+    largest weight are found by branch and bound over rows (``_best_covers``), whatever
+    the number of strains. Those alone are judged. The groups go along as one row;
+    ``max_shapes`` bounds their number."""
     spark = ranks.sparkSession
     strains = [r["strain"] for r in marginal(ranks).where("NOT is_marginal").orderBy("strain").collect()]
     kind = ranks.schema["strain"].dataType.simpleString()
@@ -75,7 +76,8 @@ def cover(ranks: DataFrame, max_shapes: int = 200_000) -> DataFrame:
     n_need = need.count()
     if n_need > max_shapes:
         raise ValueError(f"{n_need} groups of strains are more than max_shapes")
-    sets = _smallest_covers(need, n_need, number)
+    weights = shapes.select("n", F.explode("w").alias("s")).groupBy(F.col("s.bit").alias("bit")).agg(F.sum(F.col("n") * F.col("s.weight")).cast("long").alias("weight"))
+    sets = _best_covers(need, n_need, number, weights)
     chosen = sets.select("chosen", F.explode("chosen").alias("bit"))
     met = chosen.join(shapes.select("w", "marginal", "n", F.explode("w").alias("s")).withColumn("bit", F.col("s.bit")), "bit").groupBy("chosen", "w", "marginal", "n").agg(F.collect_list("s").alias("hit"))
     each = met.select("chosen", "n", F.size("hit").alias("covers"), F.explode("hit").alias("s")).select("chosen", "n", "covers", "s.bit", "s.weight")
@@ -92,19 +94,57 @@ def cover(ranks: DataFrame, max_shapes: int = 200_000) -> DataFrame:
     return scored.join(F.broadcast(best.select("chosen")), "chosen").join(F.broadcast(number), "bit").select("strain", F.col("support").cast("long").alias("support"), F.col("signed").cast("long").alias("signed"))
 
 
-def _smallest_covers(need: DataFrame, n_need: int, number: DataFrame) -> DataFrame:
-    """chosen (ordered bits): all sets of the fewest bits that have one of every mask; without masks, every single bit."""
+def _best_covers(need: DataFrame, n_need: int, number: DataFrame, weights: DataFrame, budget: int = 5_000) -> DataFrame:
+    """chosen (ordered bits): the sets of the fewest bits that have one of every mask, and of
+    these the ones of the largest weight; without masks, every single bit.
+
+    Branch and bound. Sub-problems are rows: bits chosen, and bits banned as another row
+    has them. A task works on its rows until ``budget`` steps are done; what is open then
+    are rows of the next round, dealt out anew, and all tasks of a round know the best
+    cover of the rounds before. Before that, groups that hold another one are left
+    out, and bits whose groups another bit of more weight has as well."""
+    spark = need.sparkSession
     if not n_need:
         return number.select(F.array("bit").alias("chosen"))
-    listed = written(need.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.size("mask").alias("size"), "mask"))), lambda m: m["mask"]).alias("need")), "need")
-    sets = need.sparkSession.range(1).select(F.array().cast("array<int>").alias("chosen"))
+    listed = need.agg(F.array_sort(F.collect_list("mask")).alias("need"))
+    weighed = number.join(weights, "bit", "left").agg(F.array_sort(F.collect_list(F.struct("bit", F.coalesce("weight", F.lit(0)).alias("weight")))).alias("w"))
+    problem = listed.join(F.broadcast(weighed)).select("need", F.transform("w", lambda x: x["weight"]).alias("weights"))  # one row each
+
+    def reduce(batches):
+        for batch in batches:
+            rows = [covers.reduced(*r) for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            greedy = [covers.greedy(*r) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array(greedy, pa.list_(pa.int32()))], ["need", "weights", "greedy"])
+
+    problem = written(problem.mapInArrow(reduce, "need array<array<int>>, weights array<long>, greedy array<int>"), "cover-problem")
+    fields = "chosen array<int>, banned array<int>, whole boolean, size int, weight long"
+
+    def search(batches):
+        solver = None
+        for batch in batches:
+            for chosen, banned, groups, weight, size, best in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                solver = solver or covers.Search(groups, weight, size, best, budget)
+                solver.run(chosen, banned)
+        if solver is not None:
+            rows = [(sorted(c), [], True, len(c), solver.weight) for c in solver.best] + [(c, x, False, 0, 0) for c, x in solver.open]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split()[0] for f in fields.split(", ")])
+
+    first = problem.select("greedy", F.aggregate("greedy", F.lit(0).cast("long"), lambda a, b: a + F.get("weights", b)).alias("weight")).first()
+    bound = (len(first["greedy"]), first["weight"])
+    open_ = spark.createDataFrame([([], [])], "chosen array<int>, banned array<int>")
+    found, tasks = None, spark.sparkContext.defaultParallelism
     while True:
-        without = F.get(F.filter("need", lambda m: ~F.arrays_overlap(m, F.col("chosen"))), F.lit(0))
-        sets = written(sets.join(F.broadcast(listed)).select("chosen", without.alias("without")), "covers")
-        whole = sets.where("without IS NULL").select("chosen")
-        if not whole.isEmpty():
-            return whole
-        sets = sets.select("chosen", F.explode("without").alias("bit")).select(F.array_sort(F.concat("chosen", F.array("bit"))).alias("chosen")).distinct()
+        known = problem.select("need", "weights", F.lit(bound[0]).alias("size"), F.lit(bound[1]).cast("long").alias("best"))
+        rows = open_.repartition(tasks).join(F.broadcast(known)).select("chosen", "banned", "need", "weights", "size", "best")  # one row
+        told = written(rows.mapInArrow(search, fields), "covers")
+        found = told.where("whole") if found is None else found.union(told.where("whole"))
+        top = told.where("whole").agg(F.min(F.struct("size", (-F.col("weight")).alias("less")))).first()[0]
+        bound = bound if top is None else min(bound, (top["size"], -top["less"]), key=lambda b: (b[0], -b[1]))
+        open_ = told.where("NOT whole").select("chosen", "banned")
+        if open_.isEmpty():
+            break
+    return found.where((F.col("size") == bound[0]) & (F.col("weight") == bound[1])).select("chosen").distinct()
 
 
 def read_sets(found: DataFrame, kept: DataFrame) -> DataFrame:

@@ -375,6 +375,46 @@ def test_cover_of_many_strains(spark):
         identify.cover(ranks, max_shapes=3)
 
 
+def test_best_covers_are_those_of_brute_force(spark):
+    from sievelake.operators import covers
+
+    rng = random.Random(11)
+    for _ in range(200):
+        n = rng.randint(1, 9)
+        need = [sorted(rng.sample(range(n), rng.randint(1, min(4, n)))) for _ in range(rng.randint(1, 9))]
+        weights = [rng.randint(0, 3) for _ in range(n)]
+        sets = [c for k in range(n + 1) for c in itertools.combinations(range(n), k) if all({*c} & {*g} for g in need)]
+        size = min(map(len, sets))
+        best = max(sum(weights[b] for b in c) for c in sets if len(c) == size)
+        want = {c for c in sets if len(c) == size and sum(weights[b] for b in c) == best}
+        groups, w = covers.reduced(need, weights)
+        first = covers.greedy(groups, w)
+        search, waiting = covers.Search(groups, w, len(first), sum(w[b] for b in first), 3), [([], [])]
+        while waiting:  # a few steps at a time
+            for chosen, banned in waiting:
+                search.run(chosen, banned)
+            waiting, search.open, search.budget = search.open, [], 3
+        assert {tuple(sorted(c)) for c in search.best if len(c) == search.size} == want
+
+
+def test_cover_of_real_size(spark):
+    """79 strains, groups of two to a dozen, and covers of twelve strains: under a minute."""
+    import time
+
+    rng = random.Random(79)
+    groups = set()
+    for s in rng.sample(range(79), 12):  # present ones, each with close relatives
+        near = rng.sample([x for x in range(79) if x != s], 25)
+        groups |= {tuple(sorted([s, *rng.sample(near, rng.choice([1, 2, 3, 5, 8, 11]))])) for _ in range(60)}
+    need = spark.createDataFrame([(list(g),) for g in groups], "mask array<int>")
+    number = spark.createDataFrame([(b, f"s{b:02}") for b in range(79)], "bit int, strain string")
+    weights = spark.createDataFrame([(b, 100 + rng.randrange(1000)) for b in range(79)], "bit int, weight long")
+    began = time.time()
+    found = [r["chosen"] for r in identify._best_covers(need, len(groups), number, weights).collect()]
+    assert time.time() - began < 60
+    assert found and all({*g} & {*c} for c in found for g in groups) and {len(c) for c in found} == {12}
+
+
 def test_abundance_by_rows(spark):
     rng = random.Random(3)
     sets = [(sorted(rng.sample("ABCDE", k)), rng.randrange(1, 50)) for k in (1, 2, 2, 3, 4, 5)]
