@@ -50,28 +50,82 @@ def or_not(a: DataFrame, b: DataFrame, filters: DataFrame, num_bits: int) -> Dat
     return unpacked(packed_pair(packed(a), packed(b), filters, num_bits, lambda x, y: x | ~y))
 
 
+def directory(maps: DataFrame) -> DataFrame:
+    """Bitmaps with ``before``: how many bits are set in the filter's buckets before. A row
+    per bucket is all that is put in order; inside a bucket the bitmap tells the rest."""
+    running = F.sum(F.bitmap_count("bitmap")).over(W.partitionBy("filter").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    return maps.withColumn("before", F.coalesce(running, F.lit(0)))
+
+
+def minus(x: str, y: str) -> Column:
+    """The bits of a bitmap that another one lacks."""
+
+    @F.arrow_udf("binary")
+    def of(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        pairs = zip(xs.to_pylist(), ys.to_pylist(), strict=True)
+        return pa.array([(np.frombuffer(a, np.uint8) & ~np.frombuffer(b, np.uint8)).tobytes() for a, b in pairs], pa.binary())
+
+    return of(x, y)
+
+
 def ranks(bits: DataFrame) -> DataFrame:
-    """filter, pos, rank: set bits before each set bit."""
-    return bits.withColumn("rank", (F.row_number().over(W.partitionBy("filter").orderBy("pos")) - 1).cast("long"))
+    """filter, pos, rank: set bits before each set bit, by the two-level directory."""
+    return _ranked(directory(packed(bits)))
+
+
+def _ranked(listed: DataFrame) -> DataFrame:
+    each = listed.select("filter", "before", "bucket", F.posexplode(set_bits(F.col("bitmap"))).alias("at", "bit"))
+    return each.select("filter", ((F.col("bucket") - 1) * BLOCK + F.col("bit")).alias("pos"), (F.col("before") + F.col("at")).cast("long").alias("rank"))
+
+
+def ranks_in(x: str, y: str) -> Column:
+    """Of the set bits of bitmap x that y has, the number of bits of y before each."""
+
+    @F.arrow_udf("array<int>")
+    def of(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
+            a, b = (np.unpackbits(np.frombuffer(m, np.uint8), bitorder="little") for m in (a, b))
+            out.append((np.cumsum(b, dtype=np.int32) - 1)[np.flatnonzero(a & b)])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return of(x, y)
 
 
 def squeeze(bits: DataFrame, spec: DataFrame) -> DataFrame:
-    """The bits at the positions of spec, moved together."""
-    return bits.join(ranks(spec), ["filter", "pos"]).select("filter", F.col("rank").alias("pos"))
+    """The bits at the positions of spec, moved together: their ranks in it, found bucket by bucket."""
+    marked = directory(packed(spec)).withColumnRenamed("bitmap", "y")
+    both = packed(bits).withColumnRenamed("bitmap", "x").join(marked, ["filter", "bucket"])
+    return both.select("filter", "before", F.explode(ranks_in("x", "y")).alias("at")).select("filter", (F.col("before") + F.col("at")).cast("long").alias("pos"))
 
 
 def unsqueeze(bits: DataFrame, spec: DataFrame) -> DataFrame:
-    """Inverse of squeeze, zero elsewhere."""
-    placed = ranks(spec).withColumnRenamed("pos", "at")
-    return bits.withColumnRenamed("pos", "rank").join(placed, ["filter", "rank"]).select("filter", F.col("at").alias("pos"))
+    """Inverse of squeeze, zero elsewhere. A bucket of spec holds the ranks from its
+    ``before`` on: it takes them from the one or two buckets of bits that have them."""
+    marked = directory(packed(spec)).withColumn("n", F.bitmap_count("bitmap")).where("n > 0").withColumnRenamed("bitmap", "y")
+    # ranks before .. before + n - 1 lie in these buckets of bits, numbered from 1
+    wanted = F.explode(F.sequence(F.floor(F.col("before") / BLOCK) + 1, F.floor((F.col("before") + F.col("n") - 1) / BLOCK) + 1)).alias("from")
+    needed = marked.select("filter", "bucket", "before", "y", wanted)
+    both = needed.join(packed(bits).select("filter", F.col("bucket").alias("from"), F.col("bitmap").alias("x")), ["filter", "from"])
+
+    @F.arrow_udf("array<int>")
+    def placed(xs: pa.Array, ys: pa.Array, shift: pa.Array) -> pa.Array:
+        out = []
+        for x, y, s in zip(xs.to_pylist(), ys.to_pylist(), shift.to_pylist(), strict=True):
+            rank, place = (np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in (x, y))
+            rank = rank + s
+            out.append(place[rank[(rank >= 0) & (rank < len(place))]].astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    shift = (F.col("from") - 1) * BLOCK - F.col("before")
+    each = both.select("filter", "bucket", F.explode(placed("x", "y", shift.cast("long"))).alias("bit"))
+    return each.select("filter", ((F.col("bucket") - 1) * BLOCK + F.col("bit")).alias("pos"))
 
 
 def select0(bits: DataFrame, filters: DataFrame, num_bits: int) -> DataFrame:
     """filter, i, pos: the i-th clear position, from 0. Buckets are ranked, not positions."""
     clear = packed_pair(packed(bits), None, filters, num_bits, lambda x, y: ~x)
-    before = F.coalesce(F.sum(F.bitmap_count("bitmap")).over(W.partitionBy("filter").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    each = clear.withColumn("before", before).select("filter", "before", "bucket", F.posexplode(set_bits(F.col("bitmap"))).alias("at", "bit"))
-    return each.select("filter", (F.col("before") + F.col("at")).alias("i"), ((F.col("bucket") - 1) * BLOCK + F.col("bit")).alias("pos"))
+    return _ranked(directory(clear)).select("filter", F.col("rank").alias("i"), "pos")
 
 
 def density(bits: DataFrame, num_bits: int) -> DataFrame:
@@ -165,11 +219,21 @@ def packed_pair(a: DataFrame, b: DataFrame | None, filters: DataFrame, num_bits:
 
 
 def random_bits(filters: DataFrame, num_bits: int, density: float, seed: int = 0) -> DataFrame:
-    """Bits set independently with a probability; the same for the same seed."""
-    start = ((F.col("bucket") - 1) * BLOCK).cast("long")
-    each = buckets(filters, num_bits).select("filter", F.explode(F.sequence(start, F.least(start + BLOCK, F.lit(num_bits).cast("long")) - 1)).alias("pos"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "filter", "pos"), F.lit(1 << 52)) / float(1 << 52)
-    return each.where(draw < density)
+    """Bits set independently with a probability; the same for the same seed. How many of a
+    block's bits are set is drawn from the binomial distribution, then which ones, so the
+    work is as the bits that are set, not as the positions there are."""
+    own = F.xxhash64(F.lit(seed), F.col("filter"), F.col("bucket"))
+
+    @F.arrow_udf("array<int>")
+    def drawn(seeds: pa.Array, bucket: pa.Array) -> pa.Array:
+        out = []
+        for s, b in zip(seeds.to_pylist(), bucket.to_pylist(), strict=True):
+            rng, size = np.random.default_rng(s % (1 << 64)), min(BLOCK, num_bits - (b - 1) * BLOCK)
+            out.append(np.sort(rng.choice(size, rng.binomial(size, density), replace=False, shuffle=False)).astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    each = buckets(filters, num_bits).select("filter", "bucket", F.explode(drawn(own, "bucket")).alias("bit"))
+    return each.select("filter", ((F.col("bucket") - 1) * BLOCK + F.col("bit")).alias("pos"))
 
 
 def random_exactly(filters: DataFrame, num_bits: int, ones: int, seed: int = 0) -> DataFrame:

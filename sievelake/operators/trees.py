@@ -15,26 +15,60 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import sequences
-from sievelake.operators import containment
+from sievelake.operators import bitmaps, containment
+from sievelake.workspace import written
+
+
+def ancestors(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """node, above, steps: each node of ``start`` (or every one) with itself and all its
+    ancestors. Pointers double their reach each round, and each round is written, so
+    rounds are as the logarithm of the depth."""
+    jump = written(nodes.where("parent IS NOT NULL").select(F.col("node").alias("from"), F.col("parent").alias("to")), "jumps")
+    found = written((nodes if start is None else start).select("node", F.col("node").alias("above"), F.lit(0).cast("long").alias("steps")), "ancestors")
+    reach = 1
+    while not jump.isEmpty():
+        further = found.join(jump, found["above"] == jump["from"]).select("node", F.col("to").alias("above"), (F.col("steps") + reach).alias("steps"))
+        found = written(found.union(further), "ancestors")
+        onward = jump.select(F.col("from").alias("to"), F.col("to").alias("then"))
+        jump = written(jump.join(onward, "to").select("from", F.col("then").alias("to")), "jumps")
+        reach *= 2
+    return found
 
 
 def ancestry(nodes: DataFrame) -> DataFrame:
-    """leaf, node: each leaf with itself and all its ancestors; a join per level."""
-    at = nodes.where("is_leaf").select(F.col("node").alias("leaf"), "node", "parent")
-    found, depth = at.select("leaf", "node"), nodes.agg(F.max("depth")).first()[0] or 0
-    for _ in range(depth):
-        up = nodes.select(F.col("node").alias("up"), F.col("parent").alias("next"))
-        at = at.join(up, at["parent"] == up["up"]).select("leaf", F.col("up").alias("node"), F.col("next").alias("parent"))
-        found = found.union(at.select("leaf", "node"))
-    return found
+    """leaf, node: each leaf with itself and all its ancestors."""
+    return ancestors(nodes, nodes.where("is_leaf")).select(F.col("node").alias("leaf"), F.col("above").alias("node"))
+
+
+def with_depth(links: DataFrame) -> DataFrame:
+    """node, parent, depth, is_leaf of the nodes in links (node, parent; null at a root)."""
+    links = written(links.select("node", "parent"), "tree-links")
+    depth = ancestors(links).groupBy("node").agg(F.max("steps").alias("depth"))
+    inner = links.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("is_leaf", F.lit(False))
+    return links.join(depth, "node").join(inner, "node", "left").select("node", "parent", F.col("depth").cast("int").alias("depth"), F.coalesce("is_leaf", F.lit(True)).alias("is_leaf"))
+
 
+def without_only_children(nodes: DataFrame) -> DataFrame:
+    """``nodes``; a node that is an only child is an error."""
+    alone = nodes.where("parent IS NOT NULL").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("parent", F.lit(True).alias("alone"))
+    checked = F.when(F.col("alone"), F.raise_error(F.concat(F.lit("an only child: "), F.col("node").cast("string")))).otherwise(F.col("node"))
+    return nodes.join(alone, "parent", "left").withColumn("node", checked).select(*nodes.columns)
 
-def cup_and_cap(nodes: DataFrame, bits: DataFrame) -> DataFrame:
-    """node, pos, in_cap for every position in a node's union."""
-    below = ancestry(nodes)
+
+def cup_and_cap(nodes: DataFrame, bits: DataFrame, refuse_only_children: bool = False) -> DataFrame:
+    """node, pos, in_cap for every position in a node's union. Leaves meet their ancestors
+    as bitmaps of 32,768 bits, so a deep tree costs a bitmap, not its positions, a step."""
+    nodes = without_only_children(nodes) if refuse_only_children else nodes
+    below = written(ancestry(nodes), "ancestry")
     sizes = below.groupBy("node").agg(F.count(F.lit(1)).alias("leaves"))
-    counted = below.join(bits, below["leaf"] == bits["filter"]).groupBy("node", "pos").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(sizes, "node").select("node", "pos", (F.col("n") == F.col("leaves")).alias("in_cap"))
+    maps = bitmaps.packed(bits)
+    met = below.join(maps, below["leaf"] == maps["filter"]).groupBy("node", "bucket")
+    both = met.agg(F.bitmap_or_agg("bitmap").alias("cup"), F.bitmap_and_agg("bitmap").alias("cap"), F.count(F.lit(1)).alias("n")).join(sizes, "node")
+    cap = F.when(F.col("n") == F.col("leaves"), F.col("cap")).otherwise(F.lit(bytes(bitmaps.BLOCK // 8)))  # a leaf without the block shares nothing of it
+    # set bits of the union alone, then those of the intersection
+    rest = both.select("node", "bucket", F.col("cup"), cap.alias("cap")).select("node", "bucket", F.explode(F.array(F.struct(bitmaps.minus("cup", "cap").alias("bitmap"), F.lit(False).alias("in_cap")), F.struct(F.col("cap").alias("bitmap"), F.lit(True).alias("in_cap")))).alias("x"))
+    each = rest.select("node", "bucket", "x.in_cap", F.explode(bitmaps.set_bits(F.col("x.bitmap"))).alias("bit"))
+    return each.select("node", ((F.col("bucket") - 1) * bitmaps.BLOCK + F.col("bit")).alias("pos"), "in_cap")
 
 
 def _with_parent(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -116,13 +150,7 @@ def query_stats(visited: DataFrame) -> DataFrame:
 def node_stats(nodes: DataFrame, bits: DataFrame, num_bits: int, sizes: DataFrame) -> DataFrame:
     """node, parent, depth, children, siblings, niblings (children of siblings), subtree,
     height, ones, density, items and fp_rate (null where ``sizes`` (node, items) doesn't know the node)."""
-    pairs = nodes.select("node", F.col("node").alias("above"), F.col("parent").alias("next"))
-    up, at = pairs.select("node", "above", F.lit(0).alias("steps")), pairs.select("node", "next", F.lit(0).alias("steps"))
-    for step in range(1, (nodes.agg(F.max("depth")).first()[0] or 0) + 1):
-        p = nodes.select(F.col("node").alias("next"), F.col("parent").alias("then"))
-        at = at.join(p, "next").select("node", F.col("next").alias("above"), F.col("then").alias("next"), F.lit(step).alias("steps"))
-        up, at = up.union(at.select("node", "above", "steps")), at.select("node", "next", "steps")
-    below = up.groupBy(F.col("above").alias("node")).agg(F.count(F.lit(1)).alias("subtree"), F.max("steps").alias("height"))
+    below = ancestors(nodes).groupBy(F.col("above").alias("node")).agg(F.count(F.lit(1)).alias("subtree"), F.max("steps").alias("height"))
     children = nodes.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
     siblings = nodes.groupBy("parent").agg((F.count(F.lit(1)) - 1).alias("siblings"))
     ones = bits.groupBy("node").agg(F.count(F.lit(1)).alias("ones"))
@@ -169,12 +197,32 @@ def cull(nodes: DataFrame, ratios: DataFrame, threshold: DataFrame) -> DataFrame
     up to the nearest node that stays. The root always stays."""
     gone = ratios.where("NOT is_leaf").join(F.broadcast(threshold)).where(F.col("det") < F.col("open_above") * F.col("threshold")).select("node")
     keep = nodes.join(gone, "node", "left_semi").where("parent IS NOT NULL").select(F.col("node").alias("out"), F.col("parent").alias("up"))
-    at = nodes.select("node", "parent")
-    for _ in range(nodes.agg(F.max("depth")).first()[0] or 0):
-        at = at.join(keep, at["parent"] == keep["out"], "left").select("node", F.coalesce("up", "parent").alias("parent"))
+    # pointers of the nodes that go double their reach until they end at ones that stay
+    while True:
+        keep = written(keep, "culled")
+        onward = keep.select(F.col("out").alias("up"), F.col("up").alias("then"))
+        if keep.join(onward, "up", "left_semi").isEmpty():
+            break
+        keep = keep.join(onward, "up", "left").select("out", F.coalesce("then", "up").alias("up"))
+    at = nodes.select("node", "parent").join(keep, F.col("parent") == keep["out"], "left").select("node", F.coalesce("up", "parent").alias("parent"))
     return at.join(keep, at["node"] == keep["out"], "left_anti")
 
 
+def orders(links: DataFrame) -> DataFrame:
+    """node, parent, depth, preorder, postorder (from 0) of a tree or forest (node, parent),
+    siblings by name: an Euler tour. A node comes after its parent and the subtrees of
+    its earlier siblings, so its place is a sum along its path; with d nodes above it
+    and s in its subtree it is left s - 1 - d places later."""
+    links = written(links.select("node", "parent"), "tour-links")
+    above = written(ancestors(links), "tour")
+    sizes = above.groupBy(F.col("above").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+    earlier = F.sum("size").over(W.partitionBy("parent").orderBy("node").rowsBetween(W.unboundedPreceding, -1))
+    steps = links.join(sizes, "node").select("node", "parent", "size", (F.coalesce(earlier, F.lit(0)) + F.col("parent").isNotNull().cast("long")).alias("step"))
+    steps = written(steps, "tour-steps")
+    placed = above.join(steps.select(F.col("node").alias("above"), "step"), "above").groupBy("node").agg(F.sum("step").alias("preorder"), F.max("steps").alias("depth"))
+    return steps.join(placed, "node").select("node", "parent", "depth", "preorder", (F.col("preorder") + F.col("size") - 1 - F.col("depth")).alias("postorder"))
+
+
 def numbered(nodes: DataFrame, template: str = "node{number}", start: int = 1) -> DataFrame:
     """Internal nodes with names by a template, numbered level by level from ``start``:
     within each level, after the nodes of the levels above."""
@@ -199,8 +247,6 @@ def cluster(bits: DataFrame, first_bits: int = 100_000, max_filters: int = 4_000
     The closest pair, ties by height, then by number, becomes a node with the union
     of both. That is a chain of decisions over a few filters, made on the driver:
     what comes there is bounded, max_filters bitmaps of first_bits bits at most."""
-    from sievelake.operators import bitmaps
-
     n_filters = bits.select("filter").distinct().count()
     if n_filters > max_filters:
         raise ValueError(f"{n_filters} filters are more than max_filters")

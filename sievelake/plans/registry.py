@@ -682,12 +682,28 @@ def determined_ratios(spark, d):
 
 @query(sql.CULL)
 def cull_nodes(spark, d):
-    """Parents after the nodes are culled whose determined ratio is two deviations below the mean, or more."""
+    """Parents after the nodes are culled whose determined ratio is a deviation below the mean, or more."""
     nodes, _, sets = tree(spark, d)
     ratios = trees.determined_ratio(nodes, sets, BITS)
     return trees.cull(nodes, ratios, trees.culling_threshold(ratios, sql.DEVIATIONS))
 
 
+@query(sql.ORDERS)
+def culled_orders(spark, d):
+    """Pre-order and post-order of the tree that is left after culling."""
+    return trees.orders(cull_nodes(spark, d))
+
+
+@query()
+def cluster_build(spark, d):
+    """Nodes of the clustered suppliers' tree, however deep: size of the union and of the intersection of the filters below."""
+    bits = supplier_bits(spark, d).select(F.col("filter").cast("string").alias("filter"), "pos")
+    nodes = trees.with_depth(cluster_tree(spark, d))
+    sets = trees.cup_and_cap(nodes, bits)
+    sizes = sets.groupBy("node").agg(F.count(F.lit(1)).alias("n_union"), F.count_if("in_cap").alias("n_intersection"))
+    return nodes.join(sizes, "node", "left").select("node", "parent", F.col("depth").cast("long").alias("depth"), "is_leaf", F.coalesce("n_union", F.lit(0)).alias("n_union"), F.coalesce("n_intersection", F.lit(0)).alias("n_intersection"))
+
+
 @query(sql.NUMBERED)
 def node_numbers(spark, d):
     return trees.numbered(topology.parse(supplier_tree(spark, d)))

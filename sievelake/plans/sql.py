@@ -159,6 +159,10 @@ CULL = f"""{_RATIOS}, thr AS (SELECT least(greatest(avg(ratio) - {DEVIATIONS}::D
     b AS (SELECT n.node, coalesce(g.parent, n.parent) AS parent FROM a n LEFT JOIN gone g ON g.node = n.parent),
     c2 AS (SELECT n.node, coalesce(g.parent, n.parent) AS parent FROM b n LEFT JOIN gone g ON g.node = n.parent)
     SELECT * FROM c2 WHERE node NOT IN (SELECT node FROM gone)"""
+ORDERS = f"""{CULL[:CULL.rindex("SELECT * FROM c2")].replace("WITH ", "WITH RECURSIVE ", 1)}, left_ AS (SELECT * FROM c2 WHERE node NOT IN (SELECT node FROM gone)),
+    p(node, parent, depth, path) AS (SELECT node, parent, 0, [node] FROM left_ WHERE parent IS NULL UNION ALL SELECT l.node, l.parent, p.depth + 1, list_append(p.path, l.node) FROM p JOIN left_ l ON l.parent = p.node),
+    z AS (SELECT unnest(path) AS node, count(*) AS size FROM p GROUP BY 1), o AS (SELECT node, parent, depth, row_number() OVER (ORDER BY path) - 1 AS preorder FROM p)
+    SELECT node, parent, CAST(depth AS BIGINT) AS depth, preorder, preorder + size - 1 - depth AS postorder FROM o JOIN z USING (node)"""
 VALIDATE = f"WITH {_NODES} SELECT 'only child' AS problem, parent AS node FROM nodes WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) = 1"
 _VISITS = f"""{_TREE}, {_PROBES}, {_TOTALS},
     tot AS (SELECT read, total, ceil(total * 0.5) AS need FROM totals),

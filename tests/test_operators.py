@@ -184,6 +184,92 @@ def path(node, parent):
         yield node
 
 
+def binary_tree(rng, leaves, deep):
+    """node -> parent of a binary tree; deep ones have a leaf at each level."""
+    parent, tops = {}, [f"l{i}" for i in range(leaves)]
+    for i in range(leaves - 1):
+        a = tops.pop() if deep else tops.pop(rng.randrange(len(tops)))
+        b = tops.pop(rng.randrange(len(tops)))
+        parent[a] = parent[b] = f"n{i}"
+        tops.append(f"n{i}")
+    return parent | {tops[0]: None}
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_deep_trees(spark, deep):
+    """Unions, intersections, depths, statistics and both orders of a tree up to 150 levels deep."""
+    rng = random.Random(deep)
+    parent = binary_tree(rng, 150, deep)
+    sets = {v: {p for p in range(60) if rng.random() < 0.8} | {40_000 + int(v[1:])} for v in parent if v[0] == "l"}
+    nodes = trees.with_depth(spark.createDataFrame(list(parent.items()), "node string, parent string"))
+    paths, kids = {}, {}
+    for v in parent:
+        paths[v] = [v]
+        while parent[paths[v][-1]] is not None:
+            paths[v].append(parent[paths[v][-1]])
+        kids.setdefault(parent[v], []).append(v)
+    assert {r["node"]: (r["depth"], r["is_leaf"]) for r in nodes.collect()} == {v: (len(p) - 1, v[0] == "l") for v, p in paths.items()}
+    below = {v: [x for x in sets if v in paths[x]] for v in parent}
+    got = {}
+    for r in trees.cup_and_cap(nodes, bits(spark, sets)).collect():
+        assert r["pos"] not in got.setdefault(r["node"], {})
+        got[r["node"]][r["pos"]] = r["in_cap"]
+    for v in parent:
+        cup, cap = set.union(*(sets[x] for x in below[v])), set.intersection(*(sets[x] for x in below[v]))
+        assert got[v] == {p: p in cap for p in cup}
+    pre, post, waiting = [], [], [(min(kids[None]), False)]
+    while waiting:
+        v, left = waiting.pop()
+        if left:
+            post.append(v)
+        else:
+            pre.append(v)
+            waiting += [(v, True), *((c, False) for c in sorted(kids.get(v, []), reverse=True))]
+    found = {r["node"]: (r["preorder"], r["postorder"], r["depth"]) for r in trees.orders(nodes).collect()}
+    assert found == {v: (pre.index(v), post.index(v), len(paths[v]) - 1) for v in parent}
+    with pytest.raises(Exception, match="only child"):
+        trees.without_only_children(spark.createDataFrame([("r", None), ("x", "r")], "node string, parent string")).collect()
+
+
+def test_culling_of_chains(spark):
+    """A chain of nodes that go hands its children up to the nearest that stays."""
+    links = [("r", None)] + [(f"n{i}", f"n{i - 1}" if i else "r") for i in range(40)] + [(f"x{i}", f"n{i}") for i in range(40)]
+    nodes = spark.createDataFrame([(v, p, 0, v[0] == "x") for v, p in links], "node string, parent string, depth int, is_leaf boolean")
+    stays = {"r", "n7", "n30"}
+    ratios = nodes.select("node", "is_leaf", F.when(F.col("node").isin(*stays), 1).otherwise(0).alias("det"), F.lit(1).alias("open_above"))
+    got = {r["node"]: r["parent"] for r in trees.cull(nodes, ratios, spark.createDataFrame([(0.5,)], "threshold double")).collect()}
+    up = lambda i: next((f"n{j}" for j in range(i, -1, -1) if f"n{j}" in stays), "r")
+    assert got == {"r": None, "n7": "r", "n30": "n7"} | {f"x{i}": up(i) for i in range(40)}
+
+
+def test_rank_directory(spark):
+    """Rank, select, squeeze and its inverse over several blocks."""
+    rng = random.Random(6)
+    spec = {f: set(rng.sample(range(200_000), n)) for f, n in (("a", 90_000), ("b", 700), ("c", 1))}
+    some = {f: set(rng.sample(sorted(ps), len(ps) // 3 + 1)) | {200_001} for f, ps in spec.items()}
+    marked, frame = bits(spark, spec), bits(spark, some)
+    order = {f: sorted(ps) for f, ps in spec.items()}
+    assert {(r["filter"], r["pos"]): r["rank"] for r in bitmaps.ranks(marked).collect()} == {(f, p): i for f, ps in order.items() for i, p in enumerate(ps)}
+    squeezed = bitmaps.squeeze(frame, marked)
+    assert as_sets(squeezed) == {f: {i for i, p in enumerate(ps) if p in some[f]} for f, ps in order.items()}
+    assert as_sets(bitmaps.unsqueeze(squeezed, marked)) == {f: some[f] & spec[f] for f in spec}
+
+
+def test_random_bits_are_independent(spark):
+    """Counts and places of random bits, by chi-square over places, and the same for the same seed."""
+    filters = spark.createDataFrame([(i,) for i in range(40)], "filter long")
+    drawn = bitmaps.random_bits(filters, 70_000, 0.02, seed=3)
+    rows = [tuple(r) for r in drawn.collect()]
+    assert len(set(rows)) == len(rows) and max(p for _, p in rows) < 70_000
+    n = len(rows)
+    assert abs(n - 40 * 1400) < 5 * (40 * 1400 * 0.98) ** 0.5
+    cells = np.bincount([p // 700 for _, p in rows], minlength=100)
+    assert ((cells - n / 100) ** 2 / (n / 100)).sum() < 160  # 99 degrees of freedom
+    each = np.bincount([f for f, _ in rows], minlength=40)
+    assert 15 < ((each - 1400) ** 2 / (1400 * 0.98)).sum() < 80  # 40 degrees of freedom
+    assert sorted(rows) == sorted(tuple(r) for r in bitmaps.random_bits(filters.repartition(3), 70_000, 0.02, seed=3).collect())
+
+
 def test_cluster_is_greedy(spark):
     rows = trees.cluster(bits(spark, {"a": {1, 2, 3}, "b": {1, 2, 4}, "c": {50, 51}, "d": {50, 51, 52}}), first_bits=100).collect()
     up = {r["node"]: r["parent"] for r in rows}
