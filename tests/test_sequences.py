@@ -120,13 +120,7 @@ def test_records_with_marks(spark, tmp_path):
         text = "".join(f"@{h} d{end}{s}{end}+{end}{q}{end}" for h, s, q in reads)
         path = tmp_path / name
         path.write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
-        spark.conf.set("spark.sql.files.openCostInBytes", "1")
-        try:
-            got = sorted((r["name"], r["seq"], r["qual"]) for r in sequence_files.fastq(spark, str(path)).collect())
-        finally:
-            spark.conf.unset("spark.sql.files.maxPartitionBytes")
-            spark.conf.unset("spark.sql.files.openCostInBytes")
+        got = sorted((r["name"], r["seq"], r["qual"]) for r in sequence_files.fastq(spark, str(path), block_bytes=500).collect())
         assert got == sorted((f"query{h}", s, q) for h, s, q in reads), name
     (tmp_path / "m.fasta").write_text("\n>one a->b >c\r\nAC>GT\r\nAC\r\n>two\r\nGG\r\n")
     (tmp_path / "lines.txt").write_text("\nACGT\nGG\n")
@@ -134,6 +128,49 @@ def test_records_with_marks(spark, tmp_path):
     assert {(r["name"], r["seq"]) for r in sequence_files.query_sequences(spark, str(tmp_path / "lines.txt")).collect()} == {("lines.txt:2", "ACGT"), ("lines.txt:3", "GG")}
 
 
+def test_records_in_any_layout(spark, tmp_path):
+    """Records of several lines, empty lines between any two, both line ends, any range."""
+    rng = random.Random(4)
+    for name, end, gap in (("a.fastq", "\n", ""), ("b.fastq", "\r\n", ""), ("c.fastq", "\n", "\n"), ("d.fastq.gz", "\n", "\n")):
+        reads = [(f"r{i}", "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("@+I>A", k=n))) for i, n in enumerate(rng.choices(range(1, 90), k=150))]
+        cut = lambda s: end.join(s[i : i + 20] for i in range(0, len(s), 20))
+        text = "".join(f"@{h}\tx y{end}{gap}{cut(s)}{end}{gap}+{rng.choice(['', h])}{end}{gap}{cut(q)}{end}{gap}" for h, s, q in reads)
+        data = text.encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+        for block in (97, 1000, 1 << 20):
+            got = sorted((r["name"], r["seq"], r["qual"]) for r in sequence_files.fastq(spark, str(tmp_path / name), block_bytes=block).collect())
+            assert got == sorted((f"query{h}", s, q) for h, s, q in reads), (name, block)
+    assert sequence_files.fastq(spark, str(tmp_path)).count() == 600
+
+
+def test_broken_records(spark, tmp_path):
+    path = tmp_path / "x.fastq"
+    path.write_text("@a\nACGT\n+\nIIII\n@b\nACGT\n@c\nAC\n+\nI\n!!!\nnoise\n@d\nA\n+\nI\n@e\nAA\n+\nI")
+    with pytest.raises(Exception, match="no quality: @b"):
+        sequence_files.fastq(spark, str(path)).collect()
+    from sievelake.sources import reads
+
+    rows = reads.read(spark, str(path), keep_bad=True).collect()
+    assert [r["name"] for r in rows if r["bad"] is None] == ["a", "d"]
+    assert [r["bad"] for r in rows if r["bad"]] == ["no quality: @b", "quality of another length: @c", "quality of another length: @e"]
+
+
+def test_lines_are_numbered_by_blocks(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f).write_text("".join(f"{f}{i}\n" if i % 7 else "\n" for i in range(900)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        frame = sequence_files.lines(spark, str(tmp_path))
+        got = {(r["source"], r["line_no"]): r["value"] for r in frame.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {(f, i): f"{f}{i}" for f in "ab" for i in range(900) if i % 7}
+    listed = spark.createDataFrame([("ACGT\t3",), ("  GGGG 1",)], ["l"])
+    assert [r["kmer"] for r in sequence_files.kmer_list(listed, "l", 4).collect()] == ["ACGT", "GGGG"]
+
+
 def test_numbers(spark):
     ctx = Context(prec=2, rounding=ROUND_HALF_EVEN)
     for v in ["0.265", "0.275", "0.995", "0.0995", "0.09951", "0.09949", "0.005", "1", "0"]:
@@ -172,8 +209,8 @@ def test_files(spark, tmp_path):
     reads = sequence_files.fastq(spark, str(tmp_path / "r.fastq")).collect()
     assert [(r["name"], r["seq"], r["qual"]) for r in reads] == [("queryr1", "ACGT", "IIII"), ("queryr2", "A", "!")]
     (tmp_path / "list").write_text("x.bf\ny.bf\n")
-    assert [(r["line_no"], r["value"]) for r in sequence_files.lines(spark, str(tmp_path / "list")).collect()] == [(0, "x.bf"), (1, "y.bf")]
-    assert [r["name"] for r in sequence_files.sequence_lines(spark, str(tmp_path / "list")).collect()] == ["list:1", "list:2"]
+    assert sorted((r["line_no"], r["value"]) for r in sequence_files.lines(spark, str(tmp_path / "list")).collect()) == [(0, "x.bf"), (1, "y.bf")]
+    assert sorted(r["name"] for r in sequence_files.sequence_lines(spark, str(tmp_path / "list")).collect()) == ["list:1", "list:2"]
     short = spark.createDataFrame([("ACG 1",), ("NNN",)], ["l"])
     assert [r["kmer"] for r in sequence_files.kmer_list(short, "l", 3).collect()] == ["ACG"]
     with pytest.raises(Exception, match="wrong k-mer length"):
