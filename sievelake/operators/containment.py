@@ -58,14 +58,14 @@ def frequent(bits: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(limits)).where("filters > limit").select("pos", "filters")
 
 
-def _skipping(probes: DataFrame, hot: DataFrame, need: Column) -> tuple[DataFrame, DataFrame]:
+def _skipping(probes: DataFrame, hot: DataFrame, need: Column, thresholds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The probes to look up, and the reads: read, total, need, spare (weight of what is
     skipped), skipped (pos, n). The most frequent positions are skipped, as many as leave
     one hit at least for those that are looked up."""
     marked = probes.join(F.broadcast(hot), "pos", "left")
     of_hot = F.when(F.col("filters").isNotNull(), F.struct((-F.col("filters")).alias("by"), "pos", "n"))
     reads = marked.groupBy("read").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(of_hot)).alias("hot"))
-    reads = reads.withColumn("need", need)
+    reads = (reads if thresholds is None else reads.join(thresholds.select("read", "theta"), "read")).withColumn("need", need)
     start = F.struct(F.lit(0).cast("long").alias("spare"), F.lit(0).alias("k"), F.lit(True).alias("go"))
 
     def step(a, x):
@@ -78,14 +78,14 @@ def _skipping(probes: DataFrame, hot: DataFrame, need: Column) -> tuple[DataFram
     return marked.where("filters IS NULL").select("read", "pos", "n").union(kept), reads.drop("rest")
 
 
-def overlaps(probes: DataFrame, bits: DataFrame, need: Column, enough: Callable, sizes: DataFrame | None = None) -> DataFrame:
+def overlaps(probes: DataFrame, bits: DataFrame, need: Column, enough: Callable, sizes: DataFrame | None = None, thresholds: DataFrame | None = None) -> DataFrame:
     """read, filter, hits, size, total, need of the pairs with hits that ``enough`` accepts: a function of
     arrays (hits at most, total, need, size of the filter or 0). ``need``: a column of
-    total; no pair with fewer hits may be accepted."""
+    total (and of theta, by read, with ``thresholds``); no pair with fewer hits may be accepted."""
     bits = bits.select("filter", "pos")
     wanted = written(bits.join(probes.select("pos").distinct(), "pos", "left_semi"), "wanted")
     hot = written(frequent(wanted), "frequent")
-    light, reads = _skipping(probes, hot, need)
+    light, reads = _skipping(probes, hot, need, thresholds)
     listed = wanted if sizes is None else wanted.join(sizes.select("filter", "size"), "filter")
     listed = listed.withColumn("size", F.lit(0).cast("long")) if sizes is None else listed
     # so many lists for the most frequent position; others have as many at most
@@ -158,11 +158,13 @@ def _told(table: pa.RecordBatch, heads: np.ndarray, starts: np.ndarray, enough:
     return pa.RecordBatch.from_arrays([table.column(0).take(pa.array(head[good])), filters, *[pa.array(x[good]) for x in (hits, sizes, total, need, spare)]], names)
 
 
-def matches(probes: DataFrame, bits: DataFrame, theta: float | Column = 0.7, distinct: bool = False) -> DataFrame:
-    """read, filter, hits, total, frac of the pairs that reach the threshold: a number, or
-    a column over read."""
+def matches(probes: DataFrame, bits: DataFrame, theta: float | Column | DataFrame = 0.7, distinct: bool = False) -> DataFrame:
+    """read, filter, hits, total, frac of the pairs that reach the threshold: a number, a
+    column over read, or a table (read, theta), as query files have thresholds of their own."""
     probes = written(probes.select("read", "pos", (F.lit(1) if distinct else F.col("n")).cast("long").alias("n")), "probes")
-    found = overlaps(probes, bits, needed(F.col("total"), theta), lambda hits, total, need, size: hits >= need)
+    of_each = theta if isinstance(theta, DataFrame) else None
+    need = needed(F.col("total"), F.col("theta") if of_each is not None else theta)
+    found = overlaps(probes, bits, need, lambda hits, total, need, size: hits >= need, thresholds=of_each)
     kept = found.where(F.col("hits") >= F.col("need"))
     return kept.select("read", "filter", "hits", "total", sequences.fraction(F.col("hits"), F.col("total")).alias("frac"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -163,52 +164,93 @@ def lengths_of(strains: DataFrame, lengths: DataFrame) -> DataFrame:
     return first.join(own, "strain", "left").join(other, "dashed", "left").select("strain", F.coalesce("own", "other").alias("length"))
 
 
-def abundance(sets: DataFrame, lengths: DataFrame, steps: int = 100, max_sets: int = 200_000) -> DataFrame:
-    """strain, abundance after a fixed number of expectation-maximisation steps.
+EM_BLOCK = 1 << 16
 
-    Reads are already collapsed to sets of strains. Up to ``max_sets`` of them, the
-    steps run over one row inside the JVM; more stay rows, and each step is a job
-    that adds up the sets' shares by strain."""
-    if sets.limit(max_sets + 1).count() > max_sets:
-        return _abundance_by_rows(sets, lengths, steps)
-    order = lengths.agg(F.array_sort(F.collect_list(F.struct("strain", "length"))).alias("l"))
-    packed = sets.agg(F.collect_list(F.struct("members", "n")).alias("sets")).join(F.broadcast(order))
-    at = F.transform("sets", lambda s: F.struct(F.transform(s["members"], lambda m: F.array_position(F.transform("l", lambda x: x["strain"]), m).cast("int")).alias("m"), s["n"].alias("n")))
-    packed = packed.select("l", F.explode(F.array(at)).alias("at"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
 
-    def step(a, _):
-        shares = F.transform("at", lambda s: F.struct(s["m"].alias("m"), (s["n"] / total(F.transform(s["m"], lambda j: F.element_at(a, j)))).alias("q")))
-        raw = F.element_at(F.transform(F.array(shares), lambda sh: F.transform("l", lambda x, j: F.element_at(a, j + 1) * total(F.transform(F.filter(sh, lambda s: F.array_contains(s["m"], j + 1)), lambda s: s["q"])) / x["length"])), 1)
-        return F.element_at(F.transform(F.array(raw), lambda r: F.element_at(F.transform(F.array(total(r)), lambda t: F.transform(r, lambda v: v / t)), 1)), 1)
+def abundance(sets: DataFrame, lengths: DataFrame, steps: int = 100, block: int = EM_BLOCK) -> DataFrame:
+    """strain, abundance after a fixed number of expectation-maximisation steps. A member
+    of a set without a length is an error.
 
-    start = F.transform("l", lambda x: F.lit(1.0) / F.size("l"))
-    ended = packed.select("l", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("a"))
-    return ended.select(F.explode(F.arrays_zip("l", "a")).alias("z")).select(F.col("z.l.strain").alias("strain"), F.round("z.a", 2).alias("abundance"), F.round("z.a", 6).alias("exact"))
-
-
-def _abundance_by_rows(sets: DataFrame, lengths: DataFrame, steps: int) -> DataFrame:
-    """The same from any number of sets: what comes to the driver is a number for each strain."""
+    Reads are already collapsed to sets of strains; these are packed into blocks of numbers
+    (members, ends, counts), which stay where they are. A step sends the proportions, a
+    number for each strain, to all blocks and gets back as many sums from each task. What
+    a single block holds takes its steps without going back in between, by the same
+    function."""
     spark = sets.sparkSession
     known = lengths.select("strain", "length").orderBy("strain").collect()
     kind = lengths.schema["strain"].dataType.simpleString()
-    number = spark.createDataFrame([(i, r["strain"]) for i, r in enumerate(known)], f"at int, strain {kind}")
-    one = sets.select(F.monotonically_increasing_id().alias("id"), "members", "n")
-    coded = one.select("id", "n", F.explode("members").alias("strain")).join(F.broadcast(number), "strain").groupBy("id", "n").agg(F.collect_list("at").alias("at"))
-    coded = written(coded.select("at", "n"), "abundance-sets")
-    a = [1.0 / len(known)] * len(known)
-    for _ in range(steps):
-        state = spark.createDataFrame([(a,)], "a array<double>")
-        whole = F.aggregate("at", F.lit(0.0), lambda x, i: x + F.get("a", i))
-        shares = coded.join(F.broadcast(state)).select((F.col("n") / whole).alias("q"), F.explode("at").alias("i")).groupBy("i").agg(F.sum("q").alias("q"))
-        q = dict(shares.collect())
-        raw = [x * q.get(i, 0.0) / r["length"] for i, (x, r) in enumerate(zip(a, known, strict=True))]
-        a = [x / sum(raw) for x in raw]
-    ended = spark.createDataFrame([(r["strain"], x) for r, x in zip(known, a, strict=True)], f"strain {kind}, a double")
-    return ended.select("strain", F.round("a", 2).alias("abundance"), F.round("a", 6).alias("exact"))
+    size = np.array([np.nan if r["length"] is None else float(r["length"]) for r in known])
+    listed = [(r["strain"], i) for i, r in enumerate(known) if r["length"] is not None]
+    number = spark.createDataFrame(listed, f"strain {kind}, at int").agg(F.map_from_entries(F.collect_list(F.struct("strain", "at"))).alias("number"))  # one row
+    missing = lambda m: F.raise_error(F.concat(F.lit("no length: "), m.cast("string"))).cast("int")
+    coded = sets.join(F.broadcast(number)).select(F.transform("members", lambda m: F.coalesce(F.try_element_at("number", m), missing(m))).alias("at"), F.col("n").cast("double").alias("n"))
+
+    def pack(batches):
+        at, n = [], []
+
+        def out():
+            ends = np.cumsum([len(x) for x in at])
+            packed = (np.concatenate(at).astype(np.int32), ends.astype(np.int32), np.array(n))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], ["at", "ends", "n"])
+
+        for batch in batches:
+            for members, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at.append(np.array(members, np.int32))
+                n.append(count)
+                if len(n) >= block:
+                    yield out()
+                    at, n = [], []
+        if n:
+            yield out()
+
+    blocks = written(coded.where("size(at) > 0").mapInArrow(pack, "at binary, ends binary, n binary"), "abundance-blocks")
+    unpacked = lambda row: (np.frombuffer(row[0], np.int32), np.frombuffer(row[1], np.int32), np.frombuffer(row[2]))
+
+    def advanced(a, shares):
+        raw = np.where(shares > 0, a * shares / size, 0.0)
+        return raw / raw.sum() if raw.sum() else raw
+
+    def whole(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held, a = unpacked(row), np.full(len(size), 1 / len(size))
+                for _ in range(steps):
+                    a = advanced(a, _shares(*held, a))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a), dtype=np.int32)), pa.array(a)], ["at", "a"])
+
+    if blocks.count() == 1:
+        ended = blocks.mapInArrow(whole, "at int, a double")
+    else:
+        a = np.full(len(size), 1 / max(1, len(size)))
+        for _ in range(steps):
+
+            def step(batches, a=a):
+                total = np.zeros(len(a))
+                for batch in batches:
+                    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        total += _shares(*unpacked(row), a)
+                met = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["at", "q"])
+
+            shares = np.zeros(len(a))
+            for r in blocks.mapInArrow(step, "at int, q double").groupBy("at").agg(F.sum("q").alias("q")).collect():
+                shares[r["at"]] = r["q"]
+            a = advanced(a, shares)
+        ended = spark.createDataFrame(list(enumerate(a.tolist())), "at int, a double")
+    names = spark.createDataFrame([(r["strain"], i) for i, r in enumerate(known)], f"strain {kind}, at int")
+    return names.join(F.broadcast(ended), "at").select("strain", F.round("a", 2).alias("abundance"), F.round("a", 6).alias("exact"))
+
+
+def _shares(at: np.ndarray, ends: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """By strain, the sum over the sets that have it of their reads over their proportions."""
+    starts = np.append(0, ends[:-1])
+    p = np.add.reduceat(a[at], starts)
+    q = np.divide(n, p, out=np.zeros(len(n)), where=p > 0)
+    return np.bincount(at, np.repeat(q, np.diff(np.append(0, ends))), len(a))
 
 
 def log_likelihood(sets: DataFrame, abundances: DataFrame) -> DataFrame:
-    """log_likelihood of the reads under given proportions (exact)."""
-    each = sets.withColumn("set", F.col("members")).select("set", "n", F.explode("members").alias("strain")).join(F.broadcast(abundances), "strain")
-    return each.groupBy("set", "n").agg(F.sum("exact").alias("p")).agg(F.round(F.sum(F.col("n") * F.log("p")), 4).alias("log_likelihood"))
+    """log_likelihood of the reads under given proportions (exact). A member without one is an error."""
+    each = sets.withColumn("set", F.col("members")).select("set", "n", F.explode("members").alias("strain")).join(F.broadcast(abundances), "strain", "left")
+    known = F.coalesce("exact", F.raise_error(F.concat(F.lit("no proportion: "), F.col("strain").cast("string"))).cast("double"))
+    return each.groupBy("set", "n").agg(F.sum(known).alias("p")).agg(F.round(F.sum(F.col("n") * F.log("p")), 4).alias("log_likelihood"))

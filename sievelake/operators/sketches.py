@@ -21,9 +21,7 @@ def _span(seeds: list[str]) -> int:
     spans = {len(sequences.check_seed(s)) for s in seeds}
     if len(spans) != 1:
         raise ValueError("seeds differ in length")
-    if (span := spans.pop()) > windows.MAX_K:
-        raise ValueError(f"seeds of more than {windows.MAX_K} characters")
-    return span
+    return spans.pop()
 
 
 def _keyed(rows: DataFrame, key: Column, seq: Column) -> tuple[DataFrame, str]:
@@ -37,7 +35,8 @@ def _qgrams(batches, span: int, seeds: list[str]):
     for batch, rows, data, ends in windows.pieces(batches, span):
         at, part = windows.places(ends, span)
         codes = windows.codes_of(data)
-        good = windows.plain(codes, at, span)
+        # windows beyond MAX_K don't fit a number: they all go by their characters
+        good = windows.plain(codes, at, span) if span <= windows.MAX_K else np.zeros(len(at), bool)
         own, keys = windows.keys_of(batch, rows)
         word = np.minimum(*windows.both_strands(codes, at[good], span))
         odd = windows.odd_words(data, at[~good], span) if not good.all() else []
@@ -56,7 +55,7 @@ def qgram_counts(rows: DataFrame, key: Column, seq: Column, seeds: list[str]) ->
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array(v), pa.nulls(len(v), pa.string()), pa.array(np.full(len(v), weight, np.int32)), pa.array(n)], ["key", "code", "odd", "weight", "n"])
             if odd:
                 # where the seed skips the other characters, what is left is a word like any
-                code = [-1 if set(w) - set("ACGT") else int(w.translate(DIGITS), 4) for w in odd]
+                code = [-1 if len(w) > windows.MAX_K or set(w) - set("ACGT") else int(w.translate(DIGITS), 4) for w in odd]
                 spelled_out = [w if c < 0 else None for w, c in zip(odd, code, strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(code, pa.int64()), pa.array(spelled_out, pa.string()), pa.array(np.full(len(odd), weight, np.int32)), pa.array(np.ones(len(odd), np.int64))], ["key", "code", "odd", "weight", "n"])
 
@@ -134,8 +133,26 @@ def word_counts(rows: DataFrame, seq: Column, k: int, canonical: bool = True) ->
     return flat.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def long_word_counts(rows: DataFrame, seq: Column, k: int, canonical: bool = True) -> DataFrame:
+    """kmer, n as ``word_counts``, for words that don't fit a number: by their characters."""
+
+    def run(batches):
+        for _, _, data, ends in windows.pieces(batches, k):
+            at, _ = windows.places(ends, k)
+            codes = windows.codes_of(data, lower=True)
+            at = at[windows.plain(codes, at, k)]
+            upper = np.frombuffer(b"ACGTN", np.uint8)[codes]
+            words = windows.odd_words(upper, at, k) if canonical else [upper[i : i + k].tobytes().decode() for i in at.tolist()]
+            v, n = np.unique(np.array(words, str), return_counts=True) if words else (np.zeros(0, str), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(v.tolist(), pa.string()), pa.array(n.astype(np.int64))], ["kmer", "n"])
+
+    return rows.select(F.lit(0).alias("key"), seq.alias("seq")).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def kmer_counts(rows: DataFrame, seq: Column, k: int, at_least: int = 1, canonical: bool = True) -> DataFrame:
     """kmer, n over all rows: (canonical) words of ACGT that occur often enough."""
+    if k > windows.MAX_K:
+        return long_word_counts(rows, seq, k, canonical).where(F.col("n") >= at_least)
     found = word_counts(rows, seq, k, canonical).where(F.col("n") >= at_least)
     return found.select(spelled(F.col("code"), k).alias("kmer"), "n")
 

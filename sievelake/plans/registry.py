@@ -242,12 +242,39 @@ def fastq_records(spark, d):
     return sequence_files.fastq(spark, path).select("name", F.md5("seq").alias("digest"), F.md5("qual").alias("quality"))
 
 
+@query(sql.FASTQ)
+def fastq_layouts(spark, d):
+    """The same records in other layouts: lines of 60 characters, and an empty line after each, as the published read filter writes them."""
+    path = scratch(spark, "fastq")
+    rows = texts(spark, d, "documents", "doc_id").where("length(seq) > 1")
+    qual = F.concat(F.element_at(F.array(*map(F.lit, "@+>5")), (F.col("key") % 4 + 1).cast("int")), F.translate(F.expr("substring(seq, 2)"), "ACGT", "@+>5"))
+    cut = lambda c: F.when(F.col("key") % 2 == 0, F.regexp_replace(c, "(.{60})", "$1\n")).otherwise(c)
+    gap = F.when(F.col("key") % 3 == 0, "\n\n").otherwise("\n")
+    text = F.concat(F.lit("@r"), F.col("key").cast("string"), F.lit("\tx y"), gap, cut(F.col("seq")), gap, F.lit("+"), gap, cut(qual), F.when(F.col("key") % 3 == 0, "\n").otherwise(""))
+    rows.select(text.alias("value")).write.text(path)
+    return sequence_files.fastq(spark, path, block_bytes=1 << 20).select("name", F.md5("seq").alias("digest"), F.md5("qual").alias("quality"))
+
+
+@query(sql.LONG_SEED)
+def long_seed_qgrams(spark, d):
+    """Q-grams under a seed of 40 characters, as many as letters repeat in the documents at all."""
+    found = sketches.qgram_counts(texts(spark, d, "documents", "lang"), F.col("key"), F.col("seq"), ["11111" + "0" * 30 + "11111"])
+    return found.withColumnRenamed("key", "lang")
+
+
 @query(sql.READ_SUMMARY)
 def read_filter_summary(spark, d):
     reads = with_quality(spark, d)
     return reports.read_summary(reads, reads.where(sequences.keeps_read(F.col("seq"), F.col("qual"), 14.5, 500)))
 
 
+@query(sql.READ_SUMMARY_LINES)
+def read_filter_summary_lines(spark, d):
+    """The summary in its published form: a line end counts as one more base."""
+    reads = with_quality(spark, d)
+    return reports.read_summary(reads, reads.where(sequences.keeps_read(F.col("seq"), F.col("qual"), 6, 500, newline=True)), newline=True)
+
+
 @query(sql.LENGTHS)
 def sequence_length(spark, d):
     return reports.sequence_lengths(texts(spark, d, "documents", "source").withColumnRenamed("key", "strain"))
@@ -421,6 +448,14 @@ def classify_sets_distinct(spark, d):
     return containment.matches(order_probes(spark, d), supplier_bits(spark, d), 0.5, distinct=True)
 
 
+@query(sql.FILE_THRESHOLDS)
+def classify_by_file(spark, d):
+    """Orders as reads of three query files, each with a threshold of its own."""
+    probes = order_probes(spark, d)
+    thresholds = probes.select("read").distinct().withColumn("theta", F.element_at(F.array(*map(F.lit, sql.THETAS)), (F.col("read") % 3 + 1).cast("int")))
+    return containment.matches(probes, supplier_bits(spark, d), thresholds)
+
+
 @query(sql.JUST_COUNT)
 def just_count(spark, d):
     return containment.totals(order_probes(spark, d)).select("read", F.col("total").cast("long").alias("total"))
@@ -778,6 +813,27 @@ def proportions(spark, d):
     return identify.abundance(sets, identify.lengths_of(found.select("strain").distinct(), lengths)), sets
 
 
+def kept_regions(found):
+    """The three regions of the most hits."""
+    return found.groupBy("strain").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "strain").limit(3).select("strain")
+
+
+@query(sql.KEPT_SETS)
+def kept_signatures(spark, d):
+    """Reads by what they match of the kept regions alone."""
+    found = written(region_matches(spark, d), "region-matches")
+    return identify.read_sets(found, kept_regions(found)).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "n")
+
+
+@query(sql.KEPT_ABUNDANCE)
+def kept_abundance(spark, d):
+    """Proportions of the kept regions alone."""
+    found = written(region_matches(spark, d), "region-matches")
+    kept = kept_regions(found)
+    lengths = found.join(F.broadcast(kept), "strain", "left_semi").groupBy("strain").agg(F.sum("hits").alias("length"))
+    return identify.abundance(identify.read_sets(found, kept), lengths).select("strain", "abundance")
+
+
 @query(sql.ABUNDANCE)
 def abundance_em(spark, d):
     return proportions(spark, d)[0].select("strain", "abundance")

@@ -23,6 +23,9 @@ _SETS = f"WITH {_BITS}, {_PROBES}, {_TOTALS}, {_HITS}, {_MATCHES}"
 CLASSIFY_SETS = f"{_SETS} SELECT * FROM matches"
 CLASSIFY_DISTINCT = f"""WITH {_BITS}, p AS (SELECT DISTINCT read, pos FROM (SELECT l_orderkey AS read, l_partkey % {BITS} AS pos FROM lineitem)),
     totals AS (SELECT read, count(*) AS total FROM p GROUP BY read), hits AS (SELECT read, filter, count(*) AS hits FROM p JOIN bits USING (pos) GROUP BY ALL), {_MATCHES} SELECT * FROM matches"""
+THETAS = (0.4, 0.5, 0.75)
+FILE_THRESHOLDS = f"""WITH {_BITS}, {_PROBES}, {_TOTALS}, {_HITS} SELECT read, filter, hits, total, {_FRAC} AS frac FROM hits JOIN totals USING (read)
+    WHERE hits >= ceil(round(total * CAST([{', '.join(map(str, THETAS))}][read % 3 + 1] AS DOUBLE), 9))"""
 JUST_COUNT = "SELECT l_orderkey AS read, count(*) AS total FROM lineitem GROUP BY 1"
 COUNT_ALL = f"""WITH bits AS (SELECT DISTINCT s_nationkey AS filter, l_partkey % {BITS} AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
     {_PROBES}, {_TOTALS}, {_HITS}
@@ -220,6 +223,8 @@ ABUNDANCE = f"""{_REGIONS.replace('WITH ', 'WITH RECURSIVE ', 1)}, len AS (SELEC
             SELECT any_value(step) + 1 AS step, strain, sum(n * a / whole) / any_value(length) AS raw
             FROM (SELECT e.strain, e.n, em.step, em.a, sum(em.a) OVER (PARTITION BY e.members) AS whole FROM em JOIN each e ON e.strain = em.strain WHERE em.step < 100) JOIN len USING (strain) GROUP BY strain))
     SELECT strain, round(a, 2) AS abundance FROM em WHERE step = 100"""
+KEPT_SETS = f"{_REGIONS}, kept AS (SELECT strain FROM found GROUP BY strain ORDER BY sum(hits) DESC, strain LIMIT 3), s AS (SELECT read, string_agg(strain, ',' ORDER BY strain) AS members FROM found WHERE strain IN (SELECT strain FROM kept) GROUP BY read) SELECT members, count(*) AS n FROM s GROUP BY members"
+KEPT_ABUNDANCE = ABUNDANCE.replace("len AS (SELECT strain, sum(hits) AS length FROM found GROUP BY strain)", "kept AS (SELECT strain FROM found GROUP BY strain ORDER BY sum(hits) DESC, strain LIMIT 3), len AS (SELECT strain, sum(hits) AS length FROM found WHERE strain IN (SELECT strain FROM kept) GROUP BY strain)").replace("AS members FROM found GROUP BY read", "AS members FROM found WHERE strain IN (SELECT strain FROM kept) GROUP BY read")
 LIKELIHOOD = f"""{ABUNDANCE[:ABUNDANCE.rindex('SELECT strain, round')]}, last AS (SELECT strain, round(a, 6) AS a FROM em WHERE step = 100),
     p AS (SELECT members, any_value(n) AS n, sum(a) AS p FROM each JOIN last USING (strain) GROUP BY members) SELECT round(sum(n * ln(p)), 4) AS log_likelihood FROM p"""
 CLEAN = """WITH s AS (SELECT n_regionkey AS r, count(*) / sum(count(*)) OVER () AS a FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
@@ -268,6 +273,7 @@ CLASSIFY_READS = f"""WITH bits AS (SELECT key AS filter, pos FROM {_hash(_grams(
 QGRAMS = f"SELECT key AS lang, q AS qgram, n FROM {_grams('documents', 'lang')}"
 MULTI_SEED = f"""WITH c AS {_canonical(_windows('documents', 'lang', 7))}, q AS (SELECT key, substr(c, 1, 2) || substr(c, 4, 1) || substr(c, 6, 2) AS q FROM c UNION ALL SELECT key, substr(c, 1, 3) || substr(c, 5, 3) FROM c)
     SELECT key AS lang, q AS qgram, count(*) AS n FROM q GROUP BY ALL"""
+LONG_SEED = f"SELECT key AS lang, substr(c, 1, 5) || substr(c, 36, 5) AS qgram, count(*) AS n FROM {_canonical(_windows('documents', 'lang', 40))} GROUP BY ALL"
 QGRAM_UNION = f"SELECT DISTINCT pos FROM {_hash(_grams('documents', 'source'), 13, 2 * MODULUS)}"
 QGRAM_INTERSECTION = f"SELECT pos FROM {_hash(_grams('documents', 'source'), 13, 3_000_017)} GROUP BY pos HAVING count(*) = (SELECT count(DISTINCT source) FROM documents WHERE text IS NOT NULL)"
 FILTER_STATS = f"""SELECT key AS filter, CAST(sum(n) AS BIGINT) AS set_size, count(*) AS ones, round(1 - exp(-1 * CAST(sum(n) AS DOUBLE) / {MODULUS}), 6) AS fp_rate FROM {_hash(_grams('documents', 'source'), 13)} GROUP BY key"""
@@ -294,6 +300,9 @@ READ_FILTER_LINES = f"""WITH {_READS}, e AS (SELECT read, n AS length, -10 * log
     SELECT read, length, round(quality, 4) AS quality FROM e WHERE length + 1 > 500 AND quality >= 6"""
 READ_SUMMARY = f"""WITH {_READS} SELECT count(*) AS reads, CAST(floor(avg(length)) AS BIGINT) AS mean_length, count(*) FILTER (length > 500 AND quality >= 14.5) AS kept,
     CAST(floor(avg(length) FILTER (length > 500 AND quality >= 14.5)) AS BIGINT) AS kept_mean_length FROM k"""
+READ_SUMMARY_LINES = f"""WITH {_READS}, e AS (SELECT read, n + 1 AS length, -10 * log10((a * 0.1::DOUBLE + c * 0.01::DOUBLE + g * 0.001::DOUBLE + t * 0.0001::DOUBLE + pow(10.0::DOUBLE, 2.3::DOUBLE)) / (n + 1)) AS quality FROM r)
+    SELECT count(*) AS reads, CAST(floor(avg(length)) AS BIGINT) AS mean_length, count(*) FILTER (length > 500 AND quality >= 6) AS kept,
+    CAST(floor(avg(length) FILTER (length > 500 AND quality >= 6)) AS BIGINT) AS kept_mean_length FROM e"""
 LENGTHS = f"SELECT key AS strain, CAST(sum(length(seq)) AS BIGINT) AS length, count(*) AS n_seq FROM {_seq('documents', 'source')} GROUP BY key"
 BLOOM_SIZE = f"WITH l AS ({LENGTHS}), m AS (SELECT greatest(max(length) - 14, 0) AS max_length FROM l) SELECT max_length, CAST(round_even(-max_length / ln(0.99), 0) AS BIGINT) AS num_bits FROM m"
 

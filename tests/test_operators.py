@@ -501,12 +501,22 @@ def test_cover_of_real_size(spark):
     assert found and all({*g} & {*c} for c in found for g in groups) and {len(c) for c in found} == {12}
 
 
-def test_abundance_by_rows(spark):
+def test_abundance_of_any_block_size(spark):
     rng = random.Random(3)
-    sets = [(sorted(rng.sample("ABCDE", k)), rng.randrange(1, 50)) for k in (1, 2, 2, 3, 4, 5)]
-    sets, lengths = spark.createDataFrame(sets, "members array<string>, n long"), spark.createDataFrame([(s, 5 + i) for i, s in enumerate("ABCDE")], "strain string, length long")
-    by_row, by_rows = ({r["strain"]: r["exact"] for r in identify.abundance(sets, lengths, 10, most).collect()} for most in (100, 2))
-    assert by_row == pytest.approx(by_rows, abs=2e-6)
+    sets = [(sorted(rng.sample("ABCDE", k)), rng.randrange(1, 50)) for k in (1, 2, 2, 3, 4, 5, 1, 2, 3)]
+    strains = spark.createDataFrame([(s, 5 + i) for i, s in enumerate("ABCDEF")], "strain string, length long")
+    frame = spark.createDataFrame(sets, "members array<string>, n long").repartition(3)
+    a = dict.fromkeys("ABCDEF", 1 / 6)
+    for _ in range(10):
+        raw = {s: a[s] * sum(n / sum(a[m] for m in members) for members, n in sets if s in members) / (5 + "ABCDEF".index(s)) for s in a}
+        a = {s: x / sum(raw.values()) for s, x in raw.items()}
+    for block in (1, 2, 100):
+        got = {r["strain"]: r["exact"] for r in identify.abundance(frame.coalesce(1), strains, 10, block).collect()}
+        assert got == pytest.approx(a, abs=2e-6)
+        with pytest.raises(Exception, match="no length: C"):
+            identify.abundance(frame, strains.where("strain <> 'C'"), 2, block).collect()
+    with pytest.raises(Exception, match="no proportion: C"):
+        identify.log_likelihood(frame, spark.createDataFrame([(s, 0.2) for s in "ABDE"], "strain string, exact double")).collect()
 
 
 def test_abundance(spark):
