@@ -23,7 +23,10 @@ stack flat on long runs.
 
 Defined results: a null text is empty and has no spans; positions are code
 points, ends exclusive; spans of different kinds may overlap, and sanitising
-replaces what they cover together once; repeated rows give repeated results.
+replaces what they cover together once; repeated rows give repeated results; an empty
+table gives no rows. Texts may be very long and hold any number of spans: no span
+copies the text or the spans before it. Other columns of ``docs`` travel packed in one,
+so their names meet none of those here, and ``sanitise`` gives them back as they were.
 """
 
 from __future__ import annotations
@@ -48,22 +51,70 @@ TERM = r"\p{L}{3,}"
 OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
 
 
+RUN, CUT = 256, 1024
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, op) -> Column:
+    """op (sum or maximum) of each of an array of numbers and all before it, from 0. An append
+    copies the array it makes longer, so RUN numbers at a time are gone through, from
+    what all RUNs before come to."""
+    nothing = F.array().cast("array<int>")
+
+    def last(run: Column) -> Column:
+        return F.aggregate(run, F.lit(0), op)
+
+    def through(run: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), nothing.alias("out"))
+        return F.aggregate(run, begin, lambda held, x: F.struct(op(held["at"], x).alias("at"), F.array_append(held["out"], op(held["at"], x)).alias("out")), lambda held: held["out"])
+
+    def of(runs: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+        starts = F.aggregate(runs, begin, lambda held, run: F.struct(op(held["at"], last(run)).alias("at"), F.array_append(held["out"], held["at"]).alias("out")), lambda held: held["out"])
+        return F.flatten(F.zip_with(runs, starts, through))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))), lambda i: F.slice(v, i * RUN + 1, F.lit(RUN)))
+    return let(values, lambda v: let(cut(v), of))
+
+
 def matches(text: Column, pattern: str, wanted=None) -> Column:
     """The matches of a pattern (those whose value is ``wanted``) with their places:
     what lies between them is what splitting at the pattern leaves."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def add(held, step):
-        start = held["at"] + step["gap"]
-        end = start + F.char_length(step["hit"])
-        spans = F.array_append(held["spans"], F.struct(start.alias("start"), end.alias("end"), step["hit"].alias("value")))
-        # an append copies the array, so what isn't wanted is never appended
-        return F.struct(end.alias("at"), (spans if wanted is None else F.when(wanted(step["hit"]), spans).otherwise(held["spans"])).alias("spans"))
+    def placed(both: Column) -> Column:
+        steps = F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["hits"])), both["hits"], lambda gap, hit: gap + F.char_length(hit))
+        ends = running(steps, lambda x, y: x + y)
+        return F.zip_with(ends, both["hits"], lambda end, hit: F.struct((end - F.char_length(hit)).alias("start"), end.alias("end"), hit.alias("value")))
+
+    spans = let(F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), placed)
+    return spans if wanted is None else F.filter(spans, lambda s: wanted(s["value"]))
+
+
+def rewritten(text: Column, spans: Column, put) -> Column:
+    """The text with what ``put`` gives for each span (ordered), the end of those before it
+    and the span itself, in between what lies outside of all spans. A place in a long text
+    can't be reached but from its start, so texts are cut into pieces of CUT characters first."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def of(x: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / CUT).cast("int")
+            some = F.slice(x["pieces"], first + 1, F.floor((end - 1) / CUT).cast("int") - first + 1)
+            return F.when(end > start, F.substring(F.array_join(some, ""), start % CUT + 1, end - start)).otherwise("")
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda held: held["spans"])
+        def around(ends: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+            made = F.zip_with(x["spans"], before, lambda s, at: F.concat(between(at, s["start"]), put(s, at)))
+            return F.concat(F.array_join(made, ""), between(F.element_at(ends, -1), F.char_length(text)))
+
+        return let(running(F.transform(x["spans"], lambda s: s["end"]), lambda x, y: F.greatest(x, y)), around)
+
+    return let(F.struct(pieces.alias("pieces"), spans.alias("spans")), of)
 
 
 def _luhn(digits: Column) -> Column:
@@ -106,16 +157,9 @@ def _sizes() -> Column:
 
 def outside() -> Column:
     """The text with spaces for the characters of base spans, so that places stay."""
-    text = F.col("text")
-
-    def blank(held, s):
-        kept = F.substring(text, held["at"] + 1, s["start"] - held["at"])
-        spaces = F.repeat(F.lit(" "), s["end"] - F.greatest(held["at"], s["start"]))
-        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["out"], kept, spaces).alias("out"))
-
-    rest = lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.char_length(text)))
-    # substring and repeat give nothing for lengths below 0, as in overlaps
-    return F.when(_sizes() == 0, text).otherwise(F.aggregate(F.array_sort(F.concat(*PATTERNS)), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), blank, rest))
+    # repeat gives nothing for lengths below 0, as in overlaps
+    blank = lambda s, at: F.repeat(F.lit(" "), s["end"] - F.greatest(at, s["start"]))
+    return F.when(_sizes() == 0, F.col("text")).otherwise(rewritten(F.col("text"), F.array_sort(F.concat(*PATTERNS)), blank))
 
 
 def terms_of(text: Column) -> Column:
@@ -216,12 +260,6 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     labels.append(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "removed", "").otherwise("[TERM]").alias("label"))))
     ordered = F.array_sort(F.concat(*labels))
 
-    def put(held, s):
-        between = F.substring(F.col("text"), held["at"] + 1, s["start"] - held["at"])
-        fresh = s["start"] >= held["at"]
-        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.when(fresh, F.concat(held["out"], between, s["label"])).otherwise(held["out"]).alias("out"))
-
-    rest = lambda held: F.concat(held["out"], F.substring(F.col("text"), held["at"] + 1, F.char_length("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(_sizes() + F.size("terms") == 0, F.col("row.text")).otherwise(F.aggregate(ordered, start, put, rest))
+    put = lambda s, at: F.when(s["start"] >= at, s["label"]).otherwise("")
+    clean = F.when(_sizes() + F.size("terms") == 0, F.col("row.text")).otherwise(rewritten(F.col("text"), ordered, put))
     return found.select(*[clean.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
