@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from sievelake.operators import containment
 
 
+def parse_vector_name(text: str) -> tuple[str, str | None, int, int | None]:
+    """file, type, start, end of ``file:type[:offset[..end]]`` or ``file:raw[:offset[:bits]]``:
+    which bits of a vector are meant; end None is that of the vector."""
+    file, *rest = text.split(":")
+    kind = rest[0] if rest else None
+    start, end = 0, None
+    if len(rest) > 1:
+        first, dots, last = rest[1].partition("..")
+        start, end = int(first), int(last) if dots else None
+    if len(rest) > 2:
+        if kind != "raw" or len(rest) > 3:
+            raise ValueError(f"not the name of a bit vector: {text}")
+        end = start + int(rest[2])
+    if end is not None and end < start:
+        raise ValueError(f"an interval that ends before it starts: {text}")
+    return file, kind, start, end
+
+
 def within(bits: DataFrame, start: int, end: int) -> DataFrame:
     """The bits of an interval that starts at a multiple of 8."""
     if start % 8:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sievelake.functions import hashing, names, sequences
 from sievelake.operators import bitmaps, containment, distances, graphs, identify, reports, sketches, trees
 from sievelake.plans import sql
-from sievelake.sources import sequence_files, topology
-from sievelake.workspace import scratch, table, written
+from sievelake.sources import filter_tables, sequence_files, topology
+from sievelake.workspace import numbered, scratch, table, written
 
 BITS, SEEDS, MODULUS = sql.BITS, ["111111001111111"], sql.MODULUS
 QUERIES: dict = {}
@@ -73,10 +73,7 @@ def supplier_tree(spark, d) -> DataFrame:
     rows = rows.union(s.select(F.struct("n_regionkey", "n_nationkey", none.cast("long")), F.lit(2), F.concat(F.lit("N"), F.col("n_nationkey"))).distinct())
     rows = rows.union(s.select(F.struct("n_regionkey", none, none.cast("long")), F.lit(1), F.concat(F.lit("R"), F.col("n_regionkey"))).distinct())
     rows = rows.union(spark.range(1).select(F.struct(none, none, none.cast("long")), F.lit(0), F.lit("root")))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "depth", "node")))  # a list file: one line per filter
-    return rows.agg(ordered.alias("l")).select(F.lit("tree").alias("source"), F.posexplode("l").alias("line_no", "x")).select(
-        "source", "line_no", F.concat(F.repeat(F.lit("*"), F.col("x.depth")), F.col("x.node"), F.lit(".bf")).alias("value")
-    )
+    return numbered(rows, "line_no", F.col("p")).select(F.lit("tree").alias("source"), F.col("line_no").cast("int").alias("line_no"), F.concat(F.repeat(F.lit("*"), F.col("depth")), F.col("node"), F.lit(".bf")).alias("value"))
 
 
 def tree(spark, d):
@@ -95,10 +92,6 @@ def region_matches(spark, d) -> DataFrame:
     return found.join(total, "read").select("read", "strain", "hits", "total", sequences.fraction(F.col("hits"), F.col("total")).alias("frac"))
 
 
-def region_lengths(spark, d) -> DataFrame:
-    return region_matches(spark, d).groupBy("strain").agg(F.sum("hits").alias("length"))
-
-
 # ---- sequences ----------------------------------------------------------
 
 
@@ -262,6 +255,45 @@ def long_seed_qgrams(spark, d):
     return found.withColumnRenamed("key", "lang")
 
 
+@query(sql.FIRST_READS)
+def first_reads(spark, d):
+    """The first 50 reads, by number: the reading limit of a query."""
+    reads = with_quality(spark, d).select(F.col("read").alias("read_ix"), F.char_length("seq").cast("long").alias("length"))
+    return sequence_files.first_reads(reads, 50)
+
+
+@query(sql.LIST_LINES)
+def list_file_lines(spark, d):
+    """Orders as list files, one for each priority, empty lines in between: the lines' numbers when read again."""
+    path = scratch(spark, "lists")
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").substr(1, 1).alias("list"), "o_orderkey")
+    value = F.concat("list", F.lit(":"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "\n").otherwise(""))
+    rows.repartition("list").sortWithinPartitions("list", "o_orderkey").select("list", value.alias("value")).write.partitionBy("list").text(path)
+    found = sequence_files.lines(spark, f"{path}/*")
+    return found.select(F.split("value", ":")[0].alias("list"), F.split("value", ":")[1].cast("long").alias("o_orderkey"), F.col("line_no").cast("long").alias("line_no"))
+
+
+@query(sql.FILTER_TABLES)
+def filter_tables_read_again(spark, d):
+    """Suppliers' filters written with their parameters, checked and read again: parameters and bits."""
+    path = scratch(spark, "filters")
+    bits = supplier_bits(spark, d)
+    sizes = supplier_sizes(spark, d).select(F.col("filter").cast("string").alias("filter"), F.lit("set").alias("kind"), F.lit(1).alias("k"), F.lit(1).alias("num_hashes"), F.lit(0).cast("long").alias("seed1"), F.lit(0).cast("long").alias("seed2"), F.lit(BITS).cast("long").alias("modulus"), F.lit(BITS).cast("long").alias("num_bits"), "set_size")
+    filter_tables.save(sizes, bits.withColumn("filter", F.col("filter").cast("string")), path)
+    filters, found = filter_tables.load(spark, path)
+    ones = found.groupBy("filter").agg(F.count(F.lit(1)).alias("ones"), F.sum("pos").alias("positions"))
+    return filters.join(ones, "filter").select(F.col("filter").cast("long").alias("filter"), "modulus", F.col("set_size").cast("long").alias("set_size"), "ones", "positions")
+
+
+@query(sql.LENGTH_FALLBACK)
+def length_fallback(spark, d):
+    """Lengths of suppliers by names with underscores; those of odd number are listed under dashes."""
+    counted = lines(spark, d).groupBy(F.col("l_suppkey").alias("s")).agg(F.count(F.lit(1)).alias("length")).where("s % 7 <> 0")
+    listed = counted.select(F.concat(F.lit("strain"), F.when(F.col("s") % 2 == 1, "-").otherwise("_"), F.col("s").cast("string")).alias("strain"), "length")
+    strains = table(spark, d, "supplier").select(F.concat(F.lit("strain_"), F.col("s_suppkey").cast("string")).alias("strain"))
+    return identify.lengths_of(strains, listed)
+
+
 @query(sql.READ_SUMMARY)
 def read_filter_summary(spark, d):
     reads = with_quality(spark, d)

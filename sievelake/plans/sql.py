@@ -300,6 +300,11 @@ READ_FILTER_LINES = f"""WITH {_READS}, e AS (SELECT read, n AS length, -10 * log
     SELECT read, length, round(quality, 4) AS quality FROM e WHERE length + 1 > 500 AND quality >= 6"""
 READ_SUMMARY = f"""WITH {_READS} SELECT count(*) AS reads, CAST(floor(avg(length)) AS BIGINT) AS mean_length, count(*) FILTER (length > 500 AND quality >= 14.5) AS kept,
     CAST(floor(avg(length) FILTER (length > 500 AND quality >= 14.5)) AS BIGINT) AS kept_mean_length FROM k"""
+FIRST_READS = f"SELECT key AS read_ix, length(seq) AS length FROM {_seq('documents', 'doc_id')} ORDER BY key LIMIT 50"
+LIST_LINES = """SELECT o_orderpriority[1:1] AS list, o_orderkey, CAST(row_number() OVER w - 1 + coalesce(sum(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no
+    FROM orders WINDOW w AS (PARTITION BY o_orderpriority[1:1] ORDER BY o_orderkey)"""
+FILTER_TABLES = f"WITH {_BITS}, n AS (SELECT l_suppkey AS filter, count(*) AS set_size FROM lineitem GROUP BY 1) SELECT filter, {BITS}::BIGINT AS modulus, any_value(set_size) AS set_size, count(*) AS ones, CAST(sum(pos) AS BIGINT) AS positions FROM bits JOIN n USING (filter) GROUP BY filter"
+LENGTH_FALLBACK = "SELECT 'strain_' || s_suppkey AS strain, length FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS length FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1) ON l_suppkey = s_suppkey"
 READ_SUMMARY_LINES = f"""WITH {_READS}, e AS (SELECT read, n + 1 AS length, -10 * log10((a * 0.1::DOUBLE + c * 0.01::DOUBLE + g * 0.001::DOUBLE + t * 0.0001::DOUBLE + pow(10.0::DOUBLE, 2.3::DOUBLE)) / (n + 1)) AS quality FROM r)
     SELECT count(*) AS reads, CAST(floor(avg(length)) AS BIGINT) AS mean_length, count(*) FILTER (length > 500 AND quality >= 6) AS kept,
     CAST(floor(avg(length) FILTER (length > 500 AND quality >= 6)) AS BIGINT) AS kept_mean_length FROM e"""

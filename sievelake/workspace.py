@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +42,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, column: str, *order: Column) -> DataFrame:
+    """``df`` with the number of each row, from 0 without gaps, in the given order, written.
+
+    Rows are dealt and sorted by ranges of the order; what is added up over all is how many
+    rows each range has, a row per partition."""
+    own = f"{column}_in_part"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id())
+    placed = written(ranged, "numbered").withColumn(f"{own}_of", F.shiftright(own, 33))
+    parts = placed.groupBy(f"{own}_of").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy(f"{own}_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(f"{own}_of", before.alias(f"{own}_from"))
+    number = F.col(own) - F.shiftleft(F.col(f"{own}_of"), 33) + F.col(f"{own}_from")
+    return placed.join(F.broadcast(starts), f"{own}_of").withColumn(column, number).select(*df.columns, column)

@@ -113,6 +113,20 @@ def test_threshold_of_each_read(spark):
     assert {(r["read"], r["filter"]) for r in containment.matches(probes, frame, theta).collect()} == {(1, "a"), (1, "b"), (2, "b")}
 
 
+def test_numbered_rows_and_vector_names(spark):
+    from sievelake.workspace import numbered
+
+    rows = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "v long").repartition(7)
+    assert {r["v"]: r["at"] for r in numbered(rows, "at", F.col("v")).collect()} == {v: v for v in range(1000)}
+    assert numbered(rows.where("v < 0"), "at", F.col("v")).collect() == []
+    parse = distances.parse_vector_name
+    assert parse("a.bf") == ("a.bf", None, 0, None) and parse("a:rrr:8") == ("a", "rrr", 8, None)
+    assert parse("a:raw:8..24") == ("a", "raw", 8, 24) and parse("a:raw:8:16") == ("a", "raw", 8, 24)
+    for bad in ("a:rrr:8:16", "a:raw:9..3", "a:raw:x"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
 def test_matches(spark):
     index = bits(spark, {"p": range(0, 9), "q": range(0, 5), "r": range(20, 30)})
     rows = spark.createDataFrame([("r1", p) for p in range(10)] + [("r2", 100)], "read string, pos long")
