@@ -3,7 +3,7 @@ a BM25 index of the test items.
 
 An index holds the items of one shard (about 768, at most ``ITEMS``). It has, for
 each word, the items with their BM25 weights, and the largest weight in each block
-of ``BLOCK`` items. The indexes are files in the shared folder; a task looks its
+of ``BLOCK`` items. The indexes are built by tasks, as files in the shared folder; a task looks its
 documents up in one after the other and holds at most ``HELD`` of them, so its
 memory does not grow with the number of items. Weights are divided by what the
 item must reach, so that every threshold is 1:
@@ -16,7 +16,8 @@ item must reach, so that every threshold is 1:
   weights of that number. That is the item's threshold: retrieval loses nothing.
 
 Passages are the windows of two adjoining segments; a segment has half as many
-words again as the longest item of the shard. The sum of the block maxima of a
+words again as the longest item of the shard. The sum of the largest weights of a
+passage's words bounds all its scores, and where that reaches 1, the sum of the block maxima of a
 passage's words bounds the score of every item in a block (block-max WAND's
 bound, for all passages of a batch at once): only (passage, block) pairs that
 reach 1 are scored, and what reaches 1 is verified on shingles, question and answer.
@@ -33,6 +34,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
-from sievelake.workspace import scratch
+from sievelake.workspace import numbered, scratch
 
 SHINGLE, OVERLAP, PART = 5, 0.8, 0.5
 ITEMS, BLOCK, HELD = 1024, 16, 8
@@ -82,6 +84,7 @@ class Index:
     items: np.ndarray
     weights: np.ndarray
     tops: np.ndarray  # largest weight of each word in each block
+    top: np.ndarray  # and in all
     segment: int
 
 
@@ -121,17 +124,34 @@ def build(rows: list[tuple]) -> Index | None:
     np.maximum.at(tops, (posted[0], posted[1] // BLOCK), weights.astype(np.float32))
     return Index(
         pa.array(list(vocabulary), pa.large_string()), [rows[i][0] for i in kept], *map(list, zip(*parts, strict=True)), np.array(own), np.array(need),
-        np.searchsorted(posted[0], np.arange(len(vocabulary) + 1)), posted[1], weights, tops, int(lengths.max() * 3 // 2) + SHINGLE,
+        np.searchsorted(posted[0], np.arange(len(vocabulary) + 1)), posted[1], weights, tops, tops.max(axis=1), int(lengths.max() * 3 // 2) + SHINGLE,
     )
 
 
-def search(index: Index, texts: pa.Array) -> dict[int, dict[int, tuple]]:
-    """text number -> item number -> the hit in its best passage."""
+@dataclass
+class Words:
+    """Texts as words: where each text's begin, their codes, and the distinct ones."""
+
+    offsets: np.ndarray
+    codes: np.ndarray
+    dictionary: pa.Array
+
+
+def words_of(texts: pa.Array) -> Words:
     lists = word_lists(texts)
-    offsets = np.asarray(lists.offsets).astype(np.int64)
     coded = pc.dictionary_encode(lists.values)
-    place = pc.fill_null(pc.index_in(coded.dictionary, value_set=index.words), -1).to_numpy().astype(np.int64)
-    ids = place[np.asarray(coded.indices)] if len(place) else np.zeros(0, np.int64)
+    return Words(np.asarray(lists.offsets).astype(np.int64), np.asarray(coded.indices), coded.dictionary)
+
+
+def search(index: Index, texts: Words) -> dict[int, dict[int, tuple]]:
+    """text number -> item number -> the hit in its best passage.
+
+    Bounds go before sums: a passage whose words' largest weights don't reach the
+    threshold is left at that; of others the blocks of items are summed up, and only items
+    of the blocks that reach it are scored."""
+    offsets = texts.offsets
+    place = pc.fill_null(pc.index_in(texts.dictionary, value_set=index.words), -1).to_numpy().astype(np.int64)
+    ids = place[texts.codes] if len(place) else np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     # segments of each text, one after the other
     per = np.maximum(1, -(-sizes // index.segment))
@@ -139,10 +159,17 @@ def search(index: Index, texts: pa.Array) -> dict[int, dict[int, tuple]]:
     text = np.repeat(np.arange(len(sizes)), sizes)
     known = np.flatnonzero(ids >= 0)
     segment = starts[text[known]] + (known - offsets[text[known]]) // index.segment
-    # distinct words of each segment and the sums of their block maxima
+    # distinct words of each segment
     words = np.unique(segment * len(index.words) + ids[known])
     at, word = np.divmod(words, len(index.words))
     n_segments = int(per.sum())
+    most = np.bincount(at, index.top[word], n_segments)
+    follows = np.append(np.diff(np.repeat(np.arange(len(sizes)), per)) == 0, False)
+    likely = most + np.where(follows, np.append(most[1:], 0), 0) >= 1 - 1e-3
+    # block maxima for the segments of these passages alone
+    likely = likely | np.append(False, (likely & follows)[:-1]) if n_segments else likely
+    looked = likely[at] if len(at) else np.zeros(0, bool)
+    at, word = at[looked], word[looked]
     bound = np.zeros((n_segments + 1, index.tops.shape[1]), np.float32)
     if len(at):
         change = np.flatnonzero(np.diff(at, prepend=-1))
@@ -205,27 +232,45 @@ def _share(wanted: np.ndarray, here: np.ndarray, passage: np.ndarray, low: int)
     return len(np.unique(here[hits])) / len(wanted), low + start
 
 
-def shards(items: DataFrame):
-    """The items (item_id, text), at most about ITEMS at a time, repeated ones spread like others."""
-    items = items.select(F.col("item_id").cast("long"), "text", F.monotonically_increasing_id().alias("place"))
-    n = -(-items.count() // (ITEMS * 3 // 4))
-    for shard in range(n):
-        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("place"), F.lit(n)) == shard)
-        yield sorted(map(tuple, rows.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-
-
 def indexes(items: DataFrame) -> list[str]:
-    """Writes the index of each shard to the shared folder; their places."""
-    folder, places = scratch(items.sparkSession, "decontaminate"), []
+    """Writes indexes of at most ITEMS items each to the shared folder, in tasks; their places.
+    Items of like length are together, as the longest one of an index sets its passages."""
+    items = items.select(F.col("item_id").cast("long"), "text")
+    n = items.count()
+    if not n:
+        return []
+    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    shard = (F.col("place") / (ITEMS * 3 // 4)).cast("long").alias("shard")
+    placed = numbered(items.withColumn("size", size), "place", F.col("size"), F.col("item_id"), F.col("text")).select(shard, "item_id", "text")
+    folder = scratch(items.sparkSession, "decontaminate")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    for n, rows in enumerate(shards(items)):
-        index = build(rows)
-        if index is not None:
-            places.append(f"{folder}/{n}")
-            with store.open_output_stream(f"{root}/{n}") as out:
-                out.write(pickle.dumps(index))
-    return places
+
+    def run(batches):
+        held: dict[int, list] = {}
+        done = []
+
+        def finish(number: int) -> None:
+            rows = sorted(held.pop(number), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+            if (index := build(rows)) is not None:
+                here, at = fs.FileSystem.from_uri(folder)
+                name = f"{number}-{uuid.uuid4().hex}"  # a task that runs again writes a file of its own
+                with here.open_output_stream(f"{at}/{name}") as out:
+                    out.write(pickle.dumps(index))
+                done.append((number, name))
+
+        for batch in batches:
+            for number, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for other in [x for x in held if x != number]:
+                    finish(other)
+                held.setdefault(number, []).append(row)
+        for number in list(held):
+            finish(number)
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], ["shard", "name"])
+
+    tasks = -(-n // (ITEMS * 3 // 4))
+    rows = placed.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, name string")
+    return [f"{folder}/{r['name']}" for r in sorted(rows.collect())]
 
 
 def _index(place: str) -> Index:
@@ -247,18 +292,19 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         # with more indexes than are held, more text is looked up in one before the next is read
         for batch in slices(batches, 1, 4 << 20 if len(places) <= HELD else 32 << 20):
             found = [[] for _ in range(batch.num_rows)]
+            parts = [words_of(part.column(1)) for part in slices([batch], 1)]  # once for all indexes
             for place in places:
                 index = held.get(place) or _index(place)
                 if len(held) < HELD:
                     held[place] = index
                 first = 0
-                for part in slices([batch], 1):
-                    for t, hits in search(index, part.column(1)).items():
+                for part in parts:
+                    for t, hits in search(index, part).items():
                         found[first + t] += [
                             {"item_id": index.item_ids[i], "score": h[1], "overlap": h[0], "question_overlap": h[3], "answer_overlap": h[4], "first_word": -h[2]}
                             for i, h in sorted(hits.items())
                         ]
-                    first += part.num_rows
+                    first += len(part.offsets) - 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, hit_type)], ["row", "hits"])
 
     hits = f"array<struct<{HIT.replace(', ', ',').replace(' ', ':')}>>"

@@ -12,7 +12,8 @@ that carry the payload's length and digest and refer to it. Of repeated rows
 with that page_id one is the response; rows whose page_id is null come last. A
 null html is an empty payload; null and empty URLs are written as an empty target
 and come back as null; records of repeated rows have the same record id, and are
-told apart by their places; very long payloads are one record each. The writer's table must give the same rows in the same order each
+told apart by their places; very long payloads are one record each; an empty table has
+an empty index; other columns are not looked at. The writer's table must give the same rows in the same order each
 time it is computed (files do).
 """
 
@@ -28,6 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.batches import slices
 from sievelake.workspace import written
 
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string, refers_to long"
@@ -108,7 +110,7 @@ def write(planned: DataFrame, path: str, file_bytes: int = 256 << 20) -> DataFra
         store, root = _open(path)
         store.create_dir(root, recursive=True)
         sink = name = None
-        for batch in batches:
+        for batch in slices(batches, 2, 16 << 20):
             rows = []
             for page_id, url, html, sha1_hex, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None or sink.tell() >= file_bytes:
