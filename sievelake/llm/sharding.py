@@ -2,25 +2,26 @@
 
 Every row gets a place in a uniformly random order of the whole table, cut into
 shards whose row counts differ by one at most. How many rows each input
-partition sends to each bucket follows the matrix of a multivariate
-hypergeometric law with the partitions' row counts and the buckets' exact sizes
+partition sends to each shard follows the matrix of a multivariate
+hypergeometric law with the partitions' row counts and the shards' exact sizes
 as margins. No task or driver holds the matrix: the law is split along a binary
 tree over the partitions, each node's draw is seeded by the node, and a task
-draws the few nodes on the way to its own row. A shard is cut into consecutive
-buckets so that sorting one bucket is a small piece of work however many rows a
-shard has.
+draws the few nodes on the way to its own row, a number per shard each.
 
 1. Count the rows of each partition.
-2. In each partition, draw its row of the matrix and deal its rows out in a
-   random order (a permutation seeded by the partition).
-3. Exchange by bucket, into as many partitions as the number of rows asks for:
-   neighbouring buckets go to one partition, dealt out evenly by their numbers.
-4. In each bucket, order the rows by random keys; a row's slot is the bucket's
+2. In each partition, draw its row of the matrix, deal its rows out in a random
+   order (a permutation seeded by the partition) and give each a random key.
+   A shard is cut into buckets by equal ranges of the keys, so that sorting one
+   is a small piece of work however many rows a shard has.
+3. Count the buckets. What a partition deals out follows from its seed and its
+   number of rows, so this reads no data; it gives the first slot of each bucket.
+4. Exchange by bucket, a task each.
+5. In each bucket, order the rows by their keys; a row's slot is the bucket's
    first slot plus its rank.
 
 The partitions of ``df`` must hold the same rows in the same order each time
 they are computed (files, or a table written before), which also makes the
-result the same after executors are lost; step 2 fails if a count differs from
+result the same after executors are lost; step 4 fails if a count differs from
 step 1.
 
 Any column may be null, texts may be empty or long, rows may repeat (each copy
@@ -39,27 +40,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET, MAX_PARTITIONS = 4_000, 100_000
+ROWS_PER_BUCKET, MAX_BUCKETS = 4_000, 100_000
+ROWS_PER_COUNT = 2_000_000
 
 
-def bucket_starts(total: int, shards: int, buckets: int) -> np.ndarray:
-    """First place in the whole order of each bucket (buckets of a shard follow
-    each other), and the total at the end."""
-    shard = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
-    per = np.array([[n // buckets + (b < n % buckets) for b in range(buckets)] for n in shard.tolist()], np.int64).ravel()
-    return np.concatenate([[0], np.cumsum(per)])
+def shard_sizes(total: int, shards: int) -> np.ndarray:
+    """Rows of each shard: all the same, and one more in the first ones."""
+    return np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
 
 
 def split_counts(rng: np.random.Generator, sizes: np.ndarray, take: int) -> np.ndarray:
-    """How many of ``take`` rows drawn without replacement fall in each bucket."""
+    """How many of ``take`` rows drawn without replacement fall in each shard."""
     if take == 0:
         return np.zeros_like(sizes)
     if take == int(sizes.sum()):
         return sizes.copy()
     if sizes.sum() < 900_000_000:
         return rng.multivariate_hypergeometric(sizes, take, method="marginals")
-    # numpy's law stops at 1e9 rows: split the buckets in halves by the
-    # hypergeometric law of their sums, as far as single buckets
+    # numpy's law stops at 1e9 rows: split the shards in halves by the
+    # hypergeometric law of their sums, as far as single shards
     out = np.zeros_like(sizes)
     stack = [(0, len(sizes), take)]
     while stack:
@@ -115,6 +114,24 @@ def partition_row(counts: np.ndarray, sizes: np.ndarray, part: int, seed: int) -
     return here
 
 
+def dealt(counts: np.ndarray, shards: int, buckets: int, part: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket (``buckets`` per shard, one shard's after the other's) and the random
+    key of each row of partition ``part``, in the partition's order."""
+    row = partition_row(counts, shard_sizes(int(counts.sum()), shards), part, seed)
+    rng = np.random.default_rng([seed, 1, part])
+    shard = np.repeat(np.arange(shards, dtype=np.int32), row)
+    rng.shuffle(shard)
+    keys = rng.integers(-(1 << 63), 1 << 63, len(shard), dtype=np.int64)
+    within = (((keys >> 32) + (1 << 31)) * buckets >> 32).astype(np.int32)
+    return shard * np.int32(buckets) + within, keys
+
+
+def first_slots(sizes: np.ndarray, buckets: int) -> np.ndarray:
+    """The slot of each bucket's first row within its shard."""
+    of = sizes.reshape(-1, buckets)
+    return (np.cumsum(of, axis=1) - of).ravel()
+
+
 def shuffle(df: DataFrame, shards: int, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``df`` with columns shard (int) and slot (long, from 0 in each shard)."""
     df = df.drop("shard", "slot")
@@ -128,40 +145,45 @@ def shuffle(df: DataFrame, shards: int, seed: int = 0, rows_per_bucket: int = RO
     found = {r["part"]: r["rows"] for r in first.mapInArrow(count, "part int, rows long").collect()}
     counts = np.array([found.get(p, 0) for p in range(max(found, default=-1) + 1)], np.int64)
     total = int(counts.sum())
-    buckets = max(1, -(-total // (shards * rows_per_bucket)))
-    starts = bucket_starts(total, shards, buckets)
-    # a bucket each, until a partition per bucket would be too many of them
-    partitions = min(shards * buckets, MAX_PARTITIONS)
-    known = spark.sparkContext.broadcast((counts, starts))
+    # a bucket of more rows, until there are not too many of them
+    buckets = max(1, min(-(-total // (shards * rows_per_bucket)), MAX_BUCKETS // shards))
+    margins = spark.sparkContext.broadcast(counts)
+
+    def count_buckets(batches):
+        sizes = np.zeros(shards * buckets, np.int64)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                sizes += np.bincount(dealt(margins.value, shards, buckets, part, seed)[0], minlength=len(sizes))
+        used = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sizes[used])], ["bucket", "rows"])
+
+    # a row per bucket at most, MAX_BUCKETS in all
+    tasks = max(1, min(len(counts), -(-total // ROWS_PER_COUNT)))
+    parts = spark.range(0, len(counts), 1, tasks).mapInArrow(count_buckets, "bucket int, rows long")
+    sizes = np.zeros(shards * buckets, np.int64)
+    for r in parts.groupBy("bucket").agg(F.sum("rows").alias("rows")).collect():
+        sizes[r["bucket"]] = r["rows"]
+    known = spark.sparkContext.broadcast(first_slots(sizes, buckets))
 
     def deal(batches):
         part = TaskContext.get().partitionId()
-        counts, starts = known.value
-        rows = int(counts[part]) if part < len(counts) else 0
-        rng = np.random.default_rng([seed, 1, part])
-        targets = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), partition_row(counts, np.diff(starts), part, seed)) if rows else np.zeros(0, np.int32)
-        rng.shuffle(targets)
-        keys = rng.integers(-(1 << 63), 1 << 63, rows, dtype=np.int64)
+        rows = int(margins.value[part]) if part < len(margins.value) else 0
+        bucket, keys = dealt(margins.value, shards, buckets, part, seed) if rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         at = 0
         for batch in batches:
             upto = at + batch.num_rows
             if upto > rows:
                 raise RuntimeError(f"partition {part} has more rows than were counted: write the table before sharding it")
             places = pa.array(np.arange(at, upto, dtype=np.int64) | part << 40)
-            own = targets[at:upto]
-            part_of = (own.astype(np.int64) * partitions // (shards * buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(part_of), pa.array(keys[at:upto]), places], ["row", "bucket", "part_of", "key", "place"])
+            own = bucket[at:upto]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array(known.value[own]), pa.array(keys[at:upto]), places], ["row", "bucket", "start", "key", "place"])
             at = upto
         if at != rows:
             raise RuntimeError(f"partition {part} has fewer rows than were counted: write the table before sharding it")
 
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
-    dealt = packed.mapInArrow(deal, f"row {kind}, bucket int, part_of int, key long, place long").repartitionById(partitions, F.col("part_of"))
-    slots = F.row_number().over(W.partitionBy("part_of", "bucket").orderBy("key", "place"))
-    # first slot of a bucket within its shard, in closed form
+    exchanged = packed.mapInArrow(deal, f"row {kind}, bucket int, start long, key long, place long").repartitionById(shards * buckets, F.col("bucket"))
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy("key", "place"))
     shard = F.expr(f"bucket div {buckets}").cast("int")
-    size = F.lit(total // shards) + (shard < total % shards).cast("long")
-    within = F.col("bucket") % buckets
-    base = within * F.floor(size / buckets) + F.least(within.cast("long"), size % buckets)
-    return dealt.select("row.*", shard.alias("shard"), (base + slots - 1).cast("long").alias("slot"))
+    return exchanged.select("row.*", shard.alias("shard"), (F.col("start") + rank - 1).cast("long").alias("slot"))

@@ -241,28 +241,57 @@ def test_large_draws(good, bad, take):
     assert abs(x.mean() - take * good / n) < 5 * sd / np.sqrt(len(x)) and 0.9 < x.std() / sd < 1.1
 
 
-def test_places_are_uniform(make):
+def _places(counts, shards, buckets, seed):
+    """shard and slot of each row, told from the deal by plain sorting."""
+    rows = []
+    for part, n in enumerate(counts.tolist()):
+        if n:
+            bucket, keys = sharding.dealt(counts, shards, buckets, part, seed)
+            rows += [(b // buckets, k, len(rows) + i) for i, (b, k) in enumerate(zip(bucket.tolist(), keys.tolist(), strict=True))]
+    out, slot = [None] * len(rows), collections.Counter()
+    for shard, _, row in sorted(rows):
+        out[row] = (shard, slot[shard])
+        slot[shard] += 1
+    return out
+
+
+def test_places_are_uniform():
     """Over many seeds every row is in every place about equally often."""
     counts = np.array([5, 0, 9, 6])
-    starts = sharding.bucket_starts(20, 4, 2)
     seen = np.zeros((20, 20))
     for seed in range(2000):
-        row = 0
-        buckets = collections.defaultdict(list)
-        for part, n in enumerate(counts.tolist()):
-            rng = np.random.default_rng([seed, 1, part])
-            targets = np.repeat(np.arange(8), sharding.partition_row(counts, np.diff(starts), part, seed)) if n else np.zeros(0, int)
-            rng.shuffle(targets)
-            keys = rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
-            for t, k in zip(targets.tolist(), keys.tolist()):
-                buckets[t].append((k, row))
-                row += 1
-        for b, rows in buckets.items():
-            for rank, (_, r) in enumerate(sorted(rows)):
-                seen[r, starts[b] + rank] += 1
+        for row, (shard, slot) in enumerate(_places(counts, 4, 2, seed)):
+            seen[row, 5 * shard + slot] += 1
     assert (seen.sum(axis=0) == 2000).all() and (seen.sum(axis=1) == 2000).all()
     chi = ((seen - 100) ** 2 / 100).sum()
-    assert abs(chi - 19 * 19) < 5 * np.sqrt(2 * 19 * 19)
+    assert 361 - 6 * np.sqrt(2 * 361) < chi < 361 + 6 * np.sqrt(2 * 361)
+
+
+def test_shuffle_is_uniform(spark):
+    """The shuffle itself equals the plain one, and where a row stood tells nothing of where it goes."""
+    from sievelake.workspace import written
+
+    n, shards = 24_000, 24
+    made = spark.range(0, n, 1, 5).withColumn("part", F.spark_partition_id())
+    rows = written(made, "uniform").withColumn("here", F.spark_partition_id())
+    seen = [np.zeros((20, 24)), np.zeros((20, 20)), np.zeros((6, 6))]
+    for seed in range(4):
+        got = sharding.shuffle(rows, shards, seed, rows_per_bucket=300).toPandas()
+        if seed == 0:  # files come in the order of their sizes, a part's rows in theirs
+            order = got.sort_values(["here", "id"])
+            counts = order.groupby("here").size().reindex(range(int(order["here"].max()) + 1), fill_value=0).to_numpy()
+            assert list(zip(order["shard"], order["slot"], strict=True)) == _places(counts, shards, 4, 0)
+        got = got.sort_values("id")
+        block, shard, slot = got["id"].to_numpy() * 20 // n, got["shard"].to_numpy(), got["slot"].to_numpy()
+        assert sorted(zip(shard.tolist(), slot.tolist(), strict=True)) == [(s, k) for s in range(shards) for k in range(n // shards)]
+        place = (shard * (n // shards) + slot) * 6 // n
+        np.add.at(seen[0], (block, shard), 1)
+        np.add.at(seen[1], (block, slot * 20 // (n // shards)), 1)
+        np.add.at(seen[2], (place[:-1], place[1:]), 1)  # neighbours
+    for table in seen:
+        expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / table.sum()
+        free = (table.shape[0] - 1) * (table.shape[1] - 1)
+        assert abs(((table - expected) ** 2 / expected).sum() - free) < 6 * np.sqrt(2 * free)
 
 
 def test_registered_columns(spark, sf):
