@@ -31,6 +31,18 @@ def test_held_out_accuracy_and_edges(make, spark, sf):
     assert all(alone[i]["lang_pred"] == rows[i]["lang_pred"] and abs(alone[i]["score"] - rows[i]["score"]) < 1e-6 for i in rows)
 
 
+@pytest.mark.parametrize("absent", ["de", "es"])
+def test_rejects_an_unlearned_language(spark, absent):
+    """Documents of a language that the models don't have, in letters that they do have, are rejected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.learn(docs.where(~held_out & (F.col("lang") != absent)))
+    assert absent not in model.languages and len(model.languages) >= 2
+    found = langid.identify(docs.where(held_out & F.col("lang").isNotNull()), model)
+    rates = {r["strange"]: r["rate"] for r in found.groupBy((F.col("lang") == absent).alias("strange")).agg(F.avg(F.col("rejected").cast("int")).alias("rate")).collect()}
+    assert rates[True] >= 0.9 and rates[False] <= 0.02, rates
+
+
 def kneser_ney(texts, order):
     """P(character | context) by the definition, from all n-grams as strings."""
     counts = [collections.Counter() for _ in range(order + 1)]
