@@ -18,21 +18,27 @@ found first, then a distributed merge sort that knows common prefixes sorts thos
    last one put out, and never compares those bytes again. The merge gives the
    longest common prefixes within each group, the bytes before the anchors give
    the common extension to the left, and both give what each suffix repeats.
-4. Groups of more than ``GROUP`` contexts (a common line in many surroundings)
-   don't go to one bucket: the windows that their anchors can stand for are
-   compared by hash, over all tasks, and each but the first is a repeat.
+4. Hot groups (a common line in many surroundings; more than ``GROUP`` contexts and
+   more than a ``HOT``-th of all anchors) are split by further bytes: each window
+   that their anchors stand for is a suffix of its own, which goes to the bucket of
+   all its 100 bytes. A run has one suffix of each window, the first; the same merge
+   brings equal ones together, and all but the first are repeats.
 5. Each task reads back what was found for its own documents and removes it.
 
-Hashes have 64 bits; groups and contexts are told apart by two of them together.
-Rows that would gather under one key are reduced where they arise: of equal
-contexts, or equal windows, in a batch only the first goes on under its key. The
-steps pass their results on as Parquet in the shared folder, by input split, so
-texts are never shuffled. The table must give the same rows in the same order each
-time it is computed (files do).
+A first pass finds the hot groups, at most ``HOT`` by their definition, so they are
+known to all tasks. Any other group has at most that many contexts, and one more for
+each batch in which it has no second; a bucket of windows gets a window once a run.
+
+What steps 3 and 4 remove was compared byte by byte. Equal whole contexts (step 2) are
+told by two hashes of 64 bits together. Rows that would gather under one key are
+reduced where they arise: of equal contexts, or equal windows, in a batch only the
+first goes on under its key. The steps pass their results on as Parquet in the shared
+folder, by input split, so texts are never shuffled. The table must give the same rows
+in the same order each time it is computed (files do).
 
 Defined results: null texts are empty; texts under 100 bytes lose nothing; rows
 without an id come first in the order; repeated rows are ordered as they are
-read. Other columns are not looked at.
+read; an empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -51,16 +57,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
-from sievelake.workspace import scratch
+from sievelake.workspace import scratch, written
 
 WINDOW, ANCHOR = 100, 32
 BEFORE = WINDOW - ANCHOR
-GROUP = 256
+GROUP, HOT = 16_384, 100_000
+PAIRWISE = 64
 PIECE, MARGIN = 1 << 20, 512
 NO_ID = -(1 << 63)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CODES = np.random.default_rng(100).integers(1, 1 << 63, 256, np.uint64)
-FULL, SORT, SPREAD = 1, 2, 3
+FULL, SORT, DENSE = 1, 2, 3
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -167,25 +174,58 @@ def _batch(columns: dict, fields: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[t]) for n, t in zip(names, types, strict=True)], list(names))
 
 
+def _sorted_anchors(batches) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Anchors in the order of group, context and place, a bounded number at a time, and
+    where a group and where a context begins."""
+
+    def out(parts):
+        a = _joined(parts)
+        by = np.lexsort((a["pos"], a["row"], a["id"], a["c"], a["g"]))
+        a = {k: v[by] for k, v in a.items()}
+        new_g = np.diff(a["g"], prepend=a["g"][0] ^ 1) != 0
+        return a, new_g, new_g | (np.diff(a["c"], prepend=a["c"][0] ^ 1) != 0)
+
+    held, size = [], 0
+    for part in _contexts(batches):
+        held.append(part)
+        size += len(part["g"])
+        if size > 400_000:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
+
+
+def _hot_groups(docs: DataFrame, group: int) -> np.ndarray:
+    """The groups with more than ``group`` contexts and more than a HOT-th of all
+    anchors, so fewer than HOT. Contexts are counted where two of a group meet in a task."""
+
+    def run(batches):
+        for a, new_g, first in _sorted_anchors(batches):
+            at = np.flatnonzero(new_g)
+            contexts = np.add.reduceat(first.astype(np.int64), at)
+            several = contexts > 1
+            g, n = a["g"][at][several], contexts[several]
+            yield _batch({"g": [None], "n": [len(first)]}, "g long, n long")
+            for lo in range(0, len(g), 100_000):
+                yield _batch({"g": g[lo : lo + 100_000], "n": n[lo : lo + 100_000]}, "g long, n long")
+
+    counts = written(docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "suffix-groups")
+    anchors = counts.where("g IS NULL").first()
+    least = max(group, anchors["n"] // HOT) if anchors else group
+    return np.sort(np.array([r["g"] for r in counts.where(F.col("g").isNotNull() & (F.col("n") > least)).select("g").collect()], np.int64))
+
+
 def _classes(docs: DataFrame, path: str, group: int) -> None:
     """Step 1 and 2; writes (split, row, pos, kind) by split."""
     fields = "key long, g long, c long, id long, split int, row long, pos long, kind int"
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_groups(docs, group))
 
     def run(batches):
         split = TaskContext.get().partitionId()
-
-        def out(parts):
-            a = _joined(parts)
-            by = np.lexsort((a["pos"], a["row"], a["id"], a["c"], a["g"]))
-            a = {k: v[by] for k, v in a.items()}
-            n = len(by)
-            new_g = np.diff(a["g"], prepend=a["g"][0] ^ 1) != 0
-            first = new_g | (np.diff(a["c"], prepend=a["c"][0] ^ 1) != 0)
-            a["kind"] = np.where(first, 0, FULL).astype(np.int32)
-            # more contexts of one group than make it a large one need not meet under its key
-            classes = np.cumsum(first)
-            rank = classes - classes[np.maximum.accumulate(np.where(new_g, np.arange(n), 0))]
-            a["kind"][first & (rank > group)] = SPREAD
+        for a, _, first in _sorted_anchors(batches):
+            n = len(first)
+            a["kind"] = np.where(first, np.where(np.isin(a["g"], hot.value), DENSE, 0), FULL).astype(np.int32)
             with np.errstate(over="ignore"):
                 own = ((a["row"].astype(np.uint64) << np.uint64(20)) + a["pos"].astype(np.uint64) + np.uint64(split)) * BASE
             a["key"] = np.where(a["kind"] == 0, a["g"], own.view(np.int64))
@@ -193,22 +233,12 @@ def _classes(docs: DataFrame, path: str, group: int) -> None:
             for at in range(0, n, 100_000):
                 yield _batch({k: v[at : at + 100_000] for k, v in a.items()}, fields)
 
-        held, size = [], 0
-        for part in _contexts(batches):
-            held.append(part)
-            size += len(part["g"])
-            if size > 400_000:
-                yield from out(held)
-                held, size = [], 0
-        if size:
-            yield from out(held)
-
     rows = docs.mapInArrow(run, fields).repartition("key")
     rank = F.row_number().over(W.partitionBy("key", "c").orderBy("id", "split", "row", "pos"))
     rows = rows.withColumn("rank", rank)
     lead = (F.col("kind") == 0) & (F.col("rank") == 1)
     rows = rows.withColumn("classes", F.sum(lead.cast("long")).over(W.partitionBy("key")))
-    kind = F.when(F.col("kind") != 0, F.col("kind")).when(F.col("rank") > 1, FULL).when(F.col("classes") > group, SPREAD).when(F.col("classes") > 1, SORT)
+    kind = F.when(F.col("kind") != 0, F.col("kind")).when(F.col("rank") > 1, FULL).when(F.col("classes") > 1, SORT)
     _by_split(rows.select("split", "row", "pos", kind.alias("kind")).where("kind IS NOT NULL"), path)
 
 
@@ -232,8 +262,8 @@ def _places(path: str, kind: int) -> dict[int, list[int]]:
     if table is not None:
         mask = np.asarray(table.column("kind")) == kind
         rows, at = np.asarray(table.column("row"))[mask], np.asarray(table.column("pos"))[mask]
-        change = np.flatnonzero(np.diff(rows, prepend=-1))
-        for lo, hi in zip(change.tolist(), [*change[1:].tolist(), len(rows)], strict=True):
+        change = [*np.flatnonzero(np.diff(rows, prepend=-1)).tolist(), len(rows)]
+        for lo, hi in zip(change, change[1:], strict=False):
             out[int(rows[lo])] = at[lo:hi].tolist()
     return out
 
@@ -348,16 +378,20 @@ def repeats(members: list[tuple], common: list[int]) -> Iterator[tuple]:
             m = members[0] if order[0] > order[1] else members[1]
             yield m[3], m[4], m[5] - left, m[5] + right
         return
+    before = np.full((n, BEFORE), -1, np.int16)
+    for i, m in enumerate(members):
+        before[i, : len(m[1])] = np.frombuffer(m[1], np.uint8)
+    by_place = np.array(sorted(range(n), key=order.__getitem__))
+    if n > PAIRWISE:
+        yield from _repeats_of_many(members, np.array(common, np.int16), before, by_place)
+        return
     right = np.zeros((n, n), np.int16)
     lcp = np.array(common, np.int16)
     for i in range(n - 1):
         right[i, i + 1 :] = np.minimum.accumulate(lcp[i + 1 :])
     right = right + right.T
-    before = np.full((n, BEFORE), -1, np.int16)
-    for i, m in enumerate(members):
-        before[i, : len(m[1])] = np.frombuffer(m[1], np.uint8)
     place = np.empty(n, np.int64)
-    place[sorted(range(n), key=order.__getitem__)] = np.arange(n)
+    place[by_place] = np.arange(n)
     for i in range(n):
         same = (before == before[i]) & (before[i] >= 0)
         left = np.where(same.all(axis=1), BEFORE, np.argmin(same, axis=1))
@@ -367,120 +401,140 @@ def repeats(members: list[tuple], common: list[int]) -> Iterator[tuple]:
             yield m[3], m[4], m[5] - int(left[good].max()), m[5] + int(right[i][good].max())
 
 
-def _sorted_repeats(docs: DataFrame, classes: str, path: str, buckets: int) -> None:
-    """Step 3; writes (split, row, pos, until) by split: what is repeated."""
+def _repeats_of_many(members: list[tuple], common: np.ndarray, before: np.ndarray, by_place: np.ndarray) -> Iterator[tuple]:
+    """What ``repeats`` gives, without meeting all pairs: for each length of the part before
+    the anchor, members that share it and the rest of the window are a class, in which
+    all but the first are repeats."""
+    n = len(members)
+    by_left = np.array(sorted(range(n), key=lambda i: members[i][1]))
+    same = (before[by_left][1:] == before[by_left][:-1]) & (before[by_left][1:] >= 0)
+    left = np.zeros(n, np.int64)
+    left[1:] = np.where(same.all(axis=1), BEFORE, np.argmin(same, axis=1))
+    low, high = np.full(n, WINDOW), np.full(n, -1)
+    left_class = np.empty(n, np.int64)
+    for k in range(BEFORE + 1):
+        left_class[by_left] = np.cumsum(left < k)
+        classes = (np.cumsum(common < WINDOW - k) * (n + 1) + left_class)[by_place]
+        again = np.ones(n, bool)
+        again[np.unique(classes, return_index=True)[1]] = False
+        found = by_place[again]
+        low[found] = np.minimum(low[found], k)
+        high[found] = k
+    for i in np.flatnonzero(high >= 0).tolist():
+        m = members[i]
+        yield m[3], m[4], m[5] - int(high[i]), m[5] - int(low[i]) + WINDOW
+
+
+def first_of_windows(entries: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The first entry of each window, and (row, pos) of the others; entries are sorted."""
+    kept, again, last = [], [], None
+    for e in entries:
+        if e[0] == last:
+            again.append(e[4:])
+        else:
+            kept.append(e)
+            last = e[0]
+    return kept, again
+
+
+def _bucket(key: bytes, buckets: int) -> int:
+    return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big") % buckets
+
+
+def _sorted_repeats(docs: DataFrame, classes: str, path: str, buckets: int, window_buckets: int) -> None:
+    """Step 3 and 4; writes (split, row, pos, until) by split: what is repeated.
+
+    Buckets from ``buckets`` on are those of windows. Windows that a task has seen before
+    are under a number of the task's own, below zero."""
+    fields = "split int, row long, pos long, until long"
 
     def runs(batches):
-        split, wanted, row, held = TaskContext.get().partitionId(), _places(classes, SORT), 0, []
+        split, row = TaskContext.get().partitionId(), 0
+        wanted, hot = _places(classes, SORT), _places(classes, DENSE)
+        held, windows = [], []
 
         def out():
-            by = {}
+            by, numbers, packed = {}, [], []
             for e in held:
-                by.setdefault(int.from_bytes(hashlib.blake2b(e[0][:ANCHOR], digest_size=4).digest(), "big") % buckets, []).append(e)
+                by.setdefault(_bucket(e[0][:ANCHOR], buckets), []).append(e)
+            first, again = first_of_windows(sorted(windows))
+            for e in first:
+                by.setdefault(buckets + _bucket(e[0], window_buckets), []).append(e)
             held.clear()
-            packed = {b: pack(sorted(es)) for b, es in by.items()}
-            return _batch({"bucket": list(packed), "run": list(packed.values())}, "bucket int, run binary")
-
-        if not wanted:
+            windows.clear()
+            for b, es in by.items():
+                numbers.append(b)
+                packed.append(pack(sorted(es)))
+            if again:
+                numbers.append(-1 - split)
+                packed.append(np.array(again, np.int64).tobytes())
+            return _batch({"bucket": numbers, "run": packed}, "bucket int, run binary")
+
+        if not wanted and not hot:
             return
         for batch in slices(batches, 1, PIECE):
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                if row + i in wanted:
-                    text = (batch.column(1)[i].as_py() or "").encode()
-                    key = NO_ID if doc_id is None else doc_id
-                    held += [(text[x : x + WINDOW], text[max(0, x - BEFORE) : x][::-1], key, split, row + i, x) for x in wanted[row + i]]
-                    if len(held) > 50_000:
-                        yield out()
+                at = row + i
+                if at not in wanted and at not in hot:
+                    continue
+                text = (batch.column(1)[i].as_py() or "").encode()
+                key = NO_ID if doc_id is None else doc_id
+                held += [(text[x : x + WINDOW], text[max(0, x - BEFORE) : x][::-1], key, split, at, x) for x in wanted.get(at, ())]
+                if at in hot:
+                    starts = np.unique(np.array(hot[at])[:, None] - np.arange(BEFORE + 1))
+                    starts = starts[(starts >= 0) & (starts + WINDOW <= len(text))]
+                    for lo in range(0, len(starts), 100_000):
+                        windows += [(text[x : x + WINDOW], b"", key, split, at, x) for x in starts[lo : lo + 100_000].tolist()]
+                        if len(windows) > 100_000:
+                            yield out()
+                if len(held) > 50_000:
+                    yield out()
             row += batch.num_rows
-        if held:
+        if held or windows:
             yield out()
 
-    def merged(batches):
-        fields = "split int, row long, pos long, until long"
-
-        def resolve(runs):
-            rows, members, common = [], [], []
-            for n, entry in merge(runs):
-                if n < ANCHOR and members:
-                    rows += repeats(members, common)
-                    members, common = [], []
-                members.append(entry)
-                common.append(n)
-            if members:
-                rows += repeats(members, common)
-            return rows
+    def resolve(bucket, held):
+        if bucket < 0:
+            return [(-1 - bucket, r, x, x + WINDOW) for run in held for r, x in np.frombuffer(run, np.int64).reshape(-1, 2).tolist()]
+        rows, members, common = [], [], []
+        least, found = (ANCHOR, repeats) if bucket < buckets else (WINDOW, _repeated_windows)
+        for n, entry in merge(held):
+            if n < least and members:
+                rows += found(members, common)
+                members, common = [], []
+            members.append(entry)
+            common.append(n)
+        return rows + list(found(members, common))
 
+    def merged(batches):
         bucket, held = None, []
         for batch in batches:
             rows = []
             for b, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != bucket and held:
-                    rows += resolve(held)
+                    rows += resolve(bucket, held)
                     held = []
                 bucket = b
                 held.append(run)
             if rows:
                 yield _batch(dict(zip(("split", "row", "pos", "until"), zip(*rows, strict=True), strict=True)), fields)
-        rows = resolve(held) if held else []
+        rows = resolve(bucket, held) if held else []
         if rows:
             yield _batch(dict(zip(("split", "row", "pos", "until"), zip(*rows, strict=True), strict=True)), fields)
 
     sent = docs.mapInArrow(runs, "bucket int, run binary").repartition("bucket").sortWithinPartitions("bucket")
-    _by_split(sent.mapInArrow(merged, "split int, row long, pos long, until long"), path)
-
-
-def _window_repeats(docs: DataFrame, classes: str, path: str) -> None:
-    """Step 4; writes (split, row, pos, until) by split: what is repeated."""
-    fields = "key long, h long, id long, split int, row long, pos long, known int"
+    _by_split(sent.mapInArrow(merged, fields), path)
 
-    def run(batches):
-        split, wanted, row = TaskContext.get().partitionId(), _places(classes, SPREAD), 0
-        held, size = [], 0
-
-        def out(parts):
-            a = _joined(parts)
-            by = np.lexsort((a["pos"], a["row"], a["id"], a["h"]))
-            a = {k: v[by] for k, v in a.items()}
-            a["known"] = (np.diff(a["h"], prepend=a["h"][0] ^ 1) == 0).astype(np.int32)
-            with np.errstate(over="ignore"):
-                own = ((a["row"].astype(np.uint64) << np.uint64(20)) + a["pos"].astype(np.uint64) + np.uint64(split)) * BASE
-            a["key"] = np.where(a["known"] == 0, a["h"], own.view(np.int64))
-            a["split"] = np.full(len(by), split, np.int32)
-            for at in range(0, len(by), 100_000):
-                yield _batch({k: v[at : at + 100_000] for k, v in a.items()}, fields)
 
-        if not wanted:
-            return
-        for batch in slices(batches, 1, PIECE):
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                if row + i not in wanted:
-                    continue
-                data = np.frombuffer((batch.column(1)[i].as_py() or "").encode(), np.uint8)
-                at = np.unique(np.array(wanted[row + i])[:, None] - np.arange(BEFORE + 1))
-                at = at[(at >= 0) & (at + WINDOW <= len(data))]
-                with np.errstate(over="ignore"):
-                    parts = []
-                    for lo in range(0, len(data), PIECE):  # long documents piece by piece
-                        here = at[(at >= lo) & (at < lo + PIECE)] - lo
-                        if len(here):
-                            parts.append(Hashes(data[lo : lo + PIECE + WINDOW]).of(here, here + WINDOW))
-                if parts:
-                    held.append({"h": np.concatenate(parts).view(np.int64), "id": np.full(len(at), NO_ID if doc_id is None else doc_id), "row": np.full(len(at), row + i), "pos": at})
-                    size += len(at)
-                if size > 400_000:
-                    yield from out(held)
-                    held, size = [], 0
-            row += batch.num_rows
-        if size:
-            yield from out(held)
-
-    rows = docs.mapInArrow(run, fields).repartition("key")
-    rank = F.row_number().over(W.partitionBy("key").orderBy("id", "split", "row", "pos"))
-    again = rows.withColumn("rank", rank).where("known = 1 OR rank > 1")
-    _by_split(again.select("split", "row", "pos", (F.col("pos") + WINDOW).alias("until")), path)
+def _repeated_windows(members: list[tuple], common: list[int]) -> Iterator[tuple]:
+    """(split, row, start, end) of all but the first of equal windows."""
+    first = min(m[2:] for m in members)
+    for m in members:
+        if m[2:] != first:
+            yield m[3], m[4], m[5], m[5] + WINDOW
 
 
-def _remove(docs: DataFrame, classes: str, found: list[str], with_text: bool) -> DataFrame:
+def _remove(docs: DataFrame, classes: str, found: str | None, with_text: bool) -> DataFrame:
     """Step 5."""
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
@@ -488,11 +542,10 @@ def _remove(docs: DataFrame, classes: str, found: list[str], with_text: bool) ->
         split = TaskContext.get().partitionId()
         full = _places(classes, FULL)
         spans: dict[int, list] = {}
-        for path in found:
-            table = _found(path, split)
-            if table is not None:
-                for r, lo, hi in zip(*(np.asarray(table.column(c)).tolist() for c in ("row", "pos", "until")), strict=True):
-                    spans.setdefault(r, []).append((lo, hi))
+        table = _found(found, split) if found else None
+        if table is not None:
+            for r, lo, hi in zip(*(np.asarray(table.column(c)).tolist() for c in ("row", "pos", "until")), strict=True):
+                spans.setdefault(r, []).append((lo, hi))
         row = 0
         for batch in slices(batches, 1, PIECE):
             out = []
@@ -523,16 +576,14 @@ def dedup(docs: DataFrame, with_text: bool = False, group: int = GROUP) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     folder = scratch(spark, "suffixes")
-    classes, by_sort, by_window = (f"{folder}/{name}" for name in ("classes", "sorted", "windows"))
+    classes, found = f"{folder}/classes", f"{folder}/repeats"
     _classes(docs, classes, group)
     rows = spark.read.schema("row long, pos long, kind int, split int").parquet(classes)
     counts = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
-    found = []
-    if counts.get(SORT):
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts[SORT] // 10_000))
-        _sorted_repeats(docs, classes, by_sort, buckets)
-        found.append(by_sort)
-    if counts.get(SPREAD):
-        _window_repeats(docs, classes, by_window)
-        found.append(by_window)
+    if not counts.get(SORT) and not counts.get(DENSE):
+        return _remove(docs, classes, None, with_text)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-counts.get(SORT, 0) // 10_000))
+    # an anchor stands for BEFORE + 1 windows
+    _sorted_repeats(docs, classes, found, buckets, max(least, -(-counts.get(DENSE, 0) * (BEFORE + 1) // 20_000)))
     return _remove(docs, classes, found, with_text)

@@ -34,6 +34,31 @@ def test_against_every_window(make, real, group):
     assert got == brute(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("group", [256, suffixes.GROUP])
+def test_many_surroundings_of_one_line(make, group):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(97))
+    around = [rng.choice("uvwxyz") + rng.choice("uvwxyz") for _ in range(40)]
+    texts = [f"{rng.random()}{rng.choice(around)}{line}{rng.choice(around)}{rng.random()}" for _ in range(10_000)]
+    assert sorted(tuple(r) for r in suffixes.dedup(make(texts), group=group).collect()) == brute(list(enumerate(texts)))
+
+
+def test_classes_give_what_pairs_give(monkeypatch):
+    rng = random.Random(3)
+    for n in (3, 20, 90):
+        entries = sorted(
+            (b"x" * 32 + bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 3]))) + b"c" * rng.choice([5, 40, 65]),
+             (b"d" * rng.choice([0, 10, 50]) + bytes(rng.choice(b"ab") for _ in range(18)))[: suffixes.BEFORE], rng.randrange(9), 0, i, 100)
+            for i in range(n)
+        )
+        common = [0] + [suffixes.shared(a[0], b[0]) for a, b in zip(entries, entries[1:])]
+        got = {}
+        for pairwise in (0, 1000):
+            monkeypatch.setattr(suffixes, "PAIRWISE", pairwise)
+            got[pairwise] = sorted(suffixes.repeats(entries, common))
+        assert got[0] == got[1000] and (n < 90 or got[0])
+
+
 def test_long_document_in_pieces(make):
     rng = random.Random(5)
     once = "".join(rng.choice("abcdefgh") for _ in range(1_300_000))
