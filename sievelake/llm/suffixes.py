@@ -49,14 +49,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
+from sievelake.llm.splits import of_split, write_by_split
 from sievelake.workspace import scratch, written
 
 WINDOW, ANCHOR = 100, 32
@@ -239,26 +238,12 @@ def _classes(docs: DataFrame, path: str, group: int) -> None:
     lead = (F.col("kind") == 0) & (F.col("rank") == 1)
     rows = rows.withColumn("classes", F.sum(lead.cast("long")).over(W.partitionBy("key")))
     kind = F.when(F.col("kind") != 0, F.col("kind")).when(F.col("rank") > 1, FULL).when(F.col("classes") > 1, SORT)
-    _by_split(rows.select("split", "row", "pos", kind.alias("kind")).where("kind IS NOT NULL"), path)
-
-
-def _by_split(rows: DataFrame, path: str) -> None:
-    rows.repartition("split").sortWithinPartitions("split", "row", "pos").write.partitionBy("split").parquet(path)
-
-
-def _found(path: str, split: int) -> pa.Table | None:
-    """What was written for a split."""
-    store, root = fs.FileSystem.from_uri(path)
-    folder = f"{root}/split={split}"
-    if store.get_file_info(folder).type == fs.FileType.NotFound:
-        return None
-    files = [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.read_table(store.open_input_file(f)) for f in files]).sort_by([("row", "ascending"), ("pos", "ascending")]) if files else None
+    write_by_split(rows.select("split", "row", "pos", kind.alias("kind")).where("kind IS NOT NULL"), path, "row", "pos")
 
 
 def _places(path: str, kind: int) -> dict[int, list[int]]:
     """row -> positions of the given kind in this task's split."""
-    table, out = _found(path, TaskContext.get().partitionId()), {}
+    table, out = of_split(path, TaskContext.get().partitionId(), "row", "pos"), {}
     if table is not None:
         mask = np.asarray(table.column("kind")) == kind
         rows, at = np.asarray(table.column("row"))[mask], np.asarray(table.column("pos"))[mask]
@@ -523,7 +508,7 @@ def _sorted_repeats(docs: DataFrame, classes: str, path: str, buckets: int, wind
             yield _batch(dict(zip(("split", "row", "pos", "until"), zip(*rows, strict=True), strict=True)), fields)
 
     sent = docs.mapInArrow(runs, "bucket int, run binary").repartition("bucket").sortWithinPartitions("bucket")
-    _by_split(sent.mapInArrow(merged, fields), path)
+    write_by_split(sent.mapInArrow(merged, fields), path, "row", "pos")
 
 
 def _repeated_windows(members: list[tuple], common: list[int]) -> Iterator[tuple]:
@@ -542,7 +527,7 @@ def _remove(docs: DataFrame, classes: str, found: str | None, with_text: bool) -
         split = TaskContext.get().partitionId()
         full = _places(classes, FULL)
         spans: dict[int, list] = {}
-        table = _found(found, split) if found else None
+        table = of_split(found, split, "row", "pos") if found else None
         if table is not None:
             for r, lo, hi in zip(*(np.asarray(table.column(c)).tolist() for c in ("row", "pos", "until")), strict=True):
                 spans.setdefault(r, []).append((lo, hi))

@@ -13,8 +13,12 @@ with that page_id one is the response; rows whose page_id is null come last. A
 null html is an empty payload; null and empty URLs are written as an empty target
 and come back as null; records of repeated rows have the same record id, and are
 told apart by their places; very long payloads are one record each; an empty table has
-an empty index; other columns are not looked at. The writer's table must give the same rows in the same order each
-time it is computed (files do).
+an empty index; other columns are not looked at.
+
+Payloads are never shuffled: digests and numbers of rows are, and which rows are
+revisits goes back by input split to the tasks that write. The pages must give the
+same rows in the same order each time they are computed (files do); a digest that has
+changed since is an error.
 """
 
 from __future__ import annotations
@@ -23,14 +27,19 @@ import base64
 import hashlib
 import uuid
 import zlib
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
-from sievelake.workspace import written
+from sievelake.llm.hot import with_groups
+from sievelake.llm.splits import of_split, write_by_split
+from sievelake.workspace import scratch, written
 
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string, refers_to long"
 WARC_DATE = "2020-01-01T00:00:00Z"
@@ -83,49 +92,67 @@ def parse(member: bytes) -> tuple:
     return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"] or None, payload if kind == "response" else None, size, sha1_hex, kind, refers
 
 
-def plan(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
-    """page_id, url, html with sha1, record_type and refers_to of each row."""
-    pages = pages.select(
-        F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")
-    ).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    small, long_ones = (pages.where(F.octet_length("html") < revisit_bytes), pages.where(F.octet_length("html") >= revisit_bytes))
+class Plan(NamedTuple):
+    """Pages and, by input split, which of their rows are revisits."""
+
+    pages: DataFrame
+    revisits: str
+
+
+def plan(pages: DataFrame, revisit_bytes: int = 1000) -> Plan:
+    """Finds the rows that revisit others."""
+    spark = pages.sparkSession
+    pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    # of small payloads many are equal; they meet nothing
+    long_ones = pages.withColumn("row", F.monotonically_increasing_id()).where(F.octet_length("html") >= revisit_bytes)
+    keys = written(long_ones.select("page_id", "row", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("sha1")), "warc-digests")
     # nulls are the smallest in a struct's order; copies of a row differ in their number
-    kept = long_ones.groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("copies"))
-    kept = kept.where("copies > 1").select("sha1", F.col("kept.page_id").alias("to"), F.col("kept.row").alias("kept_row"))
-    joined = long_ones.join(kept, "sha1", "left")
-    revisits = F.col("kept_row").isNotNull() & (F.col("kept_row") != F.col("row"))
-    own = joined.select(
-        "page_id", "url", "html", "sha1",
-        F.when(revisits, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisits, F.col("to")).alias("refers_to"),
-    )
-    # small payloads, of which many are equal, meet nothing
-    return own.union(small.select("page_id", "url", "html", "sha1", F.lit("response"), F.lit(None).cast("long")))
-
-
-def write(planned: DataFrame, path: str, file_bytes: int = 256 << 20) -> DataFrame:
+    groups = keys.groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("copies"))
+    groups = written(groups.where("copies > 1").select("sha1", F.col("kept.page_id").alias("to"), F.col("kept.row").alias("kept_row"), "copies"), "warc-copies")
+    again = with_groups(keys, groups, "sha1", "copies", keys.count()).where("row != kept_row")
+    path = scratch(spark, "warc-revisits")
+    in_split = F.col("row") - F.shiftleft(F.shiftright("row", 33), 33)
+    write_by_split(again.select(F.shiftright("row", 33).cast("int").alias("split"), in_split.alias("row"), "to", "sha1"), path, "row")
+    return Plan(pages, path)
+
+
+def write(planned: Plan, path: str, file_bytes: int = 256 << 20) -> DataFrame:
     """Writes the archives; returns their index, itself written to the shared folder."""
+    decisions = planned.revisits
 
     def run(batches):
         store, root = _open(path)
         store.create_dir(root, recursive=True)
+        again = of_split(decisions, TaskContext.get().partitionId(), "row")
+        numbers = again.column("row").to_numpy() if again is not None else np.empty(0, np.int64)
         sink = name = None
+        row = next_one = 0
         for batch in slices(batches, 2, 16 << 20):
             rows = []
-            for page_id, url, html, sha1_hex, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None or sink.tell() >= file_bytes:
                     if sink is not None:
                         sink.close()
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     sink = store.open_output_stream(f"{root}/{name}", compression=None)
-                member = record(page_id, url, html.encode(), sha1_hex, kind, refers_to)
-                rows.append((page_id, url, name, sink.tell(), len(member), sha1_hex, kind, refers_to))
+                html = text.encode()
+                sha1, kind, refers_to = hashlib.sha1(html), "response", None
+                if next_one < len(numbers) and numbers[next_one] == row:
+                    kind, refers_to = "revisit", again.column("to")[next_one].as_py()
+                    if again.column("sha1")[next_one].as_py() != sha1.digest():
+                        raise ValueError(f"the pages have changed while they were written (page {page_id})")
+                    next_one += 1
+                member = record(page_id, url, html, sha1.hexdigest(), kind, refers_to)
+                rows.append((page_id, url, name, sink.tell(), len(member), sha1.hexdigest(), kind, refers_to))
                 sink.write(member)
+                row += 1
             yield _table(rows, INDEX)
+        if next_one < len(numbers):
+            raise ValueError("the pages have changed while they were written: fewer rows than planned")
         if sink is not None:
             sink.close()
 
-    return written(planned.select("page_id", "url", "html", "sha1", "record_type", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    return written(planned.pages.mapInArrow(run, INDEX), "warc-index")
 
 
 def _table(rows: list[tuple], fields: str) -> pa.RecordBatch:

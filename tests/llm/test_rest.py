@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -208,6 +209,36 @@ def test_warc(spark):
     assert warc.read(warc.write(warc.plan(frame.limit(0)), scratch(spark, "warc-none")), path).count() == 0
 
 
+def test_warc_hot_and_very_long_payloads(spark):
+    from sievelake.workspace import written
+
+    rng = random.Random(8)
+    once = "".join(rng.choice("abcdefgh <>é") for _ in range(3_000_000))
+    hot = "h" * 1500
+    kinds = [hot, once, once[:-1], *("p" * 999 + c for c in "xyz"), "p" * 999, "", None]
+    pages = [(i, f"http://{i}", hot if i % 3 == 0 else rng.choice(kinds[3:])) for i in range(2_000)] + [(5_000 + i, None, kinds[1 + i % 2]) for i in range(4)]
+    rng.shuffle(pages)
+    frame = written(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7, "page_id"), "pages")
+    path = scratch(spark, "warc-hot")
+    found = warc.read(warc.write(warc.plan(frame), path), path, payloads=False).collect()
+    last = {}
+    for page_id, _, html in pages:
+        last[html or ""] = max(page_id, last.get(html or "", -1))
+    want = []
+    for page_id, url, html in pages:
+        again = len((html or "").encode()) >= 1000 and last[html] != page_id
+        want.append((page_id, url, len((html or "").encode()), hashlib.sha1((html or "").encode()).hexdigest(), "revisit" if again else "response", last[html] if again else None))
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_warc_refuses_pages_that_changed(spark):
+    from sievelake.workspace import written
+
+    planned, other = (warc.plan(written(spark.createDataFrame([(i, c * 1200) for i in range(4)], "page_id long, html string").selectExpr("page_id", "'u' AS url", "html").coalesce(1), "pages")) for c in "ab")
+    with pytest.raises(Exception, match="have changed"):
+        warc.write(warc.Plan(other.pages, planned.revisits), scratch(spark, "warc-changed"))
+
+
 def test_sharding_exact_and_repeatable(make, spark):
     texts = [None, "", "é"] + ["copy"] * 300 + [str(i) for i in range(400)]
     docs = make(texts, extra=True)
