@@ -38,10 +38,14 @@ tells which fingerprints have candidates at all; those meet again, by the same
 partitions and thresholds, with sketches of their shingle sets (the sets themselves up
 to ``SKETCH`` shingles, else a sample by hash), and only links that the sketches bear
 out connect anything. Links that a sample leaves in doubt don't stand in for others.
-What is kept is verified on the whole sets.
+What is kept is verified on the whole sets. What fingerprints can miss is then looked for
+exactly (``unconnected``): sets that similar ones can't be without sharing one of their
+rarest shingles meet by these, as far as they aren't connected yet, and are verified on
+the whole sets too. So no link at 0.8 or more is left out.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any others; texts with fewer words than a shingle hash their whole word sequence;
+in ``first_of_each_group`` texts are equal if their sets of shingles are;
 a null doc_id gives a null component_id only to a group without any other id;
 repeated rows stay (``first_of_each_group`` keeps one). Very long texts are hashed
 in pieces. Other columns are not looked at.
@@ -60,6 +64,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.batches import slices
+from sievelake.llm.hot import HOT, with_groups
 from sievelake.operators.graphs import components
 from sievelake.workspace import written
 
@@ -385,10 +390,11 @@ def links(fps: DataFrame, plan: Plan, n: int, cell: int = 4096) -> DataFrame:
     return searched(fps, indexed(fps, plan, n, cell))
 
 
-def searched(fps: DataFrame, index: Index, similarity: float | None = None) -> DataFrame:
+def searched(fps: DataFrame, index: Index, similarity: float | None = None, ends: bool = False) -> DataFrame:
     """a, b, apart: the links found by an index that connect what all of them connect.
     With ``similarity``, only links that the column ``sketch`` bears out count, and apart
-    is in millionths of dissimilarity."""
+    is in millionths of dissimilarity. With ``ends``, the column node alone: what has a
+    link, at most once for a batch of cells."""
     plan = index.plan
     columns, words = _columns(plan.words), plan.words
     known = fps.sparkSession.sparkContext.broadcast(index)
@@ -410,6 +416,9 @@ def searched(fps: DataFrame, index: Index, similarity: float | None = None) -> D
     def verify(batches):
         held, found = None, []
 
+        def told(a, b, apart):
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], ["node"]) if ends else _pairs(a, b, apart)
+
         def reduced(parts):
             pairs = np.sort(np.concatenate([np.stack(p[:2], axis=1) for p in parts]), axis=1)
             apart = np.concatenate([p[2] for p in parts])
@@ -439,15 +448,15 @@ def searched(fps: DataFrame, index: Index, similarity: float | None = None) -> D
             if sum(len(f[0]) for f in found) > 1 << 20:
                 found = [reduced(found)]
                 if len(found[0][0]) > 1 << 18:
-                    yield _pairs(*found[0])
+                    yield told(*found[0])
                     found = []
         if held is not None:
             look(held)
         if found:
-            yield _pairs(*reduced(found))
+            yield told(*reduced(found))
 
     keyed = fps.select(*columns, "node", *(["sketch"] if similarity is not None else [])).mapInArrow(entries, fields)
-    return keyed.repartition("key", "cell").sortWithinPartitions("key", "cell", "side").mapInArrow(verify, "a long, b long, apart int")
+    return keyed.repartition("key", "cell").sortWithinPartitions("key", "cell", "side").mapInArrow(verify, "node long" if ends else "a long, b long, apart int")
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
@@ -591,21 +600,53 @@ def borne_out(near, nodes: np.ndarray, sketches: np.ndarray, similarity: float,
             yield left[kept], right[kept], np.array(weights, np.int64)
 
 
+def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_hashes`` without repeats: each text's in order."""
+    h, bounds = shingle_hashes(texts)
+    each = [np.unique(h[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate([h[:0], *each]), np.cumsum([0, *map(len, each)])
+
+
+def set_digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits of each set of shingles, as two numbers: sums of hashes."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ key))]) for key in CODES[:2]]
+        return np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums], axis=1)
+
+
+PARITY = 512
+
+
+def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set, how many of its shingles fall on each of PARITY bits, modulo two, in 64
+    bytes: two sets have at least as many different shingles as these have different bits."""
+    n = np.diff(bounds)
+    with np.errstate(over="ignore"):
+        bit = (mixed(h ^ CODES[2]) % np.uint64(PARITY)).astype(np.int64)
+    seen = np.bincount(np.repeat(np.arange(len(n)), n) * PARITY + bit, minlength=len(n) * PARITY)
+    return np.packbits((seen & 1).astype(bool).reshape(-1, PARITY), axis=1)
+
+
 def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float = 0.9) -> DataFrame:
     """One row of each group of rows with similar texts: that with the smallest doc_id
     (rows without an id come last; of equal ids the first as read)."""
     columns = _columns(WIDE // 64)
+    keys = ["set0", "set1", *columns, "size", "parity"]
     packed = docs.select(F.col("text"), F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches, 0, 2 << 20):
-            fps = wide_fingerprints(*shingle_hashes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array(fps[:, i].view(np.int64)) for i in range(len(columns))]], ["uid", "row", *columns])
+            h, bounds = distinct_shingles(batch.column(0))
+            numbers = np.concatenate([set_digests(h, bounds), wide_fingerprints(h, bounds)], axis=1).view(np.int64)
+            parity = pa.array([p.tobytes() for p in parities(h, bounds)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, numbers.T.copy()), pa.array(np.diff(bounds).astype(np.int32)), parity], ["uid", "row", *keys])
 
-    rows = written(packed.mapInArrow(run, f"uid long, row {kind}, " + ", ".join(f"{c} long" for c in columns)), "simhash-wide")
+    numbers = ", ".join(f"{c} long" for c in keys[:-2])
+    rows = written(packed.mapInArrow(run, f"uid long, row {kind}, {numbers}, size int, parity binary"), "simhash-wide")
     rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("uid"))
-    distinct = written(rows.groupBy(*columns).agg(F.min("uid").alias("node"), F.min(rank).alias("first")), "simhash-wide-distinct")
+    # a node is a set of shingles
+    distinct = written(rows.groupBy(*keys).agg(F.min("uid").alias("node"), F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-wide-distinct")
     n = distinct.count()
     # sets of this similarity have vectors at this cosine, and bits that differ in proportion to its angle
     apart = lambda j: math.acos(2 * j / (1 + j)) / math.pi
@@ -613,24 +654,213 @@ def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float
     radius = round(WIDE * differing + 2.6 * math.sqrt(WIDE * differing * (1 - differing)))
     nodes = distinct.select(*columns, "node")
     index = indexed(nodes, likely_plan(n, WIDE, differing, radius, chance), n)
-    ends = searched(nodes, index).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.select(F.col("uid").alias("node"), F.col("row.text").alias("text")).join(ends, "node", "left_semi")
-    close = written(texts.mapInArrow(_shingle_sets, "node long, sketch binary, shingles binary"), "simhash-wide-sets")
+    texts = rows.select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
+    ends = searched(nodes, index, ends=True).distinct()
+    close = written(shingle_sets(texts, ends), "simhash-wide-sets")
     again = nodes.join(close.select("node", "sketch"), "node")
     near = written(searched(again, index, similarity).distinct(), "simhash-wide-links")
     roots = components(similar(near, close, similarity))
+    # what the fingerprints have missed
+    known = written(distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "parity"), "simhash-wide-known")
+    large = distinct.where(F.col("n") > max(1, rows.count() // HOT)).select("set0", "set1", "node")
+    single = rows.join(F.broadcast(large), ["set0", "set1"], "left").where("node IS NULL OR node = uid").select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
+    left = unconnected(single, known, similarity)
+    sets = shingle_sets(texts, left.select(F.col("a").alias("node")).union(left.select("b")))
+    more = similar(left, written(sets.drop("sketch"), "simhash-wide-sets"), similarity)
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     group = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = group.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    kept = written(kept, "simhash-wide-kept")
+    gone = flags(rows.select(F.col("uid").alias("node")).join(kept.withColumnRenamed("uid", "node"), "node", "left_anti"))
+    # only rows with the flag of one that goes are shuffled
+    there, doubted = (rows.select("uid", "row").mapInArrow(_with_flag(gone, v), f"uid long, row {kind}") for v in (False, True))
+    return there.select("row.*").union(doubted.join(kept, "uid", "left_semi").select("row.*"))
+
+
+def common_shingles(texts: DataFrame, chunk: int = 1 << 21, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts (node, text) share, and in about how many they are:
+    what stands in four texts of a chunk or more, ``most`` of them at most. They only say
+    in which order shingles are looked at."""
+
+    def run(batches):
+        def counted(held):
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own[n >= 4].view(np.int64)), pa.array(n[n >= 4])], ["shingle", "n"])
+
+        held = []
+        for batch in slices(batches, 1, 2 << 20):
+            held.append(distinct_shingles(batch.column(1))[0])
+            if sum(map(len, held)) > chunk:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
+
+    rows = texts.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = rows.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    hashes, n = found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def first_shingles(h: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the shingles, rare ones first, without so many that a similar set has one
+    less of: if two sets are similar, the first one that they share is among them in both.
+    With the number of the set."""
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n)), n)
+    weight = np.zeros(len(h), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        weight = np.where(common[0][at] == h, common[1][at], 0)
+    order = np.lexsort((mixed(h), weight, owner))
+    shared = np.ceil(similarity * n - 1e-6).astype(np.int64)
+    taken = order[np.arange(len(h)) - bounds[owner] <= (n - shared)[owner]]
+    return h[taken], owner[taken]
+
+
+def repeated(batches):
+    """Of rows ordered by their first column those whose first value isn't alone."""
+    held, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.append(h, c) for h, c in zip(held, columns, strict=True)]
+        same = columns[0][1:] == columns[0][:-1]
+        keep = np.append(before, same)
+        before, held = bool(keep[-1]), [c[-1:] for c in columns]
+        keep = keep[:-1] | same
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in columns], batch.schema.names)
+        names = batch.schema.names
+    if held is not None and before:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
+
+def unconnected(texts: DataFrame, known: DataFrame, similarity: float, cell: int = 4096) -> DataFrame:
+    """a, b, apart: pairs of nodes with different roots among which are all whose sets of
+    shingles are similar. ``texts`` has a text (node, text) of each node, and maybe further
+    rows; ``known`` has node, root, size and parity.
+
+    Two sets can only be similar if they share one of their first shingles
+    (``first_shingles``), are alike in size and differ in few bits of their parities.
+    Members of a shingle are dealt over a triangle of cells of some ``cell`` x ``cell``."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def firsts(batches):
+        for batch in slices(batches, 1, 2 << 20):
+            h, owner = first_shingles(*distinct_shingles(batch.column(1)), common.value, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(owner))], ["shingle", "node"])
+
+    def compare(batches):
+        held, found = None, []
+
+        def look(c):
+            key = np.flatnonzero(np.append(True, (c["shingle"][1:] != c["shingle"][:-1]) | (c["cell"][1:] != c["cell"][:-1])))
+            first = np.repeat(key, np.diff(np.append(key, len(c["node"]))))
+            for x, y in _earlier(first):
+                good = c["root"][x] != c["root"][y]
+                good &= (c["part"][x] != c["part"][y]) | ~c["apart"][x]
+                x, y = x[good], y[good]
+                sizes = c["size"][x], c["size"][y]
+                good = np.minimum(*sizes) >= similarity * np.maximum(*sizes) - 1e-6
+                x, y = x[good], y[good]
+                bits = np.bitwise_count(c["parity"][x] ^ c["parity"][y]).sum(axis=1, dtype=np.int64)
+                good = bits <= (1 - similarity) / (1 + similarity) * (c["size"][x] + c["size"][y]) + 1e-6
+                if good.any():
+                    ends = np.sort(np.stack([c["node"][x[good]], c["node"][y[good]]], axis=1), axis=1)
+                    found.append(np.column_stack([ends, bits[good]]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in batch.schema.names if f != "parity"}
+            own["size"] = own["size"].astype(np.int64)
+            own["parity"] = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+            held = own if held is None else {f: np.concatenate([held[f], x]) for f, x in own.items()}
+            new = np.flatnonzero((held["shingle"] != held["shingle"][-1]) | (held["cell"] != held["cell"][-1]))
+            last = int(new[-1]) + 1 if len(new) else 0  # the last cell may go on in the next batch
+            if last:
+                look({f: x[:last] for f, x in held.items()})
+                held = {f: x[last:] for f, x in held.items()}
+            if sum(map(len, found)) > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > 1 << 18:
+                    yield _pairs(*found[0].T.copy())
+                    found = []
+        if held is not None:
+            look(held)
+        if found:
+            yield _pairs(*np.unique(np.concatenate(found), axis=0).T.copy())
+
+    met = texts.mapInArrow(firsts, "shingle long, node long").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(repeated, "shingle long, node long")
+    met = written(met.join(known.select("node", "root"), "node"), "simhash-wide-met")
+    groups = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = written(groups.where("low < high").select("shingle", "n"), "simhash-wide-shingles")
+    parts = F.ceil(F.col("n") / cell)
+    dealt = with_groups(met, groups, "shingle", "n", met.count()).withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    both = F.least("part", "other") * parts + F.greatest("part", "other")
+    dealt = dealt.select("shingle", both.alias("cell"), "part", (F.col("part") != F.col("other")).alias("apart"), "node", "root")
+    dealt = dealt.join(known.select("node", "size", "parity"), "node")
+    pairs = dealt.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell").mapInArrow(compare, "a long, b long, apart int")
+    return written(pairs.distinct(), "simhash-wide-left")
+
+
+def _earlier(first: np.ndarray, step: int = 1 << 20):
+    """Numbers of rows, each with each earlier one from ``first`` (its group's) on, in pieces."""
+    counts = np.arange(len(first)) - first
+    sums, at = np.cumsum(counts), 0
+    while at < len(first):
+        upto = max(at + 1, int(np.searchsorted(sums, (int(sums[at - 1]) if at else 0) + step, side="right")))
+        n = counts[at:upto]
+        yield np.repeat(np.arange(at, upto), n), np.repeat(first[at:upto] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = upto
+
+
+FLAGS = 1 << 24
+
+
+def flags(nodes: DataFrame):
+    """FLAGS bits, broadcast: whether any of ``nodes`` (node) has a hash."""
+
+    def flagged(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(batch.column(0).to_numpy(), FLAGS) + 1)], ["flag"])
+
+    found = nodes.mapInArrow(flagged, "flag long").groupBy(F.bitmap_bucket_number("flag").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("flag")).alias("bits"))
+    bits = np.zeros((FLAGS >> 15, 1 << 12), np.uint8)
+    for row in found.toArrow().to_pylist():
+        bits[row["bucket"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(bits.ravel())
+
 
+def _with_flag(known, value: bool):
+    """A function that keeps the rows whose first column has a flag, or hasn't."""
+
+    def run(batches):
+        for batch in batches:
+            at = hashed(batch.column(0).to_numpy(), FLAGS)
+            yield batch.filter(pa.array((known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) == value))
+
+    return run
+
+
+def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sketch and set of 5-word shingles (distinct 64-bit hashes in order) of those of
+    (node, text) that are in ``nodes`` (node), and of some others: flags of the nodes go to
+    where the texts are."""
+    wanted = _with_flag(flags(nodes), True)
+
+    def run(batches):
+        for batch in slices(wanted(batches), 1, 2 << 20):
+            h, bounds = distinct_shingles(batch.column(1))
+            each = [h[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            with np.errstate(over="ignore"):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(e) for e in each], pa.binary()), pa.array([e.tobytes() for e in each], pa.binary())], ["node", "sketch", "shingles"])
 
-def _shingle_sets(batches):
-    """node, sketch and set of 5-word shingles (distinct 64-bit hashes in order) of (node, text)."""
-    for batch in slices(batches, 1, 2 << 20):
-        h, bounds = shingle_hashes(batch.column(1))
-        each = [np.unique(h[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        with np.errstate(over="ignore"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(e) for e in each], pa.binary()), pa.array([e.tobytes() for e in each], pa.binary())], ["node", "sketch", "shingles"])
+    return texts.mapInArrow(run, "node long, sketch binary, shingles binary")
 
 
 def similar(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

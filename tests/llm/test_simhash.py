@@ -202,3 +202,64 @@ def test_nulls_and_empty(make, spark):
     assert simhash.near_duplicates(make([])).count() == 0
     rows = simhash.near_duplicates(make(["a b c d", "a b c d", "x y z w"], ids=[5, None, None])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("5", "5"), ("None", "5"), ("None", "None")]
+
+
+def test_no_similar_text_is_left(make):
+    """Copies of every similarity around the threshold, repeats that hide in a fingerprint
+    and texts that share frequent lines: exactly what brute force over all pairs keeps."""
+    rng = random.Random(3)
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = []
+    for g in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([9, 40, 120, 300]))] + line.split() * (g % 3 == 0)
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 1, 4])):
+            changed = list(base)
+            for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.choice([0.015, 0.02, 0.024])))):
+                changed[at] = f"n{rng.random()}"
+            texts.append(" ".join(changed))
+    # one shingle repeated sets all bits of a fingerprint that counts repeats
+    texts += ["x " * 500 + f"{a} b c d e f g h i j" for a in "pqr"] + ["x " * 500 + "one two three four five", "x " * 9]
+    rng.shuffle(texts)
+    own, parent = list(map(sets_of, texts)), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if parent[i] != parent[j] and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    kept = sorted(r["doc_id"] for r in simhash.first_of_each_group(make(texts)).collect())
+    assert kept == sorted(set(parent))
+
+
+def test_unconnected_sets_over_many_cells(make, spark):
+    """Shingles of many texts are dealt over cells; pairs of one root don't come back."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([f"n{i}", *words[1:]]) for i in range(30)] + [" ".join([f"n{i}", f"m{i}", *words[:30]]) for i in range(30)]
+    docs = make(texts).selectExpr("doc_id AS node", "text")
+    import pyarrow as pa
+
+    h, bounds = simhash.distinct_shingles(pa.array(texts))
+    parity = [bytearray(p.tobytes()) for p in simhash.parities(h, bounds)]
+    known = spark.createDataFrame([(i, i if i % 5 else 0, int(n), p) for i, (n, p) in enumerate(zip(np.diff(bounds), parity))], "node long, root long, size int, parity binary")
+    root = [i if i % 5 else 0 for i in range(60)]
+    want = {(i, j) for j in range(30) for i in range(j) if root[i] != root[j]}
+    for cell in (4, 4096):
+        got = [(r["a"], r["b"]) for r in simhash.unconnected(docs, known, 0.8, cell).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and all(root[a] != root[b] for a, b in got)
+    own = [set(h[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    for i in range(60):  # parities differ in no more bits than sets in shingles
+        apart = sum(bin(x ^ y).count("1") for x, y in zip(parity[0], parity[i]))
+        assert apart <= len(own[0] ^ own[i])
+
+
+def test_rows_of_repeated_values():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for _ in range(50):
+        values = sorted(rng.randrange(12) for _ in range(rng.randrange(15)))
+        cuts = sorted(rng.randrange(len(values) + 1) for _ in range(4))
+        parts = [list(enumerate(values))[a:b] for a, b in zip([0, *cuts], [*cuts, len(values)])]
+        batches = [pa.RecordBatch.from_pydict({"v": pa.array([v for _, v in p], pa.int64()), "at": pa.array([i for i, _ in p], pa.int64())}) for p in parts]
+        got = [r["at"] for b in simhash.repeated(iter(batches)) for r in b.to_pylist()]
+        assert got == [i for i, v in enumerate(values) if values.count(v) > 1]
