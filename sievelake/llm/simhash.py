@@ -40,8 +40,10 @@ to ``SKETCH`` shingles, else a sample by hash), and only links that the sketches
 out connect anything. Links that a sample leaves in doubt don't stand in for others.
 What is kept is verified on the whole sets. What fingerprints can miss is then looked for
 exactly (``unconnected``): sets that similar ones can't be without sharing one of their
-rarest shingles meet by these, as far as they aren't connected yet, and are verified on
-the whole sets too. So no link at 0.8 or more is left out.
+rarest shingles meet by these, as far as they aren't connected yet. Where these stand among
+a set's shingles, and parity bits, a few at first and then as many as a set's size asks for
+(``narrowed``), leave out pairs that can't be similar; the rest is verified on the whole
+sets too. So no link at 0.8 or more is left out.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any others; texts with fewer words than a shingle hash their whole word sequence;
@@ -627,6 +629,25 @@ def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits((seen & 1).astype(bool).reshape(-1, PARITY), axis=1)
 
 
+def long_parity(own: np.ndarray) -> bytes:
+    """As in ``parities`` for one set of shingles, on four to eight times as many bits as it has
+    shingles (PARITY at least): those of large sets tell something too."""
+    bits = PARITY
+    while bits < 4 * len(own):
+        bits *= 2
+    bit, n = np.unique(mixed(own ^ CODES[2]) % np.uint64(bits), return_counts=True)
+    seen = np.zeros(bits, bool)
+    seen[bit[n % 2 == 1].astype(np.int64)] = True
+    return np.packbits(seen).tobytes()
+
+
+def parities_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two ``long_parity`` differ; the longer one is folded to the other's length."""
+    words = min(len(a), len(b)) // 8
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, words), axis=0) for p in (a, b))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float = 0.9) -> DataFrame:
     """One row of each group of rows with similar texts: that with the smallest doc_id
     (rows without an id come last; of equal ids the first as read)."""
@@ -664,7 +685,7 @@ def first_of_each_group(docs: DataFrame, similarity: float = 0.8, chance: float
     known = written(distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "parity"), "simhash-wide-known")
     large = distinct.where(F.col("n") > max(1, rows.count() // HOT)).select("set0", "set1", "node")
     single = rows.join(F.broadcast(large), ["set0", "set1"], "left").where("node IS NULL OR node = uid").select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
-    left = unconnected(single, known, similarity)
+    left = narrowed(unconnected(single, known, similarity), texts, similarity)
     sets = shingle_sets(texts, left.select(F.col("a").alias("node")).union(left.select("b")))
     more = similar(left, written(sets.drop("sketch"), "simhash-wide-sets"), similarity)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
@@ -703,10 +724,10 @@ def common_shingles(texts: DataFrame, chunk: int = 1 << 21, most: int = 1 << 16)
     return hashes[order], n[order]
 
 
-def first_shingles(h: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def first_shingles(h: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each set the shingles, rare ones first, without so many that a similar set has one
     less of: if two sets are similar, the first one that they share is among them in both.
-    With the number of the set."""
+    With the number of the set and of the place in this order, which is one for all sets."""
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), n)
     weight = np.zeros(len(h), np.int64)
@@ -715,8 +736,9 @@ def first_shingles(h: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray,
         weight = np.where(common[0][at] == h, common[1][at], 0)
     order = np.lexsort((mixed(h), weight, owner))
     shared = np.ceil(similarity * n - 1e-6).astype(np.int64)
-    taken = order[np.arange(len(h)) - bounds[owner] <= (n - shared)[owner]]
-    return h[taken], owner[taken]
+    at = np.arange(len(h)) - bounds[owner]
+    kept = at <= (n - shared)[owner]
+    return h[order[kept]], owner[order[kept]], at[kept]
 
 
 def repeated(batches):
@@ -744,14 +766,15 @@ def unconnected(texts: DataFrame, known: DataFrame, similarity: float, cell: int
     rows; ``known`` has node, root, size and parity.
 
     Two sets can only be similar if they share one of their first shingles
-    (``first_shingles``), are alike in size and differ in few bits of their parities.
+    (``first_shingles``) and have, from the first one that they share on, as many as they
+    must share, are alike in size and differ in few bits of their parities.
     Members of a shingle are dealt over a triangle of cells of some ``cell`` x ``cell``."""
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
 
     def firsts(batches):
         for batch in slices(batches, 1, 2 << 20):
-            h, owner = first_shingles(*distinct_shingles(batch.column(1)), common.value, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(owner))], ["shingle", "node"])
+            h, owner, at = first_shingles(*distinct_shingles(batch.column(1)), common.value, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32))], ["shingle", "node", "at"])
 
     def compare(batches):
         held, found = None, []
@@ -765,6 +788,8 @@ def unconnected(texts: DataFrame, known: DataFrame, similarity: float, cell: int
                 x, y = x[good], y[good]
                 sizes = c["size"][x], c["size"][y]
                 good = np.minimum(*sizes) >= similarity * np.maximum(*sizes) - 1e-6
+                # an earlier one that they share finds them elsewhere
+                good &= np.minimum(sizes[0] - c["at"][x], sizes[1] - c["at"][y]) >= similarity / (1 + similarity) * (sizes[0] + sizes[1]) - 1e-6
                 x, y = x[good], y[good]
                 bits = np.bitwise_count(c["parity"][x] ^ c["parity"][y]).sum(axis=1, dtype=np.int64)
                 good = bits <= (1 - similarity) / (1 + similarity) * (c["size"][x] + c["size"][y]) + 1e-6
@@ -776,7 +801,7 @@ def unconnected(texts: DataFrame, known: DataFrame, similarity: float, cell: int
             if not batch.num_rows:
                 continue
             own = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in batch.schema.names if f != "parity"}
-            own["size"] = own["size"].astype(np.int64)
+            own["size"], own["at"] = own["size"].astype(np.int64), own["at"].astype(np.int64)
             own["parity"] = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
             held = own if held is None else {f: np.concatenate([held[f], x]) for f, x in own.items()}
             new = np.flatnonzero((held["shingle"] != held["shingle"][-1]) | (held["cell"] != held["cell"][-1]))
@@ -794,7 +819,8 @@ def unconnected(texts: DataFrame, known: DataFrame, similarity: float, cell: int
         if found:
             yield _pairs(*np.unique(np.concatenate(found), axis=0).T.copy())
 
-    met = texts.mapInArrow(firsts, "shingle long, node long").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(repeated, "shingle long, node long")
+    kind = "shingle long, node long, at int"
+    met = texts.mapInArrow(firsts, kind).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(repeated, kind)
     met = written(met.join(known.select("node", "root"), "node"), "simhash-wide-met")
     groups = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     groups = written(groups.where("low < high").select("shingle", "n"), "simhash-wide-shingles")
@@ -802,12 +828,35 @@ def unconnected(texts: DataFrame, known: DataFrame, similarity: float, cell: int
     dealt = with_groups(met, groups, "shingle", "n", met.count()).withColumn("part", F.pmod(F.xxhash64("node"), parts))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     both = F.least("part", "other") * parts + F.greatest("part", "other")
-    dealt = dealt.select("shingle", both.alias("cell"), "part", (F.col("part") != F.col("other")).alias("apart"), "node", "root")
+    dealt = dealt.select("shingle", both.alias("cell"), "part", (F.col("part") != F.col("other")).alias("apart"), "node", "at", "root")
     dealt = dealt.join(known.select("node", "size", "parity"), "node")
     pairs = dealt.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell").mapInArrow(compare, "a long, b long, apart int")
     return written(pairs.distinct(), "simhash-wide-left")
 
 
+def narrowed(near: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the links (alike in size) whose texts' sets of shingles can be similar by their
+    ``long_parity``, a small part of a set's size; for the others the sets needn't meet."""
+    wanted = _with_flag(flags(near.select(F.col("a").alias("node")).union(near.select("b"))), True)
+
+    def run(batches):
+        for batch in slices(wanted(batches), 1, 2 << 20):
+            h, bounds = distinct_shingles(batch.column(1))
+            each = [long_parity(h[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(each, pa.binary())], ["node", "size", "parity"])
+
+    def judge(batches):
+        for batch in slices(batches, 3):
+            apart = np.fromiter((parities_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(4), strict=True)), np.int64, batch.num_rows)
+            good = apart <= (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy() + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    known = written(texts.mapInArrow(run, "node long, size long, parity binary"), "simhash-wide-parities")
+    left, right = (known.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity")) for c in "ab")
+    both = near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.col("a_size") + F.col("b_size"), "a_parity", "b_parity")
+    return written(both.mapInArrow(judge, "a long, b long"), "simhash-wide-left")
+
+
 def _earlier(first: np.ndarray, step: int = 1 << 20):
     """Numbers of rows, each with each earlier one from ``first`` (its group's) on, in pieces."""
     counts = np.arange(len(first)) - first

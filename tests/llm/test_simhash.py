@@ -263,3 +263,54 @@ def test_rows_of_repeated_values():
         batches = [pa.RecordBatch.from_pydict({"v": pa.array([v for _, v in p], pa.int64()), "at": pa.array([i for i, _ in p], pa.int64())}) for p in parts]
         got = [r["at"] for b in simhash.repeated(iter(batches)) for r in b.to_pylist()]
         assert got == [i for i, v in enumerate(values) if values.count(v) > 1]
+
+
+def test_unlike_long_texts_part_before_sets_meet(make, monkeypatch):
+    """Long texts that share a rare line, nothing else, meet; their sets aren't joined for that."""
+    rng = random.Random(12)
+    lists = [[f"w{rng.randrange(10**9)}" for _ in range(1800)] for _ in range(12)]
+    for i in range(12):
+        for j in range(i):
+            line = [f"l{i}x{j}x{k}" for k in range(40)]
+            lists[i] += line
+            lists[j] += line
+    met, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda near, *rest: (met.append(near.count()), similar(near, *rest))[1])
+    kept = sorted(r["doc_id"] for r in simhash.first_of_each_group(make([" ".join(x) for x in lists])).collect())
+    assert kept == list(range(12)) and sum(met) == 0, met
+
+
+def test_long_parities(make, spark):
+    """Bits that differ never outnumber the different shingles, and no similar pair is left out."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(2600)]
+    texts = ["", "a b", *(" ".join(base[: n + 4] + [f"n{n}x{i}" for i in range(more)]) for n in (100, 130, 512, 600, 1020, 1100, 2050, 2500) for more in (0, n // 9, n // 4, n // 3))]
+    h, bounds = simhash.distinct_shingles(pa.array(texts))
+    own = [h[a:b] for a, b in zip(bounds, bounds[1:])]
+    parity, sets = list(map(simhash.long_parity, own)), [set(x.tolist()) for x in own]
+    assert all(8 * len(p) >= max(512, 4 * len(x)) for p, x in zip(parity, own))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    assert all(simhash.parities_apart(parity[i], parity[j]) <= len(sets[i] ^ sets[j]) for i, j in pairs)
+    pairs = [(i, j) for i, j in pairs if 5 * min(len(own[i]), len(own[j])) >= 4 * max(len(own[i]), len(own[j]))]
+    docs, near = make(texts).selectExpr("doc_id AS node", "text"), spark.createDataFrame([(i, j, 0) for i, j in pairs], "a long, b long, apart int")
+    got = {tuple(r) for r in simhash.narrowed(near, docs, 0.8).collect()}
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs}
+    assert {p for p in pairs if jaccard[p] >= 0.8} <= got and all(jaccard[p] >= 0.7 for p in got)
+
+
+def test_places_of_first_shingles():
+    """From the first shingle that two sets share on, each has all that they share."""
+    rng = np.random.default_rng(9)
+    common = (np.arange(40, dtype=np.uint64), np.arange(40) % 7 + 4)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 200, rng.integers(1, 60)).astype(np.uint64)) for _ in range(6)]
+        h, owner, at = simhash.first_shingles(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), common, 0.3)
+        for i in range(6):
+            assert at[owner == i].tolist() == list(range((owner == i).sum()))
+            for j in range(i):
+                both = set(sets[i].tolist()) & set(sets[j].tolist())
+                x, y = ({int(s): int(k) for s, k in zip(h[owner == m], at[owner == m])} for m in (i, j))
+                if len(both) >= 0.3 * len(set(sets[i].tolist()) | set(sets[j].tolist())):
+                    assert any(min(len(sets[i]) - x[s], len(sets[j]) - y[s]) >= len(both) for s in x.keys() & y.keys())
