@@ -325,6 +325,17 @@ def test_shuffle_is_uniform(spark):
         assert abs(((table - expected) ** 2 / expected).sum() - free) < 6 * np.sqrt(2 * free)
 
 
+def test_shuffle_equals_the_plain_one(spark):
+    """In whatever order the files are read: those of one size come as the folder lists them."""
+    from sievelake.workspace import written
+
+    for seed in range(3):
+        rows = written(spark.range(0, 24_000, 1, 5), "plain").withColumn("here", F.spark_partition_id()).withColumn("read", F.monotonically_increasing_id())
+        got = sharding.shuffle(rows, 24, seed, rows_per_bucket=300).toPandas().sort_values("read")
+        counts = got.groupby("here").size().reindex(range(int(got["here"].max()) + 1), fill_value=0).to_numpy()
+        assert list(zip(got["shard"], got["slot"], strict=True)) == _places(counts, 24, 4, seed)
+
+
 def test_registered_columns(spark, sf):
     """What the registered queries derive from their operators' results."""
     from sievelake.llm import catalog
