@@ -10,6 +10,9 @@ for each read and gives out only pairs that can reach the threshold. Positions o
 many filters come last: a read that needs h hits may skip positions of less than h
 hits in all, as a match has one among the others, and it skips the most frequent
 ones. Pairs found among the others are verified on the skipped positions.
+
+Where most positions have many filters, lists would be far more than reads and bits
+together: there reads meet blocks of filters (see ``crossing``).
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievelake.functions import sequences
+from sievelake.operators import crossing
 from sievelake.workspace import written
 
 LIST = 1024
@@ -85,6 +89,9 @@ def overlaps(probes: DataFrame, bits: DataFrame, need: Column, enough: Callable,
     bits = bits.select("filter", "pos")
     wanted = written(bits.join(probes.select("pos").distinct(), "pos", "left_semi"), "wanted")
     hot = written(frequent(wanted), "frequent")
+    rest, others = (df.join(F.broadcast(hot.select("pos")), "pos", "left_anti") for df in (probes, wanted))
+    if crossing.dense(*(met := crossing.meetings(rest, others))):
+        return _by_blocks(probes, wanted, met[0], need, enough, sizes, thresholds)
     light, reads = _skipping(probes, hot, need, thresholds)
     listed = wanted if sizes is None else wanted.join(sizes.select("filter", "size"), "filter")
     listed = listed.withColumn("size", F.lit(0).cast("long")) if sizes is None else listed
@@ -121,6 +128,16 @@ def overlaps(probes: DataFrame, bits: DataFrame, need: Column, enough: Callable,
     return found.join(more, ["read", "filter"], "left").select("read", "filter", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"), "size", "total", "need")
 
 
+def _by_blocks(probes: DataFrame, wanted: DataFrame, met: int, need: Column, enough: Callable, sizes: DataFrame | None, thresholds: DataFrame | None) -> DataFrame:
+    """``overlaps`` by blocks of filters, a row per read; no position is skipped."""
+    reads = crossing.reads_of(probes, met, F.sum("n").alias("total"))
+    reads = reads if thresholds is None else reads.join(thresholds.select("read", "theta"), "read")
+    reads = reads.select("read", "pos", "n", F.col("total").cast("long").alias("total"), need.cast("long").alias("need"))
+    own = wanted.groupBy("filter").agg(F.count(F.lit(1)).alias("size")) if sizes is None else wanted.select("filter").distinct().join(sizes, "filter")
+    found = crossing.crossed(reads, crossing.index(wanted, own), lambda hits, read, size: (hits > 0) & enough(hits, read["total"], read["need"], size))
+    return found.select("read", "filter", "hits", "size", "total", "need")
+
+
 def _cut(batch: pa.RecordBatch, limit: int = 1 << 20):
     """A batch in parts whose lists have some ``limit`` entries, or one row."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -171,11 +188,12 @@ def matches(probes: DataFrame, bits: DataFrame, theta: float | Column | DataFram
 
 def all_counts(probes: DataFrame, bits: DataFrame, filters: DataFrame, theta: float) -> DataFrame:
     """Every (read, filter) with its hits, reaching the threshold or not: read,
-    filter, hits, total, passed. Filters are few beside reads: each read lists them."""
-    every = filters.select("filter").distinct().agg(F.array_sort(F.collect_list("filter")).alias("all"))
-    pairs = totals(probes).join(F.broadcast(every)).select("read", "total", F.explode("all").alias("filter"))
-    found = pairs.join(hits(probes, bits), ["read", "filter"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    return found.select("read", "filter", "hits", "total", (F.col("hits") >= needed(F.col("total"), theta)).alias("passed"))
+    filter, hits, total, passed. Reads meet blocks of filters: only reads are shuffled."""
+    own = filters.select("filter").distinct().join(bits.groupBy("filter").agg(F.count(F.lit(1)).alias("size")), "filter", "left")
+    found = crossing.index(bits, own.select("filter", F.coalesce("size", F.lit(0)).alias("size")))
+    rows = crossing.reads_of(probes, 0, F.sum("n").cast("long").alias("total"))
+    counted = crossing.crossed(rows, found).withColumn("hits", F.when(F.col("read").isNull(), 0).otherwise(F.col("hits")))
+    return counted.select("read", "filter", "hits", "total", (F.col("hits") >= needed(F.col("total"), theta)).alias("passed"))
 
 
 def match_counts(found: DataFrame, probes: DataFrame) -> DataFrame:

@@ -586,9 +586,7 @@ def hamming_interval(spark, d):
 def close_suppliers(spark, d):
     """Pairs that are little farther apart than the closest one."""
     bits = written(supplier_bits(spark, d), "supplier-bits")
-    low = distances.closest(bits, bits) or 0
-    pairs = distances.within_distance(bits, bits, int(sql.CLOSE * low) + 1)
-    return distances.edges(pairs.select("i", "j", (F.col("differing") / BITS).alias("dist")), sql.CLOSE * (low / BITS))
+    return distances.nearly_closest(bits, bits, sql.CLOSE, BITS).select("i", "j")
 
 
 @query(sql.EDGES)
