@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,15 @@ import pyarrow.compute as pc
 from sievelake.functions import hashing
 
 MAX_K = 31
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Bases that a table of the hash has at once.
+SIX = 6
 CODES = np.full(1 << 8, 4, np.uint8)
 CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+EITHER = CODES.copy()
+EITHER[np.frombuffer(b"acgt", np.uint8)] = range(4)
+EXCHANGED = np.arange(1 << 8, dtype=np.uint8)
+EXCHANGED[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
 
 
 def pieces(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -74,14 +81,50 @@ def plain(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return bad[at + k] == bad[at]
 
 
+def _rolled(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed window at each place and its reverse complement: words of 1, 2, 4, ... bases
+    are made of two neighbours each, and those that k is the sum of put together."""
+    kind, n = np.uint32 if k <= 16 else np.uint64, max(0, len(codes) - k + 1)
+    own = (codes & 3).astype(kind)
+    other, size = 3 - own, 1
+    word, back, got = np.zeros(n, kind), np.zeros(n, kind), 0
+    while True:
+        if k & size:
+            word = word << kind(2 * size) | own[got : got + n]
+            back |= other[got : got + n] << kind(2 * got)
+            got += size
+        if got == k:
+            return word, back
+        own = own[:-size] << kind(2 * size) | own[size:]
+        other = other[:-size] | other[size:] << kind(2 * size)
+        size *= 2
+
+
 def both_strands(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The packed windows and their reverse complements."""
-    word, other = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for i in range(k):
-        code = codes[at + i].astype(np.int64)
-        word = word << 2 | code
-        other |= (3 - code) << (2 * i)
-    return word, other
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word, other = _rolled(codes, k)
+    return word[at].astype(np.int64), other[at].astype(np.int64)
+
+
+def canonical(codes: np.ndarray, at: np.ndarray, seed: str) -> np.ndarray:
+    """The packed characters at a seed's 1 positions of the smaller of each window and its
+    reverse complement. Windows of any length, as numbers of MAX_K bases at most that are
+    compared one after the other; the seed has MAX_K positions at most."""
+    k = len(seed)
+    if k <= MAX_K:
+        return seeded(np.minimum(*both_strands(codes, at, k)), seed)
+    out, other = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    smaller, decided = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    for start in range(0, k, MAX_K):
+        size = min(MAX_K, k - start)
+        own, back = both_strands(codes, at + start, size)[0], both_strands(codes, at + k - start - size, size)[1]
+        smaller |= ~decided & (back < own)
+        decided |= back != own
+        part = seed[start : start + size]
+        out, other = (x << 2 * part.count("1") | seeded(w, part) for x, w in ((out, own), (other, back)))
+    return np.where(smaller, other, out)
 
 
 def seeded(words: np.ndarray, seed: str) -> np.ndarray:
@@ -93,16 +136,30 @@ def seeded(words: np.ndarray, seed: str) -> np.ndarray:
     return out
 
 
+@lru_cache(32)
+def _tables(k: int, seed: int) -> list[np.ndarray]:
+    """What each SIX bases of a word, from its end, add to its hash before the finish: a
+    step of the hash takes the exclusive or of two states to that of their successors."""
+    steps = hashing.kernels(seed)[np.frombuffer(b"ACGT", np.uint8)]
+    tables = []
+    for first in range(0, k, SIX):
+        table = np.zeros(1, np.uint64)
+        for _ in range(first, min(k, first + SIX)):
+            table = (table[None, :] ^ steps[:, None]).ravel()
+            steps = hashing.forward(steps)
+        tables.append(table)
+    return tables
+
+
 def hashes(words: np.ndarray, k: int, seed: int = 0, other: np.ndarray | None = None) -> np.ndarray:
     """The nucleotide hash of packed words of k bases; ``other`` (the reverse
     complements) adds the other strand's state before the finish."""
-    table = hashing.kernels(seed)[np.frombuffer(b"ACGT", np.uint8)]
     out = np.zeros(len(words), np.uint64)
     with np.errstate(over="ignore"):
         for strand in (words, other) if other is not None else (words,):
             h = np.zeros(len(words), np.uint64)
-            for i in range(k - 1, -1, -1):
-                h = hashing.forward(h) ^ table[(strand >> 2 * i) & 3]
+            for i, table in enumerate(_tables(k, seed)):
+                h ^= table[(strand >> 2 * SIX * i) & (len(table) - 1)]
             out = out + h
         out = hashing.finish(out)
     return np.where(out == 0, np.uint64(1), out)
@@ -123,12 +180,46 @@ def odd_words(data: np.ndarray, at: np.ndarray, k: int) -> list[str]:
     return [w.tobytes().decode("utf-32-le") for w in np.ascontiguousarray(words)]
 
 
+def odd_codes(data: np.ndarray, at: np.ndarray, seed: str) -> np.ndarray:
+    """For windows with other characters, the packed characters of ``odd_words`` at a
+    seed's 1 positions, of either case; -1 where one of these is none of A, C, G and T."""
+    k, cols = len(seed), np.flatnonzero(np.frombuffer(seed.encode(), np.uint8) == ord("1"))
+    out = np.empty(len(at), np.int64)
+    if data.dtype != np.uint8:  # all characters beyond a byte are alike here but for their order
+        for i, w in enumerate(odd_words(data, at, k)):
+            codes = EITHER[[min(ord(w[c]), 255) for c in cols]]
+            out[i] = -1 if (codes == 4).any() else int("".join(map(str, codes)), 4)
+        return out
+    for a in range(0, len(at), PIECE // 8):
+        part = at[a : a + PIECE // 8]
+        wide = np.zeros((2, len(part), -(-k // 8) * 8), np.uint8)
+        wide[0, :, :k] = data[part[:, None] + np.arange(k)]
+        wide[1, :, :k] = EXCHANGED[wide[0, :, :k][:, ::-1]]
+        own, other = wide.view(">u8")
+        smaller, decided = np.zeros(len(part), bool), np.zeros(len(part), bool)
+        for i in range(own.shape[1]):
+            smaller |= ~decided & (other[:, i] < own[:, i])
+            decided |= other[:, i] != own[:, i]
+        word, bad = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
+        for c in cols:
+            code = EITHER[np.where(smaller, wide[1, :, c], wide[0, :, c])]
+            bad |= code == 4
+            word = word << 2 | code
+        out[a : a + PIECE // 8] = np.where(bad, -1, word)
+    return out
+
+
 def at_seed(word: str, seed: str) -> str:
     return "".join(c for c, s in zip(word, seed, strict=True) if s == "1")
 
 
 def counted(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, value) with their numbers."""
+    width = int(values.max()).bit_length() if len(values) and values.min() >= 0 else 64
+    if len(values) and width + int(groups.max()).bit_length() <= 63:  # one number for both
+        key = np.sort(groups.astype(np.int64) << width | values)
+        change = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key[change] >> width, key[change] & ((1 << width) - 1), np.diff(np.append(change, len(key)))
     by = np.lexsort((values, groups))
     groups, values = groups[by], values[by]
     change = np.flatnonzero(np.append(True, (groups[1:] != groups[:-1]) | (values[1:] != values[:-1]))) if len(by) else by

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions import hashing, sequences, windows
+from sievelake.workspace import written
 
 
 DIGITS = str.maketrans("ACGT", "0123")
+#: Windows that a task adds up before it gives their q-grams out, rows of a batch given out.
+ADDED, GIVEN = 1 << 20, 1 << 16
 
 
 def _span(seeds: list[str]) -> int:
@@ -30,34 +33,76 @@ def _keyed(rows: DataFrame, key: Column, seq: Column) -> tuple[DataFrame, str]:
 
 
 def _qgrams(batches, span: int, seeds: list[str]):
-    """(batch, number of the row's key, keys, seed, packed q-grams, odd q-grams with
-    their keys) of each piece."""
+    """(keys, seed, number of each window's key, packed q-grams, and what finds the other
+    windows: characters, places, numbers of their keys) of each piece."""
     for batch, rows, data, ends in windows.pieces(batches, span):
         at, part = windows.places(ends, span)
         codes = windows.codes_of(data)
-        # windows beyond MAX_K don't fit a number: they all go by their characters
-        good = windows.plain(codes, at, span) if span <= windows.MAX_K else np.zeros(len(at), bool)
+        good = windows.plain(codes, at, span)
         own, keys = windows.keys_of(batch, rows)
-        word = np.minimum(*windows.both_strands(codes, at[good], span))
-        odd = windows.odd_words(data, at[~good], span) if not good.all() else []
         for seed in seeds:
-            yield keys, seed, own[part[good]], windows.seeded(word, seed), own[part[~good]], [windows.at_seed(w, seed) for w in odd]
+            # q-grams that don't fit a number go by their characters
+            fits = good if seed.count("1") <= windows.MAX_K else np.zeros(len(at), bool)
+            yield keys, seed, own[part[fits]], windows.canonical(codes, at[fits], seed), (data, at[~fits], own[part[~fits]])
+
+
+def _added(pieces):
+    """(keys, seed, number of the key, q-gram, n) of pieces (keys, seed, numbers, q-grams), added
+    up over ADDED windows. Arrow batches among the pieces are given out as they are."""
+    numbers: dict = {}
+    held: dict[str, list] = {}
+    size, kind = 0, None
+
+    def out():
+        keys = pa.array(list(numbers), kind)
+        numbers.clear()
+        for seed in list(held):
+            parts = held.pop(seed)
+            g, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            yield keys, seed, *windows.counted(g, v)
+
+    for piece in pieces:
+        if isinstance(piece, pa.RecordBatch):
+            yield piece
+            continue
+        keys, seed, groups, values = piece
+        kind = keys.type
+        of = np.array([numbers.setdefault(k, len(numbers)) for k in keys.to_pylist()], np.int32)
+        held.setdefault(seed, []).append((of[groups], values))
+        size += len(values)
+        if size >= ADDED or len(numbers) >= ADDED >> 4:
+            yield from out()
+            size = 0
+    yield from out()
 
 
 def qgram_counts(rows: DataFrame, key: Column, seq: Column, seeds: list[str]) -> DataFrame:
     """key, qgram, n: the q-grams of all windows under each seed."""
     span, (flat, kind) = _span(seeds), _keyed(rows, key, seq)
+    names = ["key", "code", "odd", "weight", "n"]
 
-    def run(batches):
-        for keys, seed, groups, values, odd_groups, odd in _qgrams(batches, span, seeds):
-            g, v, n = windows.counted(groups, values)
-            weight = seed.count("1")
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array(v), pa.nulls(len(v), pa.string()), pa.array(np.full(len(v), weight, np.int32)), pa.array(n)], ["key", "code", "odd", "weight", "n"])
-            if odd:
+    names = ["key", "code", "odd", "weight", "n"]
+
+    def pieces(batches):
+        for keys, seed, groups, values, (data, at, odd_groups) in _qgrams(batches, span, seeds):
+            yield keys, seed, groups, values
+            if len(at):
+                odd = [windows.at_seed(w, seed) for w in windows.odd_words(data, at, span)]
                 # where the seed skips the other characters, what is left is a word like any
                 code = [-1 if len(w) > windows.MAX_K or set(w) - set("ACGT") else int(w.translate(DIGITS), 4) for w in odd]
                 spelled_out = [w if c < 0 else None for w, c in zip(odd, code, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(code, pa.int64()), pa.array(spelled_out, pa.string()), pa.array(np.full(len(odd), weight, np.int32)), pa.array(np.ones(len(odd), np.int64))], ["key", "code", "odd", "weight", "n"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(code, pa.int64()), pa.array(spelled_out, pa.string()), pa.array(np.full(len(odd), seed.count("1"), np.int32)), pa.array(np.ones(len(odd), np.int64))], names)
+
+    def run(batches):
+        for got in _added(pieces(batches)):
+            if isinstance(got, pa.RecordBatch):
+                yield got
+            else:
+                keys, seed, g, v, n = got
+                for a in range(0, len(v), GIVEN):
+                    b = slice(a, a + GIVEN)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(g[b])), pa.array(v[b]), pa.nulls(len(v[b]), pa.string()), pa.array(np.full(len(v[b]), seed.count("1"), np.int32)), pa.array(n[b])], names)
 
     added = flat.mapInArrow(run, f"key {kind}, code long, odd string, weight int, n long").groupBy("key", "code", "odd", "weight").agg(F.sum("n").alias("n"))
     # words under seeds of different weight differ, those of one weight meet
@@ -70,18 +115,34 @@ def spelled(code: Column, k: Column | int) -> Column:
 
 
 def qgram_hashes(rows: DataFrame, key: Column, seq: Column, seeds: list[str], hash_seed: int = 0) -> DataFrame:
-    """key, hash (the 64 bits as a signed long), n: per batch of rows; 0 for q-grams with
+    """key, hash (the 64 bits as a signed long), n: per ADDED windows; 0 for q-grams with
     other characters than ACGT."""
     span, (flat, kind) = _span(seeds), _keyed(rows, key, seq)
+    names = ["key", "hash", "n"]
+
+    def pieces(batches):
+        for keys, seed, groups, values, (data, at, odd_groups) in _qgrams(batches, span, seeds):
+            yield keys, seed, groups, values
+            if seed.count("1") > windows.MAX_K and len(at):
+                h = hashing.hash_words(pa.array([windows.at_seed(w, seed) for w in windows.odd_words(data, at, span)], pa.string()), seed.count("1"), hash_seed)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), np.int64))], names)
+            elif len(at):
+                code = windows.odd_codes(data, at, seed)
+                yield keys, seed, odd_groups[code >= 0], code[code >= 0]
+                zero = np.bincount(odd_groups[code < 0], minlength=len(keys))
+                g = np.flatnonzero(zero)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array(np.zeros(len(g), np.int64)), pa.array(zero[g])], names)
 
     def run(batches):
-        for keys, seed, groups, values, odd_groups, odd in _qgrams(batches, span, seeds):
-            g, v, n = windows.counted(groups, values)
-            h = windows.hashes(v, seed.count("1"), hash_seed)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(g)), pa.array(h.view(np.int64)), pa.array(n)], ["key", "hash", "n"])
-            if odd:
-                h = hashing.hash_words(pa.array(odd, pa.string()), seed.count("1"), hash_seed)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(odd_groups)), pa.array(h.view(np.int64)), pa.array(np.ones(len(odd), np.int64))], ["key", "hash", "n"])
+        for got in _added(pieces(batches)):
+            if isinstance(got, pa.RecordBatch):
+                yield got
+            else:
+                keys, seed, g, v, n = got
+                for a in range(0, len(v), GIVEN):
+                    b = slice(a, a + GIVEN)
+                    h = windows.hashes(v[b], seed.count("1"), hash_seed)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(g[b])), pa.array(h.view(np.int64)), pa.array(n[b])], names)
 
     return flat.mapInArrow(run, f"key {kind}, hash long, n long")
 
@@ -111,8 +172,8 @@ def union_filter(hashed: DataFrame, num_bits: int) -> DataFrame:
 
 def intersection_filter(hashed: DataFrame, num_bits: int) -> DataFrame:
     """pos set in the filter of every key, hashes taken modulo the result's own size."""
-    held = hashed.select("key", modulo(F.col("hash"), num_bits).alias("pos")).distinct()
-    members = hashed.agg(F.count_distinct("key").alias("members"))
+    held = written(hashed.select("key", modulo(F.col("hash"), num_bits).alias("pos")).distinct(), "held")
+    members = held.agg(F.count_distinct("key").alias("members"))
     return held.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(members)).where("n = members").select("pos")  # one row
 
 

@@ -154,9 +154,9 @@ def qgram_intersection_filter(spark, d):
 @query(sql.FILTER_STATS)
 def filter_stats(spark, d):
     """Per source: q-grams added, bits set, false-positive rate."""
-    bits, sizes = sketches.filters_of(bags(texts(spark, d, "documents", "source")))
-    ones = bits.groupBy("filter").agg(F.count(F.lit(1)).alias("ones"))
-    return sizes.join(ones, "filter").select("filter", F.col("set_size").cast("long").alias("set_size"), "ones", F.round(sequences.false_positive_rate(F.lit(MODULUS), F.col("set_size")), 6).alias("fp_rate"))
+    of_each = bags(texts(spark, d, "documents", "source")).groupBy(F.col("key").alias("filter"))
+    sizes = of_each.agg(F.sum("n").cast("long").alias("set_size"), F.count(F.lit(1)).alias("ones")).where("filter IS NOT NULL")
+    return sizes.select("filter", "set_size", "ones", F.round(sequences.false_positive_rate(F.lit(MODULUS), F.col("set_size")), 6).alias("fp_rate"))
 
 
 @query(sql.CANONICAL_KMERS)
