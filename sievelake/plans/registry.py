@@ -606,8 +606,8 @@ def distance_dot(spark, d):
 
 @query(sql.MATRIX)
 def distance_matrix_text(spark, d):
-    pairs, bits = pair_sizes(spark, d)
-    return distances.matrix(distances.hamming(pairs, BITS), bits)
+    bits = supplier_bits(spark, d)
+    return distances.matrix_of(bits, bits, BITS)
 
 
 @query(sql.HISTOGRAM)
